@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def scale_log1p(y: Column | str, mean: Column, std: Column) -> Column:
@@ -23,10 +23,9 @@ def calibrate(z: Column | str, a: Column, b: Column) -> Column:
 
 def softmax(scores: Column | str) -> Column:
     s = col(scores)
-    top = F.array_max(s)
-    e = F.transform(s, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+    powers = let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(scores: Column | str) -> Column:

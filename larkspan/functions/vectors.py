@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -20,20 +20,19 @@ def l2_norm(v: Column | str) -> Column:
 
 def l2_normalize(v: Column | str) -> Column:
     """Unit vector; an all-zero vector stays as it is."""
-    n = l2_norm(v)
-    return F.when(n == 0, col(v).cast("array<double>")).otherwise(
+    return let(l2_norm(v), lambda n: F.when(n == 0, col(v).cast("array<double>")).otherwise(
         F.transform(col(v), lambda x: x.cast("double") / n)
-    )
+    ))
 
 
 def masked_mean(vectors: Column | str, mask: Column | str) -> Column:
     """Mean over the unmasked rows of an array of token vectors, one row per text."""
     v, m = col(vectors), col(mask)
-    kept = F.aggregate(m, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    kept = F.greatest(F.aggregate(m, F.lit(0.0), lambda acc, x: acc + x.cast("double")), F.lit(1e-6))
     weighted = F.zip_with(v, m, lambda row, w: F.transform(row, lambda x: x.cast("double") * w.cast("double")))
     zero = F.transform(F.get(v, F.lit(0)), lambda x: F.lit(0.0))
     summed = F.aggregate(weighted, zero, lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y))
-    return F.transform(summed, lambda x: x / F.greatest(kept, F.lit(1e-6)))
+    return let(kept, lambda n: F.transform(summed, lambda x: x / n))
 
 
 def has_dimension(v: Column | str, d: int) -> Column:

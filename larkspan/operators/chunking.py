@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, col, is_blank, lines, paragraphs, strip, words
+from ..functions.text import BLANK, col, is_blank, let, lines, paragraphs, strip, words
 
 TARGET_WORDS = 200
 OVERLAP_WORDS = 40
@@ -182,20 +182,21 @@ def chunk_markdown(
 
     rows = rows.select(*keep, F.transform(bounds, render).alias("_sections"))
 
-    def contents(section: Column) -> Column:
-        heading, body = section["heading"], section["body"]
-        full = F.when(heading == "", body).otherwise(strip(F.concat(heading, F.lit("\n"), body)))
-        body_words = words(body)
+    def windows(heading: Column, body_words: Column) -> Column:
         prefix = F.when(heading == "", "").otherwise(F.concat(heading, F.lit("\n")))
-        windows = F.transform(
+        return F.transform(
             window_spans(F.size(body_words), max_words, overlap),
             lambda s: F.concat(prefix, _join_span(body_words, s)),
         )
-        return (
-            F.when(full == "", F.array().cast("array<string>"))
-            .when(F.size(words(full)) <= max_words, F.array(full))
-            .otherwise(windows)
-        )
+
+    def contents(section: Column) -> Column:
+        heading, body = section["heading"], section["body"]
+        full = F.when(heading == "", body).otherwise(strip(F.concat(heading, F.lit("\n"), body)))
+        return let(full, lambda text: (
+            F.when(text == "", F.array().cast("array<string>"))
+            .when(F.size(words(text)) <= max_words, F.array(text))
+            .otherwise(let(words(body), lambda body_words: windows(heading, body_words)))
+        ))
 
     return number_chunks(rows, F.flatten(F.transform("_sections", contents)), keep)
 

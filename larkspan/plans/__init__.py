@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, grouped by area."""
+
+from . import profile_queries, selection_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
