@@ -80,32 +80,35 @@ def _others(df: DataFrame, content: str) -> list[str]:
     return [c for c in df.columns if c != content]
 
 
+def packed_chunks(text: Column, sep: str, target: int, overlap: int) -> Column:
+    """Chunk texts of one plain text; null stays null."""
+    split_paragraphs = F.transform(paragraphs(text, sep), lambda p: F.split(p, BLANK + "+"))
+    return let(split_paragraphs, lambda paras: let(F.flatten(paras), lambda all_words: F.transform(
+        packed_spans(F.transform(paras, F.size), target, overlap), lambda s: _join_span(all_words, s)
+    )))
+
+
 def chunk_text(
     df: DataFrame, content: str = "content", sep: str = "\n\n",
     target: int = TARGET_WORDS, overlap: int = OVERLAP_WORDS,
 ) -> DataFrame:
     """Paragraphs packed to about ``target`` words with trailing context."""
-    keep = _others(df, content)
-    per_paragraph = df.select(
-        *keep, F.transform(paragraphs(content, sep), lambda p: F.split(p, BLANK + "+")).alias("_paras")
-    )
-    spans = per_paragraph.select(
-        *keep, F.flatten("_paras").alias("_words"),
-        packed_spans(F.transform("_paras", F.size), target, overlap).alias("_spans"),
-    )
-    return number_chunks(
-        spans, F.transform("_spans", lambda s: _join_span(F.col("_words"), s)), keep
-    )
+    return number_chunks(df, packed_chunks(F.col(content), sep, target, overlap), _others(df, content))
+
+
+def _windows(all_words: Column, size: int, overlap: int, prefix: Column | None = None) -> Column:
+    def text(span: Column) -> Column:
+        joined = _join_span(all_words, span)
+        return joined if prefix is None else F.concat(prefix, joined)
+
+    return F.transform(window_spans(F.size(all_words), size, overlap), text)
 
 
 def word_windows(
     df: DataFrame, content: str = "content", size: int = MARKDOWN_MAX_WORDS, overlap: int = OVERLAP_WORDS,
 ) -> DataFrame:
     """Overlapping windows over all words of a text."""
-    keep = _others(df, content)
-    split = df.select(*keep, words(content).alias("_words"))
-    spans = window_spans(F.size("_words"), size, overlap)
-    return number_chunks(split, F.transform(spans, lambda s: _join_span(F.col("_words"), s)), keep)
+    return number_chunks(df, let(words(content), lambda w: _windows(w, size, overlap)), _others(df, content))
 
 
 # --- Markdown ----------------------------------------------------------------
@@ -132,35 +135,42 @@ def section_starts(stripped: Column) -> Column:
     return F.aggregate(stripped, zero, step, lambda acc: acc["starts"])
 
 
+def _sections(text: Column) -> Column:
+    """Array of (id, heading or null, stripped body) of one Markdown text."""
+
+    def build(all_lines: Column, starts: Column) -> Column:
+        n = F.size(all_lines)
+
+        def section(start: Column, i: Column) -> Column:
+            stop = F.coalesce(F.get(starts, i), n)
+            body = F.slice(all_lines, start + 2, stop - start - 1)
+            return F.struct(
+                i.alias("id"), F.when(start >= 0, strip(F.get(all_lines, start))).alias("heading"),
+                strip(F.array_join(body, "\n")).alias("body"),
+            )
+
+        # Position -1 stands for the lead before the first heading.
+        return F.transform(F.concat(F.array(F.lit(-1)), starts), section)
+
+    return let(lines(text), lambda all_lines: let(
+        section_starts(F.transform(all_lines, strip)), lambda starts: build(all_lines, starts)
+    ))
+
+
 def markdown_sections(df: DataFrame, content: str = "content") -> DataFrame:
     """One row per section: ``section_id``, ``heading`` (null in a preamble), ``body``.
 
-    The heading keeps its marks; a lead without heading is section 0.
+    The heading keeps its marks; a lead without heading is section 0 and is
+    left out when the text starts with a heading.
     """
     keep = _others(df, content)
-    rows = df.select(*keep, lines(content).alias("_lines"))
-    rows = rows.withColumn("_starts", section_starts(F.transform("_lines", strip)))
-    n = F.size("_lines")
-    heads = F.col("_starts")
-    lead = F.coalesce(F.get(heads, F.lit(0)), n)
-    lead_part = F.when(
-        lead > 0,
-        F.array(F.struct(F.lit(0).alias("id"), F.lit(None).cast("string").alias("heading"),
-                         F.slice("_lines", F.lit(1), lead).alias("body"))),
+    first = lines(content)
+    starts_with_heading = F.coalesce(strip(F.get(first, F.lit(0))).rlike(HEADING), F.lit(True))
+    rows = df.select(
+        *keep, starts_with_heading.alias("_no_lead"), F.inline(_sections(F.col(content)))
     )
-    parts = F.transform(
-        heads,
-        lambda s, i: F.struct(
-            (i + 1).alias("id"),
-            strip(F.get("_lines", s)).alias("heading"),
-            F.slice("_lines", s + 2, F.coalesce(F.get(heads, i + 1), n) - s - 1).alias("body"),
-        ),
-    )
-    empty = F.array().cast("array<struct<id:int,heading:string,body:array<string>>>")
-    sections = F.concat(F.coalesce(lead_part, empty), parts)
-    return rows.select(*keep, F.inline(sections)).select(
-        *keep, F.col("id").alias("section_id"), "heading",
-        strip(F.array_join("body", "\n")).alias("body"),
+    return rows.filter((F.col("id") > 0) | ~F.col("_no_lead")).select(
+        *keep, F.col("id").alias("section_id"), "heading", "body"
     )
 
 
@@ -168,37 +178,24 @@ def chunk_markdown(
     df: DataFrame, content: str = "content", max_words: int = MARKDOWN_MAX_WORDS, overlap: int = OVERLAP_WORDS,
 ) -> DataFrame:
     """One chunk per section; a long section becomes windows under its heading."""
-    keep = _others(df, content)
-    rows = df.filter(~is_blank(content)).select(*keep, lines(content).alias("_lines"))
-    rows = rows.withColumn("_starts", section_starts(F.transform("_lines", strip)))
-    n, heads = F.size("_lines"), F.col("_starts")
-    bounds = F.concat(F.array(F.lit(-1)), heads)
-
-    def render(start: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get(heads, i), n)
-        heading = F.when(start < 0, "").otherwise(strip(F.get("_lines", start)))
-        body = strip(F.array_join(F.slice("_lines", start + 2, stop - start - 1), "\n"))
-        return F.struct(heading.alias("heading"), body.alias("body"))
 
-    rows = rows.select(*keep, F.transform(bounds, render).alias("_sections"))
-
-    def windows(heading: Column, body_words: Column) -> Column:
+    def render(full: Column, full_words: Column, heading: Column) -> Column:
+        of_heading = F.size(words(heading))
+        body_words = F.slice(full_words, of_heading + 1, F.size(full_words) - of_heading)
         prefix = F.when(heading == "", "").otherwise(F.concat(heading, F.lit("\n")))
-        return F.transform(
-            window_spans(F.size(body_words), max_words, overlap),
-            lambda s: F.concat(prefix, _join_span(body_words, s)),
+        return F.when(F.size(full_words) <= max_words, F.array(full)).otherwise(
+            let(body_words, lambda w: _windows(w, max_words, overlap, prefix))
         )
 
     def contents(section: Column) -> Column:
-        heading, body = section["heading"], section["body"]
+        heading, body = F.coalesce(section["heading"], F.lit("")), section["body"]
         full = F.when(heading == "", body).otherwise(strip(F.concat(heading, F.lit("\n"), body)))
-        return let(full, lambda text: (
-            F.when(text == "", F.array().cast("array<string>"))
-            .when(F.size(words(text)) <= max_words, F.array(text))
-            .otherwise(let(words(body), lambda body_words: windows(heading, body_words)))
+        return let(full, lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(
+            let(words(text), lambda w: render(text, w, heading))
         ))
 
-    return number_chunks(rows, F.flatten(F.transform("_sections", contents)), keep)
+    chunks = F.flatten(F.transform(_sections(F.col(content)), contents))
+    return number_chunks(df.filter(~is_blank(content)), chunks, _others(df, content))
 
 
 # --- JSON and Python ---------------------------------------------------------
@@ -250,14 +247,8 @@ def _parsed(parse) -> Column:
 def _chunk_parsed(df: DataFrame, content: str, parse, sep: str) -> DataFrame:
     keep = _others(df, content)
     rows = df.filter(~is_blank(content)).withColumn("_parts", _parsed(parse)(F.col(content)))
-    # One pass: a row that could not be parsed carries its paragraphs instead.
-    paras = F.transform(paragraphs(content, sep), lambda p: F.split(p, BLANK + "+"))
-    rows = rows.select(*keep, "_parts", F.when(F.col("_parts").isNull(), paras).alias("_paras"))
-    rows = rows.select(
-        *keep, "_parts", F.flatten("_paras").alias("_words"),
-        packed_spans(F.transform("_paras", F.size), TARGET_WORDS, OVERLAP_WORDS).alias("_spans"),
-    )
-    packed = F.transform("_spans", lambda s: _join_span(F.col("_words"), s))
+    # One pass: a row that could not be parsed is packed as plain text instead.
+    packed = packed_chunks(F.col(content), sep, TARGET_WORDS, OVERLAP_WORDS)
     return number_chunks(rows, F.coalesce("_parts", packed), keep)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, php_prelude
+from ..functions.text import col, let, php_prelude
 from .clean import usable_code
 from .ranking import first_n_per_group
 
@@ -84,18 +84,27 @@ def function_count(plain: Column | str, language: Column | str) -> Column:
 
 
 def code_metrics(df: DataFrame, code: str = "code", language: str = "language") -> DataFrame:
-    """Attach function count, complexity, code lines and token count."""
-    rows = df.withColumn(
-        "_bare", without_comments(php_prelude(F.col(code), F.col(language)), language)
-    ).withColumn("_plain", without_strings("_bare", language))
-    return rows.withColumns({
-        "n_functions": function_count("_plain", language),
-        "cyclomatic_complexity": by_language(
-            language, lambda n: 1 + F.regexp_count("_plain", F.lit(DECISIONS[n]))
-        ),
-        "nloc": F.regexp_count("_bare", F.lit(CODE_LINE)),
-        "token_count": F.regexp_count("_plain", F.lit(TOKEN)),
-    }).drop("_bare", "_plain")
+    """Attach function count, complexity, code lines and token count.
+
+    The cleaned text is bound once per row and the counts leave through a
+    generator, so a later filter on them does not count a second time.
+    """
+    lang = F.col(language)
+
+    def counts(bare: Column, plain: Column) -> Column:
+        decisions = by_language(lang, lambda n: 1 + F.regexp_count(plain, F.lit(DECISIONS[n])))
+        return F.struct(
+            function_count(plain, lang).alias("n_functions"),
+            decisions.alias("cyclomatic_complexity"),
+            F.regexp_count(bare, F.lit(CODE_LINE)).alias("nloc"),
+            F.regexp_count(plain, F.lit(TOKEN)).alias("token_count"),
+        )
+
+    measured = let(
+        without_comments(php_prelude(F.col(code), lang), lang),
+        lambda bare: let(without_strings(bare, lang), lambda plain: counts(bare, plain)),
+    )
+    return df.select("*", F.inline(F.array(measured)))
 
 
 def label_code(df: DataFrame, order: list[str], max_per_language: int = MAX_PER_LANGUAGE) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, unix_lines
 
 # What a scan leaves out. Folders with a leading dot are left out too.
 IGNORED_FOLDERS = (
@@ -34,7 +34,7 @@ def decode_text(content: Column | str) -> Column:
     """UTF-8, else Latin-1; every line end becomes a line feed."""
     text = col(content).cast("string")
     decoded = F.when(F.is_valid_utf8(text), text).otherwise(F.decode(col(content), "ISO-8859-1"))
-    return F.regexp_replace(decoded, "\r\n?", "\n")
+    return unix_lines(decoded)
 
 
 def _wanted(
