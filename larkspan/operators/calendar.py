@@ -100,7 +100,8 @@ def activity_calendar(
 
 def month_grids(cells: DataFrame) -> DataFrame:
     """One row per month with its weeks, each of seven cells (null outside the month)."""
-    cell = F.struct("date", "activity", "total")
+    # Nullable fields, so that a null cell is valid in every output format.
+    cell = F.struct(*[F.when(F.col(c).isNotNull(), F.col(c)).alias(c) for c in ("date", "activity", "total")])
     weeks = cells.groupBy("year", "month", "month_label", "week_index").agg(
         F.map_from_entries(F.collect_list(F.struct("weekday", cell))).alias("_days")
     )

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, grouped by area."""
 
-from . import command_queries, profile_queries, selection_queries, text_queries  # noqa: F401
+from . import command_queries, pipeline_queries, profile_queries, selection_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,0 +1,350 @@
+"""Queries that write and read back, train models, or run a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import video_text
+from ..operators import classify, clean, code_metrics, metrics, ranking, regression, search, splits, synth
+from ..operators import chunking
+from ..operators.entities import extract_entities
+from ..operators.lookup import lookup_join
+from ..session import scratch_path
+from ..sources import files, sinks, tables
+from ..streaming import requests
+from .command_queries import _commands, _snippets
+from .registry import query, spread, table
+from .text_queries import document_files
+
+# --- sources and sinks -------------------------------------------------------------
+
+
+@query("csv_roundtrip", """
+SELECT doc_id, text, lang, source, n_chars FROM documents""")
+def csv_roundtrip(spark, d):
+    path = sinks.write_csv(table(spark, d, "documents"), scratch_path(spark, "csv"))
+    return tables.read_csv(spark, path, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+
+
+@query("jsonl_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_roundtrip(spark, d):
+    path = scratch_path(spark, "jsonl")
+    table(spark, d, "conversations").write.option("compression", "gzip").json(path)
+    return tables.read_jsonl(spark, path, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+
+
+@query("sharded_read", """
+SELECT lang AS language, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents
+WHERE doc_id % 2 = 0 GROUP BY lang""")
+def sharded_read(spark, d):
+    """Shards per language and split; only the training shards are read."""
+    root = scratch_path(spark, "shards")
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("text").alias("code"), "lang", F.when(docs.doc_id % 2 == 0, "train").otherwise("valid").alias("part"))
+    for split in ("train", "valid"):
+        part = rows.filter(F.col("part") == split).drop("part")
+        part.write.mode("append").partitionBy("lang").json(f"{root}/{split}")
+    languages = {f"lang={c}": c for c in ("de", "en", "es", "fr")}
+    found = tables.read_sharded(spark, f"{root}/train", languages, "part-", "code STRING", suffixes=("json",))
+    named = found.withColumn("language", F.regexp_replace("language", "^lang=", ""))
+    return named.groupBy("language").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("chars")
+    )
+
+
+@query("write_split", """
+SELECT split, count(*) AS n FROM (
+  SELECT CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT row_number() OVER (ORDER BY md5('42|' || o_orderkey::VARCHAR)) AS rn, count(*) OVER () AS n FROM orders))
+GROUP BY split""")
+def write_split(spark, d):
+    path = scratch_path(spark, "split")
+    sinks.write_split(splits.positional_split(table(spark, d, "orders"), ["o_orderkey"]), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("feature_cache", """
+SELECT label % 6 AS language_id, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 6) AS total
+FROM embeddings GROUP BY 1""")
+def feature_cache(spark, d):
+    path = scratch_path(spark, "features")
+    rows = table(spark, d, "embeddings").select(
+        "embedding", (F.col("label") % 6).alias("language_id"),
+        F.col("vec_id").cast("float").alias("cyclomatic_complexity"),
+    )
+    cached = spark.read.parquet(sinks.write_feature_cache(rows, path))
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return cached.groupBy("language_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 6).alias("total")
+    )
+
+
+@query("scan_and_decode", """
+SELECT lang, count(*) AS docs, (sum(length(text)) + count(*))::BIGINT AS chars FROM documents
+WHERE lang <> 'de' GROUP BY lang""")
+def scan_and_decode(spark, d):
+    """Documents written as text files per language, one folder of which the scan ignores."""
+    root = scratch_path(spark, "tree")
+    docs = table(spark, d, "documents")
+    one_line = F.translate("text", "\r\n", "  ")
+    docs.select(one_line.alias("value"), "lang").write.partitionBy("lang").text(root)
+    found = files.read_documents(files.scan_files(
+        spark, root, ignored_folders=["lang=de"], ignored_files=["_SUCCESS"], ignored_extensions=[".crc"]
+    ))
+    lang = F.regexp_extract("filepath", "lang=([a-z]+)", 1)
+    per_file = found.select(
+        lang.alias("lang"), F.size(F.split("content", "\n")).alias("parts"), F.length("content").alias("chars")
+    )
+    return per_file.groupBy("lang").agg(
+        F.sum(F.col("parts") - 1).alias("docs"), F.sum("chars").alias("chars")
+    )
+
+
+def _video_pages(spark, d):
+    """Parts as landed feed pages: one page per brand and size."""
+    snippet = F.struct(
+        F.struct(F.col("p_partkey").cast("string").alias("videoId")).alias("resourceId"),
+        F.col("p_name").alias("title"), F.col("p_type").alias("description"),
+        F.concat(F.lit("Channel "), "p_brand").alias("channelTitle"), F.lit("2024-01-01T00:00:00Z").alias("publishedAt"),
+    )
+    pages = table(spark, d, "part").groupBy(
+        F.col("p_brand").alias("playlist_id"), (F.col("p_partkey") / 50).cast("int").alias("page")
+    ).agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), snippet.alias("snippet")))).alias("rows"))
+    landed = F.to_json(F.struct(
+        F.transform("rows", lambda r: F.struct(r["snippet"].alias("snippet"))).alias("items"), "playlist_id", "page"
+    ))
+    return pages.select(landed.alias("value"))
+
+
+@query("video_payloads", """
+SELECT p_partkey::VARCHAR AS video_id, p_name AS title, p_type AS description, 'Channel ' || p_brand AS channel,
+       '2024-01-01T00:00:00Z' AS published_at, p_brand AS playlist_id,
+       (row_number() OVER (PARTITION BY p_brand, p_partkey // 50 ORDER BY p_partkey) - 1)::INT AS position,
+       substr(p_brand, 7)::INT % 2 AS label
+FROM part""")
+def video_payloads(spark, d):
+    """Feed pages landed as JSON, flattened, with the label of their playlist."""
+    path = scratch_path(spark, "pages")
+    _video_pages(spark, d).write.text(path)
+    videos = tables.flatten_video_payload(tables.read_jsonl(spark, path, tables.VIDEO_PAYLOAD)).drop("page")
+    playlists = table(spark, d, "part").select(F.col("p_brand").alias("playlist_id")).distinct()
+    labelled = playlists.withColumn("label", F.substring("playlist_id", 7, 10).cast("int") % 2)
+    return lookup_join(videos, labelled, ["playlist_id"], "inner")
+
+
+@query("channel_payloads", """
+SELECT 'Real ' || s_name AS channel, 'UC' || s_suppkey AS channel_id, 'UU' || s_suppkey AS uploads_playlist,
+       (s_nationkey % 2)::INT AS label
+FROM supplier WHERE s_acctbal >= 0""")
+def channel_payloads(spark, d):
+    """Channel lookups landed as JSON; a supplier in debt stands for a miss."""
+    hit = F.struct(F.struct(F.concat(F.lit("UC"), F.col("s_suppkey").cast("string")).alias("channelId")).alias("snippet"))
+    none = F.array().cast("array<struct<snippet:struct<channelId:string>>>")
+    detail = F.struct(
+        F.struct(F.concat(F.lit("Real "), "s_name").alias("title")).alias("snippet"),
+        F.struct(F.struct(F.concat(F.lit("UU"), F.col("s_suppkey").cast("string")).alias("uploads")).alias("relatedPlaylists")).alias("contentDetails"),
+    )
+    landed = F.to_json(F.struct(
+        F.struct(F.when(F.col("s_acctbal") >= 0, F.array(hit)).otherwise(none).alias("items")).alias("search"),
+        F.struct(F.array(detail).alias("items")).alias("channels"), (F.col("s_nationkey") % 2).alias("label"),
+    ))
+    path = scratch_path(spark, "channels")
+    table(spark, d, "supplier").select(landed.alias("value")).write.text(path)
+    return tables.flatten_channel_payload(tables.read_jsonl(spark, path, tables.CHANNEL_PAYLOAD))
+
+
+@query("params_roundtrip", """
+SELECT l_returnflag AS language, round(regr_slope(l_extendedprice, l_quantity), 6) AS a,
+       round(regr_intercept(l_extendedprice, l_quantity), 3) AS b FROM lineitem GROUP BY l_returnflag""")
+def params_roundtrip(spark, d):
+    """Scaler and calibration written as a parameter document and read again."""
+    items = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("language"), F.col("l_extendedprice").alias("target"),
+        F.col("l_quantity").alias("prediction"),
+    )
+    fitted = regression.fit_calibration(items, "language")
+    params = regression.merge_params(
+        regression.fit_scaler(items, "target"), fitted, "language", "corrected = a * raw + b before inversion"
+    )
+    path = sinks.write_params(params, scratch_path(spark, "params"))
+    table_ab = tables.calibration_table(tables.read_params(spark, path))
+    return table_ab.select("language", F.round("a", 6).alias("a"), F.round("b", 3).alias("b"))
+
+
+# --- corpus index ------------------------------------------------------------------
+
+
+@query("build_index")
+def build_index(spark, d):
+    """Files to chunks with vectors, stored as one table, with the run's statistics."""
+    documents = spread(document_files(spark, d))
+    path = scratch_path(spark, "index")
+    sinks.write_index(search.embed(chunking.chunk_documents(documents, sep="\n")), path)
+    return sinks.pipeline_stats(document_files(spark, d), spark.read.parquet(path))
+
+
+# --- models ------------------------------------------------------------------------
+
+
+def _labelled_videos(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
+    rows = ranking.dedupe_first(clean.drop_blank(rows, ["text"]), ["text"], [F.col("doc_id")])
+    rows = rows.withColumn("text", video_text("lang", "source", "text"))
+    held = [f"src{i}" for i in range(8)]
+    return splits.holdout_split(rows, "source", held[:4], held[4:])
+
+
+def _video_model(spark, d):
+    rows = _labelled_videos(spark, d)
+    model = classify.fit_text_classifier(
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), grid=(0.01, 0.1), max_iter=10, cells=1 << 12
+    )
+    return rows, model
+
+
+@query("video_classifier_eval")
+def video_classifier_eval(spark, d):
+    """Train on some sources, choose on others, report on sources never seen."""
+    rows, model = _video_model(spark, d)
+    scored = classify.predict_video(rows.filter("split = 'test'"), model)
+    return metrics.classification_report(scored, names=classify.VIDEO_LABELS)
+
+
+@query("video_predictions")
+def video_predictions(spark, d):
+    rows, model = _video_model(spark, d)
+    scored = classify.predict_video(rows.filter("split = 'test'"), model)
+    return clean.with_correct(scored).select(
+        "doc_id", "label", "prediction", "label_name", F.round("confidence", 6).alias("confidence"), "correct"
+    )
+
+
+def _intent_rows(spark, d):
+    """Noisy commands over the parts, labelled by the verb of their template."""
+    intents = F.create_map(*[F.lit(x) for x in (
+        synth_template for pair in (("open {x}", "open_app"), ("find {x}", "search_file"),
+                                    ("please show me {x}", "open_app"), ("where is {x}", "search_file"))
+        for synth_template in pair
+    )])
+    rows = _commands(spark, d).withColumn("intent", F.element_at(intents, F.col("template")))
+    return rows.select("p_partkey", "variant", "text", "intent")
+
+
+@query("intent_pipeline")
+def intent_pipeline(spark, d):
+    """Synthesized commands to a trained model, then gate and entities on the test split."""
+    keys = ["p_partkey", "variant"]
+    rows = synth.balance_and_split(_intent_rows(spark, d), keys)
+    model = classify.fit_text_classifier(
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), label="intent", metric="f1",
+        grid=(0.01,), max_iter=10, cells=1 << 12,
+    )
+    scored = classify.predict_text(rows.filter("split = 'test'"), model)
+    named = scored.withColumnRenamed("intent", "truth").withColumnRenamed("predicted", "intent")
+    gated = extract_entities(clean.confidence_gate(named))
+    return gated.select(*keys, "truth", "intent", F.round("confidence", 6).alias("confidence"),
+                        F.to_json("entities").alias("entities"))
+
+
+@query("complexity_pipeline")
+def complexity_pipeline(spark, d):
+    """Label code, embed, scale, fit, calibrate on train, evaluate per language on validation."""
+    rows = code_metrics.label_code(
+        spread(_snippets(spark, d)).withColumn("original_string", F.lit(None).cast("string")),
+        ["l_orderkey", "l_linenumber"], 400,
+    )
+    features = search.embed(rows, "code", make_embed=lambda: search.hashed_words(64))
+    path = scratch_path(spark, "code-features")
+    sinks.write_parquet(features, path)
+    cached = spark.read.parquet(path)
+    scaler = regression.fit_scaler(cached, "cyclomatic_complexity")
+    scaled = regression.apply_scaler(cached, scaler, "cyclomatic_complexity")
+    parts = splits.validation_split(scaled, ["l_orderkey", "l_linenumber"])
+    train, val = parts.filter("split = 'train'"), parts.filter("split = 'val'")
+    model = classify.fit_complexity_model(train, val, penalties=(0.01,))
+    fitted = regression.fit_calibration(
+        classify.predict_normalized(train, model), "language", target="target_norm"
+    )
+    scored = regression.apply_calibration(
+        classify.predict_normalized(val, model), fitted, "language", "prediction"
+    )
+    out = metrics.regression_metrics_by(scored, "language", "calibrated", "target_norm")
+    return out.select("language", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+# --- streams -----------------------------------------------------------------------
+
+# Turns as request lines: some are no JSON, some no object, some out of range.
+REQUEST_LINE = (
+    "CASE turn % 6 WHEN 0 THEN '{bad' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"command\": \"ping\"}' "
+    "WHEN 3 THEN '{\"query\": \"' || left(role, 4) || '\", \"top_k\": \"' || conv_id || '\"}' "
+    "WHEN 4 THEN '{\"query\": \"' || left(role, 4) || '\", \"top_k\": \"x\"}' "
+    "ELSE '{\"query\": \"  \", \"top_k\": 3}' END"
+)
+
+
+def _request_stream(spark, d):
+    source = f"{d.rstrip('/')}/conversations.parquet"
+    schema = spark.read.parquet(source).schema
+    rows = spark.readStream.schema(schema).parquet(f"{source}*")
+    return rows.select("conv_id", "turn", F.expr(REQUEST_LINE).alias("value"))
+
+
+@query("stream_requests", """
+SELECT conv_id, turn, CASE turn % 6 WHEN 3 THEN conv_id::INT WHEN 4 THEN NULL WHEN 5 THEN 3 ELSE 10 END AS top_k,
+       CASE turn % 6 WHEN 0 THEN 'Invalid JSON' WHEN 1 THEN 'Request must be a JSON object.'
+            WHEN 3 THEN CASE WHEN conv_id <= 0 THEN 'top_k must be a positive integer, got ' || conv_id END
+            WHEN 4 THEN '''top_k'' must be an integer, got ''x''.'
+            WHEN 5 THEN 'Request must include a non-empty ''query'' string.' END AS error,
+       CASE turn % 6 WHEN 2 THEN '{"ok":true,"pong":true}' END AS reply
+FROM conversations""")
+def stream_requests(spark, d):
+    """Request lines read as a stream, parsed and checked, then read back."""
+    out = scratch_path(spark, "requests")
+    parsed = requests.parse_search_requests(_request_stream(spark, d))
+    run = (
+        parsed.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "requests-state")).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", "top_k", "error", "reply")
+
+
+@query("stream_search")
+def stream_search(spark, d):
+    """User turns as a stream of searches over the chunks of all documents."""
+    path = scratch_path(spark, "stream-index")
+    documents = spread(document_files(spark, d))
+    sinks.write_index(search.embed(chunking.chunk_text(documents, sep="\n")), path)
+    source = f"{d.rstrip('/')}/conversations.parquet"
+    turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    lines = turns.filter("role = 'user'").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+        F.to_json(F.struct(F.col("text").alias("query"), F.lit(3).alias("top_k"))).alias("value"),
+    )
+    out = scratch_path(spark, "answers")
+    run = requests.serve_search(
+        lines, lambda: spark.read.parquet(path), "request_id", out, scratch_path(spark, "answers-state"), once=True
+    )
+    run.awaitTermination()
+    return spark.read.parquet(out).select("request_id", "response")
+
+
+@query("stream_classification")
+def stream_classification(spark, d):
+    """Turns as classification requests answered by the trained video model."""
+    _, model = _video_model(spark, d)
+    source = f"{d.rstrip('/')}/conversations.parquet"
+    turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    lines = turns.select(F.to_json(F.struct(
+        key.alias("id"), F.col("role").alias("title"), F.col("text").alias("description")
+    )).alias("value"))
+    out = scratch_path(spark, "labels")
+    run = requests.serve_classification(lines, model, out, scratch_path(spark, "labels-state"), once=True)
+    run.awaitTermination()
+    return spark.read.parquet(out).select(
+        F.get_json_object("response", "$.id").alias("id"),
+        F.get_json_object("response", "$.label").cast("int").alias("label"),
+    )

@@ -37,6 +37,7 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str) -> D
 
 def read_sharded(
     spark: SparkSession, root: str, languages: Iterable[str], split: str, schema: str = CODE_RECORDS,
+    suffixes: Sequence[str] = ("jsonl", "gz"),
 ) -> DataFrame:
     """All shards of a split below ``root/<language>/``.
 
@@ -50,7 +51,7 @@ def read_sharded(
         spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True)
         .json(root)
         .filter(F.col("_metadata.file_name").contains(split))
-        .filter(F.col("_metadata.file_name").rlike(r"\.(jsonl|gz)$"))
+        .filter(F.col("_metadata.file_name").rlike(rf"\.({'|'.join(suffixes)})$"))
     )
     rows = frame.withColumns({
         "language": F.element_at(F.split(relative, "/"), 1),
