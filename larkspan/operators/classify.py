@@ -186,26 +186,24 @@ def score_complexity(
     ``predict`` adds a normalized ``prediction`` to rows with ``language_id``.
     """
     ids = F.create_map(*[F.lit(x) for pair in language_ids.items() for x in pair])
-    rows = df.withColumn("language", F.lower("language")).withColumn(
-        "language_id", F.try_element_at(ids, F.col("language"))
-    )
+    language = F.lower("language")
+    known = F.try_element_at(ids, language)
     error = F.when(
-        F.col("language_id").isNull(),
-        F.concat(F.lit("Unknown language '"), F.coalesce("language", F.lit("")), F.lit("'")),
-    )
-    known = rows.filter(F.col("language_id").isNotNull())
-    scored = apply_calibration(predict(known), calibration, "language", "prediction")
-    good = scored.select(
-        *df.columns,
-        F.bround(unscale_expm1("prediction", params_mean, params_std), 2).alias("raw_complexity"),
-        F.bround(unscale_expm1("calibrated", params_mean, params_std), 2).alias("calibrated_complexity"),
-        F.lit(None).cast("string").alias("error"),
+        known.isNull(), F.concat(F.lit("Unknown language '"), F.coalesce(language, F.lit("")), F.lit("'"))
     )
-    bad = rows.filter(F.col("language_id").isNull()).select(
-        *df.columns, F.lit(None).cast("double").alias("raw_complexity"),
-        F.lit(None).cast("double").alias("calibrated_complexity"), error.alias("error"),
+    # Error rows go along under id 0 and lose their numbers at the end: one pass over the data.
+    rows = df.withColumns({
+        "error": error, "language_id": F.coalesce(known, F.lit(0)), "language": language,
+    })
+    scored = apply_calibration(predict(rows), calibration, "language", "prediction")
+
+    def shown(c: str) -> Column:
+        return F.when(F.col("error").isNull(), F.bround(unscale_expm1(c, params_mean, params_std), 2))
+
+    return scored.select(
+        *df.columns, shown("prediction").alias("raw_complexity"),
+        shown("calibrated").alias("calibrated_complexity"), "error",
     )
-    return good.unionByName(bad)
 
 
 @dataclass

@@ -50,10 +50,11 @@ def anti_join(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return lookup_join(df, keys.select(*on).distinct(), on, "left_anti")
 
 
-def value_pairs(spark, left: Sequence[str], right: Sequence[str]) -> DataFrame:
-    """Every ``left`` value with every ``right`` suffix, distinct and sorted."""
-    one = spark.range(1).select(
-        F.explode(F.array(*[F.lit(x) for x in left])).alias("base"),
-    )
-    both = one.select("base", F.explode(F.array(*[F.lit(x) for x in right])).alias("ext"))
-    return both.select(F.concat("base", "ext").alias("value")).distinct().orderBy("value")
+def suffixed_values(df: DataFrame, column: str, suffixes: Sequence[str], name: str = "value") -> DataFrame:
+    """Every distinct value with every suffix, distinct and sorted.
+
+    The suffixes are literals, so the pairs are made row by row without a join.
+    """
+    ends = F.explode(F.array(*[F.lit(x) for x in suffixes])).alias("_end")
+    pairs = df.select(column).distinct().select(column, ends)
+    return pairs.select(F.concat(F.col(column), F.col("_end")).alias(name)).distinct().orderBy(name)

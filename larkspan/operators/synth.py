@@ -179,6 +179,72 @@ def compound_commands(
     return single_noise(rows, key, seed)
 
 
+def _draws(spark: SparkSession, kind: str, n: int) -> DataFrame:
+    return spark.range(1, n + 1).select(F.concat(F.lit(kind + ":"), F.col("id").cast("string")).alias("draw_id"))
+
+
+def plain_chat(spark: SparkSession, sentences: Sequence[str], variants: int = 6, seed: int | str = SEED) -> DataFrame:
+    """Chat sentences without any target, each in several noisy forms."""
+    rows = spark.createDataFrame([(f"chat:{i}", s) for i, s in enumerate(sentences)], "draw_id STRING, sentence STRING")
+    rows = rows.withColumns({
+        "template": F.col("sentence"), "slot": F.lit(None).cast("string"), "intent": F.lit("general_chat"),
+    })
+    out = noisy_variants(rows, "draw_id", variants, seed, reasons=False)
+    return out.select("draw_id", "variant", "text", "intent", F.lit("").alias("slot"))
+
+
+def chat_about(
+    spark: SparkSession, templates: Sequence[str], values: Sequence[str], n: int = 600, seed: int | str = SEED,
+) -> DataFrame:
+    """Sentences that mention a target but ask for nothing."""
+    value = choose(values, F.lit("value"), F.lit(str(seed)), F.col("draw_id"))
+    rows = fill_draws(_draws(spark, "about", n), "draw_id", _literals(templates), value, seed)
+    rows = rows.withColumns({"slot": F.lit(""), "intent": F.lit("general_chat")})
+    return single_noise(rows, "draw_id", seed).select(
+        "draw_id", F.lit(1).alias("variant"), "text", "intent", "slot"
+    )
+
+
+def ambiguous_commands(
+    spark: SparkSession, shapes: Sequence[tuple[str, str, Sequence[str]]], n: int = 500, seed: int | str = SEED,
+) -> DataFrame:
+    """Draws over all (template, intent, value) of shapes that share their wording."""
+    pairs = [(t, i, v) for t, i, values in shapes for v in values]
+    listed = F.array(*[
+        F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(v).alias("v")) for t, i, v in pairs
+    ])
+    rows = _draws(spark, "ambiguous", n).withColumn(
+        "_p", choose(listed, F.lit("pair"), F.lit(str(seed)), F.col("draw_id"))
+    )
+    rows = rows.select(
+        "draw_id", fill_template("_p.t", "_p.v").alias("sentence"), F.col("_p.i").alias("intent"),
+        F.col("_p.v").alias("slot"),
+    )
+    return single_noise(rows, "draw_id", seed, reasons=True).select(
+        "draw_id", F.lit(1).alias("variant"), "text", "intent", "slot"
+    )
+
+
+def two_step_commands(
+    spark: SparkSession, shapes: Sequence[tuple[str, Sequence[str], str, Sequence[str]]], n: int = 500,
+    seed: int | str = SEED,
+) -> DataFrame:
+    """Two templates with a value pool each; an empty pool means a fixed command."""
+    key = [F.lit(str(seed)), F.col("draw_id")]
+    pick = hash_pick(len(shapes), F.lit("shape"), *key)
+
+    def side(at: int, tag: str) -> tuple[Column, Column]:
+        values = F.array(*[F.array(*[F.lit(v) for v in s[at + 1]]).cast("array<string>") for s in shapes])
+        value = choose(F.get(values, F.col("_shape")), F.lit(tag), *key)
+        template = F.get(_literals([s[at] for s in shapes]), F.col("_shape"))
+        return F.coalesce(fill_template(template, value), template), value
+
+    rows = _draws(spark, "two", n).withColumn("_shape", pick)
+    (first, a), (second, b) = side(0, "first"), side(2, "second")
+    out = compound_commands(rows, "draw_id", first, second, [a, b], seed)
+    return out.select("draw_id", F.lit(1).alias("variant"), "text", "intent", "slot")
+
+
 def slot_values(df: DataFrame, slot: str = "slot") -> DataFrame:
     """Inverse of the slot list: one row per value with its place."""
     return df.withColumn("_s", F.nullif(slot, F.lit(""))).select(

@@ -407,3 +407,50 @@ SELECT unnest(generate_series(last - INTERVAL 370 DAY, last::TIMESTAMP, INTERVAL
 def last_weeks(spark, d):
     days = table(spark, d, "events").select(F.to_date("ts").alias("date"))
     return calendar.last_weeks(days)
+
+
+@query("suffixed_values", """
+SELECT DISTINCT p_name || e AS value FROM part, (SELECT unnest(['', '.txt', '.pdf', '.md']) AS e)""")
+def suffixed_values(spark, d):
+    from ..operators.lookup import suffixed_values as pairs
+
+    return pairs(table(spark, d, "part"), "p_name", ["", ".txt", ".pdf", ".md"])
+
+
+# Scaling and per-language correction of the complexity score.
+TARGET_MEAN, TARGET_STD = 1.3385921716690063, 0.5742037296295166
+CALIBRATION = (
+    ("python", 1.0216596335395784, -0.0011651605738953242),
+    ("java", 1.011004539238861, 0.011414428093364277),
+    ("javascript", 1.034437906810602, -0.05396774061559057),
+    ("php", 1.008464795463535, -0.015182837165158489),
+    ("ruby", 0.9919257158956668, -0.07452748474750603),
+    ("go", 1.0396476346221535, 0.035475594844279555),
+)
+_PAIRS = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in CALIBRATION)
+
+
+@query("score_complexity", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 7 = 6 THEN 'cobol' ELSE {_NAMES} END AS language,
+                  (l_quantity - 25.0) / 12.0 AS z FROM lineitem),
+c(language, a, b) AS (VALUES {_PAIRS})
+SELECT l_orderkey, l_linenumber, language,
+       CASE WHEN c.a IS NOT NULL THEN round_even(exp(z * {TARGET_STD}::DOUBLE + {TARGET_MEAN}::DOUBLE) - 1, 2) END AS raw_complexity,
+       round_even(exp((a * z + b) * {TARGET_STD}::DOUBLE + {TARGET_MEAN}::DOUBLE) - 1, 2) AS calibrated_complexity,
+       CASE WHEN c.a IS NULL THEN 'Unknown language ''' || language || '''' END AS error
+FROM r LEFT JOIN c USING (language)""")
+def score_complexity(spark, d):
+    """Stored scaling and correction applied to a given normalized score."""
+    from ..operators.classify import score_complexity as score
+
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_suppkey") % 7 == 6, "COBOL").otherwise(F.expr(_NAMES)).alias("language"),
+        ((F.col("l_quantity") - 25.0) / 12.0).alias("z"),
+    )
+    corrections = spark.createDataFrame(list(CALIBRATION), "language STRING, a DOUBLE, b DOUBLE")
+    scored = score(
+        rows, F.lit(TARGET_MEAN), F.lit(TARGET_STD), corrections, code_metrics.LANGUAGE_IDS,
+        lambda known: known.withColumn("prediction", F.col("z")),
+    )
+    return scored.drop("z").withColumn("language", F.lower("language"))

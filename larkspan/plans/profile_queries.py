@@ -264,3 +264,27 @@ def stripped_lengths(spark, d):
     return table(spark, d, "conversations").select(
         "conv_id", "turn", F.length(strip("text")).cast("bigint").alias("n")
     )
+
+
+@query("project_rename_cast", """
+SELECT item_id, try_cast(item_id::VARCHAR AS INT) AS labels FROM benchmark""")
+def project_rename_cast(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("label"))
+    return clean.cast_label(rows).withColumnRenamed("label", "labels")
+
+
+@query("head", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 10")
+def head(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "source").orderBy("doc_id").limit(10)
+
+
+@query("usable_code", """
+SELECT page_id, length(code) AS chars FROM (
+  SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE html END, ''), nullif(url, '')) AS code FROM pages)
+WHERE code IS NOT NULL AND length(code) <= 4000""")
+def usable_code(spark, d):
+    rows = table(spark, d, "pages").select(
+        "page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")).alias("code"),
+        F.col("url").alias("original_string"),
+    )
+    return clean.usable_code(rows).select("page_id", F.length("code").cast("bigint").alias("chars"))

@@ -278,3 +278,17 @@ def hashed_embed_search(spark, d):
     return search.search(
         index, table(spark, d, "benchmark"), query_id="item_id", query="text", k=10, min_score=0.2
     )
+
+
+@query("dense_score")
+def dense_score(spark, d):
+    """Forward pass of a small scoring head with given weights over all vectors."""
+    import numpy as np
+
+    from ..operators.classify import DenseWeights
+    from ..operators.classify import dense_score as score
+
+    wave = lambda *shape: np.sin(np.arange(np.prod(shape)) + 1.0).reshape(shape) / 8
+    weights = DenseWeights(wave(10, 16), [(wave(80, 256), wave(256)), (wave(256, 64), wave(64)), (wave(64, 1), wave(1))])
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("language_id"))
+    return score(rows, weights).select("vec_id", F.round("prediction", 6).alias("prediction"))

@@ -66,6 +66,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_feature_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors with their language id and target, aligned by row."""
+    schema = "embedding ARRAY<FLOAT>, language_id BIGINT, cyclomatic_complexity FLOAT"
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     """Parameter document; without calibration an empty map, default token limit 512."""
     raw = spark.read.schema(PARAMETERS).option("multiLine", True).json(path)
