@@ -23,6 +23,7 @@ _BACKTICK = r"`[^`]*`"
 _TRIPLE = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
 _HASH = r"#[^\n]*"
 _SLASH = r"//[^\n]*|/\*[\s\S]*?\*/"
+_PHP_TAG = r"<\?php|\?>"
 _RUBY_BLOCK = r"=begin[\s\S]*?=end"
 
 STRINGS = {
@@ -34,7 +35,7 @@ STRINGS = {
     "go": f"{_DOUBLE}|{_SINGLE}|{_BACKTICK}",
 }
 COMMENTS = {
-    "python": _HASH, "java": _SLASH, "javascript": _SLASH, "php": f"{_SLASH}|{_HASH}",
+    "python": _HASH, "java": _SLASH, "javascript": _SLASH, "php": f"{_SLASH}|{_HASH}|{_PHP_TAG}",
     "ruby": f"{_RUBY_BLOCK}|{_HASH}", "go": _SLASH,
 }
 DECISIONS = {

@@ -26,12 +26,12 @@ def build_index(
     Returns the statistics, or nothing when no file had any text. A file that
     cannot be parsed in its format is chunked as plain text.
     """
-    documents = files.read_documents(files.scan_files(spark, root))
+    listing = files.list_files(spark, root)
+    documents = files.read_documents(files.read_files(listing))
     chunks = search.embed(chunking.chunk_documents(documents, sep=sep), make_embed=make_embed)
     if not sinks.write_index(chunks, out):
         return None
-    names = files.scan_files(spark, root).select("filepath")
-    return sinks.pipeline_stats(names, spark.read.parquet(out))
+    return sinks.pipeline_stats(listing, spark.read.parquet(out))
 
 
 def search_index(

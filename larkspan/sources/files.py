@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col, unix_lines
+from ..session import scratch_path
+
+BATCH_BYTES = 32 << 20
+TASK_BYTES = 128 << 20
 
 # What a scan leaves out. Folders with a leading dot are left out too.
 IGNORED_FOLDERS = (
@@ -37,14 +43,97 @@ def decode_text(content: Column | str) -> Column:
     return unix_lines(decoded)
 
 
-def _wanted(
-    relative: Column, folders: Iterable[str], names: Iterable[str], extensions: Iterable[str],
-) -> Column:
-    parts = F.split(relative, "/")
-    parents = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    bad_folder = F.exists(parents, lambda p: p.isin(list(folders)) | p.startswith("."))
-    name = F.element_at(parts, -1)
-    return ~bad_folder & ~name.isin(list(names)) & ~extension(name).isin(list(extensions))
+def _wanted(name: Column, names: Iterable[str], extensions: Iterable[str]) -> Column:
+    return ~name.isin(list(names)) & ~extension(name).isin(list(extensions))
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each folder; a folder that cannot be listed has none."""
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            prefix = folder.split("://")[0] + "://" if "://" in folder else ""
+            try:
+                system, inner = pafs.FileSystem.from_uri(folder)
+                infos = system.get_file_info(pafs.FileSelector(inner))
+            except OSError:
+                continue
+            infos = [i for i in infos if i.type in (pafs.FileType.File, pafs.FileType.Directory)]
+            for at in range(0, len(infos), 50_000):
+                part = infos[at : at + 50_000]
+                yield pa.RecordBatch.from_pydict({
+                    "path": [prefix + i.path for i in part], "name": [i.base_name for i in part],
+                    "is_folder": [i.type == pafs.FileType.Directory for i in part],
+                    "length": pa.array([i.size or 0 for i in part], pa.int64()),
+                })
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """File bytes in batches of bounded size; an unreadable file has null content."""
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        paths, lengths, data = zip(*rows)
+        return pa.RecordBatch.from_pydict({
+            "filepath": pa.array(paths, pa.string()), "length": pa.array(lengths, pa.int64()),
+            "content": pa.array(data, pa.binary()),
+        })
+
+    held, size = [], 0
+    for batch in batches:
+        for path, length in zip(*(batch.column(c).to_pylist() for c in ("filepath", "length"))):
+            try:
+                system, inner = pafs.FileSystem.from_uri(path)
+                with system.open_input_stream(inner, compression=None) as stream:
+                    data = stream.read()
+            except OSError:
+                data = None
+            held.append((path, length, data))
+            size += len(data or b"")
+            if size > BATCH_BYTES or len(held) >= 5_000:
+                yield pack(held)
+                held, size = [], 0
+    if held:
+        yield pack(held)
+
+
+def list_files(
+    spark: SparkSession, root: str,
+    ignored_folders: Iterable[str] = IGNORED_FOLDERS, ignored_files: Iterable[str] = IGNORED_FILES,
+    ignored_extensions: Iterable[str] = IGNORED_EXTENSIONS,
+) -> DataFrame:
+    """``filepath, length`` of every wanted file below ``root``.
+
+    Spark's own file listing hides names with a leading dot or underscore
+    (``__init__.py``), so folders are listed by tasks, one level of the tree per
+    job. Ignored folders are not entered. Each level is kept as a table in the
+    shared folder.
+    """
+    plain = root[len("file://"):] if root.startswith("file://") else root
+    out = scratch_path(spark, "listing")
+    level = spark.createDataFrame([(plain.rstrip("/") or "/",)], "path STRING")
+    depth = 0
+    while True:
+        entries = level.mapInArrow(_children, "path STRING, name STRING, is_folder BOOLEAN, length BIGINT")
+        here = f"{out}/level={depth}"
+        kept = entries.filter(F.when(
+            F.col("is_folder"), ~F.col("name").isin(list(ignored_folders)) & ~F.col("name").startswith(".")
+        ).otherwise(_wanted(F.col("name"), ignored_files, ignored_extensions)))
+        kept.write.parquet(here)
+        folders = spark.read.parquet(here).filter("is_folder").select("path")
+        n = folders.count()
+        if n == 0:
+            break
+        level = folders.repartition(min(n, 10_000))
+        depth += 1
+    found = spark.read.schema("path STRING, name STRING, is_folder BOOLEAN, length BIGINT, level INT").parquet(out)
+    return found.filter("NOT is_folder").select(F.col("path").alias("filepath"), "length")
+
+
+def read_files(listing: DataFrame) -> DataFrame:
+    """Attach the bytes of each listed file; the work is spread by total size."""
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    size = listing.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    parts = max(1, min(size["n"], max(cores, size["b"] // TASK_BYTES)))
+    return listing.repartition(parts).mapInArrow(_contents, "filepath STRING, length BIGINT, content BINARY")
 
 
 def scan_files(
@@ -52,18 +141,8 @@ def scan_files(
     ignored_folders: Iterable[str] = IGNORED_FOLDERS, ignored_files: Iterable[str] = IGNORED_FILES,
     ignored_extensions: Iterable[str] = IGNORED_EXTENSIONS,
 ) -> DataFrame:
-    """Every wanted file below ``root`` with its bytes.
-
-    The filter uses file metadata only, so unwanted files are dropped while
-    planning and never opened.
-    """
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
-                            r"^file:/+", "/")
-    relative = F.substr(path, F.lit(len(base) + 2))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = files.filter(_wanted(relative, ignored_folders, ignored_files, ignored_extensions))
-    return kept.select(path.alias("filepath"), "length", "content")
+    """Every wanted file below ``root`` with its bytes."""
+    return read_files(list_files(spark, root, ignored_folders, ignored_files, ignored_extensions))
 
 
 def read_documents(files: DataFrame) -> DataFrame:
