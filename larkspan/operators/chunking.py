@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import BLANK, col, is_blank, let, lines, paragraphs, strip, words
 
@@ -174,10 +175,8 @@ def markdown_sections(df: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def chunk_markdown(
-    df: DataFrame, content: str = "content", max_words: int = MARKDOWN_MAX_WORDS, overlap: int = OVERLAP_WORDS,
-) -> DataFrame:
-    """One chunk per section; a long section becomes windows under its heading."""
+def markdown_chunks(text: Column, max_words: int, overlap: int) -> Column:
+    """Chunk texts of one Markdown text."""
 
     def render(full: Column, full_words: Column, heading: Column) -> Column:
         of_heading = F.size(words(heading))
@@ -194,7 +193,14 @@ def chunk_markdown(
             let(words(text), lambda w: render(text, w, heading))
         ))
 
-    chunks = F.flatten(F.transform(_sections(F.col(content)), contents))
+    return F.flatten(F.transform(_sections(text), contents))
+
+
+def chunk_markdown(
+    df: DataFrame, content: str = "content", max_words: int = MARKDOWN_MAX_WORDS, overlap: int = OVERLAP_WORDS,
+) -> DataFrame:
+    """One chunk per section; a long section becomes windows under its heading."""
+    chunks = markdown_chunks(F.col(content), max_words, overlap)
     return number_chunks(df.filter(~is_blank(content)), chunks, _others(df, content))
 
 
@@ -235,45 +241,46 @@ def python_blocks(text: str) -> list[str] | None:
     return out or None
 
 
-def _parsed(parse) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(parse)
+PARSERS = {"json": json_entries, "python": python_blocks}
 
-    return run
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Chunk texts by the named format; null where it does not parse or none is named."""
+    for kinds, texts in batches:
+        yield pd.Series(
+            [PARSERS[k](t) if k in PARSERS and t is not None else None for k, t in zip(kinds, texts)],
+            index=texts.index, dtype=object,
+        )
 
-def _chunk_parsed(df: DataFrame, content: str, parse, sep: str) -> DataFrame:
-    keep = _others(df, content)
-    rows = df.filter(~is_blank(content)).withColumn("_parts", _parsed(parse)(F.col(content)))
-    # One pass: a row that could not be parsed is packed as plain text instead.
-    packed = packed_chunks(F.col(content), sep, TARGET_WORDS, OVERLAP_WORDS)
-    return number_chunks(rows, F.coalesce("_parts", packed), keep)
+
+def _number_parsed(rows: DataFrame, content: str, sep: str, kind: Column, markdown: Column | None = None) -> DataFrame:
+    """One pass for all formats: a row that does not parse is packed as plain text."""
+    keep = _others(rows, content)
+    # Only texts of a parsed format travel to Python.
+    handed = F.when(kind.isNotNull(), F.col(content))
+    parsed = rows.filter(~is_blank(content)).withColumn("_parts", _parsed(kind, handed))
+    chunks = F.coalesce("_parts", packed_chunks(F.col(content), sep, TARGET_WORDS, OVERLAP_WORDS))
+    if markdown is not None:
+        special = markdown_chunks(F.col(content), MARKDOWN_MAX_WORDS, OVERLAP_WORDS)
+        chunks = F.when(markdown, special).otherwise(chunks)
+    return number_chunks(parsed, chunks, keep)
 
 
 def chunk_json(df: DataFrame, content: str = "content", sep: str = "\n\n") -> DataFrame:
     """One chunk per top-level key, pretty-printed; other text is packed."""
-    return _chunk_parsed(df, content, json_entries, sep)
+    return _number_parsed(df, content, sep, F.lit("json"))
 
 
 def chunk_python(df: DataFrame, content: str = "content", sep: str = "\n\n") -> DataFrame:
     """Imports, each function or class, the rest; unparseable text is packed."""
-    return _chunk_parsed(df, content, python_blocks, sep)
+    return _number_parsed(df, content, sep, F.lit("python"))
 
 
 def chunk_documents(
     df: DataFrame, content: str = "content", extension: str = "extension", sep: str = "\n\n",
 ) -> DataFrame:
-    """Dispatch by extension; every branch yields the same columns."""
+    """Dispatch by extension inside each row, so the documents are read once."""
     ext = F.lower(F.coalesce(col(extension), F.lit("")))
-    branches = [
-        (MARKDOWN_EXTENSIONS, lambda d: chunk_markdown(d, content)),
-        (PYTHON_EXTENSIONS, lambda d: chunk_python(d, content, sep)),
-        (JSON_EXTENSIONS, lambda d: chunk_json(d, content, sep)),
-    ]
-    special = [e for extensions, _ in branches for e in extensions]
-    out = chunk_text(df.filter(~ext.isin(special)), content, sep)
-    for extensions, chunker in branches:
-        out = out.unionByName(chunker(df.filter(ext.isin(*extensions))))
-    return out
+    kind = F.when(ext.isin(*JSON_EXTENSIONS), "json").when(ext.isin(*PYTHON_EXTENSIONS), "python")
+    return _number_parsed(df, content, sep, kind, ext.isin(*MARKDOWN_EXTENSIONS))

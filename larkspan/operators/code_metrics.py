@@ -54,7 +54,11 @@ FUNCTIONS = {
 # Java control blocks look like methods and are taken off again.
 JAVA_CONTROL = r"\b(?:if|for|while|switch|catch|synchronized)" + _CALL_BLOCK
 TOKEN = r"\w+|[^\w\s]"
-CODE_LINE = r"(?m)^.*\S.*$"
+# One match per line that is not blank.
+CODE_LINE = r"\S[^\n]*"
+# Characters a match can start with; tested first, they rule out most positions at once.
+_QUOTES = "\"'`#/=<?"
+_DECISION_STARTS = "iefwaocruw&|?\\s"
 
 
 def by_language(language: Column | str, choose) -> Column:
@@ -68,12 +72,13 @@ def by_language(language: Column | str, choose) -> Column:
 def without_comments(code: Column | str, language: Column | str) -> Column:
     """Strings are matched along with comments, so a mark inside a string is safe."""
     return by_language(
-        language, lambda n: F.regexp_replace(col(code), f"({STRINGS[n]})|{COMMENTS[n]}", "$1")
+        language,
+        lambda n: F.regexp_replace(col(code), f"(?=[{_QUOTES}])(?:({STRINGS[n]})|{COMMENTS[n]})", "$1"),
     )
 
 
 def without_strings(code: Column | str, language: Column | str) -> Column:
-    return by_language(language, lambda n: F.regexp_replace(col(code), STRINGS[n], "s"))
+    return by_language(language, lambda n: F.regexp_replace(col(code), f"(?=[\"'`])(?:{STRINGS[n]})", "s"))
 
 
 def function_count(plain: Column | str, language: Column | str) -> Column:
@@ -93,7 +98,7 @@ def code_metrics(df: DataFrame, code: str = "code", language: str = "language")
     lang = F.col(language)
 
     def counts(bare: Column, plain: Column) -> Column:
-        decisions = by_language(lang, lambda n: 1 + F.regexp_count(plain, F.lit(DECISIONS[n])))
+        decisions = by_language(lang, lambda n: 1 + F.regexp_count(plain, F.lit(f"(?=[{_DECISION_STARTS}])(?:{DECISIONS[n]})")))
         return F.struct(
             function_count(plain, lang).alias("n_functions"),
             decisions.alias("cyclomatic_complexity"),

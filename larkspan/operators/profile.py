@@ -71,6 +71,16 @@ def smallest_groups(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return sizes.orderBy("n", column).limit(n)
 
 
+def bounds_below(bounds: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending bounds are below a value, by halving."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.get(bounds, at + width - 1) < value, at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
 def grouped_quantiles(
     df: DataFrame, group: str, value: str, points: Sequence[float] = QUARTILES, slices: int = 200,
 ) -> DataFrame:
@@ -88,11 +98,11 @@ def grouped_quantiles(
     )
     shares = [i / slices for i in range(1, slices)]
     bounds, fits = settle(
-        counted.groupBy(group).agg(F.array_distinct(F.percentile_approx("_v", shares, 10_000)).alias("_bounds"))
+        counted.groupBy(group).agg(F.array_distinct(F.percentile_approx("_v", shares, 1_000)).alias("_bounds"))
     )
     joined = counted.join(F.broadcast(bounds) if fits else bounds, group)
     sliced = joined.select(
-        group, "_v", "_c", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_slice")
+        group, "_v", "_c", bounds_below(F.col("_bounds"), F.col("_v"), slices).alias("_slice")
     )
     running = W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     sizes = (

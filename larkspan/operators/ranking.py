@@ -117,8 +117,8 @@ def balanced_sample(df: DataFrame, label: str, keys: Sequence[str], seed: int |
 def favoured_quotas(df: DataFrame, group: str, favoured: str, total: int, share: float = 0.4) -> DataFrame:
     """Rows wanted per group: ``share`` of the total for one, the rest split evenly."""
     first = int(total * share)
-    others = F.greatest(F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) - 1, F.lit(1))
     names = df.select(group).filter(F.col(group).isNotNull()).distinct()
+    others = F.greatest(names.agg(F.count(F.lit(1)) - 1).scalar(), F.lit(1))
     return names.withColumn(
         "quota",
         F.when(F.col(group) == favoured, F.lit(first))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_fraction, hash_pick
 from ..functions.text import fill_template, strip
+from ..session import staged
 from .ranking import SEED, balanced_sample, dedupe_first
 from .splits import positional_split
 
@@ -255,6 +256,10 @@ def slot_values(df: DataFrame, slot: str = "slot") -> DataFrame:
 def balance_and_split(
     df: DataFrame, keys: Sequence[str], text: str = "text", intent: str = "intent", seed: int | str = SEED,
 ) -> DataFrame:
-    """Distinct texts, classes capped, then an 80/10/10 split."""
-    unique = dedupe_first(df, [text], [F.col(k) for k in keys])
+    """Distinct texts, classes capped, then an 80/10/10 split.
+
+    The distinct rows are read several times, for counts, cuts and the result,
+    so they are staged once.
+    """
+    unique = staged(dedupe_first(df, [text], [F.col(k) for k in keys]), "unique")
     return positional_split(balanced_sample(unique, intent, keys, seed), keys, seed=seed)

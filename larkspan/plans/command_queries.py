@@ -114,7 +114,7 @@ def _register_entity_query(intent: str) -> None:
     chosen = ", ".join(f"{expr} AS {name}" for name, expr in fields.items())
 
     def run(spark, d):
-        rows = table(spark, d, "part").select(
+        rows = spread(table(spark, d, "part")).select(
             "p_partkey", F.expr(_sentence(intent)).alias("text"), F.lit(intent).alias("intent")
         )
         found = entities.extract_entities(rows)
@@ -147,7 +147,7 @@ def entities_dispatch(spark, d):
     intent = F.element_at(
         F.array(*[F.lit(i) for i in intents]), (F.col("p_partkey") % len(intents) + 1).cast("int")
     )
-    rows = table(spark, d, "part").select("p_partkey", sentence.alias("text"), intent.alias("intent"))
+    rows = spread(table(spark, d, "part")).select("p_partkey", sentence.alias("text"), intent.alias("intent"))
     return entities.extract_entities(rows).withColumn("entities", F.to_json("entities"))
 
 
@@ -205,7 +205,7 @@ FROM m LEFT JOIN mixed USING (p_partkey, variant)"""
 
 
 def _commands(spark, d):
-    draws = table(spark, d, "part").select("p_partkey", "p_name")
+    draws = spread(table(spark, d, "part").select("p_partkey", "p_name"))
     options = F.array(*[F.lit(t) for t in TEMPLATES])
     filled = synth.fill_draws(draws, "p_partkey", options, F.col("p_name"))
     return synth.noisy_variants(filled, "p_partkey", short=SHORT, typo=TYPO, misheard=MISHEARD)
@@ -305,14 +305,14 @@ metrics AS (SELECT l_orderkey, l_linenumber, language,
 
 
 def _snippets(spark, d):
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         "l_orderkey", "l_linenumber", F.expr(_NAMES).alias("language"), F.expr(_code_case("spark")).alias("code")
     )
 
 
 @query("code_metrics", f"WITH {SQL_CODE} SELECT * FROM metrics")
 def measure_code(spark, d):
-    return code_metrics.code_metrics(spread(_snippets(spark, d))).drop("code")
+    return code_metrics.code_metrics(_snippets(spark, d)).drop("code")
 
 
 @query("label_code", f"""
@@ -323,7 +323,7 @@ SELECT l_orderkey, l_linenumber, language, cyclomatic_complexity, nloc, token_co
 FROM metrics WHERE n_functions = 1
 QUALIFY row_number() OVER (PARTITION BY language ORDER BY l_orderkey, l_linenumber) <= 2000""")
 def label_code(spark, d):
-    rows = spread(_snippets(spark, d)).withColumn("original_string", F.lit(None).cast("string"))
+    rows = _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string"))
     return code_metrics.label_code(rows, ["l_orderkey", "l_linenumber"], 2000).drop("code")
 
 

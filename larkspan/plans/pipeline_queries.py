@@ -9,7 +9,7 @@ from ..operators import classify, clean, code_metrics, metrics, ranking, regress
 from ..operators import chunking
 from ..operators.entities import extract_entities
 from ..operators.lookup import lookup_join
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources import files, sinks, tables
 from ..streaming import requests
 from .command_queries import _commands, _snippets
@@ -192,7 +192,7 @@ def _labelled_videos(spark, d):
     rows = ranking.dedupe_first(clean.drop_blank(rows, ["text"]), ["text"], [F.col("doc_id")])
     rows = rows.withColumn("text", video_text("lang", "source", "text"))
     held = [f"src{i}" for i in range(8)]
-    return splits.holdout_split(rows, "source", held[:4], held[4:])
+    return staged(splits.holdout_split(rows, "source", held[:4], held[4:]), "videos")
 
 
 def _video_model(spark, d):
@@ -235,7 +235,7 @@ def _intent_rows(spark, d):
 def intent_pipeline(spark, d):
     """Synthesized commands to a trained model, then gate and entities on the test split."""
     keys = ["p_partkey", "variant"]
-    rows = synth.balance_and_split(_intent_rows(spark, d), keys)
+    rows = staged(synth.balance_and_split(_intent_rows(spark, d), keys), "commands")
     model = classify.fit_text_classifier(
         rows.filter("split = 'train'"), rows.filter("split = 'val'"), label="intent", metric="f1",
         grid=(0.01,), max_iter=10, cells=1 << 12,
@@ -251,7 +251,7 @@ def intent_pipeline(spark, d):
 def complexity_pipeline(spark, d):
     """Label code, embed, scale, fit, calibrate on train, evaluate per language on validation."""
     rows = code_metrics.label_code(
-        spread(_snippets(spark, d)).withColumn("original_string", F.lit(None).cast("string")),
+        _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string")),
         ["l_orderkey", "l_linenumber"], 400,
     )
     features = search.embed(rows, "code", make_embed=lambda: search.hashed_words(64))

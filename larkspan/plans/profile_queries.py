@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANK_RE2, preview, strip, tokens, video_text
 from ..operators import clean, lookup, profile
-from .registry import query, table
+from .registry import query, spread, table
 
 # RE2 spelling of "blank at either end", for the SQL side.
 SQL_STRIP = f"'^{BLANK_RE2}+|{BLANK_RE2}+$', '', 'g'"
@@ -246,7 +246,8 @@ def text_preview(spark, d):
 SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 256) AS t FROM documents)""")
 def tokenize(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", tokens("text", 256).alias("t"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", tokens("text", 256).alias("t"))
     return rows.select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens")
     )

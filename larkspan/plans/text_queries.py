@@ -8,7 +8,7 @@ from ..functions import numeric, vectors
 from ..functions.text import BLANK_RE2
 from ..operators import chunking, search
 from .profile_queries import sql_strip
-from .registry import query, table
+from .registry import query, spread, table
 
 
 
@@ -48,7 +48,7 @@ chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ce)::I
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
 
 
 @query("chunk_text_docs", f"WITH RECURSIVE {SQL_TEXT_CHUNKS} SELECT doc_id, chunk_id, content FROM chunks")
@@ -93,7 +93,7 @@ sections AS (SELECT doc_id, section_id, max(CASE WHEN heading THEN s END) AS hea
 def _markdown(spark, d):
     text = F.regexp_replace("text", r"(?md)^([A-D])", "## $1")
     text = F.regexp_replace(text, r"(?md)^([T-Z])", "```\n$1")
-    return table(spark, d, "documents").select("doc_id", text.alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.alias("content"))
 
 
 @query("markdown_sections", f"WITH {SQL_SECTIONS} SELECT doc_id, section_id, heading, body FROM sections")
@@ -174,7 +174,7 @@ def document_files(spark, d):
 
 @query("chunk_documents")
 def chunk_documents(spark, d):
-    return chunking.chunk_documents(document_files(spark, d), sep="\n")
+    return chunking.chunk_documents(spread(document_files(spark, d)), sep="\n")
 
 
 # --- vectors ---------------------------------------------------------------------
@@ -271,9 +271,9 @@ WHERE rank <= 10 AND score >= 0.2""")
 def hashed_embed_search(spark, d):
     """Every benchmark text searched among the chunks of all documents."""
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    files = table(spark, d, "documents").select(
+    files = spread(table(spark, d, "documents").select(
         name.alias("filename"), F.concat(F.lit("/corpus/"), name).alias("filepath"), F.col("text").alias("content")
-    )
+    ))
     index = search.embed(chunking.chunk_text(files, sep="\n"))
     return search.search(
         index, table(spark, d, "benchmark"), query_id="item_id", query="text", k=10, min_score=0.2
