@@ -137,10 +137,19 @@ def strip_filler(spark, d):
     return rows.select("conv_id", "turn", tx.strip_filler(F.substring("text", 1, 60)).alias("clean"))
 
 
-@query("entities_dispatch")
+def _dispatch_sql() -> str:
+    branches = []
+    for i, (intent, fields) in enumerate(FIELDS_SQL.items()):
+        listed = ", ".join(f"({fields[f]})::VARCHAR AS {f}" if f in fields else f"NULL::VARCHAR AS {f}" for f in entities.FIELDS)
+        rows = f"(SELECT p_partkey, {sql_filler(_sentence(intent))} AS s FROM part WHERE p_partkey % {len(FIELDS_SQL)} = {i})"
+        branches.append(f"SELECT p_partkey, '{intent}' AS intent, {listed} FROM {rows}")
+    return " UNION ALL ".join(branches)
+
+
+@query("entities_dispatch", _dispatch_sql())
 def entities_dispatch(spark, d):
     """Every part as a command whose intent changes from row to row."""
-    intents = list(SENTENCES)
+    intents = list(FIELDS_SQL)
     sentence = F.coalesce(*[
         F.when(F.col("p_partkey") % len(intents) == i, F.expr(_sentence(name))) for i, name in enumerate(intents)
     ])
@@ -148,7 +157,15 @@ def entities_dispatch(spark, d):
         F.array(*[F.lit(i) for i in intents]), (F.col("p_partkey") % len(intents) + 1).cast("int")
     )
     rows = spread(table(spark, d, "part")).select("p_partkey", sentence.alias("text"), intent.alias("intent"))
-    return entities.extract_entities(rows).withColumn("entities", F.to_json("entities"))
+    found = entities.extract_entities(rows)
+    return found.select("p_partkey", "intent", *[F.col(f"entities.{f}").cast("string").alias(f) for f in entities.FIELDS])
+
+
+@query("entities_json")
+def entities_json(spark, d):
+    """The same as JSON payloads that show only what was found."""
+    found = entities_dispatch(spark, d)
+    return found.select("p_partkey", "intent", F.to_json(F.struct(*entities.FIELDS)).alias("entities"))
 
 
 # --- command synthesis -----------------------------------------------------------
@@ -178,30 +195,41 @@ def _alternatives() -> str:
     return "CASE " + " ".join(out) + " END"
 
 
-_KEY = ("'42'", "p_partkey::VARCHAR", "variant::VARCHAR")
 _MARKS = " ".join(f"WHEN mark < {b} THEN {quoted(m)}" for b, m in synth.MARKS)
+
+
+def sql_noise(source: str, ids: str, key: tuple[str, ...], reasons: bool) -> str:
+    """Common table expressions that end in ``noisy``: ``source`` with the text of its sentence ``s``."""
+    share = synth.REASON_SHARE if reasons else 0
+    polite = "|".join(synth.POLITE)
+    base = sql_strip(
+        f"CASE WHEN regexp_matches(lower(s), '{polite}') THEN '' ELSE "
+        + sql_choose(synth.FILLERS, "'filler'", *key) + " END || s || " + sql_choose(synth.TAILS, "'tail'", *key)
+    )
+    cased = sql_strip(
+        f"CASE WHEN c < {synth.LOWER_BELOW} THEN lower(marked) WHEN c < {synth.UPPER_BELOW} THEN upper(marked) "
+        f"WHEN c < {synth.MIXED_BELOW} THEN mixed ELSE marked END"
+    )
+    letter = sql_fraction("'letter'", "i::VARCHAR", *key)
+    return f"""
+t AS (SELECT *, {base} AS base, {sql_fraction("'mark'", *key)} AS mark, {sql_fraction("'case'", *key)} AS c,
+      {sql_fraction("'context'", *key)} AS context, {sql_choose(synth.REASONS, "'reason'", *key)} AS reason FROM {source}),
+m AS (SELECT *, CASE WHEN context < {share} THEN base || ' ' || reason ELSE base END
+             || CASE {_MARKS} ELSE '' END AS marked FROM t),
+x AS (SELECT *, unnest(string_split(marked, '')) AS ch, generate_subscripts(string_split(marked, ''), 1) - 1 AS i FROM m
+      WHERE c >= {synth.UPPER_BELOW} AND c < {synth.MIXED_BELOW}),
+mixed AS (SELECT {ids}, string_agg(CASE WHEN {letter} < 0.5 THEN upper(ch) ELSE lower(ch) END, '' ORDER BY i) AS mixed
+          FROM x GROUP BY {ids}),
+noisy AS (SELECT *, {cased} AS text FROM m LEFT JOIN mixed USING ({ids}))"""
+
+
 SQL_COMMANDS = f"""
-WITH d AS (SELECT p_partkey, p_name AS slot,
-                  {sql_choose(TEMPLATES, "'template'", "'42'", "p_partkey::VARCHAR")} AS template FROM part),
+d AS (SELECT p_partkey, p_name AS slot,
+             {sql_choose(TEMPLATES, "'template'", "'42'", "p_partkey::VARCHAR")} AS template FROM part),
 a AS (SELECT *, {_alternatives()} AS alt FROM d),
 v AS (SELECT p_partkey, slot, variant, replace(template, '{{x}}', slot) AS s FROM a, (SELECT unnest([1, 2, 3]) AS variant)
       UNION ALL SELECT p_partkey, slot, 4, replace(template, '{{x}}', alt) FROM a WHERE alt IS NOT NULL),
-t AS (SELECT *, {sql_strip(
-    "CASE WHEN regexp_matches(lower(s), '" + "|".join(synth.POLITE) + "') THEN '' ELSE "
-    + sql_choose(synth.FILLERS, "'filler'", *_KEY) + " END || s || " + sql_choose(synth.TAILS, "'tail'", *_KEY)
-)} AS base, {sql_fraction("'mark'", *_KEY)} AS mark, {sql_fraction("'case'", *_KEY)} AS c,
-      {sql_fraction("'context'", *_KEY)} AS context, {sql_choose(synth.REASONS, "'reason'", *_KEY)} AS reason FROM v),
-m AS (SELECT *, CASE WHEN context < {synth.REASON_SHARE} THEN base || ' ' || reason ELSE base END
-             || CASE {_MARKS} ELSE '' END AS marked FROM t),
-x AS (SELECT *, unnest(string_split(marked, '')) AS ch, generate_subscripts(string_split(marked, ''), 1) - 1 AS i FROM m
-      WHERE c >= {synth.UPPER_BELOW} AND c < {synth.MIXED_BELOW}),
-mixed AS (SELECT p_partkey, variant, string_agg(CASE WHEN {sql_fraction("'letter'", 'i::VARCHAR', *_KEY)} < 0.5
-                 THEN upper(ch) ELSE lower(ch) END, '' ORDER BY i) AS mixed FROM x GROUP BY p_partkey, variant)
-SELECT p_partkey, variant, {sql_strip(
-    f"CASE WHEN c < {synth.LOWER_BELOW} THEN lower(marked) WHEN c < {synth.UPPER_BELOW} THEN upper(marked) "
-    f"WHEN c < {synth.MIXED_BELOW} THEN mixed ELSE marked END"
-)} AS text, slot
-FROM m LEFT JOIN mixed USING (p_partkey, variant)"""
+{sql_noise("v", "p_partkey, variant", ("'42'", "p_partkey::VARCHAR", "variant::VARCHAR"), True)}"""
 
 
 def _commands(spark, d):
@@ -211,7 +239,7 @@ def _commands(spark, d):
     return synth.noisy_variants(filled, "p_partkey", short=SHORT, typo=TYPO, misheard=MISHEARD)
 
 
-@query("noisy_commands", SQL_COMMANDS)
+@query("noisy_commands", f"WITH {SQL_COMMANDS} SELECT p_partkey, variant, text, slot FROM noisy")
 def noisy_commands(spark, d):
     return _commands(spark, d).select("p_partkey", "variant", "text", "slot")
 
@@ -225,7 +253,12 @@ def slot_values(spark, d):
     return synth.slot_values(rows).drop("slot")
 
 
-@query("compound_commands")
+@query("compound_commands", f"""
+WITH v AS (SELECT p_partkey, p_name || ';' || p_brand AS slot,
+                  'open ' || p_name || {sql_choose(synth.CONNECTORS, "'connector'", "'42'", "p_partkey::VARCHAR")}
+                  || 'close ' || p_brand AS s FROM part),
+{sql_noise("v", "p_partkey", ("'42'", "p_partkey::VARCHAR"), False)}
+SELECT p_partkey, text, 'multi_intent' AS intent, slot FROM noisy""")
 def compound_commands(spark, d):
     draws = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
     out = synth.compound_commands(
@@ -235,7 +268,19 @@ def compound_commands(spark, d):
     return out.select("p_partkey", "text", "intent", "slot")
 
 
-@query("balance_and_split")
+_SPLIT_KEY = "md5('42|' || p_partkey::VARCHAR || '|' || variant::VARCHAR)"
+
+
+@query("balance_and_split", f"""
+WITH {SQL_COMMANDS},
+u AS (SELECT p_partkey, variant, slot AS intent FROM noisy
+      QUALIFY row_number() OVER (PARTITION BY text ORDER BY p_partkey, variant) = 1),
+k AS (SELECT least(max(n), greatest(3 * min(n), 300)) AS cap FROM (SELECT count(*) AS n FROM u GROUP BY intent)),
+b AS (SELECT p_partkey, variant, intent FROM u, k
+      QUALIFY row_number() OVER (PARTITION BY intent ORDER BY {_SPLIT_KEY}) <= cap)
+SELECT p_partkey, variant, intent, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train'
+       WHEN rn <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY {_SPLIT_KEY}) AS rn, count(*) OVER () AS n FROM b)""")
 def balance_and_split(spark, d):
     rows = _commands(spark, d).select("p_partkey", "variant", "text", F.col("slot").alias("intent"))
     return synth.balance_and_split(rows, ["p_partkey", "variant"]).select("p_partkey", "variant", "intent", "split")
@@ -395,10 +440,21 @@ def user_heat(spark, d):
     return totals.withColumn("intensity", intensity("total"))
 
 
-@query("month_grids")
+@query("month_grids", f"""
+WITH {SQL_CELLS},
+grid AS (SELECT year, month, month_label, unnest(generate_series(0, max(week_index)))::INT AS week_index FROM cells
+         GROUP BY year, month, month_label),
+places AS (SELECT *, unnest(range(7))::INT AS weekday FROM grid)
+SELECT p.year, p.month, p.month_label, p.week_index, p.weekday, c.date, c.total
+FROM places p LEFT JOIN cells c USING (year, month, week_index, weekday)""")
 def month_grids(spark, d):
+    """Weeks of seven cells per month, unrolled again to one row per cell."""
     cells = calendar.activity_calendar(table(spark, d, "events"), "ts", "event_type", "value", EVENT_COLORS)
-    return calendar.month_grids(cells)
+    weeks = calendar.month_grids(cells).select(
+        "year", "month", "month_label", F.posexplode("weeks").alias("week_index", "week")
+    )
+    days = weeks.select("year", "month", "month_label", "week_index", F.posexplode("week").alias("weekday", "day"))
+    return days.select("year", "month", "month_label", "week_index", "weekday", "day.date", "day.total")
 
 
 @query("last_weeks", """

@@ -14,7 +14,7 @@ from ..sources import files, sinks, tables
 from ..streaming import requests
 from .command_queries import _commands, _snippets
 from .registry import query, spread, table
-from .text_queries import document_files
+from .text_queries import SQL_HASHED, SQL_TEXT_CHUNKS, document_files
 
 # --- sources and sinks -------------------------------------------------------------
 
@@ -311,11 +311,25 @@ def stream_requests(spark, d):
     return spark.read.parquet(out).select("conv_id", "turn", "top_k", "error", "reply")
 
 
-@query("stream_search")
+_TURNS = "(SELECT conv_id || ':' || turn AS request_id, text FROM conversations WHERE role = 'user')"
+
+
+@query("stream_search", f"""
+WITH RECURSIVE {SQL_TEXT_CHUNKS},
+{SQL_HASHED.format(name='dv', ids='doc_id, chunk_id', text='content', source='chunks')},
+{SQL_HASHED.format(name='qv', ids='request_id', text='text', source=_TURNS)},
+s AS (SELECT request_id, doc_id, chunk_id, round(sum(qv.x * dv.x), 9) AS score
+      FROM qv JOIN dv ON qv.dim = dv.dim GROUP BY request_id, doc_id, chunk_id)
+SELECT request_id, rank, 'doc' || doc_id AS filepath, chunk_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, 'doc' || doc_id, chunk_id)::INT AS rank
+      FROM s) WHERE rank <= 3 AND score >= 0.2""")
 def stream_search(spark, d):
-    """User turns as a stream of searches over the chunks of all documents."""
+    """User turns as a stream of searches over the chunks of all documents; answers unrolled to rows."""
     path = scratch_path(spark, "stream-index")
-    documents = spread(document_files(spark, d))
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    documents = spread(table(spark, d, "documents").select(
+        name.alias("filename"), name.alias("filepath"), F.col("text").alias("content")
+    ))
     sinks.write_index(search.embed(chunking.chunk_text(documents, sep="\n")), path)
     source = f"{d.rstrip('/')}/conversations.parquet"
     turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
@@ -328,7 +342,9 @@ def stream_search(spark, d):
         lines, lambda: spark.read.parquet(path), "request_id", out, scratch_path(spark, "answers-state"), once=True
     )
     run.awaitTermination()
-    return spark.read.parquet(out).select("request_id", "response")
+    shape = "results ARRAY<STRUCT<rank:INT,score:DOUBLE,filepath:STRING,chunk_id:INT>>"
+    answers = spark.read.parquet(out).select("request_id", F.from_json("response", shape)["results"].alias("results"))
+    return answers.select("request_id", F.inline("results")).withColumn("score", F.round("score", 6))
 
 
 @query("stream_classification")

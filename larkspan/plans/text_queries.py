@@ -280,7 +280,16 @@ def hashed_embed_search(spark, d):
     )
 
 
-@query("dense_score")
+def _layer(source: str, width: int, rectified: bool) -> str:
+    total = f"sum(v * sin(j * {width} + o + 1) / 8) + sin(o + 1) / 8"
+    shown = f"greatest(0, {total})" if rectified else total
+    return f"(SELECT vec_id, o AS j, {shown} AS v FROM {source}, range({width}) AS r(o) GROUP BY vec_id, o)"
+
+
+@query("dense_score", f"""
+WITH x AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings
+           UNION ALL SELECT vec_id, 64 + k, sin(label * 16 + k + 1) / 8 FROM embeddings, range(16) AS r(k))
+SELECT vec_id, round(v, 6) AS prediction FROM {_layer(_layer(_layer('x', 256, True), 64, True), 1, False)}""")
 def dense_score(spark, d):
     """Forward pass of a small scoring head with given weights over all vectors."""
     import numpy as np
