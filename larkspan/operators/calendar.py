@@ -18,7 +18,8 @@ PLATFORM_COLORS = {
 
 def platform_minutes(events: DataFrame, ts: str, platform: str, minutes: str) -> DataFrame:
     """Whole minutes per day and platform; platforms without any are absent."""
-    per = events.groupBy(F.to_date(ts).alias("date"), F.col(platform).alias("platform")).agg(
+    dated = events.filter(F.to_date(ts).isNotNull())
+    per = dated.groupBy(F.to_date(ts).alias("date"), F.col(platform).alias("platform")).agg(
         F.sum(F.col(minutes).cast("bigint")).alias("minutes")
     )
     return per.filter(F.col("minutes") > 0)

@@ -92,31 +92,33 @@ def classification_report(
 ) -> DataFrame:
     """One row per class, then accuracy, macro average and weighted average.
 
-    ``kind`` keeps the reading order. The summary rows are aggregates of the
-    class rows, so Spark can reuse the one shuffle of the data.
+    The overall row is a second grouping set over the class rows, so the data
+    is read and counted once. ``kind`` keeps the reading order.
     """
     scores = class_scores(df, label, prediction)
     if names:
         table = F.create_map(*[F.lit(str(x)) for pair in names.items() for x in pair])
         scores = scores.withColumn("class", F.coalesce(F.try_element_at(table, F.col("class")), F.col("class")))
-    overall = scores.agg(
-        F.sum("support").alias("support"), F.try_divide(F.sum("tp"), F.sum("support")).alias("acc"),
+    sets = scores.rollup("class").agg(
+        F.grouping("class").alias("_all"), F.sum("support").alias("support"),
+        F.try_divide(F.sum("tp"), F.sum("support")).alias("acc"),
         *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")],
         *[_weighted(c).alias(f"w_{c}") for c in ("precision", "recall", "f1")],
     )
-    def line(kind: int, name: str, precision: str, recall: str, f1: str) -> Column:
+
+    def line(kind: int, name: Column, precision: str, recall: str, f1: str) -> Column:
         return F.struct(
-            F.lit(kind).alias("kind"), F.lit(name).alias("class"), F.col(precision).alias("precision"),
+            F.lit(kind).alias("kind"), name.alias("class"), F.col(precision).alias("precision"),
             F.col(recall).alias("recall"), F.col(f1).alias("f1"), F.col("support").alias("support"),
         )
 
-    summary = overall.select(F.inline(F.array(
-        line(1, "accuracy", "acc", "acc", "acc"),
-        line(2, "macro avg", "m_precision", "m_recall", "m_f1"),
-        line(3, "weighted avg", "w_precision", "w_recall", "w_f1"),
-    )))
-    rows = scores.select(F.lit(0).alias("kind"), "class", "precision", "recall", "f1", "support")
-    return rows.unionByName(summary)
+    own = F.array(line(0, F.col("class"), "m_precision", "m_recall", "m_f1"))
+    summary = F.array(
+        line(1, F.lit("accuracy"), "acc", "acc", "acc"),
+        line(2, F.lit("macro avg"), "m_precision", "m_recall", "m_f1"),
+        line(3, F.lit("weighted avg"), "w_precision", "w_recall", "w_f1"),
+    )
+    return sets.select(F.inline(F.when(F.col("_all") == 1, summary).otherwise(own)))
 
 
 def _regression_aggregates(prediction: str, target: str) -> list[Column]:

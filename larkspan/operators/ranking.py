@@ -38,7 +38,8 @@ def hash_cutoffs(
 
     ``takes`` gives the number of rows to choose as expressions over ``total``
     (rows in the group) and the columns of ``quotas``. Result columns: the
-    group columns, ``cut_name``, ``cut``.
+    group columns, ``cut_name``, ``cut``. Keys should identify a row: rows that
+    share a key are chosen together, so a cut may then take a few more.
     """
     groups = list(groups)
     rows = df.select(*groups, digest(keys, seed).alias("_h"))
@@ -69,12 +70,14 @@ def hash_cutoffs(
     )
     place = inside.select(*groups, "_bucket", "cut_name",
                           (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_place"))
-    in_bucket = W.partitionBy(*groups, "cut_name").orderBy("_h")
     small, fits = settle(place)
+    # Equal digests are counted first, so many copies of one key are one row here.
+    in_bucket = W.partitionBy(*groups, "cut_name").orderBy("_h").rowsBetween(W.unboundedPreceding, W.currentRow)
     hits = (
         rows.join(F.broadcast(small) if fits else place, [*groups, "_bucket"])
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .filter(F.col("_rank") == F.col("_place"))
+        .groupBy(*groups, "cut_name", "_place", "_h").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(in_bucket))
+        .filter((F.col("_upto") - F.col("_n") < F.col("_place")) & (F.col("_place") <= F.col("_upto")))
         .select(*groups, "cut_name", F.col("_h").alias("cut"))
     )
     out = hits.unionByName(outside)
@@ -153,7 +156,9 @@ def first_n_per_group(
         w = W.partitionBy(*group).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
     slices = fan_in or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)).cast("int"))
+    # The task number spreads exact copies, which share a hash; any slicing gives the same result.
+    mixed = F.pmod(F.xxhash64(*df.columns), F.lit(slices)) + F.spark_partition_id()
+    rows = df.withColumn("_slice", F.pmod(mixed, F.lit(slices)).cast("int"))
     while True:
         w = W.partitionBy(*group, "_slice").orderBy(*order)
         rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)

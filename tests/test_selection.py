@@ -54,6 +54,15 @@ def test_sample_n_per_group(rows):
     assert None not in got
 
 
+def test_copies_of_one_key_stay_together(spark):
+    df = spark.createDataFrame([(7,)] * 400 + [(i,) for i in range(100, 700)], "id int")
+    out = splits.validation_split(df, ["id"], 0.3)
+    sides = {r["split"] for r in out.filter("id = 7").collect()}
+    assert len(sides) == 1 and out.count() == 1000
+    same = spark.createDataFrame([("g", 1)] * 3000 + [("h", 2)], "g string, v int")
+    assert ranking.first_n_per_group(same, ["g"], [F.col("v")], 1500).count() == 1501
+
+
 def test_balance_cap_and_sample(spark):
     df = spark.createDataFrame([(i, "x" if i < 900 else "y" if i < 1010 else "z") for i in range(1130)], "id int, g string")
     assert ranking.balance_cap(df, "g").first()["cap"] == 330
