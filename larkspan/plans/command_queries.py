@@ -129,12 +129,9 @@ for _intent in SENTENCES:
     _register_entity_query(_intent)
 
 
-@query("strip_filler", f"""
-SELECT conv_id, turn, {sql_filler("left(text, 60)")} AS clean FROM conversations""")
+@query("strip_filler", f"SELECT conv_id, turn, {sql_filler('text')} AS clean FROM conversations")
 def strip_filler(spark, d):
-    """The filler rule on the opening of each turn; the rest of a turn cannot change it."""
-    rows = table(spark, d, "conversations")
-    return rows.select("conv_id", "turn", tx.strip_filler(F.substring("text", 1, 60)).alias("clean"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.strip_filler("text").alias("clean"))
 
 
 def _dispatch_sql() -> str:
@@ -366,10 +363,10 @@ SELECT l_orderkey, l_linenumber, language, cyclomatic_complexity, nloc, token_co
        CASE language WHEN 'python' THEN 0 WHEN 'java' THEN 1 WHEN 'javascript' THEN 2 WHEN 'php' THEN 3
             WHEN 'ruby' THEN 4 ELSE 5 END AS language_id
 FROM metrics WHERE n_functions = 1
-QUALIFY row_number() OVER (PARTITION BY language ORDER BY l_orderkey, l_linenumber) <= 2000""")
+QUALIFY row_number() OVER (PARTITION BY language ORDER BY l_orderkey, l_linenumber) <= {code_metrics.MAX_PER_LANGUAGE}""")
 def label_code(spark, d):
     rows = _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string"))
-    return code_metrics.label_code(rows, ["l_orderkey", "l_linenumber"], 2000).drop("code")
+    return code_metrics.label_code(rows, ["l_orderkey", "l_linenumber"]).drop("code")
 
 
 # --- calendar --------------------------------------------------------------------

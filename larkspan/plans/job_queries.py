@@ -34,20 +34,26 @@ def jsonl_roundtrip(spark, d):
 
 
 @query("sharded_read", """
-SELECT lang AS language, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents
-WHERE doc_id % 2 = 0 GROUP BY lang""")
+WITH p AS (SELECT lang, text, row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR)) AS rn, count(*) OVER () AS n
+           FROM documents)
+SELECT lang AS language, CASE WHEN rn <= floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split, count(*) AS n,
+       sum(length(text))::BIGINT AS chars
+FROM p GROUP BY 1, 2""")
 def sharded_read(spark, d):
-    """Shards per language and split; only the training shards are read."""
+    """Shards in a folder per language and split; the language is the folder's."""
     root = scratch_path(spark, "shards")
-    docs = table(spark, d, "documents")
-    rows = docs.select(F.col("text").alias("code"), "lang", F.when(docs.doc_id % 2 == 0, "train").otherwise("valid").alias("part"))
-    for split in ("train", "valid"):
-        part = rows.filter(F.col("part") == split).drop("part")
-        part.write.mode("append").partitionBy("lang").json(f"{root}/{split}")
-    languages = {f"lang={c}": c for c in ("de", "en", "es", "fr")}
-    found = tables.read_sharded(spark, f"{root}/train", languages, "part-", "code STRING", suffixes=("json",))
+    docs = splits.validation_split(table(spark, d, "documents"), ["doc_id"])
+    rows = docs.select("split", "lang", F.col("text").alias("code"), F.lit("?").alias("language"))
+    rows.write.partitionBy("split", "lang").json(root)
+    folders = [f"lang={r['lang']}" for r in docs.select("lang").distinct().collect()]
+    found = None
+    for split in ("train", "val"):
+        part = tables.read_sharded(
+            spark, f"{root}/split={split}", folders, "part-", "code STRING, language STRING", ("json",)
+        ).withColumn("split", F.lit(split))
+        found = part if found is None else found.unionByName(part)
     named = found.withColumn("language", F.regexp_replace("language", "^lang=", ""))
-    return named.groupBy("language").agg(
+    return named.groupBy("language", "split").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("chars")
     )
 
@@ -231,8 +237,8 @@ def _intent_rows(spark, d):
     return rows.select("p_partkey", "variant", "text", "intent")
 
 
-@query("intent_pipeline")
-def intent_pipeline(spark, d):
+@query("intent_inference")
+def intent_inference(spark, d):
     """Synthesized commands to a trained model, then gate and entities on the test split."""
     keys = ["p_partkey", "variant"]
     rows = staged(synth.balance_and_split(_intent_rows(spark, d), keys), "commands")
@@ -247,12 +253,12 @@ def intent_pipeline(spark, d):
                         F.to_json("entities").alias("entities"))
 
 
-@query("complexity_pipeline")
-def complexity_pipeline(spark, d):
+@query("complexity_evaluation")
+def complexity_evaluation(spark, d):
     """Label code, embed, scale, fit, calibrate on train, evaluate per language on validation."""
     rows = code_metrics.label_code(
         _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string")),
-        ["l_orderkey", "l_linenumber"], 400,
+        ["l_orderkey", "l_linenumber"],
     )
     features = search.embed(rows, "code", make_embed=lambda: search.hashed_words(64))
     path = scratch_path(spark, "code-features")
@@ -278,8 +284,8 @@ def complexity_pipeline(spark, d):
 # Turns as request lines: some are no JSON, some no object, some out of range.
 REQUEST_LINE = (
     "CASE turn % 6 WHEN 0 THEN '{bad' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"command\": \"ping\"}' "
-    "WHEN 3 THEN '{\"query\": \"' || left(role, 4) || '\", \"top_k\": \"' || conv_id || '\"}' "
-    "WHEN 4 THEN '{\"query\": \"' || left(role, 4) || '\", \"top_k\": \"x\"}' "
+    "WHEN 3 THEN '{\"query\": \"' || role || '\", \"top_k\": \"' || conv_id || '\"}' "
+    "WHEN 4 THEN '{\"query\": \"' || role || '\", \"top_k\": \"x\"}' "
     "ELSE '{\"query\": \"  \", \"top_k\": 3}' END"
 )
 

@@ -1,4 +1,4 @@
-"""Whole pipelines put together from the operators."""
+"""Whole workflows put together from the operators."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.operators import chunking, search
-from larkspan.plans import pipelines
+from larkspan.plans import workflows
 from larkspan.session import scratch_path, shared_folder
 from larkspan.sources import files, sinks, tables
 
@@ -50,16 +50,16 @@ def test_extension(spark, name, want):
 def test_index_and_search(spark, tree, tmp_path):
     root, keep = tree
     out = scratch_path(spark, "idx")
-    stats = pipelines.build_index(spark, str(root), out).first()
+    stats = workflows.build_index(spark, str(root), out).first()
     assert (stats["files_indexed"], stats["files_failed"], stats["chunks"]) == (7, 1, 7)
     asked = spark.createDataFrame([(1, "alpha")], "query_id int, query string")
-    hits = pipelines.search_index(spark, out, asked).collect()
+    hits = workflows.search_index(spark, out, asked).collect()
     assert [(r["filename"], r["chunk_id"], r["preview"]) for r in hits] == [("a.md", 1, "# A\nalpha text")]
     empty = tmp_path / "nothing"
     empty.mkdir()
     (empty / "e.txt").write_text(" ")
-    assert pipelines.build_index(spark, str(empty), scratch_path(spark, "idx")) is None
-    check = pipelines.verify_embedding(spark, ["open the notes", "open my notes", "weather today"], search.DIMENSION).first()
+    assert workflows.build_index(spark, str(empty), scratch_path(spark, "idx")) is None
+    check = workflows.verify_embedding(spark, ["open the notes", "open my notes", "weather today"], search.DIMENSION).first()
     assert check["sizes_ok"] and check["order_ok"]
 
 
@@ -124,11 +124,11 @@ def test_feature_cache_and_inline(spark):
 def test_videos_pipeline(spark):
     rows = [("v1", " T ", None, "A ", "p", 1), ("v1", "later", "d", "A", "p", 1), ("v2", None, "d", "B", "p", 0), ("v3", "x", " " * 3, None, "p", 0), ("v4", "y", "z" * 300, "C", "p", 0)]
     raw = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, " + tables.LABELLED_VIDEOS)
-    got = {r["video_id"]: r for r in pipelines.prepare_videos(raw, ["A"], ["C"], ["n"]).collect()}
+    got = {r["video_id"]: r for r in workflows.prepare_videos(raw, ["A"], ["C"], ["n"]).collect()}
     assert set(got) == {"v1", "v3", "v4"}
     assert got["v1"]["text"] == "[TITLE] T [CHANNEL] A [DESC] " and got["v1"]["split"] == "val"
     assert got["v3"]["split"] == "train" and got["v4"]["text"].endswith("[DESC] " + "z" * 250)
-    report = {k: v.collect() for k, v in pipelines.profile_videos(raw).items()}
+    report = {k: v.collect() for k, v in workflows.profile_videos(raw).items()}
     assert report["duplicate_ids"][0][0] == 1 and tuple(report["empty_descriptions"][0]) == (2, 40.0)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.operators import chunking, classify, clean, search
-from larkspan.plans import pipelines
+from larkspan.plans import workflows
 from larkspan.session import scratch_path
 from larkspan.streaming import requests
 
@@ -97,9 +97,9 @@ def test_intent_pipeline(spark):
     df = spark.createDataFrame(rows, "i int, text string, intent string")
     model = classify.fit_text_classifier(df.filter("i < 50"), df.filter("i >= 50"), label="intent", metric="f1", cells=256, grid=(0.01,))
     asked = spark.createDataFrame([("open app chrome",), ("mute sound",)], "text string")
-    got = {r["text"]: r for r in pipelines.run_intent_pipeline(asked, model).collect()}
+    got = {r["text"]: r for r in workflows.run_intent_pipeline(asked, model).collect()}
     assert got["mute sound"]["intent"] == "mute" and got["open app chrome"]["entities"]["app"] == "App Chrome"
-    unsure = pipelines.run_intent_pipeline(asked, model, threshold=1.1).collect()
+    unsure = workflows.run_intent_pipeline(asked, model, threshold=1.1).collect()
     assert {r["intent"] for r in unsure} == {"unknown"} and all(r["entities"]["app"] is None for r in unsure)
-    result = pipelines.reality_check(df, model)
+    result = workflows.reality_check(df, model)
     assert result["accuracy"].first()["total"] == 60 and clean.low_confidence(result["rows"]).count() == result["low_confidence"].count()
