@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LOOKUP_ROWS = 50_000
+MAX_LOOKUP_BYTES = 128 << 20
 
 
 def settle(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> tuple[DataFrame, bool]:
     """Run a small table once and keep it as literal rows.
 
-    At most ``max_rows + 1`` rows reach the driver. A larger table is returned
-    untouched with ``False``, so the caller joins it by shuffle instead.
+    At most ``max_rows + 1`` rows reach the driver. A table with more rows or
+    bytes is returned untouched with ``False``, so the caller joins it by
+    shuffle instead.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > MAX_LOOKUP_BYTES:
         return df, False
     return df.sparkSession.createDataFrame(rows, schema=df.schema), True
 

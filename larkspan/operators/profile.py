@@ -98,7 +98,8 @@ def grouped_quantiles(
     )
     shares = [i / slices for i in range(1, slices)]
     bounds, fits = settle(
-        counted.groupBy(group).agg(F.array_distinct(F.percentile_approx("_v", shares, 1_000)).alias("_bounds"))
+        counted.groupBy(group).agg(F.array_distinct(F.percentile_approx("_v", shares, 1_000)).alias("_bounds")),
+        max_rows=5_000,
     )
     joined = counted.join(F.broadcast(bounds) if fits else bounds, group)
     sliced = joined.select(

@@ -30,6 +30,7 @@ MIN_SCORE = 0.20
 DIMENSION = 384
 SCORE_DIGITS = 9
 MAX_BROADCAST_QUERIES = 10_000
+MAX_BROADCAST_BYTES = 128 << 20
 GRID_QUERIES = 4_096
 GRID_VECTORS = 50_000
 CELLS = 2_000_000
@@ -229,7 +230,9 @@ def similarity_topk(
             F.lit(None).cast(asked.schema[0].dataType).alias("query_id"), F.lit(0).alias("rank"),
             F.lit(0.0).alias("score"), *ids,
         )
-    if rows.num_rows <= max_broadcast:
+    if len(pc.unique(pc.list_value_length(rows.column("query_vec")))) > 1:
+        raise ValueError("query vectors differ in size")
+    if rows.num_rows <= max_broadcast and rows.nbytes <= MAX_BROADCAST_BYTES:
         out = _broadcast_topk(asked, vectors, rows, ids, vec, k, min_score)
     else:
         out = _grid_topk(asked, vectors, ids, vec, k, min_score, grid_queries, grid_vectors)

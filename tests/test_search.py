@@ -68,6 +68,9 @@ def test_arguments_and_empty_inputs(spark, data):
     none = se.similarity_topk(queries.limit(0), vectors, query_id="name", query_vec="vector", ids=["id"])
     assert none.count() == 0 and none.columns == ["query_id", "rank", "score", "id"]
     assert se.similarity_topk(queries, vectors.limit(0), query_id="name", query_vec="vector", ids=["id"]).count() == 0
+    uneven = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "name string, vector array<float>")
+    with pytest.raises(ValueError, match="size"):
+        se.similarity_topk(uneven, vectors, query_id="name", query_vec="vector", ids=["id"])
     other = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<float>")
     assert se.similarity_topk(queries, other, query_id="name", query_vec="vector", ids=["id"]).count() == 0
 

@@ -153,6 +153,14 @@ def test_clean(spark):
     assert [r["n"] for r in names.collect()] == ["zero", "7"]
 
 
+def test_a_lookup_too_large_in_bytes_is_not_broadcast(spark, monkeypatch):
+    left, right = spark.range(10).withColumnRenamed("id", "k"), spark.createDataFrame([(1, "x" * 50)], "k long, t string")
+    assert lookup.settle(right)[1]
+    monkeypatch.setattr(lookup, "MAX_LOOKUP_BYTES", 20)
+    assert not lookup.settle(right)[1]
+    assert lookup.lookup_join(left, right, ["k"], "inner").count() == 1
+
+
 def test_lookups_beyond_the_bound(spark):
     left = spark.createDataFrame([(i, i % 5) for i in range(20)] + [(99, None)], "id int, k int")
     right = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, name string")
