@@ -156,8 +156,11 @@ def first_n_per_group(
         w = W.partitionBy(*group).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
     slices = fan_in or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The task number spreads exact copies, which share a hash; any slicing gives the same result.
-    mixed = F.pmod(F.xxhash64(*df.columns), F.lit(slices)) + F.spark_partition_id()
+    # The task number spreads exact copies, which share a hash. Any slicing gives the same
+    # result, but it must not change when a task runs again, so no row counter is used.
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    hashed = [f"`{n}`" for n, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    mixed = F.pmod(F.xxhash64(*hashed), F.lit(slices)) + F.spark_partition_id()
     rows = df.withColumn("_slice", F.pmod(mixed, F.lit(slices)).cast("int"))
     while True:
         w = W.partitionBy(*group, "_slice").orderBy(*order)

@@ -134,14 +134,14 @@ UNION ALL SELECT doc_id, 3, '"tags"' || chr(10) || chr(10) || '[' || chr(10) ||
        || '  ' || n_chars || chr(10) || ']' FROM documents
 UNION ALL SELECT doc_id, 4, '"empty"' || chr(10) || chr(10) || '{}' FROM documents""")
 def chunk_json(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.expr(JSON_TEXT).alias("content"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.expr(JSON_TEXT).alias("content"))
     return chunking.chunk_json(rows)
 
 
 @query("chunk_json_props", """
 SELECT event_id, 1 AS chunk_id, '"k"' || chr(10) || chr(10) || (props::JSON ->> 'k') AS content FROM events""")
 def chunk_json_props(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.col("props").alias("content"))
+    rows = spread(table(spark, d, "events").select("event_id", F.col("props").alias("content")))
     return chunking.chunk_json(rows)
 
 
@@ -157,7 +157,7 @@ SELECT p_partkey, 1 AS chunk_id,
 UNION ALL SELECT p_partkey, 2, '@cached' || chr(10) || 'def size(x):' || chr(10) || '    return ' || p_size FROM part
 UNION ALL SELECT p_partkey, 3, '# __main__' || chr(10) || 'print(size(1))' FROM part""")
 def chunk_python(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.expr(PYTHON_TEXT).alias("content"))
+    rows = spread(table(spark, d, "part")).select("p_partkey", F.expr(PYTHON_TEXT).alias("content"))
     return chunking.chunk_python(rows)
 
 

@@ -61,6 +61,8 @@ def test_copies_of_one_key_stay_together(spark):
     assert len(sides) == 1 and out.count() == 1000
     same = spark.createDataFrame([("g", 1)] * 3000 + [("h", 2)], "g string, v int")
     assert ranking.first_n_per_group(same, ["g"], [F.col("v")], 1500).count() == 1501
+    mapped = same.withColumn("m", F.create_map(F.lit("a"), F.col("v")))
+    assert ranking.first_n_per_group(mapped, ["g"], [F.col("v").desc()], 1500).count() == 1501
 
 
 def test_balance_cap_and_sample(spark):
