@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import staged
 from .lookup import settle
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -86,15 +87,16 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group; a null group is left out.
 
-    Equal values are counted first. Approximate bounds cut each group's values
+    Equal values are counted first, once, into a staged table. Approximate bounds cut each group's values
     into slices; the slice sizes tell which slice holds a wanted rank, and only
     those slices are sorted, each in a task of its own. The bounds only steer
     the work: the result is exact for any bounds.
     """
-    counted = (
+    counted = staged(
         df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
         .select(F.col(group), F.col(value).cast("double").alias("_v"))
-        .groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        .groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_c")),
+        "value-counts",
     )
     shares = [i / slices for i in range(1, slices)]
     bounds, fits = settle(
