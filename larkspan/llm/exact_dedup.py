@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunk recipes, with DataFrame functions only.
 
 A normalised text is cut where its own characters say so; equal passages give
-equal chunks wherever they stand. Distinct chunks are compared once to find
+equal chunks wherever they stand, but for their ends. Distinct chunks are compared once to find
 hashes that stand for more than one chunk; a chunk's identifier is its hash and,
 for such a hash, its number among the chunks of that hash, so equal identifiers
 mean equal chunks. A text's recipe is the ordered list of its identifiers, and
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .common import checked, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,10 +25,16 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def chunks(text: Column, least: int = 768, most: int = 8192) -> Column:
-    """Chunks that end after a blank behind a letter from a to m, or at ``most`` characters."""
-    rule = rf"(?s).{{{least},{most - 1}}}?(?<=[a-m]\s)|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(rule), F.lit(0))
+#: ASCII characters with odd codes. A chunk ends behind nine characters that are odd (1) or not (0) in this
+#: order, in prose about every 640 characters; the rule looks at these nine only, wherever they stand.
+ODD = "!#%')+\\-/13579;=?ACEGIKMOQSUWY\\[\\]_acegikmoqsuwy{}"
+ENDING = "010011011"
+
+
+def chunks(text: Column, least: int = 64, most: int = 8192) -> Column:
+    """The chunks of a text, of ``least`` to ``most`` characters but for the last one."""
+    ending = "".join(f"[{ODD}]" if c == "1" else f"[^{ODD}]" for c in ENDING)
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?(?<={ending})|.{{1,{most}}}"), F.lit(0))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
@@ -76,14 +83,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, all columns unchanged."""
-    from .common import checked
-
-    found = staged(exact_duplicates(docs, id_col, text_col), "exact")
-    gone = staged(found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    found = staged(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "text_sha256", "kept"), "exact")
+    gone_id, gone_sha = unused(docs.columns, "gone_id", "gone_sha")
+    named = F.col("id").alias(gone_id), F.col("text_sha256").alias(gone_sha)
+    gone = staged(found.where("not kept").select(*named).distinct(), "gone")
     # rows whose id and text are repeated: one of them may stay
-    again = staged(found.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays")).where("n > 1 and stays").select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")), "again")
-    same = docs[id_col].eqNullSafe(F.col("gone_id")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("gone_sha"))
+    again = staged(found.groupBy("id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays")).where("n > 1 and stays").select(*named), "again")
+    same = docs[id_col].eqNullSafe(F.col(gone_id)) & (F.sha2(normalised(docs[text_col]), 256) == F.col(gone_sha))
     out = docs.join(checked(gone, 128), same, "left_anti")
     if again.isEmpty():
         return out
-    return out.unionByName(docs.join(checked(again, 128), same, "left_semi").dropDuplicates([id_col, text_col]))
+    repeats = docs.join(checked(again, 128), same, "left_semi")
+    return out.unionByName(repeats.dropDuplicates([id_col, text_col]))
