@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these ASCII blanks, as in the queries' contracts.
@@ -24,6 +26,12 @@ def kept(key: object, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast value of any class; executors need not have this package installed."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to bounded Arrow batches; it may return nothing for a batch."""
 
@@ -50,6 +58,17 @@ def checked(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a column has one already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_text(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 

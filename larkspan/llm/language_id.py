@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_temperature, label_sample, map_batches, softmax
+from .common import fit_temperature, label_sample, map_batches, shared, softmax
 
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -148,12 +148,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     rejected, as are scores below the model's threshold. Repeated rows are
     scored each; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [score(t, shared.value) for t in batch.column("text").to_pylist()]
+        model = sent()
+        found = [score(t, model) for t in batch.column("text").to_pylist()]
         names, sure = [f[0] for f in found], [f[1] for f in found]
-        ok = [n != UNKNOWN and s >= shared.value.least for n, s in found]
+        ok = [n != UNKNOWN and s >= model.least for n, s in found]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(ok, pa.bool_())], ["id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -162,11 +163,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def accepted_rows(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows whose language is identified with confidence, all columns unchanged, in one pass without a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     place = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [score(t, shared.value) for t in batch.column(place).to_pylist()]
-        return batch.filter(pa.array([n != UNKNOWN and s >= shared.value.least for n, s in found], pa.bool_()))
+        model = sent()
+        found = [score(t, model) for t in batch.column(place).to_pylist()]
+        return batch.filter(pa.array([n != UNKNOWN and s >= model.least for n, s in found], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import WORD, map_batches
+from .common import WORD, map_batches, unused
 
 #: 2**64 over the golden ratio, odd: the points slot * GOLDEN mod 2**64 are evenly spread.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -202,17 +202,19 @@ def mixed_documents(docs: DataFrame, settings: Settings = Settings(), id_col: st
     count as often as they occur; their other columns are those of one of them.
     """
     places, pieces = mix(docs, settings, id_col, text_col, source_col)
-    taken = pieces.groupBy("id", "text_hash", "s", "first", "size", "lap").agg(F.max("to_word").alias("mix_end"))
+    taken = pieces.groupBy("id", "text_hash", "s", "first", "size", "lap").agg(F.max("to_word").alias("to_word"))
     named = places.select("s", "first", "size", "source").where("size > 0")
-    per_doc = taken.join(named, ["s", "first", "size"]).groupBy("id", "text_hash", "source", "size", "mix_end").agg(F.count(F.lit(1)).alias("mix_times"))
-    per_doc = per_doc.select(F.col("id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "mix_end", "mix_times")
+    per_doc = taken.join(named, ["s", "first", "size"]).groupBy("id", "text_hash", "source", "size", "to_word").agg(F.count(F.lit(1)).alias("n"))
+    names = unused(docs.columns, "mix_id", "mix_hash", "mix_source", "mix_size", "mix_end", "mix_times", "mix_copy")
+    m_id, m_hash, m_source, m_size, m_end, m_times, m_copy = names
+    per_doc = per_doc.toDF(*names[:6])
     if not places.where("size > 0").groupBy("id", "text_hash", "source").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates([id_col, text_col, source_col])
-    same = docs[id_col].eqNullSafe(F.col("mix_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("mix_hash")) & docs[source_col].cast("string").eqNullSafe(F.col("mix_source"))
-    out = docs.join(per_doc, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))))
-    whole = out.where("mix_end >= mix_size").select(*docs.columns)
+    same = docs[id_col].eqNullSafe(F.col(m_id)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(m_hash)) & docs[source_col].cast("string").eqNullSafe(F.col(m_source))
+    out = docs.join(per_doc, same).withColumn(m_copy, F.explode(F.sequence(F.lit(1), F.col(m_times).cast("int"))))
+    whole = out.where(F.col(m_end) >= F.col(m_size)).select(*docs.columns)
     cut = F.pandas_udf(lambda text, n: text.combine(n, first_words), "string")
-    parts = out.where("mix_end < mix_size").withColumn(text_col, cut(F.col(text_col), F.col("mix_end")))
+    parts = out.where(F.col(m_end) < F.col(m_size)).withColumn(text_col, cut(F.col(text_col), F.col(m_end)))
     if "n_chars" in docs.columns:
         parts = parts.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(parts.select(*docs.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import checked, map_batches
+from .common import checked, map_batches, unused
 
 
 @dataclass(frozen=True)
@@ -283,6 +283,7 @@ def without_near_copies(docs: DataFrame, settings: Settings = Settings(), id_col
     give unique ids for a choice per row.
     """
     found = staged(near_duplicates(docs, settings, id_col, text_col), "near")
-    stays = found.groupBy(id_col).agg(F.max("kept").alias("kept"))
-    gone = staged(stays.where("not kept").select(F.col(id_col).alias("gone_id")), "near-gone")
-    return docs.join(checked(gone, 16), docs[id_col].eqNullSafe(F.col("gone_id")), "left_anti")
+    (gone_id,) = unused(docs.columns, "gone_id")
+    stays = found.groupBy(F.col(id_col).alias(gone_id)).agg(F.max("kept").alias("stays"))
+    gone = staged(stays.where("not stays").select(gone_id), "near-gone")
+    return docs.join(checked(gone, 16), docs[id_col].eqNullSafe(F.col(gone_id)), "left_anti")

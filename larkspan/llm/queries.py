@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, table
-from . import bpe_reuse, exact_dedup, language_id, mixing, near_dedup
+from ..session import scratch_path
+from . import attribution, bpe_reuse, exact_dedup, id_files, language_id, line_crf, mixing, near_dedup, quality_model, sharding
 from .common import crc32_text
 
 QUERIES: dict[str, Query] = {}
@@ -97,3 +98,34 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(remainder(4) != 2))
     found = language_id.identify(docs, model)
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op1_line_crf")
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.quality_rules(docs, line_crf.train(docs))
+
+
+@query("op2_quality_model")
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.train(docs, labels.where(remainder(3) != 1))
+    found = quality_model.score(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op6_attribution")
+def op6_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute_sections(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op10_id_files")
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "ids")
+    id_files.write_ids(table(spark, sf_dir, "documents"), VOCABULARY, folder)
+    return id_files.read_ids(spark, folder).withColumnRenamed("id", "doc_id")
