@@ -3,32 +3,41 @@
 A rolling hash cuts every text into chunks; passages that documents share give
 the same chunks. The body of a chunk lies between its first and last place
 where a blank follows a visible character: no token crosses such a place and no
-rule looks across it, so a body's ids do not depend on its surroundings. Bodies that
-occur in more than one place are encoded once, in a dictionary. The joins, that is
-all text between bodies, are encoded anew from one body's end to the next
-body's start, over as many chunks as it takes to reach one; there the ids of join
-and body agree, and all ids together are those of the whole text.
+rule looks across it, so a body's ids do not depend on its surroundings.
+
+Shared bodies are encoded once and their ids reused, in two ways. Those that save
+most, by their documents and lengths, go into a dictionary of bounded size that is
+encoded beforehand and sent to all tasks. For the others, documents are dealt out by
+the least key of their bodies, which copies and near copies have in common, and
+each task remembers the bodies it has encoded, up to a bounded size; adaptive
+execution splits what is dealt to one place too much.
+
+The joins, that is all text between bodies, are encoded anew from one body's end to
+the next body's start, over as many chunks as it takes to reach one; there the ids of
+join and body agree, and all ids together are those of the whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
 from .bpe import Bpe, bpe
-from .common import checked, map_batches
+from .common import bounded, map_batches, shared
 
 #: Rolling hash: chunks of about 2**BITS characters, LEAST at least and MOST at most.
 BITS, LEAST, MOST = 10, 256, 16384
 #: White space beyond ASCII, fixed values: a place after one of these is never a body's end.
 WIDE_BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 MIN_BODY = 64
+#: Bodies in the dictionary, and bytes of ids that a task remembers besides.
+DICTIONARY = 4096
+REMEMBERED_BYTES = 64 << 20
 
 
 def cuts(codes: np.ndarray) -> list[int]:
@@ -79,87 +88,102 @@ def body_key(body: str) -> bytes:
     return hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def joined(text: str, known: dict[bytes, bytes], vocab: Bpe) -> list[int]:
-    """The ids of a whole text, those of known bodies taken from the dictionary."""
-    ids: list[int] = []
-    done = 0
-    for start, end in bodies(text):
-        found = known.get(body_key(text[start:end]))
+class Memory:
+    """Ids by body: those of the dictionary for good, others until they fill the memory."""
+
+    def __init__(self, dictionary: dict[bytes, bytes], vocab: Bpe) -> None:
+        self.dictionary, self.vocab, self.own, self.held = dictionary, vocab, {}, 0
+
+    def ids(self, body: str) -> np.ndarray:
+        key = body_key(body)
+        found = self.dictionary.get(key) or self.own.get(key)
         if found is not None:
-            ids += vocab.encode(text[done:start])
-            ids += np.frombuffer(found, np.int32).tolist()
-            done = end
-    return ids + vocab.encode(text[done:])
+            return np.frombuffer(found, np.int32)
+        ids = self.vocab.encode(body)
+        if self.held > REMEMBERED_BYTES:
+            self.own, self.held = {}, 0
+        self.own[key] = ids.tobytes()
+        self.held += 4 * len(ids)
+        return ids
+
+
+def joined(text: str, memory: Memory) -> np.ndarray:
+    """The ids of a whole text: bodies from memory, joins encoded anew."""
+    ids, done = [], 0
+    for start, end in bodies(text):
+        ids += [memory.vocab.encode(text[done:start]), memory.ids(text[start:end])]
+        done = end
+    return np.concatenate([*ids, memory.vocab.encode(text[done:])])
 
 
-Emit = Callable[[list, list[list[int]], Bpe], list[pa.Array]]
+Emit = Callable[[list[list[int]], Bpe], list[pa.Array]]
 
 
-def encode_with(docs: DataFrame, path: str, emit: Emit, columns: str, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id and what ``emit(texts, ids, vocab)`` makes of whole texts and their ids."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    row_key = F.md5(F.col("text").cast("binary"))
+def widely_shared(texts: DataFrame, path: str, size: int = DICTIONARY) -> dict[bytes, bytes]:
+    """Ids of the ``size`` bodies whose reuse saves most characters, counted over all texts."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, key = [], []
-        vocab = bpe(path)
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            if not vocab.has_special(text):
-                found = {body_key(text[a:b]) for a, b in bodies(text)}
-                owner += [i] * len(found)
-                key += found
-        picked = pa.array(owner, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id").take(picked), batch.column("row").take(picked), pa.array(key, pa.binary())], ["id", "row", "key"])
-
-    places = staged(map_batches(rows.withColumn("row", row_key).select("id", "row", "text"), keys, f"id {id_type}, row string, key binary"), "bodies")
-    shared = staged(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-bodies")
+        count: dict[bytes, list[int]] = {}
+        for text in batch.column("text").to_pylist():
+            for key, chars in {body_key(text[a:b]): b - a for a, b in bodies(text)}.items():
+                count.setdefault(key, [0, chars])[0] += 1
+        made = [pa.array(count.keys(), pa.binary()), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(made, ["key", "n", "chars"])
+
+    counted = map_batches(texts, keys, "key binary, n long, chars long").groupBy("key").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    saves = (F.col("n") - 1) * F.col("chars")
+    top = {bytes(r.key) for r in counted.where("n > 1").orderBy(saves.desc(), "key").limit(size).select("key").collect()}
+    if not top:
+        return {}
+    wanted = shared(texts.sparkSession, top)
 
     def contents(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[bytes, str] = {}
-        vocab = bpe(path)
+        found, some = {}, wanted()
         for text in batch.column("text").to_pylist():
-            if not vocab.has_special(text):
-                for a, b in bodies(text):
-                    found.setdefault(body_key(text[a:b]), text[a:b])
+            for a, b in bodies(text):
+                key = body_key(text[a:b])
+                if key in some:
+                    found[key] = text[a:b]
         return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.string())], ["key", "body"])
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocab = bpe(path)
-        ids = [np.array(vocab.encode(b), np.int32).tobytes() for b in batch.column("body").to_pylist()]
+        ids = [bpe(path).encode(b).tobytes() for b in batch.column("body").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
-    once = map_batches(rows.select("text"), contents, "key binary, body string").join(checked(shared), "key", "left_semi").dropDuplicates(["key"])
-    dictionary = staged(map_batches(once, encoded, "key binary, ids binary"), "dictionary")
+    once = map_batches(texts, contents, "key binary, body string").dropDuplicates(["key"])
+    return {bytes(r.key): bytes(r.ids) for r in map_batches(once, encoded, "key binary, ids binary").collect()}
 
-    owned = places.distinct().join(dictionary, "key").groupBy("id", "row").agg(F.collect_list(F.struct("key", "ids")).alias("known"))
-    owned = staged(owned.select(F.col("id").alias("owner"), F.col("row").alias("owner_row"), "known"), "owned")
-    owners = owned.select("owner", "owner_row")
-    same = F.col("id").eqNullSafe(F.col("owner")) & (row_key == F.col("owner_row"))
 
-    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocab = bpe(path)
-        texts = batch.column("text").to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column("id"), *emit(texts, [vocab.encode(t) for t in texts], vocab)], names)
+def encode_with(docs: DataFrame, path: str, emit: Emit, columns: str, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id and what ``emit(ids, vocab)`` makes of the ids of whole texts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    dictionary = shared(docs.sparkSession, widely_shared(rows.select("text"), path))
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        least = [min((body_key(t[a:b])[:8] for a, b in bodies(t)), default=None) or body_key(t)[:8] for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([int.from_bytes(k, "little", signed=True) for k in least], pa.int64())], [*batch.schema.names, "least"])
 
-    def reused(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe(path)
-        texts = batch.column("text").to_pylist()
-        known = [{e["key"]: e["ids"] for e in k} for k in batch.column("known").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("id"), *emit(texts, [joined(t, k, vocab) for t, k in zip(texts, known)], vocab)], names)
+        memory = Memory(dictionary(), vocab)
+        for batch in batches:
+            for part in bounded(batch):
+                texts = part.column("text").to_pylist()
+                # special tokens are taken out of a text before anything else, so such a text is encoded as one
+                ids = [(vocab.encode(t) if vocab.has_special(t) else joined(t, memory)).tolist() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *emit(ids, vocab)], names)
 
-    schema = f"id {id_type}, {columns}"
     names = ["id"] + [c.split()[0] for c in columns.split(", ")]
-    alone = map_batches(rows.join(checked(owners, 80), same, "left_anti").select("id", "text"), plain, schema)
-    sharing = map_batches(rows.join(owned, same).select("id", "text", "known"), reused, schema)
-    return alone.unionByName(sharing).withColumnRenamed("id", id_col)
+    dealt = map_batches(rows, deal, f"id {id_type}, text string, least long").hint("rebalance", "least")
+    return dealt.select("id", "text").mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
 
 
-def _whole(texts: list, ids: list[list[int]], vocab: Bpe) -> list[pa.Array]:
+def _whole(ids: list[list[int]], vocab: Bpe) -> list[pa.Array]:
     return [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
 
 
-def _digest(texts: list, ids: list[list[int]], vocab: Bpe) -> list[pa.Array]:
+def _digest(ids: list[list[int]], vocab: Bpe) -> list[pa.Array]:
     sha = [hashlib.sha256(vocab.listed(i).encode()).hexdigest() for i in ids]
     back = [hashlib.sha256(vocab.decode(i).encode("utf-8", "replace")).hexdigest() for i in ids]
     return [pa.array([len(i) for i in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
