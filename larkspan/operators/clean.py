@@ -12,7 +12,6 @@ from .lookup import lookup_with_default
 
 CONFIDENCE_THRESHOLD = 0.60
 LOW_CONFIDENCE = 0.70
-MAX_CODE_CHARS = 4000
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -86,10 +85,11 @@ def decode_label_ids(df: DataFrame, names: DataFrame, id_col: str, name_col: str
     return joined.drop(id_col)
 
 
-def usable_code(df: DataFrame, max_chars: int = MAX_CODE_CHARS) -> DataFrame:
-    """``code``, else the original text; present and not too long."""
+def usable_code(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """``code``, else the original text; present and, on demand, not too long."""
     code = F.coalesce(F.nullif("code", F.lit("")), F.nullif("original_string", F.lit("")))
-    return df.withColumn("code", code).filter(F.col("code").isNotNull() & (F.length("code") <= max_chars))
+    present = df.withColumn("code", code).filter(F.col("code").isNotNull())
+    return present if max_chars is None else present.filter(F.length("code") <= max_chars)
 
 
 def confidence_gate(

@@ -15,10 +15,10 @@ from .ranking import first_n_per_group
 
 # Language ids shared by labelling, training and scoring.
 LANGUAGE_IDS = {"python": 0, "java": 1, "javascript": 2, "php": 3, "ruby": 4, "go": 5}
-MAX_PER_LANGUAGE = 60_000
 
-_DOUBLE = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
-_SINGLE = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
+# Possessive repeats: a string has one reading, and a long one must not be a deep recursion.
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _BACKTICK = r"`[^`]*`"
 _TRIPLE = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
 _HASH = r"#[^\n]*"
@@ -48,11 +48,14 @@ DECISIONS = {
 }
 _CALL_BLOCK = r"\s*\([^(){};]*\)\s*(?:throws\s+[\w.,\s]+)?\{"
 FUNCTIONS = {
-    "python": r"\bdef\s", "java": r"\b\w+" + _CALL_BLOCK, "javascript": r"\bfunction\b|=>\s*\{",
+    "python": r"\bdef\s", "java": r"\b\w+" + _CALL_BLOCK, "javascript": r"\bfunction\b(?:\s+\w+)?|=>|\b\w+" + _CALL_BLOCK,
     "php": r"\bfunction\b", "ruby": r"\bdef\s", "go": r"\bfunc\b",
 }
-# Java control blocks look like methods and are taken off again.
-JAVA_CONTROL = r"\b(?:if|for|while|switch|catch|synchronized)" + _CALL_BLOCK
+# What the patterns above take for a function of its own: control blocks, calls of ``new`` with a class body.
+NOT_FUNCTIONS = {
+    "java": r"\b(?:if|for|while|switch|catch|synchronized|try|new\s+[\w.]+)" + _CALL_BLOCK,
+    "javascript": r"\b(?:if|for|while|switch|catch|with)" + _CALL_BLOCK,
+}
 TOKEN = r"\w+|[^\w\s]"
 # One match per line that is not blank.
 CODE_LINE = r"\S[^\n]*"
@@ -81,49 +84,58 @@ def without_strings(code: Column | str, language: Column | str) -> Column:
     return by_language(language, lambda n: F.regexp_replace(col(code), f"(?=[\"'`])(?:{STRINGS[n]})", "s"))
 
 
+def re2(pattern: str) -> str:
+    """The same pattern for an engine without possessive repeats, which never recurses."""
+    return pattern.replace("*+", "*")
+
+
 def function_count(plain: Column | str, language: Column | str) -> Column:
     def count(name: str) -> Column:
         n = F.regexp_count(col(plain), F.lit(FUNCTIONS[name]))
-        return n - F.regexp_count(col(plain), F.lit(JAVA_CONTROL)) if name == "java" else n
+        return n - F.regexp_count(col(plain), F.lit(NOT_FUNCTIONS[name])) if name in NOT_FUNCTIONS else n
 
     return by_language(language, count)
 
 
-def code_metrics(df: DataFrame, code: str = "code", language: str = "language") -> DataFrame:
-    """Attach function count, complexity, code lines and token count.
+def _measured(df: DataFrame, code: str, language: str) -> DataFrame:
+    """Attach the cleaned texts ``_bare`` and ``_plain``, made once per row, and the function count."""
+    lang = F.col(language)
+    cleaned = let(
+        without_comments(php_prelude(F.col(code), lang), lang),
+        lambda bare: let(without_strings(bare, lang), lambda plain: F.struct(
+            bare.alias("_bare"), plain.alias("_plain"), function_count(plain, lang).alias("n_functions"))),
+    )
+    return df.select("*", F.inline(F.array(cleaned)))
 
-    The cleaned text is bound once per row and the counts leave through a
-    generator, so a later filter on them does not count a second time.
-    """
+
+def _counted(df: DataFrame, language: str) -> DataFrame:
     lang = F.col(language)
+    return df.withColumns({
+        "cyclomatic_complexity": by_language(
+            lang, lambda n: 1 + F.regexp_count("_plain", F.lit(f"(?=[{_DECISION_STARTS}])(?:{DECISIONS[n]})"))),
+        "nloc": F.regexp_count("_bare", F.lit(CODE_LINE)),
+        "token_count": F.regexp_count("_plain", F.lit(TOKEN)),
+    }).drop("_bare", "_plain")
 
-    def counts(bare: Column, plain: Column) -> Column:
-        decisions = by_language(lang, lambda n: 1 + F.regexp_count(plain, F.lit(f"(?=[{_DECISION_STARTS}])(?:{DECISIONS[n]})")))
-        return F.struct(
-            function_count(plain, lang).alias("n_functions"),
-            decisions.alias("cyclomatic_complexity"),
-            F.regexp_count(bare, F.lit(CODE_LINE)).alias("nloc"),
-            F.regexp_count(plain, F.lit(TOKEN)).alias("token_count"),
-        )
 
-    measured = let(
-        without_comments(php_prelude(F.col(code), lang), lang),
-        lambda bare: let(without_strings(bare, lang), lambda plain: counts(bare, plain)),
-    )
-    return df.select("*", F.inline(F.array(measured)))
+def code_metrics(df: DataFrame, code: str = "code", language: str = "language") -> DataFrame:
+    """Attach function count, complexity, code lines and token count."""
+    return _counted(_measured(df, code, language), language)
 
 
-def label_code(df: DataFrame, order: list[str], max_per_language: int = MAX_PER_LANGUAGE) -> DataFrame:
-    """Labelled single-function snippets of the known languages, capped per language.
+def label_code(df: DataFrame, order: list[str], max_per_language: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Labelled single-function snippets of the known languages, on demand capped per language.
 
     ``order`` names the columns that give file and line order; the cap counts
-    rows that passed every filter.
+    rows that passed every filter. Functions are counted first, the rest only
+    for the rows that stay.
     """
     ids = F.create_map(*[F.lit(x) for pair in LANGUAGE_IDS.items() for x in pair])
-    rows = usable_code(df.filter(F.col("language").isin(list(LANGUAGE_IDS))))
-    labelled = code_metrics(rows).filter(F.col("n_functions") == 1)
-    kept = first_n_per_group(labelled, ["language"], [F.col(c) for c in order], max_per_language)
-    return kept.select(
+    rows = usable_code(df.filter(F.col("language").isin(list(LANGUAGE_IDS))), max_chars)
+    labelled = _counted(_measured(rows, "code", "language").filter(F.col("n_functions") == 1), "language")
+    if max_per_language is not None:
+        labelled = first_n_per_group(labelled, ["language"], [F.col(c) for c in order], max_per_language)
+    return labelled.select(
         *order, "code", "language", F.element_at(ids, F.col("language")).alias("language_id"),
         "cyclomatic_complexity", "nloc", "token_count",
     )

@@ -7,21 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 MAX_LOOKUP_ROWS = 50_000
 MAX_LOOKUP_BYTES = 128 << 20
 
 
 def settle(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> tuple[DataFrame, bool]:
-    """Run a small table once and keep it as literal rows.
+    """Write a table once and tell whether it is small enough to be broadcast.
 
-    At most ``max_rows + 1`` rows reach the driver. A table with more rows or
-    bytes is returned untouched with ``False``, so the caller joins it by
-    shuffle instead.
+    Its rows and the bytes of its text columns are counted where they are, so nothing
+    but two numbers reaches the driver, and a table that does not fit is read
+    again from its copy, not computed again.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > MAX_LOOKUP_BYTES:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, schema=df.schema), True
+    held = staged(df, "lookup")
+    wide = [F.octet_length(f.name) for f in held.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(held.columns))).cast("bigint")
+    nested = any(f.dataType.typeName() in ("array", "map", "struct") for f in held.schema)
+    if nested:
+        size = size + F.octet_length(F.to_json(F.struct("*")))
+    seen = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return held, seen["n"] <= max_rows and seen["bytes"] <= MAX_LOOKUP_BYTES
 
 
 def lookup_join(
@@ -30,7 +36,7 @@ def lookup_join(
 ) -> DataFrame:
     """Attach a lookup table: broadcast within the bound, shuffled beyond it."""
     small, fits = settle(table, max_rows)
-    return df.join(F.broadcast(small) if fits else table, list(on), how)
+    return df.join(F.broadcast(small) if fits else small, list(on), how)
 
 
 def lookup_with_default(

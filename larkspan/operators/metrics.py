@@ -13,7 +13,8 @@ OVERALL = "OVERALL"
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    hit = F.col(label) == F.col(prediction)
+    """A null on either side is a miss."""
+    hit = F.coalesce(F.col(label) == F.col(prediction), F.lit(False))
     return df.agg(
         F.count_if(hit).alias("correct"), F.count(F.lit(1)).alias("total"),
         F.avg(hit.cast("double")).alias("accuracy"),
@@ -23,11 +24,12 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 def binary_metrics(
     df: DataFrame, label: str = "label", prediction: str = "prediction", positive: int = 1,
 ) -> DataFrame:
-    """Accuracy, precision, recall and F1 of one positive class."""
-    y, p = F.col(label) == positive, F.col(prediction) == positive
+    """Accuracy, precision, recall and F1 of one positive class; a null is not that class and never right."""
+    y = F.coalesce(F.col(label) == positive, F.lit(False))
+    p = F.coalesce(F.col(prediction) == positive, F.lit(False))
     counts = df.agg(
         F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
-        F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"),
+        F.avg(F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("double")).alias("accuracy"),
     )
     scored = counts.select(
         "accuracy",

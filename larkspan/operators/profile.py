@@ -90,11 +90,11 @@ def grouped_quantiles(
     Equal values are counted first, once, into a staged table. Approximate bounds cut each group's values
     into slices; the slice sizes tell which slice holds a wanted rank, and only
     those slices are sorted, each in a task of its own. The bounds only steer
-    the work: the result is exact for any bounds.
+    the work: the result is exact for any bounds, and a double only when it is interpolated.
     """
     counted = staged(
         df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-        .select(F.col(group), F.col(value).cast("double").alias("_v"))
+        .select(F.col(group), F.col(value).alias("_v"))
         .groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_c")),
         "value-counts",
     )
@@ -128,7 +128,7 @@ def grouped_quantiles(
         .withColumn("_upto", F.col("_before") + F.sum("_c").over(in_slice))
         .filter((F.col("_upto") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_upto")))
     )
-    low, high = F.min("_v"), F.max("_v")
+    low, high = F.min("_v").cast("double"), F.max("_v").cast("double")
     part = F.any_value("_rank") - F.floor(F.any_value("_rank"))
     return hit.groupBy(group, F.col("_p").alias("point")).agg((low + (high - low) * part).alias("quantile"))
 

@@ -34,14 +34,16 @@ def invert_scaler(df: DataFrame, scaler: DataFrame, column: str, name: str) -> D
 def fit_calibration(
     df: DataFrame, group: str, prediction: str = "prediction", target: str = "target",
 ) -> DataFrame:
-    """Least squares ``target = a * prediction + b`` per group.
+    """Least squares ``target = a * prediction + b`` per group, over rows that have both numbers.
 
     A constant predictor has no unique line; the shortest solution is taken.
     """
     p, t = F.col(prediction).cast("double"), F.col(target).cast("double")
+    both = t.isNotNull() & p.isNotNull()
+    paired = lambda c: F.when(both, c)
     fits = df.groupBy(group).agg(
         F.regr_slope(t, p).alias("_a"), F.regr_intercept(t, p).alias("_b"),
-        F.min(p).alias("_low"), F.max(p).alias("_high"), F.avg(t).alias("_t"), F.count(p).alias("n"),
+        F.min(paired(p)).alias("_low"), F.max(paired(p)).alias("_high"), F.avg(paired(t)).alias("_t"), F.count_if(both).alias("n"),
     )
     flat = F.col("_low") == F.col("_high")
     scale = F.col("_t") / (F.col("_low") * F.col("_low") + 1)

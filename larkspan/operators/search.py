@@ -1,10 +1,10 @@
 """Embedding and exact inner-product search.
 
-The many vectors stay where they are. Queries are broadcast as one matrix when
-their number is within a bound; each task multiplies its vectors with that
-matrix block by block and keeps only its best ``k`` per query, so neither pairs
-nor the index ever move. Beyond the bound, queries and vectors are cut into
-blocks that meet pairwise in a grid, with the same ``k`` kept per cell.
+The many vectors stay where they are. Queries go out as matrices of bounded
+size, one matrix per pass over the vectors; each task multiplies its vectors
+with the matrix block by block and keeps only its best ``k`` per query, so
+neither pairs nor the index ever move. More queries than one matrix holds mean
+more passes, with the same result.
 """
 
 from __future__ import annotations
@@ -16,23 +16,26 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank, preview
+from ..session import staged
 from .lookup import lookup_join
 
 TOP_K = 10
 MIN_SCORE = 0.20
 DIMENSION = 384
-SCORE_DIGITS = 9
-MAX_BROADCAST_QUERIES = 10_000
-MAX_BROADCAST_BYTES = 128 << 20
-GRID_QUERIES = 4_096
-GRID_VECTORS = 50_000
+# Scores are shown with 9 digits. They are compared with 12, so that sums that differ only
+# by the order of their terms, as for copies of a vector, are ties.
+SHOWN_DIGITS = 9
+COMPARED_DIGITS = 12
+MATRIX_QUERIES = 10_000
+MATRIX_BYTES = 64 << 20
 CELLS = 2_000_000
 
 EmbedFn = Callable[[Sequence[str]], np.ndarray]
@@ -90,14 +93,14 @@ def embed(
 # --- top-k -------------------------------------------------------------------
 
 
-def _best(rows: pa.Table, ids: Sequence[str], k: int) -> pa.Table:
-    """Best ``k`` per query, ties by id."""
+def _best(rows: pa.Table, ids: Sequence[str], k: np.ndarray) -> pa.Table:
+    """Best ``k[q]`` per query, ties by id."""
     order = [("q", "ascending"), ("score", "descending"), *[(c, "ascending") for c in ids]]
     rows = rows.sort_by(order)
     q = rows.column("q").to_numpy()
     first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-    return rows.filter(pa.array(np.arange(len(q)) - start < k))
+    return rows.filter(pa.array(np.arange(len(q)) - start < k[q]))
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -113,11 +116,7 @@ def _candidates(
     block = max(1, CELLS // max(1, len(queries)))
     for at in range(0, vectors.num_rows, block):
         part = vectors.slice(at, block)
-        size = pc.list_value_length(part.column(vec))
-        part = part.filter(pc.equal(size, queries.shape[1]))
-        if part.num_rows == 0:
-            continue
-        scores = np.round(_matrix(part.column(vec)) @ queries.T, SCORE_DIGITS)
+        scores = np.round(_matrix(part.column(vec)) @ queries.T, COMPARED_DIGITS)
         row, q = np.nonzero(scores >= floor)
         taken = part.select(list(ids)).take(pa.array(row))
         taken = taken.add_column(0, "score", pa.array(scores[row, q]))
@@ -125,10 +124,13 @@ def _candidates(
 
 
 def _task_best(
-    batches: Iterator[pa.Table], queries: np.ndarray, ids: Sequence[str], vec: str, k: int, min_score: float,
+    batches: Iterator[pa.Table], queries: np.ndarray, ids: Sequence[str], vec: str,
+    k: int | np.ndarray, min_score: float | np.ndarray,
 ) -> pa.Table | None:
-    """Best ``k`` per query over all batches with memory bounded by k and the block size."""
-    floor = np.full(len(queries), min_score)
+    """Best ``k`` per query over all batches; memory is bounded by the sum of k and the block size."""
+    k = np.broadcast_to(np.asarray(k, np.int64), len(queries))
+    low_score = np.broadcast_to(np.asarray(min_score, float), len(queries))
+    floor = low_score.copy()
     best: pa.Table | None = None
     pending: list[pa.Table] = []
     waiting = 0
@@ -143,7 +145,7 @@ def _task_best(
                 full = np.bincount(q, minlength=len(queries)) >= k
                 low = np.full(len(queries), np.inf)
                 np.minimum.at(low, q, best.column("score").to_numpy())
-                floor = np.where(full, low, min_score)
+                floor = np.where(full, low, low_score)
     if pending:
         best = _best(pa.concat_tables([*([best] if best else []), *pending]), ids, k)
     return best
@@ -154,110 +156,103 @@ def _result_schema(vectors: DataFrame, ids: Sequence[str]) -> T.StructType:
     return T.StructType(fields + [T.StructField(c, vectors.schema[c].dataType) for c in ids])
 
 
-def _broadcast_topk(queries, vectors, rows, ids, vec, k, min_score) -> DataFrame:
-    """All queries in one matrix: one narrow pass over the vectors."""
-    spark = vectors.sparkSession
-    matrix = spark.sparkContext.broadcast(_matrix(rows.column("query_vec")))
-    schema = _result_schema(vectors, ids)
+def _pass(vectors: DataFrame, rows: pa.Table, ids: Sequence[str], vec: str) -> DataFrame:
+    """One pass over the vectors for the queries of one matrix: the best of every task."""
+    matrix = _matrix(rows.column("query_vec"))
+    number, k, low = (rows.column(c).to_numpy() for c in ("q", "k", "low"))
+    sent = vectors.sparkSession.sparkContext.broadcast((matrix, number, k, low))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _task_best((pa.Table.from_batches([b]) for b in batches), matrix.value, ids, vec, k, min_score)
+        queries, numbers, most, least = sent.value
+        best = _task_best((pa.Table.from_batches([b]) for b in batches), queries, ids, vec, most, least)
         if best is not None:
-            yield from best.to_batches()
+            named = pa.array(numbers[best.column("q").to_numpy()])
+            yield from best.set_column(0, "q", named).to_batches()
 
-    local = vectors.select(*ids, vec).mapInArrow(run, schema)
-    names = spark.createDataFrame(
-        pa.table({"q": pa.array(np.arange(rows.num_rows)), "query_id": rows.column("query_id")}),
-        schema=T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", queries.schema[0].dataType)]),
-    )
-    best = W.partitionBy("q").orderBy(F.desc("score"), *ids)
-    ranked = local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.join(F.broadcast(names), "q").drop("q")
-
-
-def _grid_topk(queries, vectors, ids, vec, k, min_score, per_query_block, per_vector_block) -> DataFrame:
-    """Too many queries for one matrix: blocks of both sides meet in a grid."""
-    sizes = [d.agg(F.count(F.lit(1))).first()[0] for d in (queries, vectors)]
-    nq = max(1, -(-sizes[0] // per_query_block))
-    nv = max(1, -(-sizes[1] // per_vector_block))
-    left = queries.select(
-        F.col("query_id"), F.col("query_vec"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint"))).alias("vb"),
-    )
-    right = vectors.select(
-        *ids, vec, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("qb"),
-        F.pmod(F.xxhash64(*ids), F.lit(nv)).alias("vb"),
-    )
-    fields = _result_schema(vectors, ids).fields[1:]
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *fields])
+    return vectors.select(*ids, vec).mapInArrow(run, _result_schema(vectors, ids))
 
-    def cell(q: pa.Table, v: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": q.column("query_id").slice(0, 0), "score": pa.array([], pa.float64()),
-                          **{c: v.column(c).slice(0, 0) for c in ids}})
-        if q.num_rows == 0 or v.num_rows == 0:
-            return empty
-        best = _task_best(iter([v]), _matrix(q.column("query_vec")), ids, vec, k, min_score)
-        if best is None:
-            return empty
-        named = q.column("query_id").take(best.column("q"))
-        return best.drop_columns(["q"]).add_column(0, "query_id", named)
 
-    local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(cell, schema)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), *ids)
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def _one_size(queries: DataFrame, vectors: DataFrame, vec: str) -> int:
+    """The number of queries; both sides must hold vectors of one size."""
+    sizes = lambda df, c: df.agg(F.min(F.size(c)).alias("low"), F.max(F.size(c)).alias("high"), F.count(c).alias("n")).first()
+    q, v = sizes(queries, "query_vec"), sizes(vectors, vec)
+    if q["n"] and q["low"] != q["high"]:
+        raise ValueError("query vectors differ in size")
+    if v["n"] and v["low"] != v["high"]:
+        raise ValueError("vectors differ in size")
+    if q["n"] and v["n"] and q["low"] != v["low"]:
+        raise ValueError(f"queries have size {q['low']}, vectors have size {v['low']}")
+    return q["n"]
 
 
 def similarity_topk(
     queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vec: str,
-    ids: Sequence[str], vec: str = "embedding", k: int = TOP_K, min_score: float = MIN_SCORE,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
-    grid_queries: int = GRID_QUERIES, grid_vectors: int = GRID_VECTORS,
+    ids: Sequence[str], vec: str = "embedding", k: int | Column = TOP_K, min_score: float | Column = MIN_SCORE,
+    matrix_queries: int = MATRIX_QUERIES,
 ) -> DataFrame:
     """The ``k`` highest inner products per query that reach ``min_score``.
 
     Columns: ``query_id``, ``rank``, ``score``, then the id columns. Equal
-    scores rank by id. Vectors of another size than the queries never match.
+    scores rank by id. Every query row is answered, also if several share an
+    id. ``k`` and ``min_score`` may be columns of the queries, so that each
+    query has its own. Vectors of different sizes are an error; null vectors
+    never match.
     """
-    if k <= 0:
+    if isinstance(k, int) and k <= 0:
         raise ValueError(f"top_k must be a positive integer, got {k}")
     ids = list(ids)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-    asked = asked.filter(F.col("query_vec").isNotNull())
-    rows = asked.limit(max_broadcast + 1).toArrow()
-    if rows.num_rows == 0:
-        empty = vectors.select(*ids).limit(0)
-        return empty.select(
-            F.lit(None).cast(asked.schema[0].dataType).alias("query_id"), F.lit(0).alias("rank"),
-            F.lit(0.0).alias("score"), *ids,
-        )
-    if len(pc.unique(pc.list_value_length(rows.column("query_vec")))) > 1:
-        raise ValueError("query vectors differ in size")
-    if rows.num_rows <= max_broadcast and rows.nbytes <= MAX_BROADCAST_BYTES:
-        out = _broadcast_topk(asked, vectors, rows, ids, vec, k, min_score)
-    else:
-        out = _grid_topk(asked, vectors, ids, vec, k, min_score, grid_queries, grid_vectors)
-    return out.select("query_id", "rank", "score", *ids)
+    asked = queries.select(
+        F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"),
+        (k if isinstance(k, Column) else F.lit(k)).cast("bigint").alias("k"),
+        (min_score if isinstance(min_score, Column) else F.lit(min_score)).cast("double").alias("low"),
+    ).filter(F.col("query_vec").isNotNull())
+    # Written once: the row numbers must not change between passes.
+    asked = staged(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
+    vectors = vectors.filter(F.col(vec).isNotNull())
+    n = _one_size(asked, vectors, vec)
+    shown = ["query_id", "rank", "score", *ids]
+    if n == 0:
+        ends = vectors.select(*ids).limit(0)
+        return ends.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *ids)
+    width = asked.agg(F.coalesce(F.max(F.size("query_vec")), F.lit(1))).first()[0]
+    most = max(1, min(matrix_queries, MATRIX_BYTES // (8 * max(width, 1))))
+    blocks = max(1, -(-n // most))
+    found = []
+    for i in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).toArrow().sort_by("q")
+        if rows.num_rows:
+            local = _pass(vectors, rows, ids, vec)
+            found.append(local if blocks == 1 else staged(local, "best"))
+    local = found[0]
+    for more in found[1:]:
+        local = local.unionByName(more)
+    best = W.partitionBy("q").orderBy(F.desc("score"), *ids)
+    names = asked.select("q", "query_id", "k")
+    ranked = local.withColumn("rank", F.row_number().over(best)).join(F.broadcast(names) if blocks == 1 else names, "q")
+    kept = ranked.filter(F.col("rank") <= F.col("k"))
+    return kept.withColumn("score", F.round("score", SHOWN_DIGITS)).select(*shown)
 
 
 def search(
     index: DataFrame, queries: DataFrame, *, query_id: str = "query_id", query: str = "query",
-    k: int = TOP_K, min_score: float = MIN_SCORE, make_embed: Callable[[], EmbedFn] = hashed_words,
+    k: int | Column = TOP_K, min_score: float | Column = MIN_SCORE, make_embed: Callable[[], EmbedFn] = hashed_words,
 ) -> DataFrame:
-    """Search an index of chunks by text; a blank query has no result."""
-    asked = embed(queries.select(query_id, query), query, "query_vec", make_embed)
+    """Search an index of chunks by text; a blank query has no result.
+
+    The index should be a written table: it is read for the scores and for the previews.
+    """
+    asked = embed(queries, query, "query_vec", make_embed)
     hits = similarity_topk(
         asked, index, query_id=query_id, query_vec="query_vec", ids=["filepath", "chunk_id"],
         k=k, min_score=min_score,
     )
     shown = index.select("filepath", "chunk_id", "filename", preview("content").alias("preview"))
-    found = lookup_join(shown, hits, ["filepath", "chunk_id"], "inner")
+    found = lookup_join(shown, staged(hits, "hits"), ["filepath", "chunk_id"], "inner")
     return found.select("query_id", "rank", "score", "filename", "filepath", "chunk_id", "preview")
 
 
 def mean_pool(df: DataFrame, group: str, vec: str = "embedding", name: str = "embedding") -> DataFrame:
     """Mean vector per group; partial sums are formed before the shuffle."""
-    cells = df.select(group, F.posexplode(vec).alias("dim", "x"))
-    means = cells.groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    # One entry per dimension: the list is as long as a vector, whatever the group's size.
-    pairs = F.array_sort(F.collect_list(F.struct("dim", "m")))
-    return means.groupBy(group).agg(F.transform(pairs, lambda p: p["m"]).alias(name))
+    mean = Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))
+    rows = df.filter(F.col(vec).isNotNull())
+    return rows.groupBy(group).agg(vector_to_array(mean).alias(name))

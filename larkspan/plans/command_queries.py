@@ -43,8 +43,8 @@ SENTENCES = {
 
 
 def sql_filler(s: str) -> str:
-    head = f"regexp_replace({s}, {quoted(tx.leading_pattern(RE2))}, '', 'i')"
-    return sql_strip(f"regexp_replace({head}, {quoted(tx.trailing_pattern(RE2))}, '', 'i')")
+    head = f"regexp_replace({s}, {quoted(tx.dialect(tx.LEADING_COURTESY, RE2))}, '', 'i')"
+    return sql_strip(f"regexp_replace({head}, {quoted(tx.dialect(tx.TRAILING_COURTESY, RE2))}, '', 'i')")
 
 
 def sql_verbs(s: str, verbs) -> str:
@@ -53,11 +53,11 @@ def sql_verbs(s: str, verbs) -> str:
 
 
 def sql_group(s: str, pattern: str, group: int) -> str:
-    return f"nullif(regexp_extract({s}, {quoted(entities.shape(pattern, RE2))}, {group}, 'i'), '')"
+    return f"nullif(regexp_extract({s}, {quoted(tx.dialect(pattern, RE2))}, {group}, 'i'), '')"
 
 
 def sql_without(s: str, pattern: str) -> str:
-    return sql_strip(f"regexp_replace({s}, {quoted(entities.shape(pattern, RE2))}, '', 'i')")
+    return sql_strip(f"regexp_replace({s}, {quoted(tx.dialect(pattern, RE2))}, '', 'i')")
 
 
 def sql_normal(s: str, aliases: dict[str, str]) -> str:
@@ -103,10 +103,21 @@ FIELDS_SQL = {
     "open_project": {"project": sql_strip(sql_group("s", entities.PROJECT_SHAPE, 1))},
     "run_command": {"command": f"nullif({sql_without('s', entities.COMMAND_LEAD)}, '')"},
 }
+# The other intents of the dispatch: those with the same rule as one above, with a given result, or with none.
+SAME_RULE = {
+    "delete_folder": "create_folder", "volume_set": "set_volume", "brightness_set": "set_volume", "set_brightness": "set_volume",
+}
+GIVEN = {"volume_up": "up", "volume_down": "down", "brightness_up": "up", "brightness_down": "down"}
+NO_FIELDS = ("mute", "unmute", "shutdown_pc", "restart_pc", "sleep_pc", "lock_pc", "logout", "general_chat", "unknown")
+ALL_FIELDS_SQL = {
+    **FIELDS_SQL, **{k: FIELDS_SQL[v] for k, v in SAME_RULE.items()},
+    **{k: {"direction": quoted(v)} for k, v in GIVEN.items()}, **{k: {} for k in NO_FIELDS},
+}
+ALL_SENTENCES = {k: SENTENCES[SAME_RULE.get(k, k if k in SENTENCES else "set_volume")] for k in ALL_FIELDS_SQL}
 
 
 def _sentence(intent: str) -> str:
-    return f"{HEAD} || {SENTENCES[intent]} || {TAIL}"
+    return f"{HEAD} || {ALL_SENTENCES[intent]} || {TAIL}"
 
 
 def _register_entity_query(intent: str) -> None:
@@ -136,9 +147,9 @@ def strip_filler(spark, d):
 
 def _dispatch_sql() -> str:
     branches = []
-    for i, (intent, fields) in enumerate(FIELDS_SQL.items()):
+    for i, (intent, fields) in enumerate(ALL_FIELDS_SQL.items()):
         listed = ", ".join(f"({fields[f]})::VARCHAR AS {f}" if f in fields else f"NULL::VARCHAR AS {f}" for f in entities.FIELDS)
-        rows = f"(SELECT p_partkey, {sql_filler(_sentence(intent))} AS s FROM part WHERE p_partkey % {len(FIELDS_SQL)} = {i})"
+        rows = f"(SELECT p_partkey, {sql_filler(_sentence(intent))} AS s FROM part WHERE p_partkey % {len(ALL_FIELDS_SQL)} = {i})"
         branches.append(f"SELECT p_partkey, '{intent}' AS intent, {listed} FROM {rows}")
     return " UNION ALL ".join(branches)
 
@@ -146,7 +157,7 @@ def _dispatch_sql() -> str:
 @query("entities_dispatch", _dispatch_sql())
 def entities_dispatch(spark, d):
     """Every part as a command whose intent changes from row to row."""
-    intents = list(FIELDS_SQL)
+    intents = list(ALL_FIELDS_SQL)
     sentence = F.coalesce(*[
         F.when(F.col("p_partkey") % len(intents) == i, F.expr(_sentence(name))) for i, name in enumerate(intents)
     ])
@@ -158,7 +169,12 @@ def entities_dispatch(spark, d):
     return found.select("p_partkey", "intent", *[F.col(f"entities.{f}").cast("string").alias(f) for f in entities.FIELDS])
 
 
-@query("entities_json")
+_JSON_FIELDS = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN '\"{f}\":' || to_json({f}) END" for f in entities.FIELDS)
+
+
+@query("entities_json", f"""
+SELECT p_partkey, intent, '{{' || array_to_string(list_filter([{_JSON_FIELDS}], lambda x: x IS NOT NULL), ',') || '}}' AS entities
+FROM ({_dispatch_sql()})""")
 def entities_json(spark, d):
     """The same as JSON payloads that show only what was found."""
     found = entities_dispatch(spark, d)
@@ -321,16 +337,16 @@ _NAMES = "CASE l_suppkey % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enu
 
 def _functions_sql(n: str) -> str:
     count = _sql_count("plain", code_metrics.FUNCTIONS[n])
-    return f"{count} - {_sql_count('plain', code_metrics.JAVA_CONTROL)}" if n == "java" else count
+    return f"{count} - {_sql_count('plain', code_metrics.NOT_FUNCTIONS[n])}" if n in code_metrics.NOT_FUNCTIONS else count
 
 
 def _bare_sql(n: str) -> str:
-    pattern = quoted("(" + code_metrics.STRINGS[n] + ")|" + code_metrics.COMMENTS[n])
+    pattern = quoted("(" + code_metrics.re2(code_metrics.STRINGS[n]) + ")|" + code_metrics.COMMENTS[n])
     return f"regexp_replace(code, {pattern}, '\\1', 'g')"
 
 
 def _plain_sql(n: str) -> str:
-    return f"regexp_replace(bare, {quoted(code_metrics.STRINGS[n])}, 's', 'g')"
+    return f"regexp_replace(bare, {quoted(code_metrics.re2(code_metrics.STRINGS[n]))}, 's', 'g')"
 
 
 SQL_CODE = f"""
@@ -362,8 +378,7 @@ WITH {SQL_CODE}
 SELECT l_orderkey, l_linenumber, language, cyclomatic_complexity, nloc, token_count,
        CASE language WHEN 'python' THEN 0 WHEN 'java' THEN 1 WHEN 'javascript' THEN 2 WHEN 'php' THEN 3
             WHEN 'ruby' THEN 4 ELSE 5 END AS language_id
-FROM metrics WHERE n_functions = 1
-QUALIFY row_number() OVER (PARTITION BY language ORDER BY l_orderkey, l_linenumber) <= {code_metrics.MAX_PER_LANGUAGE}""")
+FROM metrics WHERE n_functions = 1""")
 def label_code(spark, d):
     rows = _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string"))
     return code_metrics.label_code(rows, ["l_orderkey", "l_linenumber"]).drop("code")

@@ -196,7 +196,7 @@ def _labelled_videos(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
     rows = ranking.dedupe_first(clean.drop_blank(rows, ["text"]), ["text"], [F.col("doc_id")])
-    rows = rows.withColumn("text", video_text("lang", "source", "text"))
+    rows = rows.withColumn("text", video_text("lang", "source", "text", None))
     held = [f"src{i}" for i in range(8)]
     return staged(splits.holdout_split(rows, "source", held[:4], held[4:]), "videos")
 
@@ -204,7 +204,7 @@ def _labelled_videos(spark, d):
 def _video_model(spark, d):
     rows = _labelled_videos(spark, d)
     model = classify.fit_text_classifier(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), grid=(0.01, 0.1), max_iter=10, cells=1 << 12
+        rows.filter("split = 'train'"), rows.filter("split = 'val'")
     )
     return rows, model
 
@@ -244,7 +244,6 @@ def intent_inference(spark, d):
     rows = staged(synth.balance_and_split(_intent_rows(spark, d), keys), "commands")
     model = classify.fit_text_classifier(
         rows.filter("split = 'train'"), rows.filter("split = 'val'"), label="intent", metric="f1",
-        grid=(0.01,), max_iter=10, cells=1 << 12,
     )
     scored = classify.predict_text(rows.filter("split = 'test'"), model)
     named = scored.withColumnRenamed("intent", "truth").withColumnRenamed("predicted", "intent")
@@ -260,7 +259,7 @@ def complexity_evaluation(spark, d):
         _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string")),
         ["l_orderkey", "l_linenumber"],
     )
-    features = search.embed(rows, "code", make_embed=lambda: search.hashed_words(64))
+    features = search.embed(rows, "code", make_embed=search.hashed_words)
     path = scratch_path(spark, "code-features")
     sinks.write_parquet(features, path)
     cached = spark.read.parquet(path)
@@ -268,7 +267,7 @@ def complexity_evaluation(spark, d):
     scaled = regression.apply_scaler(cached, scaler, "cyclomatic_complexity")
     parts = splits.validation_split(scaled, ["l_orderkey", "l_linenumber"])
     train, val = parts.filter("split = 'train'"), parts.filter("split = 'val'")
-    model = classify.fit_complexity_model(train, val, penalties=(0.01,))
+    model = classify.fit_complexity_model(train, val)
     fitted = regression.fit_calibration(
         classify.predict_normalized(train, model), "language", target="target_norm"
     )
@@ -317,20 +316,20 @@ def stream_requests(spark, d):
     return spark.read.parquet(out).select("conv_id", "turn", "top_k", "error", "reply")
 
 
-_TURNS = "(SELECT conv_id || ':' || turn AS request_id, text FROM conversations WHERE role = 'user')"
+_TURNS = "(SELECT conv_id || ':' || turn AS request_id, text FROM conversations)"
 
 
 @query("stream_search", f"""
 WITH RECURSIVE {SQL_TEXT_CHUNKS},
 {SQL_HASHED.format(name='dv', ids='doc_id, chunk_id', text='content', source='chunks')},
 {SQL_HASHED.format(name='qv', ids='request_id', text='text', source=_TURNS)},
-s AS (SELECT request_id, doc_id, chunk_id, round(sum(qv.x * dv.x), 9) AS score
+s AS (SELECT request_id, doc_id, chunk_id, round(sum(qv.x * dv.x), 12) AS score
       FROM qv JOIN dv ON qv.dim = dv.dim GROUP BY request_id, doc_id, chunk_id)
 SELECT request_id, rank, 'doc' || doc_id AS filepath, chunk_id, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, 'doc' || doc_id, chunk_id)::INT AS rank
-      FROM s) WHERE rank <= 3 AND score >= 0.2""")
+      FROM s) WHERE rank <= 10 AND score >= 0.2""")
 def stream_search(spark, d):
-    """User turns as a stream of searches over the chunks of all documents; answers unrolled to rows."""
+    """All turns as a stream of searches over the chunks of all documents; answers unrolled to rows."""
     path = scratch_path(spark, "stream-index")
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     documents = spread(table(spark, d, "documents").select(
@@ -339,9 +338,9 @@ def stream_search(spark, d):
     sinks.write_index(search.embed(chunking.chunk_text(documents, sep="\n")), path)
     source = f"{d.rstrip('/')}/conversations.parquet"
     turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
-    lines = turns.filter("role = 'user'").select(
+    lines = turns.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
-        F.to_json(F.struct(F.col("text").alias("query"), F.lit(3).alias("top_k"))).alias("value"),
+        F.to_json(F.struct(F.col("text").alias("query"))).alias("value"),
     )
     out = scratch_path(spark, "answers")
     run = requests.serve_search(

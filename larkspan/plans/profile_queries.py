@@ -244,10 +244,10 @@ def text_preview(spark, d):
 
 @query("tokenize", r"""
 SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
-FROM (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 256) AS t FROM documents)""")
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)""")
 def tokenize(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    rows = docs.select("doc_id", tokens("text", 256).alias("t"))
+    rows = docs.select("doc_id", tokens("text").alias("t"))
     return rows.select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens")
     )
@@ -282,7 +282,7 @@ def head(spark, d):
 @query("usable_code", """
 SELECT page_id, length(code) AS chars FROM (
   SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE html END, ''), nullif(url, '')) AS code FROM pages)
-WHERE code IS NOT NULL AND length(code) <= 4000""")
+WHERE code IS NOT NULL""")
 def usable_code(spark, d):
     rows = table(spark, d, "pages").select(
         "page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")).alias("code"),

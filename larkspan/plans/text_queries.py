@@ -8,6 +8,7 @@ from ..functions import numeric, vectors
 from ..functions.text import BLANK_RE2
 from ..operators import chunking, search
 from .profile_queries import sql_strip
+from ..session import staged
 from .registry import query, spread, table
 
 
@@ -196,9 +197,9 @@ def mean_pool(spark, d):
 @query("vector_topk", f"""
 WITH {SQL_CENTROIDS},
 q AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m FROM c),
-s AS (SELECT q.label AS query_id, e.vec_id, round(sum(q.m * e.x), 9) AS score
+s AS (SELECT q.label AS query_id, e.vec_id, round(sum(q.m * e.x), 12) AS score
       FROM q JOIN e ON q.dim = e.dim GROUP BY q.label, e.vec_id)
-SELECT query_id, rank, score, vec_id
+SELECT query_id, rank, round(score, 9) AS score, vec_id
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 WHERE rank <= 10 AND score >= 0.2""")
 def vector_topk(spark, d):
@@ -210,6 +211,23 @@ def vector_topk(spark, d):
     )
 
 
+@query("vector_topk_passes", f"""
+WITH q AS (SELECT vec_id % 50 AS query_id, vec_id AS row, embedding FROM embeddings WHERE vec_id % 25 = 0),
+s AS (SELECT query_id, row, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 12) AS score
+      FROM q, embeddings e)
+SELECT query_id, rank, round(score, 9) AS score, vec_id
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WHERE rank <= 10 AND score >= 0.2""")
+def vector_topk_passes(spark, d):
+    """A stated set of vectors as queries, with repeated ids, searched among all vectors in several passes."""
+    items = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = items.filter("vec_id % 25 = 0").select((F.col("vec_id") % 50).alias("query_id"), F.col("embedding").alias("q"))
+    n = asked.count()
+    return search.similarity_topk(
+        asked, items, query_id="query_id", query_vec="q", ids=["vec_id"], k=10, min_score=0.2, matrix_queries=max(1, n // 3)
+    )
+
+
 @query("vector_checks", """
 SELECT vec_id, len(embedding) = 64 AS right_size,
        round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS norm
@@ -260,9 +278,9 @@ SQL_HASHED = """
 WITH RECURSIVE {SQL_TEXT_CHUNKS},
 {SQL_HASHED.format(name='dv', ids='doc_id, chunk_id', text='content', source='chunks')},
 {SQL_HASHED.format(name='qv', ids='item_id', text='text', source='benchmark')},
-s AS (SELECT item_id, doc_id, chunk_id, round(sum(qv.x * dv.x), 9) AS score
+s AS (SELECT item_id, doc_id, chunk_id, round(sum(qv.x * dv.x), 12) AS score
       FROM qv JOIN dv ON qv.dim = dv.dim GROUP BY item_id, doc_id, chunk_id)
-SELECT item_id AS query_id, rank, score, 'doc' || doc_id AS filename, '/corpus/doc' || doc_id AS filepath, chunk_id,
+SELECT item_id AS query_id, rank, round(score, 9) AS score, 'doc' || doc_id AS filename, '/corpus/doc' || doc_id AS filepath, chunk_id,
        CASE WHEN length(content) <= 400 THEN content
             ELSE regexp_replace(substr(content, 1, 400), '{BLANK_RE2}+$', '') || '...' END AS preview
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, '/corpus/doc' || doc_id, chunk_id)::INT AS rank
@@ -274,7 +292,7 @@ def hashed_embed_search(spark, d):
     files = spread(table(spark, d, "documents").select(
         name.alias("filename"), F.concat(F.lit("/corpus/"), name).alias("filepath"), F.col("text").alias("content")
     ))
-    index = search.embed(chunking.chunk_text(files, sep="\n"))
+    index = staged(search.embed(chunking.chunk_text(files, sep="\n")), "index")
     return search.search(
         index, table(spark, d, "benchmark"), query_id="item_id", query="text", k=10, min_score=0.2
     )

@@ -79,7 +79,8 @@ def profile_videos(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def prepare_videos(
-    raw: DataFrame, validation: Sequence[str], test: Sequence[str], order: Sequence[str] = ("video_id",),
+    raw: DataFrame, validation: Sequence[str], test: Sequence[str], order: Sequence[str],
+    description_chars: int | None = None,
 ) -> DataFrame:
     """Clean, deduplicate by id, build the text and hold out whole channels.
 
@@ -90,7 +91,7 @@ def prepare_videos(
         "title": strip("title"), "channel": strip("channel"),
     })
     unique = ranking.dedupe_first(rows, ["video_id"], [F.col(c) for c in order])
-    texts = unique.withColumn("text", video_text("title", "channel", "description"))
+    texts = unique.withColumn("text", video_text("title", "channel", "description", description_chars))
     return splits.holdout_split(texts, "channel", validation, test)
 
 

@@ -29,12 +29,18 @@ def test_code_metrics(spark, language, code, want):
     assert metrics_of(spark, language, code)[:3] == want
 
 
+@pytest.mark.parametrize("language", list(code_metrics.LANGUAGE_IDS))
+def test_long_strings_do_not_recurse(spark, language):
+    code = 'f("' + "\\\\n" * 100_000 + '")'
+    assert metrics_of(spark, language, code)[1] == 1
+
+
 def test_label_code(spark):
     rows = [(1, i, "go", "func f() { if a {} }", "") for i in range(5)] + [
         (2, 0, "python", None, "def f(): pass"), (2, 1, "python", "x = 1", ""), (2, 2, "cobol", "def f(): pass", ""),
         (2, 3, "python", "def f(): pass" + " " * 4000, "")]
     df = spark.createDataFrame(rows, "shard int, line int, language string, code string, original_string string")
-    got = {(r["shard"], r["line"], r["language_id"], r["cyclomatic_complexity"]) for r in code_metrics.label_code(df, ["shard", "line"], 3).collect()}
+    got = {(r["shard"], r["line"], r["language_id"], r["cyclomatic_complexity"]) for r in code_metrics.label_code(df, ["shard", "line"], 3, 4000).collect()}
     assert got == {(1, 0, 5, 2), (1, 1, 5, 2), (1, 2, 5, 2), (2, 0, 0, 1)}
 
 

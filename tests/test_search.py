@@ -23,7 +23,7 @@ def data(spark):
 
 def brute(v, q, k, low):
     out = {}
-    for i, row in enumerate(np.round(q @ v.T, 9)):
+    for i, row in enumerate(np.round(q @ v.T, 12)):
         ids = sorted(range(len(v)), key=lambda j: (-row[j], j))[:k]
         out[f"q{i}"] = [(j, row[j]) for j in ids if row[j] >= low]
     return out
@@ -37,10 +37,10 @@ def as_lists(df):
 
 
 @pytest.mark.parametrize("k,low", [(1, -1.0), (10, 0.2), (350, -1.0), (2000, 0.0)])
-@pytest.mark.parametrize("grid", [False, True])
-def test_topk_equals_brute_force(data, k, low, grid):
+@pytest.mark.parametrize("several", [False, True])
+def test_topk_equals_brute_force(data, k, low, several):
     v, q, vectors, queries = data
-    limits = dict(max_broadcast=5, grid_queries=6, grid_vectors=200) if grid else {}
+    limits = dict(matrix_queries=5) if several else {}
     got = se.similarity_topk(queries, vectors, query_id="name", query_vec="vector", ids=["id"], k=k, min_score=low, **limits)
     want = {n: rows for n, rows in brute(v, q, k, low).items() if rows}
     got = as_lists(got)
@@ -72,7 +72,21 @@ def test_arguments_and_empty_inputs(spark, data):
     with pytest.raises(ValueError, match="size"):
         se.similarity_topk(uneven, vectors, query_id="name", query_vec="vector", ids=["id"])
     other = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<float>")
-    assert se.similarity_topk(queries, other, query_id="name", query_vec="vector", ids=["id"]).count() == 0
+    with pytest.raises(ValueError, match="size"):
+        se.similarity_topk(queries, other, query_id="name", query_vec="vector", ids=["id"])
+    with pytest.raises(ValueError, match="size"):
+        se.similarity_topk(queries, vectors.unionByName(other), query_id="name", query_vec="vector", ids=["id"])
+
+
+@pytest.mark.parametrize("matrix", [1, 10_000])
+def test_every_query_row_has_its_own_answer(spark, data, matrix):
+    v, q, vectors, _ = data
+    rows = [("same", q[0].tolist(), 2, -1.0), ("same", q[1].tolist(), 3, -1.0), (None, q[2].tolist(), 1, -1.0), ("none", q[3].tolist(), 5, 2.0)]
+    asked = spark.createDataFrame(rows, "name string, vector array<float>, n int, low double")
+    got = se.similarity_topk(asked, vectors, query_id="name", query_vec="vector", ids=["id"], k=F.col("n"), min_score=F.col("low"), matrix_queries=matrix).collect()
+    assert sorted((r["query_id"] or "", r["rank"]) for r in got) == [("", 1), ("same", 1), ("same", 1), ("same", 2), ("same", 2), ("same", 3)]
+    want = brute(v, q, 3, -1.0)
+    assert {r["id"] for r in got if r["query_id"] == "same"} == {i for i, _ in want["q0"][:2] + want["q1"]}
 
 
 def test_search_by_text(spark):

@@ -149,7 +149,8 @@ def test_clean(spark):
     gated = clean.confidence_gate(spark.createDataFrame([("a", 0.6), ("b", 0.59), ("c", None)], "intent string, confidence double"))
     assert [tuple(r) for r in gated.collect()] == [("a", 0.6), ("unknown", 0.59), ("unknown", 0.0)]
     code = spark.createDataFrame([("", "o"), (None, ""), ("x" * 4001, "o"), ("c", None)], "code string, original_string string")
-    assert [r["code"] for r in clean.usable_code(code).collect()] == ["o", "c"]
+    assert [r["code"] for r in clean.usable_code(code, 4000).collect()] == ["o", "c"]
+    assert clean.usable_code(code).count() == 3
     assert [r["label"] for r in clean.cast_label(spark.createDataFrame([("1",), ("x",)], "label string")).collect()] == [1, None]
     names = spark.createDataFrame([(0,), (7,)], "id int").select(clean.label_name("id", {0: "zero"}).alias("n"))
     assert [r["n"] for r in names.collect()] == ["zero", "7"]

@@ -127,7 +127,9 @@ def test_videos_pipeline(spark):
     got = {r["video_id"]: r for r in workflows.prepare_videos(raw, ["A"], ["C"], ["n"]).collect()}
     assert set(got) == {"v1", "v3", "v4"}
     assert got["v1"]["text"] == "[TITLE] T [CHANNEL] A [DESC] " and got["v1"]["split"] == "val"
-    assert got["v3"]["split"] == "train" and got["v4"]["text"].endswith("[DESC] " + "z" * 250)
+    assert got["v3"]["split"] == "train" and got["v4"]["text"].endswith("[DESC] " + "z" * 300)
+    cut = workflows.prepare_videos(raw, ["A"], ["C"], ["n"], 250).filter("video_id = 'v4'").first()
+    assert cut["text"].endswith("[DESC] " + "z" * 250)
     report = {k: v.collect() for k, v in workflows.profile_videos(raw).items()}
     assert report["duplicate_ids"][0][0] == 1 and tuple(report["empty_descriptions"][0]) == (2, 40.0)
 

@@ -63,6 +63,14 @@ def test_only_bad_requests(spark, index):
     assert {r["id"]: json.loads(r["response"])["ok"] for r in out.collect()} == {1: False, 2: True}
 
 
+def test_repeated_and_missing_ids(spark, index):
+    lines = [("a", '{"query": "alpha", "top_k": 1}'), ("a", '{"query": "gamma"}'), (None, '{"query": "alpha", "top_k": 1000000000}'), ("b", '{"query": "beta"}')]
+    df = spark.createDataFrame(lines, "id string, value string")
+    got = requests.answer_search(requests.parse_search_requests(df), index, "id").collect()
+    names = sorted((r["id"] or "", [h["filename"] for h in json.loads(r["response"])["results"]]) for r in got)
+    assert names == [("", ["b.txt", "a.txt"]), ("a", ["b.txt"]), ("a", ["c.txt"]), ("b", ["a.txt"])]
+
+
 def test_stream_equals_batch(spark, index, tmp_path):
     lines = numbered(spark.readStream.text(write_lines(tmp_path / "in")))
     out = scratch_path(spark, "answers")
