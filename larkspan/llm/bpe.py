@@ -9,7 +9,7 @@ another kind, go through the library itself.
 from __future__ import annotations
 
 import json
-import re
+from array import array
 
 import numpy as np
 import tiktoken
@@ -22,12 +22,6 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Longer runs of blanks or of anything else are left to the library, whose cost stays in proportion.
 LONG_RUN = 1000
-#: Pieces between places where a blank or line feed follows another character: no token crosses one of
-#: these and no rule looks across it, so a piece has the same ids in every text. Not so beside other
-#: white space (fixed values, all but blank and line feed), so texts that hold some are encoded as one.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-REMEMBERED = 400_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -45,7 +39,6 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         vocab, merges = file["model"].get("vocab", {}), file["model"].get("merges", [])
         self.ranks = None
-        self.pieces: dict[str, bytes] = {}
         if self._in_order(file, vocab, merges):
             place = byte_of_char()
             ranks = {bytes(place[c] for c in t): i for t, i in vocab.items() if t not in self.special}
@@ -70,20 +63,9 @@ class Bpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens added."""
-        raw = text.encode("utf-8", "replace")
-        if self.ranks is None or self.has_special(text) or long_run(raw):
+        if self.ranks is None or self.has_special(text) or long_run(text.encode("utf-8", "replace")):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-        if OTHER_SPACE.search(text):
-            return np.array(self.ranks.encode_ordinary(text), np.int32)
-        pieces = PIECE.findall(text)
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.pieces[pieces[i]] = np.array(self.ranks.encode_ordinary(pieces[i]), np.int32).tobytes()
-        return np.frombuffer(b"".join(found), np.int32)
+        return np.frombuffer(array("i", self.ranks.encode_ordinary(text)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids, special tokens included."""

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .common import bounded
 
-BLOCK = 2048
+BLOCK = 1024
 #: Ids of one segment (whole documents, so a long document makes a longer one) and blocks coded in step.
-SEGMENT, LANES = 1 << 18, 2048
-SLOTS = 1024
+SEGMENT, LANES = 1 << 18, 8192
+SLOT_BITS = 9
 MAX_BITS = 20
 HEAD = "<III"
 #: Frequencies add up to 2**12; counts of size classes are made into frequencies every so many ids.
@@ -48,9 +48,9 @@ class Model:
     def __init__(self, lanes: int, bits: int) -> None:
         self.lanes, self.classes = lanes, bits + 1
         # an entry holds the id that followed, plus one, and two bits of confidence
-        self.one, self.two = np.zeros(lanes * SLOTS, U), np.zeros(lanes * SLOTS, U)
+        self.one, self.two = np.zeros(lanes << SLOT_BITS, U), np.zeros(lanes << SLOT_BITS, U)
         self.prev, self.prev2 = np.zeros(lanes, U), np.zeros(lanes, U)
-        self.base, self.base16 = np.arange(lanes, dtype=np.int64) * SLOTS, np.arange(lanes, dtype=np.int64) * 16
+        self.base, self.base16 = np.arange(lanes, dtype=np.int64) << SLOT_BITS, np.arange(lanes, dtype=np.int64) * 16
         # estimates (of 65536) that order 2 holds, low half, and that only order 1 holds, high half
         self.by_context = np.full(lanes * 16, 2048 | 2048 << 16, U)
         self.two_holds, self.one_holds = np.full(lanes, 2048, U), np.full(lanes, 2048, U)
@@ -70,13 +70,13 @@ class Model:
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies that order 2 holds and that only order 1 holds, for the first n lanes."""
         mixed = self.prev[:n] * U(0x9E3779B1)
-        self.at1 = self.base[:n] + (mixed >> 22)
-        self.at2 = self.base[:n] + ((self.prev2[:n] * U(0x85EBCA6B) + mixed * U(0xC2B2AE35)) >> 22)
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.at1 = self.base[:n] + (mixed >> (32 - SLOT_BITS))
+        self.at2 = self.base[:n] + ((self.prev2[:n] * U(0x85EBCA6B) + mixed * U(0xC2B2AE35)) >> (32 - SLOT_BITS))
+        self.e1, self.e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
         self.id1, self.id2 = (self.e1 >> 2) - U(1), (self.e2 >> 2) - U(1)
         self.at = self.base16[:n] + (self.c2 * 4 + self.c1)
-        both = self.by_context.take(self.at)
+        both = self.by_context.take(self.at, mode="clip")
         self.q2, self.q1 = both & 0xFFFF, both >> 16
         w, v = self.weight[:n], 16 - self.weight[:n]
         p2 = (self.q2 * w + self.two_holds[:n] * v) >> 4
@@ -89,7 +89,8 @@ class Model:
         g2, g1, w = self.two_holds[:n], self.one_holds[:n], self.weight[:n]
         w += ((self.q2 > g2) == hit2) * U(2)
         w -= 1
-        np.clip(w, 1, 15, out=w)
+        np.minimum(w, 15, out=w)
+        np.maximum(w, 1, out=w)
         self.by_context[self.at] = (self.q2 - (self.q2 >> 5) + h2 * 2047) | ((self.q1 - (self.q1 >> 5) + h1 * 2047) << 16)
         g2 -= g2 >> 6
         g2 += h2 * 1023
@@ -115,14 +116,14 @@ class Encoder:
         unit = self.range[:n] >> shift
         low = self.low[:n] + unit * cum
         rng = unit * freq
-        over = np.flatnonzero(low >> np.uint64(32))
+        over = (low >> np.uint64(32)).nonzero()[0]
         if len(over):
-            self.digits[self.at[over] - 1] += U(1)
+            self.digits[self.at[:n][over] - 1] += U(1)
             low[over] &= np.uint64(0xFFFFFFFF)
-        m = np.flatnonzero(rng < 65536)
-        part = low[m]
-        self.digits[self.at[m]] = part >> np.uint64(16)
-        self.at[m] += 1
+        m = (rng < 65536).nonzero()[0]
+        part, at = low[m], self.at[m]
+        self.digits[at] = part >> np.uint64(16)
+        self.at[m] = at + 1
         low[m] = (part & np.uint64(0xFFFF)) << np.uint64(16)
         rng[m] <<= U(16)
         self.low[:n], self.range[:n] = low, rng
@@ -156,7 +157,7 @@ class Decoder:
 
     def take(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
         code, rng = self.code[:n] - self.unit * cum, self.unit * freq
-        m = np.flatnonzero(rng < 65536)
+        m = (rng < 65536).nonzero()[0]
         at = self.at[m]
         code[m] = code[m] << U(16) | self.words.take(at, mode="clip")
         self.at[m] = at + 1
@@ -176,6 +177,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         ids[: sizes[lane], lane] = blocks[i]
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")
     model, coder = Model(lanes, bits), Encoder(lanes, 3 * steps + 4)
+    table, counts = model.cum.reshape(-1), model.counts.reshape(-1)
     for t in range(steps):
         n = int(live[t])
         now = ids[t, :n]
@@ -185,12 +187,12 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         hit1 = (now == model.id1) & ~hit2
         new = ~(hit2 | hit1)
         coder.put(n, U(SCALE), np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(U), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - f2 - f1)))
-        size = model.size_of.take(now + 1) * new
+        size = model.size_of.take(now + 1, mode="clip") * new
         at = size * lanes + model.lane[:n]
-        cum = model.cum.ravel().take(at)
-        freq = model.cum.ravel().take(at + lanes) - cum
+        cum = table.take(at, mode="clip")
+        freq = table.take(at + lanes, mode="clip") - cum
         coder.put(n, new * U(SCALE), cum * new, np.where(new, freq, U(1)))
-        model.counts.ravel()[at] += 24 * new
+        counts[at] += 24 * new
         rest = U(1) << size.astype(U)
         coder.put(n, size.astype(U), (now + U(1) - rest) * new, U(1))
         model.learn(n, now, hit2, hit1)
@@ -223,6 +225,7 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[
     ids = np.zeros((steps, lanes), U)
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")
     model, coder = Model(lanes, bits), Decoder([blocks[i][2] for i in order])
+    table, counts = model.cum.reshape(-1), model.counts.reshape(-1)
     for t in range(steps):
         n = int(live[t])
         model.refresh(t)
@@ -234,10 +237,10 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[
         target = coder.target(n, new * U(SCALE))
         size = (model.cum[1:, :n] <= target).sum(axis=0, dtype=np.uint8) * new.astype(np.int64)
         at = size * lanes + model.lane[:n]
-        cum = model.cum.ravel().take(at)
-        freq = model.cum.ravel().take(at + lanes) - cum
+        cum = table.take(at, mode="clip")
+        freq = table.take(at + lanes, mode="clip") - cum
         coder.take(n, cum * new, np.where(new, freq, U(1)))
-        model.counts.ravel()[at] += 24 * new
+        counts[at] += 24 * new
         shift = size.astype(U)
         target = coder.target(n, shift)
         coder.take(n, target, U(1))
@@ -338,7 +341,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in bounded(batch):
+            for some in bounded(batch, 16 << 20):
                 cols = [some.column(c).to_pylist() for c in ("first", "bits", "ids", "counts", "payload")]
                 split = [split_blocks(p) for p in cols[4]]
                 arrow_type = some.schema.field("ids").type.value_type
