@@ -218,40 +218,60 @@ def json_entries(text: str) -> list[str] | None:
     return [f'"{key}"\n\n{json.dumps(value, indent=2, ensure_ascii=False)}' for key, value in root.items()]
 
 
-def python_blocks(text: str) -> list[str] | None:
-    """Imports, definitions, remaining statements; ``None`` when not parseable."""
+def statement_spans(text: str) -> list[tuple[str, int, int]] | None:
+    """Kind, first and last line of every top-level statement; ``None`` when not parseable."""
     try:
-        module = ast.parse(text)
+        body = ast.parse(text).body
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    source = text.splitlines()
-    groups: dict[str, list[str]] = {"import": [], "define": [], "run": []}
-    for node in module.body:
-        first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-        kind = (
-            "import" if isinstance(node, (ast.Import, ast.ImportFrom))
-            else "define" if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
-            else "run"
-        )
-        groups[kind].append("\n".join(source[first - 1 : node.end_lineno]).rstrip("\n"))
-    out = ["# imports\n" + "\n".join(groups["import"])] if groups["import"] else []
-    out += groups["define"]
-    if groups["run"]:
-        out.append("# __main__\n" + "\n\n".join(groups["run"]))
-    return out or None
+    kinds = {ast.Import: "import", ast.ImportFrom: "import", ast.FunctionDef: "define", ast.AsyncFunctionDef: "define", ast.ClassDef: "define"}
+    # a definition begins with its first decorator
+    return [(kinds.get(type(n), "run"), min(p.lineno for p in (n, *getattr(n, "decorator_list", ()))), n.end_lineno) for n in body]
+
+
+def python_chunks(text: Column, spans: Column) -> Column:
+    """Chunk texts from the spans of the statements: imports together, each definition, the rest together.
+
+    The lines are cut and joined here; null where there are no statements.
+    """
 
+    def cut(all_lines: Column, span: Column) -> Column:
+        taken = F.slice(all_lines, span["first"], span["last"] - span["first"] + 1)
+        return F.rtrim(F.array_join(taken, "\n"), F.lit("\n"))
 
-PARSERS = {"json": json_entries, "python": python_blocks}
+    def together(all_lines: Column, kind: str, title: str, between: str) -> Column:
+        parts = F.transform(F.filter(spans, lambda s: s["kind"] == kind), lambda s: cut(all_lines, s))
+        joined = F.concat(F.lit(title), F.array_join(parts, between))
+        return F.when(F.size(parts) > 0, F.array(joined)).otherwise(F.array().cast("array<string>"))
 
+    chunks = let(lines(text), lambda all_lines: F.concat(
+        together(all_lines, "import", "# imports\n", "\n"),
+        F.transform(F.filter(spans, lambda s: s["kind"] == "define"), lambda s: cut(all_lines, s)),
+        together(all_lines, "run", "# __main__\n", "\n\n"),
+    ))
+    return F.when(F.size(spans) > 0, chunks)
+
+
+_PARSED = T.StructType([
+    T.StructField("entries", T.ArrayType(T.StringType())),
+    T.StructField("spans", T.ArrayType(T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
+    ]))),
+])
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Chunk texts by the named format; null where it does not parse or none is named."""
+
+@F.pandas_udf(_PARSED)
+def _parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Entries of JSON texts and statement spans of Python texts; null where a text does not parse."""
     for kinds, texts in batches:
-        yield pd.Series(
-            [PARSERS[k](t) if k in PARSERS and t is not None else None for k, t in zip(kinds, texts)],
-            index=texts.index, dtype=object,
-        )
+        known = [None if t is None else k for k, t in zip(kinds, texts)]
+        yield pd.DataFrame({
+            "entries": pd.Series([json_entries(t) if k == "json" else None for k, t in zip(known, texts)], dtype=object),
+            "spans": pd.Series([
+                [{"kind": a, "first": b, "last": c} for a, b, c in found] if found is not None else None
+                for found in (statement_spans(t) if k == "python" else None for k, t in zip(known, texts))
+            ], dtype=object),
+        })
 
 
 def _number_parsed(rows: DataFrame, content: str, sep: str, kind: Column, markdown: Column | None = None) -> DataFrame:
@@ -260,7 +280,8 @@ def _number_parsed(rows: DataFrame, content: str, sep: str, kind: Column, markdo
     # Only texts of a parsed format travel to Python.
     handed = F.when(kind.isNotNull(), F.col(content))
     parsed = rows.filter(~is_blank(content)).withColumn("_parts", _parsed(kind, handed))
-    chunks = F.coalesce("_parts", packed_chunks(F.col(content), sep, TARGET_WORDS, OVERLAP_WORDS))
+    found = F.coalesce(F.col("_parts")["entries"], python_chunks(F.col(content), F.col("_parts")["spans"]))
+    chunks = F.coalesce(found, packed_chunks(F.col(content), sep, TARGET_WORDS, OVERLAP_WORDS))
     if markdown is not None:
         special = markdown_chunks(F.col(content), MARKDOWN_MAX_WORDS, OVERLAP_WORDS)
         chunks = F.when(markdown, special).otherwise(chunks)
