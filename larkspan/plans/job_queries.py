@@ -14,7 +14,7 @@ from ..sources import files, sinks, tables
 from ..streaming import requests
 from .command_queries import _commands, _snippets
 from .registry import query, spread, table
-from .text_queries import SQL_HASHED, SQL_TEXT_CHUNKS, document_files
+from .text_queries import SQL_DOCUMENT_CHUNKS, SQL_HASHED, SQL_TEXT_CHUNKS, document_files
 
 # --- sources and sinks -------------------------------------------------------------
 
@@ -180,12 +180,14 @@ def params_roundtrip(spark, d):
 # --- corpus index ------------------------------------------------------------------
 
 
-@query("build_index")
+@query("build_index", f"""
+WITH c AS ({SQL_DOCUMENT_CHUNKS})
+SELECT count(DISTINCT c.doc_id) AS files_indexed, count(DISTINCT d.doc_id) - count(DISTINCT c.doc_id) AS files_failed, count(c.doc_id) AS chunks
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""")
 def build_index(spark, d):
     """Files to chunks with vectors, stored as one table, with the run's statistics."""
-    documents = spread(document_files(spark, d))
     path = scratch_path(spark, "index")
-    sinks.write_index(search.embed(chunking.chunk_documents(documents, sep="\n")), path)
+    sinks.write_index(search.embed(chunking.chunk_documents(spread(document_files(spark, d)), sep="\n")), path)
     return sinks.pipeline_stats(document_files(spark, d), spark.read.parquet(path))
 
 

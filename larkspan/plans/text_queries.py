@@ -9,7 +9,7 @@ from ..functions.text import BLANK_RE2
 from ..operators import chunking, search
 from .profile_queries import sql_strip
 from ..session import staged
-from .registry import query, spread, table
+from .registry import SQL, query, spread, table
 
 
 
@@ -162,18 +162,39 @@ def chunk_python(spark, d):
     return chunking.chunk_python(rows)
 
 
+PYTHON_DOCUMENT = (
+    "'import m' || doc_id || chr(10) || '@cached' || chr(10) || 'def size(x):' || chr(10) || '    return ' || n_chars"
+    " || chr(10) || chr(10) || 'print(size(1))' || chr(10) || 'from a import b' || chr(10)"
+)
+
+
 def document_files(spark, d):
-    """Documents as files of four formats, by their number."""
-    kind = F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".json"), F.lit(".py")),
-                        (F.col("doc_id") % 4 + 1).cast("int"))
+    """Documents as files of four formats, by their number: text, Markdown, JSON and Python."""
+    part = F.col("doc_id") % 4
+    markdown = F.regexp_replace(F.regexp_replace("text", r"(?md)^([A-D])", "## $1"), r"(?md)^([T-Z])", "```\n$1")
+    kind = F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".json"), F.lit(".py")), (part + 1).cast("int"))
+    content = F.when(part == 1, markdown).when(part == 2, F.expr(JSON_TEXT)).when(part == 3, F.expr(PYTHON_DOCUMENT)).otherwise(F.col("text"))
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), kind)
     return table(spark, d, "documents").select(
         name.alias("filename"), F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), name).alias("filepath"),
-        kind.alias("extension"), F.col("text").alias("content"),
+        kind.alias("extension"), content.alias("content"),
     )
 
 
-@query("chunk_documents")
+# The chunks of every format, each from the query of that format.
+SQL_DOCUMENT_CHUNKS = f"""
+SELECT doc_id, '.txt' AS extension, chunk_id, content FROM ({SQL["chunk_text_docs"]}) WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, '.md', chunk_id, content FROM ({SQL["chunk_markdown"]}) WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, '.json', chunk_id, content FROM ({SQL["chunk_json"]}) WHERE doc_id % 4 = 2
+UNION ALL SELECT doc_id, '.py', 1, '# imports' || chr(10) || 'import m' || doc_id || chr(10) || 'from a import b' FROM documents WHERE doc_id % 4 = 3
+UNION ALL SELECT doc_id, '.py', 2, '@cached' || chr(10) || 'def size(x):' || chr(10) || '    return ' || n_chars FROM documents WHERE doc_id % 4 = 3
+UNION ALL SELECT doc_id, '.py', 3, '# __main__' || chr(10) || 'print(size(1))' FROM documents WHERE doc_id % 4 = 3"""
+
+
+@query("chunk_documents", f"""
+SELECT 'doc' || doc_id || extension AS filename, '/corpus/' || source || '/doc' || doc_id || extension AS filepath, extension,
+       chunk_id::INT AS chunk_id, content
+FROM ({SQL_DOCUMENT_CHUNKS}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
 def chunk_documents(spark, d):
     return chunking.chunk_documents(spread(document_files(spark, d)), sep="\n")
 
