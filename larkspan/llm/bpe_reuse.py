@@ -37,7 +37,7 @@ WIDE_BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
 MIN_BODY = 64
 #: Bodies in the dictionary, and bytes of ids that a task remembers besides.
 DICTIONARY = 4096
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 16 << 20
 
 
 def cuts(codes: np.ndarray) -> list[int]:
@@ -116,7 +116,7 @@ def joined(text: str, memory: Memory) -> np.ndarray:
     return np.concatenate([*ids, memory.vocab.encode(text[done:])])
 
 
-Emit = Callable[[list[list[int]], Bpe], list[pa.Array]]
+Emit = Callable[[Iterator[np.ndarray], Bpe], list[pa.Array]]
 
 
 def widely_shared(texts: DataFrame, path: str, size: int = DICTIONARY) -> dict[bytes, bytes]:
@@ -155,7 +155,7 @@ def widely_shared(texts: DataFrame, path: str, size: int = DICTIONARY) -> dict[b
 
 
 def encode_with(docs: DataFrame, path: str, emit: Emit, columns: str, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id and what ``emit(ids, vocab)`` makes of the ids of whole texts."""
+    """One row per document: id and what ``emit(ids, vocab)`` makes of the ids of its whole text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     dictionary = shared(docs.sparkSession, widely_shared(rows.select("text"), path))
@@ -171,7 +171,7 @@ def encode_with(docs: DataFrame, path: str, emit: Emit, columns: str, id_col: st
             for part in bounded(batch):
                 texts = part.column("text").to_pylist()
                 # special tokens are taken out of a text before anything else, so such a text is encoded as one
-                ids = [(vocab.encode(t) if vocab.has_special(t) else joined(t, memory)).tolist() for t in texts]
+                ids = (vocab.encode(t) if vocab.has_special(t) else joined(t, memory) for t in texts)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *emit(ids, vocab)], names)
 
     names = ["id"] + [c.split()[0] for c in columns.split(", ")]
@@ -179,14 +179,20 @@ def encode_with(docs: DataFrame, path: str, emit: Emit, columns: str, id_col: st
     return dealt.select("id", "text").mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
 
 
-def _whole(ids: list[list[int]], vocab: Bpe) -> list[pa.Array]:
-    return [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+def _whole(ids: Iterator[np.ndarray], vocab: Bpe) -> list[pa.Array]:
+    found = list(ids)
+    lengths = np.array([len(i) for i in found], np.int64)
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return [pa.array(lengths), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))]
 
 
-def _digest(ids: list[list[int]], vocab: Bpe) -> list[pa.Array]:
-    sha = [hashlib.sha256(vocab.listed(i).encode()).hexdigest() for i in ids]
-    back = [hashlib.sha256(vocab.decode(i).encode("utf-8", "replace")).hexdigest() for i in ids]
-    return [pa.array([len(i) for i in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+def _digest(ids: Iterator[np.ndarray], vocab: Bpe) -> list[pa.Array]:
+    rows = []
+    for own in ids:
+        listed = own.tolist()
+        sha = hashlib.sha256(vocab.listed(listed).encode()).hexdigest()
+        rows.append((len(listed), sha, hashlib.sha256(vocab.decode(listed).encode("utf-8", "replace")).hexdigest()))
+    return [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

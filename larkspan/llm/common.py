@@ -45,7 +45,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def bounded(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes, one row at least."""
     if batch.num_rows:
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
