@@ -38,7 +38,7 @@ class Settings:
     most: int = 2
     block: int = 1024
     max_sources: int = 100_000
-    bucket_rows: int = 20_000
+    bucket_rows: int = 5_000
 
 
 def targets(sizes: list[int], settings: Settings = Settings()) -> list[float]:
