@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .lookup import MAX_LOOKUP_ROWS, settle
 
 SEED = 42
@@ -29,19 +30,30 @@ def digest(keys: Sequence[str], seed: int | str = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
+def prefix_length(rows: int, bucket_rows: int = 10_000) -> int:
+    """Hexadecimal digits of a digest that make buckets of about ``bucket_rows`` rows."""
+    length = 2
+    while rows > bucket_rows * 16**length:
+        length += 1
+    return length
+
+
 def hash_cutoffs(
     df: DataFrame, keys: Sequence[str], takes: dict[str, Column],
     groups: Sequence[str] = (), quotas: DataFrame | None = None,
-    seed: int | str = SEED, prefix: int = 4,
+    seed: int | str = SEED, prefix: int | None = None,
 ) -> DataFrame:
     """Largest chosen digest per group and cut name.
 
     ``takes`` gives the number of rows to choose as expressions over ``total``
     (rows in the group) and the columns of ``quotas``. Result columns: the
     group columns, ``cut_name``, ``cut``. Keys should identify a row: rows that
-    share a key are chosen together, so a cut may then take a few more.
+    share a key are chosen together, so a cut may then take a few more. The digest
+    prefix that makes a bucket grows with the table, so that a bucket stays small.
     """
     groups = list(groups)
+    if prefix is None:
+        prefix = prefix_length(df.count())
     rows = df.select(*groups, digest(keys, seed).alias("_h"))
     if not groups:
         rows, groups = rows.withColumn("_all", F.lit(0)), ["_all"]
@@ -98,7 +110,7 @@ def sample_n_per_group(
 ) -> DataFrame:
     """Reproducible random ``take`` rows of each group (all rows if fewer)."""
     cuts = hash_cutoffs(
-        df.filter(F.col(group).isNotNull()), keys, {"take": take}, [group], quotas, seed, prefix=3
+        df.filter(F.col(group).isNotNull()), keys, {"take": take}, [group], quotas, seed
     ).select(group, "cut")
     small, fits = settle(cuts, MAX_LOOKUP_ROWS)
     joined = df.join(F.broadcast(small) if fits else cuts, group)
@@ -182,32 +194,28 @@ def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def ordered_positions(
-    df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "position",
-) -> DataFrame:
+def ordered_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """0-based position over the whole table.
 
-    ``bucket`` must not contradict ``order`` (a leading part of the first order
-    key). Each bucket is numbered on its own and shifted by the counts before it.
+    The table is dealt into ranges of the order and sorted inside each, then written, so the row numbers
+    of the parts hold; each part is shifted by the sizes of those before it.
     """
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    w = W.partitionBy("_bucket").orderBy(*order)
-    small, fits = settle(offsets, 100_000)
-    return (
-        rows.withColumn("_rn", F.row_number().over(w))
-        .join(F.broadcast(small) if fits else offsets, "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_offset")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the upper bits of the number are the part, the lower 33 count inside it
+    rows = staged(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # one row per part
+    placed = rows.join(F.broadcast(offsets), "_part")
+    return placed.withColumn(name, F.col("_offset") + F.col("_at") - F.shiftleft("_part", 33)).drop("_part", "_at", "_offset")
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int | str = SEED) -> DataFrame:
     """Reproducible random order; ``position`` is the place in it."""
     rows = df.withColumn("_h", digest(keys, seed))
-    return ordered_positions(rows, F.substring("_h", 1, 4), [F.col("_h"), *map(F.col, keys)]).drop("_h")
+    return ordered_positions(rows, [F.col("_h"), *map(F.col, keys)]).drop("_h")
 
 
 def label_vocabulary(frames: Sequence[DataFrame], label: str) -> DataFrame:
@@ -221,5 +229,5 @@ def label_vocabulary(frames: Sequence[DataFrame], label: str) -> DataFrame:
 def label_index(frames: Sequence[DataFrame], label: str, index: str = "label_id") -> DataFrame:
     """0-based rank of each distinct label in sorted order."""
     vocabulary = label_vocabulary(frames, label)
-    ranked = ordered_positions(vocabulary, F.substring(F.col(label).cast("string"), 1, 2), [F.col(label)], index)
+    ranked = ordered_positions(vocabulary, [F.col(label)], index)
     return ranked.withColumn(index, F.col(index).cast("int"))

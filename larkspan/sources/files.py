@@ -48,14 +48,14 @@ def _wanted(name: Column, names: Iterable[str], extensions: Iterable[str]) -> Co
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of each folder; a folder that cannot be listed has none."""
+    """Entries of each folder; one that went away meanwhile has none, any other failure fails the task."""
     for batch in batches:
         for folder in batch.column("path").to_pylist():
             prefix = folder.split("://")[0] + "://" if "://" in folder else ""
             try:
                 system, inner = pafs.FileSystem.from_uri(folder)
                 infos = system.get_file_info(pafs.FileSelector(inner))
-            except OSError:
+            except FileNotFoundError:
                 continue
             infos = [i for i in infos if i.type in (pafs.FileType.File, pafs.FileType.Directory)]
             for at in range(0, len(infos), 50_000):

@@ -52,14 +52,15 @@ def read_sharded(
         .json(root)
         .filter(F.col("_metadata.file_name").contains(split))
         .filter(F.col("_metadata.file_name").rlike(rf"\.({'|'.join(suffixes)})$"))
+        # a condition on the path alone, below the row numbers, so that other files are not read
+        .filter(F.element_at(F.split(relative, "/"), 1).isin(list(languages)))
     )
-    rows = frame.withColumns({
+    return frame.withColumns({
         "language": F.element_at(F.split(relative, "/"), 1),
         "shard": F.col("_metadata.file_path"),
         "block": F.col("_metadata.file_block_start"),
         "line": F.monotonically_increasing_id(),
     })
-    return rows.filter(F.col("language").isin(list(languages)))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
