@@ -1,5 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 LONG = " ".join(f"word{i % 977} and{i}" for i in range(30_000)) + "\n" + "x" * 5000 + " " * 3000 + "end"
 
 

@@ -3,15 +3,12 @@
 import hashlib
 import random
 from collections import Counter
-from itertools import combinations
 
 import numpy as np
 import pytest
+from brute import brute_classes, lowered
 from larkspan.llm import exact_dedup, near_dedup
-
-
-def lowered(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+from larkspan.llm import queries as q
 
 
 @pytest.mark.parametrize("bits", [64, 3])
@@ -43,29 +40,6 @@ def test_chunks_are_content_defined(spark):
     assert "".join(a) == text and len(set(a) & set(b)) > 0.8 * len(a)
 
 
-def weighted(text, size=5):
-    w = text.lower().split()
-    return Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
-
-
-def brute_classes(texts, least=0.8):
-    ids = sorted(texts)
-    sets = {i: weighted(texts[i]) for i in ids}
-    root = {i: i for i in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in combinations(ids, 2):
-        both, either = sum((sets[a] & sets[b]).values()), sum((sets[a] | sets[b]).values())
-        if (either == 0 and texts[a].split() == texts[b].split()) or (either and both / either >= least):
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
-
-
 def varied(rng, n=120):
     base = [rng.choice(["ta", "ro", "mi", "ne", "ku"]) + str(rng.randint(0, 400)) for _ in range(n)]
     out = [" ".join(base)]
@@ -90,6 +64,11 @@ def test_near_against_brute_force(spark, block):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_near_query(spark, documents):
+    got = q.QUERIES["op5_near_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes({r.doc_id: r.text for r in documents.collect()})
+
+
 def test_near_edges(awkward, nothing):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()

@@ -1,6 +1,8 @@
 """Sharding, mixing, the pipeline and the registered queries."""
 
+import hashlib
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -10,10 +12,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from larkspan.llm import mixing, sharding
+from larkspan.llm import language_id, mixing, sharding
 from larkspan.llm import queries as q
+from tokenizers import Tokenizer
 from tools.check_oracle import TABLES, canonical
 
+from brute import brute_classes, lowered
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -145,18 +150,52 @@ def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 11)}
 
 
+def brute_mix(docs):
+    """(id, text) of everything the mix takes; docs are (id, text, source)."""
+    words = lambda t: re.findall(mixing.WORD, t or "")
+    names = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(words(t)) for _, t, s in docs if s == name) for name in names]
+    out = []
+    for name, size, goal in zip(names, sizes, mixing.targets(sizes)):
+        own = sorted(((int(hashlib.md5(f"{i}:{t}".encode()).hexdigest()[:15], 16), i, t) for i, t, s in docs if s == name))
+        at = 0
+        for lap in range(2):
+            for _, i, t in own:
+                n = min(len(words(t)), int(goal) - at)
+                if n > 0:
+                    out.append((i, t if n == len(words(t)) else mixing.first_words(t, n)))
+                at += len(words(t))
+    return out
+
+
 def test_pipeline(spark, documents):
-    docs, before = documents, None
+    """Every stage against brute force on what the stage before it kept."""
+    library = Tokenizer.from_file(q.VOCABULARY)
+    docs = documents
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
+        out = corpus_pipeline.staged(stage(spark, docs, SF), name)
+        rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
         if name != "bpe_encoding":
             assert out.columns == documents.columns
-        if name in ("language_id", "exact_dedup", "near_dedup"):
-            assert out.count() <= docs.count()
-        path = corpus_pipeline.staged(out, name)
-        before, docs = docs, path
-    assert corpus_pipeline.run(spark, SF).count() == docs.count() == before.count()
-    assert sorted((r.doc_id, r.n_tokens) for r in docs.collect()) == sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect())
+        if name == "language_id":
+            model = language_id.train(docs.where(q.remainder(4) != 2))
+            want = [(i, t) for i, t, _ in rows if language_id.score(t, model)[1] >= model.least and language_id.score(t, model)[0] != "und"]
+        elif name == "exact_dedup":
+            last = {}
+            for i, t, _ in sorted(rows):
+                last[lowered(t)] = (i, t)
+            want = list(last.values())
+        elif name == "near_dedup":
+            classes = brute_classes({i: t for i, t, _ in rows})
+            want = [(i, t) for i, t, _ in rows if classes[i] == i]
+        elif name == "mixing":
+            want = brute_mix(rows)
+        else:
+            want = [(i, library.encode(t, add_special_tokens=False).ids) for i, t, _ in rows]
+        got = [(r.doc_id, r.ids if name == "bpe_encoding" else r.text) for r in out.collect()]
+        assert sorted(got) == sorted(want), name
+        docs = out
+    assert sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.ids) for r in docs.collect())
 
 
 def test_pipeline_edges(spark, awkward, nothing):
