@@ -150,7 +150,8 @@ def schedule(spark: SparkSession, words: list[int], block: int) -> DataFrame:
 
     before = F.sum("n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("n")
     made = map_batches(spark.range(-(-slots // CHUNK)), run, "chunk long, slot long, s int, local long")
-    ranked = made.join(counts.select("chunk", "s", before.alias("before")), ["chunk", "s"]).select("slot", "s", (F.col("before") + F.col("local")).alias("rank"))
+    # the planner takes what grows from a range for small, so it is told not to broadcast it
+    ranked = made.hint("merge").join(counts.select("chunk", "s", before.alias("before")), ["chunk", "s"]).select("slot", "s", (F.col("before") + F.col("local")).alias("rank"))
     needed = spark.createDataFrame([(int(s), int(need[s])) for s in given], "s int, need long")
     return ranked.join(F.broadcast(needed), "s").where("rank < need").drop("need")
 
@@ -173,7 +174,7 @@ def mix(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     pieces = laps.withColumn("rank", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}"))))
     start, end = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
     pieces = pieces.select("id", "text_hash", "s", "first", "size", "lap", "rank", (start - F.col("from")).alias("from_word"), (end - F.col("from")).alias("to_word"))
-    return places, pieces.join(schedule(docs.sparkSession, words, block), ["s", "rank"])
+    return places, pieces.join(schedule(docs.sparkSession, words, block).hint("merge"), ["s", "rank"])
 
 
 def mixed_sizes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
