@@ -195,27 +195,24 @@ def first_words(text: str, n: int) -> str:
 
 
 def mixed_documents(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents the mix takes, in the columns of the input.
+    """The documents the mix takes, whole, in the columns of the input.
 
-    A document appears once for every round of its source that takes it. If a
-    round takes only its first words, the text ends with the last of them, and a
-    column ``n_chars`` is set to its length. Rows alike in id, text and source
-    count as often as they occur; their other columns are those of one of them.
+    A document appears once for every round of its source that takes it. The one
+    in which a source's target falls is taken whole or left, whichever brings the
+    source's words nearer the target. Rows alike in id, text and source count as
+    often as they occur; their other columns are those of one of them.
     """
-    places, pieces = mix(docs, settings, id_col, text_col, source_col)
-    taken = pieces.groupBy("id", "text_hash", "s", "first", "size", "lap").agg(F.max("to_word").alias("to_word"))
-    named = places.select("s", "first", "size", "source").where("size > 0")
-    per_doc = taken.join(named, ["s", "first", "size"]).groupBy("id", "text_hash", "source", "size", "to_word").agg(F.count(F.lit(1)).alias("n"))
-    names = unused(docs.columns, "mix_id", "mix_hash", "mix_source", "mix_size", "mix_end", "mix_times", "mix_copy")
-    m_id, m_hash, m_source, m_size, m_end, m_times, m_copy = names
-    per_doc = per_doc.toDF(*names[:6])
-    if not places.where("size > 0").groupBy("id", "text_hash", "source").count().where("count > 1").isEmpty():
+    places, _ = laid_out(docs, settings, id_col, text_col, source_col)
+    # of two nearest ends the later one is taken if the document's middle is not beyond the target
+    middle = [F.col("first") + F.col("source_size") * lap + F.col("size") / 2 for lap in range(settings.most)]
+    times = sum((F.when(m <= F.col("target"), 1).otherwise(0) for m in middle), F.lit(0))
+    placed = places.where("size > 0").withColumn("times", times)
+    per_doc = staged(placed.groupBy("id", "text_hash", "source").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("rows")), "taken")
+    names = unused(docs.columns, "mix_id", "mix_hash", "mix_source", "mix_times", "mix_copy")
+    m_id, m_hash, m_source, m_times, m_copy = names
+    if not per_doc.where("rows > 1").isEmpty():
         docs = docs.dropDuplicates([id_col, text_col, source_col])
+    per_doc = per_doc.where("n > 0").drop("rows").toDF(*names[:4])
     same = docs[id_col].eqNullSafe(F.col(m_id)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(m_hash)) & docs[source_col].cast("string").eqNullSafe(F.col(m_source))
     out = docs.join(per_doc, same).withColumn(m_copy, F.explode(F.sequence(F.lit(1), F.col(m_times).cast("int"))))
-    whole = out.where(F.col(m_end) >= F.col(m_size)).select(*docs.columns)
-    cut = F.pandas_udf(lambda text, n: text.combine(n, first_words), "string")
-    parts = out.where(F.col(m_end) < F.col(m_size)).withColumn(text_col, cut(F.col(text_col), F.col(m_end)))
-    if "n_chars" in docs.columns:
-        parts = parts.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(parts.select(*docs.columns))
+    return out.select(*docs.columns)
