@@ -93,10 +93,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least negative log-likelihood on held-out rows."""
+def fit_temperature(logits: np.ndarray, y: np.ndarray, doubt: float = 0.0) -> float:
+    """The temperature with the least negative log-likelihood on held-out rows.
+
+    ``doubt`` of each row is spread over the other classes, so that rows without an
+    error do not drive all probabilities to 1.
+    """
     if not len(y):
         return 1.0
     grid = np.geomspace(0.02, 50.0, 120)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    rows = np.arange(len(y))
+    loss = []
+    for t in grid:
+        p = softmax(logits / t)
+        right = p[rows, y]
+        rest = np.log(p + 1e-12).sum(1) - np.log(right + 1e-12)
+        loss.append(-((1 - doubt) * np.log(right + 1e-12) + doubt * rest / max(1, p.shape[1] - 1)).mean())
     return float(grid[int(np.argmin(loss))])

@@ -4,7 +4,9 @@ A text becomes letters and single blanks; its character n-grams are hashed to
 buckets, each with an embedding. The mean embedding goes through a linear layer
 and a softmax. Embeddings and layer are trained by stochastic gradient descent
 in numpy on a bounded sample; a temperature fitted on a part of that sample
-calibrates the probabilities, and a threshold fitted there rejects documents.
+calibrates the probabilities. A softmax is sure of languages it never learned, so
+the probability is discounted where a text's n-grams are rarer in the language found
+than they are in texts of that sample; a threshold fitted there rejects documents.
 
 At scoring time the linear layer is multiplied into the embeddings beforehand,
 so a text costs one lookup per n-gram. Texts of any length are read whole, in blocks.
@@ -30,7 +32,11 @@ BLOCK = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label`` and ``max_labels`` bound the training sample: rows per language, languages."""
+    """``per_label`` and ``max_labels`` bound the training sample: rows per language, languages.
+
+    The threshold refuses at most ``refused_share`` of the right answers on held-back rows;
+    without any right answer it is ``least_confidence``. ``unseen`` is the share of n-grams
+    expected to be new to a language."""
 
     bits: int = 15
     dims: int = 16
@@ -42,14 +48,16 @@ class Settings:
     seed: int = 11
     refused_share: float = 0.002
     least_confidence: float = 0.5
+    unseen: float = 0.001
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     labels: tuple[str, ...]
-    table: np.ndarray  # bucket x language, embedding times linear layer
+    table: np.ndarray  # bucket x 2 languages: embedding times linear layer, log share of the language's n-grams
     bias: np.ndarray
     temperature: float
+    typical: float  # mean log share below which a text counts as unusual
     least: float
     settings: Settings
 
@@ -74,13 +82,20 @@ def buckets(text: str, settings: Settings) -> np.ndarray:
     return np.concatenate(out)
 
 
+def refusing(found: np.ndarray, share: float) -> float:
+    """The value below which at most ``share`` of the rows lie; with too few rows to tell, the tail below the least goes on as an exponential one."""
+    least = float(np.quantile(found, share, method="lower"))
+    beyond = -np.log(len(found) * share)
+    return least - max(0.0, beyond) * (float(np.median(found)) - least) / max(1.0, np.log(len(found) / 2))
+
+
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> LanguageModel:
     """Train on (language, bucket numbers, shares of the text) rows; order matters, so sort them."""
     labels = tuple(sorted({r[0] for r in rows}))
     n = 1 << settings.bits
     rng = np.random.default_rng(settings.seed)
     if not labels:
-        return LanguageModel((), np.zeros((n, 0), np.float32), np.zeros(0), 1.0, settings.least_confidence, settings)
+        return LanguageModel((), np.zeros((n, 0), np.float32), np.zeros(0), 1.0, 0.0, settings.least_confidence, settings)
     where = {name: i for i, name in enumerate(labels)}
     y = np.array([where[r[0]] for r in rows])
     emb = rng.normal(0, 0.05, (n, settings.dims))
@@ -101,12 +116,27 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> L
             bias -= 0.1 * rate * off
             # the step is scaled so that the mean embedding moves by the rate, however long the text
             emb[idx] -= (rate / (share @ share)) * share[:, None] * back
-    logits = np.array([rows[i][2] @ emb[rows[i][1]] @ layer + bias for i in held])
-    temperature = fit_temperature(logits, y[held])
-    sure = softmax(logits / temperature)
-    right = sure.max(1)[sure.argmax(1) == y[held]]
-    least = min(settings.least_confidence, float(np.quantile(right, settings.refused_share))) if len(right) else settings.least_confidence
-    return LanguageModel(labels, (emb @ layer).astype(np.float32), bias, temperature, least, settings)
+    counts = np.zeros((n, len(labels)))
+    for i in train:
+        counts[rows[i][1], y[i]] += rows[i][2]
+    shares = (1 - settings.unseen) * counts / np.maximum(counts.sum(0), 1) + settings.unseen / n
+    table = np.concatenate([emb @ layer, np.log(shares)], axis=1).astype(np.float32)
+    means = np.array([rows[i][2] @ table[rows[i][1]] for i in held])
+    logits, usual = means[:, : len(labels)] + bias, means[:, len(labels) :]
+    # with one answer in doubt (rule of succession); else a sample without errors gives every text probability 1
+    temperature = fit_temperature(logits, y[held], 1 / (len(held) + 2))
+    sure, best = softmax(logits / temperature), logits.argmax(1)
+    usual = usual[np.arange(len(held)), best]
+    right = best == y[held]
+    typical, least = 0.0, settings.least_confidence
+    if right.any():
+        typical = refusing(usual[right], settings.refused_share)
+        found = np.clip(sure.max(1)[right] * np.minimum(1, np.exp(usual[right] - typical)), 1e-9, 1 - 1e-9)
+        least = float(1 / (1 + np.exp(-refusing(np.log(found / (1 - found)), settings.refused_share))))
+        # the best of several is never below 1/n
+        if len(labels) > 1:
+            least = max(least, float(np.nextafter(1 / len(labels), 1)))
+    return LanguageModel(labels, table, bias, temperature, typical, least, settings)
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel:
@@ -129,16 +159,17 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
 
 
 def score(text: str | None, model: LanguageModel) -> tuple[str, float]:
-    """Language and calibrated probability; ``und`` and 0 for a text without a letter."""
+    """Language and calibrated probability, less for a text unusual in that language; ``und`` and 0 for a text without a letter."""
     if text is None or not model.labels or not LETTER.search(text):
         return UNKNOWN, 0.0
     b = buckets(text, model.settings)
-    total = np.zeros(len(model.labels))
+    total = np.zeros(2 * len(model.labels))
     for start in range(0, len(b), BLOCK):
         total += model.table[b[start : start + BLOCK]].sum(axis=0, dtype=np.float64)
-    p = softmax((total / len(b) + model.bias) / model.temperature)
+    logits, usual = np.split(total / len(b), 2)
+    p = softmax((logits + model.bias) / model.temperature)
     best = int(p.argmax())
-    return model.labels[best], float(p[best])
+    return model.labels[best], float(p[best] * min(1.0, np.exp(usual[best] - model.typical)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
