@@ -35,13 +35,13 @@ from .common import checked, map_batches, unused
 @dataclass(frozen=True)
 class Settings:
     """``bands`` x ``rows`` coordinates. At similarity 0.8 a pair shares no band with probability
-    (1 - 0.8**5)**26 = 3e-5; ``least_agreement`` lies four standard errors below 0.8."""
+    (1 - 0.8**5)**26 = 3e-5, and agrees in less than ``least_agreement`` of the coordinates with probability 5e-8."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 26
     rows: int = 5
-    least_agreement: float = 0.66
+    least_agreement: float = 0.6
     block: int = 256
 
 
@@ -162,23 +162,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     id_type = rows.schema["id"].dataType.simpleString()
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, marks, bands = [], [], []
+        nodes, marks, bands, packed = [], [], [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
             nodes.append(hashlib.md5(b" ".join(words)).digest())
             sig = signature(*shingles(words, settings.words), k)
             marks.append(mix64(sig).astype(np.uint16).tobytes())
             bands.append(band_keys(sig, settings) if words else [])
-        made = [pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_md5"), *made], ["id", "text_md5", "node", "marks", "bands"])
+            packed.append(np.asarray(bands[-1], np.int64).tobytes())
+        made = [pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_md5"), *made], ["id", "text_md5", "node", "marks", "bands", "packed"])
 
-    signed = map_batches(rows.select("id", "text_md5", "text"), sign, f"id {id_type}, text_md5 binary, node binary, marks binary, bands array<bigint>")
+    signed = map_batches(rows.select("id", "text_md5", "text"), sign, f"id {id_type}, text_md5 binary, node binary, marks binary, bands array<bigint>, packed binary")
     signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     # texts with the same words meet once: the row that stands for a node
     first = F.min_by(F.struct("id", "row", "text_md5"), F.struct(F.col("id").isNull(), "id", "row"))
     nodes = staged(signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     one = nodes.select("node", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.text_md5").alias("text_md5"))
-    marked = signed.select("row", "marks", "bands").join(one.select("node", "row"), "row")
+    marked = signed.select("row", "marks", "bands", "packed").join(one.select("node", "row"), "row")
 
     band = marked.select("node", F.posexplode("bands").alias("band", "bucket"))
     full = band.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     # every pair of blocks of a bucket is one key; a member goes to each key of its block
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("node", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    members = staged(members.join(marked.select("node", "marks"), "node"), "members")
+    members = staged(members.join(marked.select("node", "marks", "packed"), "node"), "members")
     keys = ["bucket", "low", "high"]
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -196,28 +197,30 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     def likely(group: list[tuple]) -> Iterator[tuple[int, int]]:
         """Pairs of a key that meet here first and agree enough."""
         marks = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), k)
+        # chance agreements of the short marks must not name a band that the pair does not share
+        buckets = np.frombuffer(b"".join(g[5] for g in group), np.int64).reshape(len(group), settings.bands)
         low, high, band = group[0][1], group[0][2], group[0][3]
-        side = np.array([g[6] for g in group])
+        side = np.array([g[7] for g in group])
         for i in range(len(group) - 1):
             same = marks[i + 1 :] == marks[i]
             ok = same.mean(axis=1) >= settings.least_agreement
             if low != high:
                 ok &= side[i + 1 :] != side[i]
             for j in np.flatnonzero(ok):
-                if int(same[j].reshape(settings.bands, settings.rows).all(axis=1).argmax()) == band:
+                if int((buckets[i + 1 + j] == buckets[i]).argmax()) == band:
                     yield i, i + 1 + int(j)
 
     def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Runs of equal keys: (key, low, high, band, marks, node, block, text)."""
+        """Runs of equal keys: (key, low, high, band, marks, packed bands, node, block, text)."""
         run: list[tuple] = []
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             texts = cols.get("text") or [None] * batch.num_rows
-            for b, lo, hi, bd, m, nd, bl, tx in zip(cols["bucket"], cols["low"], cols["high"], cols["band"], cols["marks"], cols["node"], cols["block"], texts):
+            for b, lo, hi, bd, m, pk, nd, bl, tx in zip(cols["bucket"], cols["low"], cols["high"], cols["band"], cols["marks"], cols["packed"], cols["node"], cols["block"], texts):
                 if run and (b, lo, hi) != (run[0][0], run[0][1], run[0][2]):
                     yield run
                     run = []
-                run.append((b, lo, hi, bd, m, nd, bl, tx))
+                run.append((b, lo, hi, bd, m, pk, nd, bl, tx))
         if run:
             yield run
 
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         out: list[tuple] = []
         for group in groups(batches):
             for i in sorted({x for pair in likely(group) for x in pair}):
-                out.append((*group[i][:4], group[i][5], group[i][6], group[i][4]))
+                out.append((*group[i][:4], group[i][6], group[i][7], group[i][4], group[i][5]))
             if len(out) > 5000:
                 yield _batch(out)
                 out = []
@@ -233,10 +236,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
             yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "low", "high", "band", "node", "block", "marks"])
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "low", "high", "band", "node", "block", "marks", "packed"])
 
-    hits = staged(keyed(members).mapInArrow(plausible, "bucket long, low int, high int, band int, node binary, block int, marks binary"), "plausible")
+    hits = staged(keyed(members).mapInArrow(plausible, "bucket long, low int, high int, band int, node binary, block int, marks binary, packed binary"), "plausible")
     wanted = staged(hits.select("node").distinct().join(one, "node").select("node", F.col("id").alias("one_id"), F.col("text_md5").alias("one_md5")), "wanted")
     same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))
     texts = rows.join(checked(wanted, 80), same).select("node", "text").dropDuplicates(["node"])
@@ -247,15 +250,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
             parent: dict[bytes, bytes] = {}
             links = []
             for i, j in likely(group):
-                a, b = _united(parent, group[i][5]), _united(parent, group[j][5])
+                a, b = _united(parent, group[i][6]), _united(parent, group[j][6])
                 if a == b:
                     continue
                 for x in (i, j):
                     if x not in sets:
-                        sets[x] = shingles(words_of(group[x][7]), settings.words)
+                        sets[x] = shingles(words_of(group[x][8]), settings.words)
                 if similarity(sets[i], sets[j]) >= settings.similarity:
                     parent[max(a, b)] = min(a, b)
-                    links.append((group[i][5], group[j][5]))
+                    links.append((group[i][6], group[j][6]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], ["a", "b"])
 
