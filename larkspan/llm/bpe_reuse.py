@@ -186,6 +186,12 @@ def _whole(ids: Iterator[np.ndarray], vocab: Bpe) -> list[pa.Array]:
     return [pa.array(lengths), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))]
 
 
+def _whole_decoded(ids: Iterator[np.ndarray], vocab: Bpe) -> list[pa.Array]:
+    found = list(ids)
+    digests = [hashlib.sha256(vocab.decode(own.tolist()).encode("utf-8", "replace")).hexdigest() for own in found]
+    return [*_whole(iter(found), vocab), pa.array(digests, pa.string())]
+
+
 def _digest(ids: Iterator[np.ndarray], vocab: Bpe) -> list[pa.Array]:
     rows = []
     for own in ids:
@@ -205,6 +211,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return encode_with(docs, path, _whole, "n_tokens long, ids array<int>", id_col, text_col)
 
 
+def encode_decoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`encode_documents`, with ``decoded_sha256``, the digest of the text decoded from the ids."""
+    return encode_with(docs, path, _whole_decoded, "n_tokens long, ids array<int>, decoded_sha256 string", id_col, text_col)
+
+
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`encode_documents`, with the digests of the ids and of the text decoded from them."""
     return encode_with(docs, path, _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
