@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query, table
 from ..session import scratch_path
-from . import attribution, bpe_reuse, exact_dedup, id_files, language_id, line_crf, mixing, near_dedup, quality_model, sharding
+from . import attribution, bpe_reuse, exact_dedup, id_files, language_id, line_crf, mixing, near_dedup, quality_model, scaled_sketch, sharding, source_divergence, vector_codes
 from .common import crc32_text
 
 QUERIES: dict[str, Query] = {}
@@ -129,3 +129,67 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "ids")
     id_files.write_ids(table(spark, sf_dir, "documents"), VOCABULARY, folder)
     return id_files.read_ids(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_scaled_sketch")
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.fingerprints_of_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_sql(parts: int = 4, rounds: int = 4) -> str:
+    """The rounds written out, one after the other."""
+    sql = f"""WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+x AS (SELECT r, p, v[1 + p * len(v) // {parts} : (p + 1) * len(v) // {parts}] AS v FROM k, range({parts}) t(p)),
+xx AS (SELECT r, p, v, list_dot_product(v, v) AS vv FROM x),
+c0 AS (SELECT p, r - 1 AS e, v, vv FROM xx WHERE r <= 256)"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (
+  SELECT r, p, any_value(xx.v) AS v, min((xx.vv - 2 * list_dot_product(xx.v, c.v) + c.vv)::BIGINT * 256 + c.e) AS m
+  FROM xx JOIN (SELECT p, e, v AS v, vv FROM c{i}) c USING (p) GROUP BY r, p)"""
+        if i < rounds:
+            sql += f""",
+s{i} AS (SELECT p, m % 256 AS e, j, sum(v[j]::BIGINT)::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM xx))) AS j) GROUP BY ALL),
+m{i} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS v FROM s{i} GROUP BY p, e),
+c{i + 1} AS MATERIALIZED (SELECT p, e, w AS v, list_dot_product(w, w) AS vv FROM (SELECT c.p, c.e, coalesce(m.v, c.v) AS w FROM c{i} c LEFT JOIN m{i} m USING (p, e)))"""
+    sql += f""",
+f AS (SELECT r, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(z::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS z, generate_subscripts(v, 1) AS j FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN f USING (r) CROSS JOIN h"""
+    return sql
+
+
+@query("op12_vector_codes", op12_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total, coalesce(any_value(v.v), 0)::HUGEINT AS v
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 5)::HUGEINT // (total + 5 * g.v) AS p
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000 * (sum(n) + 5)::HUGEINT // (any_value(a.total) + 5 * any_value(a.v)) AS q
+      FROM c JOIN (SELECT lang, sum(total)::HUGEINT AS total, any_value(v) AS v FROM g GROUP BY lang) a USING (lang) GROUP BY lang, term),
+f AS (SELECT lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value,
+  row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term)::INT AS rank FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q) WHERE rank <= 50
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))

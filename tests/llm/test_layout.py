@@ -147,7 +147,7 @@ def test_query_against_sql(spark, con, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def brute_mix(docs):
