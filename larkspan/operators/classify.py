@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, unscale_expm1
 from ..functions.text import is_blank
+from .bayes import BayesModel, predict_bayes
 from .clean import label_name
 from .lookup import MAX_LOOKUP_ROWS
-from .metrics import regression_metrics, weighted_metrics
+from .least_squares import LeastSquaresModel, predict_least_squares
+from .metrics import UserMetric, regression_metrics, user_metric, weighted_metrics
 from .ranking import label_vocabulary
 from .regression import apply_calibration
 
@@ -48,13 +50,14 @@ def text_features(cells: int) -> Pipeline:
 
 def fit_text_classifier(
     train: DataFrame, validation: DataFrame, text: str = "text", label: str = "label",
-    metric: str = "accuracy", grid: Sequence[float] = (0.001, 0.01, 0.1), cells: int = 1 << 14,
+    metric: str | UserMetric = "accuracy", grid: Sequence[float] = (0.001, 0.01, 0.1), cells: int = 1 << 14,
     max_iter: int = 30, labels: Sequence[str] | None = None,
 ) -> TextModel:
     """Multinomial logistic regression; the penalty is chosen on the validation rows.
 
-    ``metric`` is ``accuracy`` or ``f1`` (support-weighted). Labels may be
-    strings or integers; the vocabulary covers both tables.
+    ``metric`` is ``accuracy``, ``f1`` (support-weighted) or a caller's. Labels may be
+    strings or integers; the vocabulary covers both tables, a caller's metric sees label numbers.
+    Labels go through the driver and are bounded; ``fit_bayes`` has no such bound.
     """
     if labels is None:
         found = label_vocabulary([train, validation], label).orderBy(label).limit(MAX_LOOKUP_ROWS + 1)
@@ -81,7 +84,10 @@ def fit_text_classifier(
                 maxIter=max_iter, predictionCol="_p",
             ).fit(fit_rows)
             scored = model.transform(val_rows).select("_y", "_p")
-            score = weighted_metrics(scored, "_y", "_p").first()[metric] or 0.0
+            if isinstance(metric, UserMetric):
+                score = user_metric(scored, metric, "_y", "_p") or 0.0
+            else:
+                score = weighted_metrics(scored, "_y", "_p").first()[metric] or 0.0
             if best is None or score > best.score:
                 best = TextModel(features, model, list(labels), score)
     finally:
@@ -90,12 +96,14 @@ def fit_text_classifier(
     return best
 
 
-def predict_text(df: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
+def predict_text(df: DataFrame, model: TextModel | BayesModel, text: str = "text", keys: Sequence[str] | None = None) -> DataFrame:
     """Attach ``predicted``, ``confidence`` and the probability of every class.
 
-    Stateless, so it works on a stream as well. A blank text has no tokens and
-    gets the class prior.
+    Logistic regression is stateless, so it works on a stream as well; naive Bayes joins
+    tables, see ``predict_bayes`` for ``keys``. A blank text has no tokens and gets the class prior.
     """
+    if isinstance(model, BayesModel):
+        return predict_bayes(df, model, text, keys)
     filled = df.withColumn("_input", F.coalesce(F.col(text), F.lit("")))
     scored = model.classifier.transform(model.features.transform(filled))
     probs = vector_to_array("probability")
@@ -109,9 +117,11 @@ def predict_text(df: DataFrame, model: TextModel, text: str = "text") -> DataFra
     return out.select(*df.columns, "predicted", "confidence", "probs")
 
 
-def predict_video(df: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
+def predict_video(
+    df: DataFrame, model: TextModel | BayesModel, text: str = "text", keys: Sequence[str] | None = None,
+) -> DataFrame:
     """Integer label, its name, confidence and probabilities by name."""
-    scored = predict_text(df, model, text)
+    scored = predict_text(df, model, text, keys)
     return scored.select(
         *df.columns,
         F.col("predicted").cast("int").alias("prediction"),
@@ -172,7 +182,9 @@ def fit_complexity_model(
     return best
 
 
-def predict_normalized(df: DataFrame, model: ComplexityModel, vec: str = "embedding") -> DataFrame:
+def predict_normalized(df: DataFrame, model: ComplexityModel | LeastSquaresModel, vec: str = "embedding") -> DataFrame:
+    if isinstance(model, LeastSquaresModel):
+        return predict_least_squares(df, model, vec)
     scored = model.regressor.transform(model.pipeline.transform(_with_vector(df, vec)))
     return scored.withColumn("prediction", F.col("_p")).select(*df.columns, "prediction")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,3 +154,32 @@ def regression_metrics_by(
         out.withColumn(group, F.when(F.col("_all") == 1, OVERALL).otherwise(F.col(group)))
         .filter(F.col("n") > 0).drop("_all")
     )
+
+
+@dataclass(frozen=True)
+class UserMetric:
+    """A caller's score, higher is better.
+
+    ``sums`` turns the labels and predictions of a batch into numbers that add up over batches;
+    ``score`` makes the result of their totals.
+    """
+
+    sums: Callable[[pa.Array, pa.Array], Sequence[float]]
+    score: Callable[[list[float]], float]
+
+
+def user_metric(df: DataFrame, metric: UserMetric, label: str = "label", prediction: str = "prediction") -> float | None:
+    """The caller's score over all rows; each task gives one row of sums. Null without rows."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                found = np.asarray(metric.sums(batch.column(0), batch.column(1)), float)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    parts = df.select(label, prediction).mapInArrow(add, "sums array<double>").select(F.posexplode("sums").alias("i", "x"))
+    found = parts.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    return float(metric.score([r["x"] for r in found])) if found else None

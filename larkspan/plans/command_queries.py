@@ -355,11 +355,12 @@ c AS (SELECT l_orderkey, l_linenumber, language,
       FROM (SELECT l_orderkey, l_linenumber, {_NAMES} AS language, {_code_case('sql')} AS code FROM lineitem)),
 b AS (SELECT *, {_language_case(_bare_sql)} AS bare FROM c),
 q AS (SELECT *, {_language_case(_plain_sql)} AS plain FROM b),
-metrics AS (SELECT l_orderkey, l_linenumber, language,
+measured AS (SELECT l_orderkey, l_linenumber, language, code,
        ({_language_case(_functions_sql)})::INT AS n_functions,
        (1 + {_language_case(lambda n: _sql_count('plain', code_metrics.DECISIONS[n]))})::INT AS cyclomatic_complexity,
        {_sql_count('bare', code_metrics.CODE_LINE)}::INT AS nloc,
-       {_sql_count('plain', code_metrics.TOKEN)}::INT AS token_count FROM q)"""
+       {_sql_count('plain', code_metrics.TOKEN)}::INT AS token_count FROM q),
+metrics AS (SELECT * EXCLUDE (code) FROM measured)"""
 
 
 def _snippets(spark, d):

@@ -1,18 +1,14 @@
-"""Queries that write and read back, train models, or run a stream."""
+"""Queries that write and read back, or run a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import video_text
-from ..operators import classify, clean, code_metrics, metrics, ranking, regression, search, splits, synth
-from ..operators import chunking
-from ..operators.entities import extract_entities
+from ..operators import chunking, regression, search, splits
 from ..operators.lookup import lookup_join
 from ..session import scratch_path, staged
 from ..sources import files, sinks, tables
 from ..streaming import requests
-from .command_queries import _commands, _snippets
 from .registry import query, spread, table
 from .text_queries import SQL_DOCUMENT_CHUNKS, SQL_HASHED, SQL_TEXT_CHUNKS, document_files
 
@@ -191,95 +187,6 @@ def build_index(spark, d):
     return sinks.pipeline_stats(document_files(spark, d), spark.read.parquet(path))
 
 
-# --- models ------------------------------------------------------------------------
-
-
-def _labelled_videos(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
-    rows = ranking.dedupe_first(clean.drop_blank(rows, ["text"]), ["text"], [F.col("doc_id")])
-    rows = rows.withColumn("text", video_text("lang", "source", "text", None))
-    held = [f"src{i}" for i in range(8)]
-    return staged(splits.holdout_split(rows, "source", held[:4], held[4:]), "videos")
-
-
-def _video_model(spark, d):
-    rows = _labelled_videos(spark, d)
-    model = classify.fit_text_classifier(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'")
-    )
-    return rows, model
-
-
-@query("video_classifier_eval")
-def video_classifier_eval(spark, d):
-    """Train on some sources, choose on others, report on sources never seen."""
-    rows, model = _video_model(spark, d)
-    scored = classify.predict_video(rows.filter("split = 'test'"), model)
-    return metrics.classification_report(scored, names=classify.VIDEO_LABELS)
-
-
-@query("video_predictions")
-def video_predictions(spark, d):
-    rows, model = _video_model(spark, d)
-    scored = classify.predict_video(rows.filter("split = 'test'"), model)
-    return clean.with_correct(scored).select(
-        "doc_id", "label", "prediction", "label_name", F.round("confidence", 6).alias("confidence"), "correct"
-    )
-
-
-def _intent_rows(spark, d):
-    """Noisy commands over the parts, labelled by the verb of their template."""
-    intents = F.create_map(*[F.lit(x) for x in (
-        synth_template for pair in (("open {x}", "open_app"), ("find {x}", "search_file"),
-                                    ("please show me {x}", "open_app"), ("where is {x}", "search_file"))
-        for synth_template in pair
-    )])
-    rows = _commands(spark, d).withColumn("intent", F.element_at(intents, F.col("template")))
-    return rows.select("p_partkey", "variant", "text", "intent")
-
-
-@query("intent_inference")
-def intent_inference(spark, d):
-    """Synthesized commands to a trained model, then gate and entities on the test split."""
-    keys = ["p_partkey", "variant"]
-    rows = staged(synth.balance_and_split(_intent_rows(spark, d), keys), "commands")
-    model = classify.fit_text_classifier(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), label="intent", metric="f1",
-    )
-    scored = classify.predict_text(rows.filter("split = 'test'"), model)
-    named = scored.withColumnRenamed("intent", "truth").withColumnRenamed("predicted", "intent")
-    gated = extract_entities(clean.confidence_gate(named))
-    return gated.select(*keys, "truth", "intent", F.round("confidence", 6).alias("confidence"),
-                        F.to_json("entities").alias("entities"))
-
-
-@query("complexity_evaluation")
-def complexity_evaluation(spark, d):
-    """Label code, embed, scale, fit, calibrate on train, evaluate per language on validation."""
-    rows = code_metrics.label_code(
-        _snippets(spark, d).withColumn("original_string", F.lit(None).cast("string")),
-        ["l_orderkey", "l_linenumber"],
-    )
-    features = search.embed(rows, "code", make_embed=search.hashed_words)
-    path = scratch_path(spark, "code-features")
-    sinks.write_parquet(features, path)
-    cached = spark.read.parquet(path)
-    scaler = regression.fit_scaler(cached, "cyclomatic_complexity")
-    scaled = regression.apply_scaler(cached, scaler, "cyclomatic_complexity")
-    parts = splits.validation_split(scaled, ["l_orderkey", "l_linenumber"])
-    train, val = parts.filter("split = 'train'"), parts.filter("split = 'val'")
-    model = classify.fit_complexity_model(train, val)
-    fitted = regression.fit_calibration(
-        classify.predict_normalized(train, model), "language", target="target_norm"
-    )
-    scored = regression.apply_calibration(
-        classify.predict_normalized(val, model), fitted, "language", "prediction"
-    )
-    out = metrics.regression_metrics_by(scored, "language", "calibrated", "target_norm")
-    return out.select("language", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
-
-
 # --- streams -----------------------------------------------------------------------
 
 # Turns as request lines: some are no JSON, some no object, some out of range.
@@ -352,22 +259,3 @@ def stream_search(spark, d):
     shape = "results ARRAY<STRUCT<rank:INT,score:DOUBLE,filepath:STRING,chunk_id:INT>>"
     answers = spark.read.parquet(out).select("request_id", F.from_json("response", shape)["results"].alias("results"))
     return answers.select("request_id", F.inline("results")).withColumn("score", F.round("score", 6))
-
-
-@query("stream_classification")
-def stream_classification(spark, d):
-    """Turns as classification requests answered by the trained video model."""
-    _, model = _video_model(spark, d)
-    source = f"{d.rstrip('/')}/conversations.parquet"
-    turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    lines = turns.select(F.to_json(F.struct(
-        key.alias("id"), F.col("role").alias("title"), F.col("text").alias("description")
-    )).alias("value"))
-    out = scratch_path(spark, "labels")
-    run = requests.serve_classification(lines, model, out, scratch_path(spark, "labels-state"), once=True)
-    run.awaitTermination()
-    return spark.read.parquet(out).select(
-        F.get_json_object("response", "$.id").alias("id"),
-        F.get_json_object("response", "$.label").cast("int").alias("label"),
-    )

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, metrics
-from ..session import staged
 from . import workflows
 from .profile_queries import sql_strip
 from .registry import query, table
@@ -102,30 +100,3 @@ def evaluate_classifier(spark, d):
     for side in (binary, cells, marked):
         one = one.join(side.withColumn("k", F.lit(1)), "k")
     return one.drop("k")
-
-
-def _commands_model(spark, d):
-    from .job_queries import _intent_rows
-    from ..operators import synth
-
-    rows = staged(synth.balance_and_split(_intent_rows(spark, d), ["p_partkey", "variant"]), "commands")
-    model = classify.fit_text_classifier(rows.filter("split = 'train'"), rows.filter("split = 'val'"), label="intent", metric="f1")
-    return rows.filter("split = 'test'"), model
-
-
-@query("run_intent_pipeline")
-def run_intent_pipeline(spark, d):
-    """Intent, confidence and entities of the held-out commands."""
-    rows, model = _commands_model(spark, d)
-    found = workflows.run_intent_pipeline(rows.withColumnRenamed("intent", "truth"), model)
-    return found.select("p_partkey", "variant", "truth", "intent", F.round("confidence", 6).alias("confidence"), F.to_json("entities").alias("entities"))
-
-
-@query("reality_check")
-def reality_check(spark, d):
-    """Accuracy per intent of the held-out commands, from the saved rows of the check."""
-    rows, model = _commands_model(spark, d)
-    checked = staged(workflows.reality_check(rows, model)["rows"], "checked")
-    report = metrics.accuracy(checked, "intent", "prediction")
-    per = checked.groupBy(F.col("intent")).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("correct"))
-    return per.unionByName(report.select(F.lit("all").alias("intent"), F.col("total").alias("n"), "correct"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, video_text
 from ..operators import chunking, clean, metrics, profile, ranking, regression, search, splits
+from ..operators.bayes import BayesModel
 from ..operators.classify import VIDEO_LABELS, ComplexityModel, TextModel, predict_normalized, predict_text, score_complexity
 from ..operators.code_metrics import LANGUAGE_IDS
 from ..operators.entities import extract_entities
+from ..operators.least_squares import LeastSquaresModel
 from ..sources import files, sinks
 
 # --- corpus ------------------------------------------------------------------------
@@ -112,7 +114,7 @@ def evaluate_classifier(
 
 
 def run_intent_pipeline(
-    df: DataFrame, model: TextModel, threshold: float = clean.CONFIDENCE_THRESHOLD, text: str = "text",
+    df: DataFrame, model: TextModel | BayesModel, threshold: float = clean.CONFIDENCE_THRESHOLD, text: str = "text",
 ) -> DataFrame:
     """Intent, confidence and entities per sentence; unsure rows read ``unknown``."""
     scored = predict_text(df, model, text).withColumnRenamed("predicted", "intent").drop("probs")
@@ -120,7 +122,7 @@ def run_intent_pipeline(
 
 
 def reality_check(
-    holdout: DataFrame, model: TextModel, text: str = "text", truth: str = "intent",
+    holdout: DataFrame, model: TextModel | BayesModel, text: str = "text", truth: str = "intent",
 ) -> dict[str, DataFrame]:
     """Per-row result, accuracy, report and the uncertain rows of a hold-out set."""
     rows = clean.clean_labelled(holdout, text, truth)
@@ -138,7 +140,7 @@ def reality_check(
 
 
 def predict_complexity(
-    df: DataFrame, model: ComplexityModel, scaler: DataFrame, calibration: DataFrame,
+    df: DataFrame, model: ComplexityModel | LeastSquaresModel, scaler: DataFrame, calibration: DataFrame,
     make_embed: Callable[[], search.EmbedFn] = search.hashed_words,
 ) -> DataFrame:
     """Raw and calibrated complexity per ``code, language`` row; bad languages as error rows."""
