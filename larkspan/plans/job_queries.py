@@ -8,7 +8,7 @@ from ..operators import chunking, regression, search, splits
 from ..operators.lookup import lookup_join
 from ..session import scratch_path, staged
 from ..sources import files, sinks, tables
-from ..streaming import requests
+from ..streaming import ordering, requests
 from .registry import query, spread, table
 from .text_queries import SQL_DOCUMENT_CHUNKS, SQL_HASHED, SQL_TEXT_CHUNKS, document_files
 
@@ -259,3 +259,22 @@ def stream_search(spark, d):
     shape = "results ARRAY<STRUCT<rank:INT,score:DOUBLE,filepath:STRING,chunk_id:INT>>"
     answers = spark.read.parquet(out).select("request_id", F.from_json("response", shape)["results"].alias("results"))
     return answers.select("request_id", F.inline("results")).withColumn("score", F.round("score", 6))
+
+
+@query("stream_in_order", """
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS out, response FROM (
+  SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Invalid JSON' WHEN 1 THEN 'Request must be a JSON object.' WHEN 2 THEN '{"ok":true,"pong":true}'
+         WHEN 3 THEN CASE WHEN conv_id <= 0 THEN 'top_k must be a positive integer, got ' || conv_id ELSE 'search ' || conv_id END
+         WHEN 4 THEN '''top_k'' must be an integer, got ''x''.' ELSE 'Request must include a non-empty ''query'' string.' END AS response
+  FROM conversations)""")
+def stream_in_order(spark, d):
+    """Requests of many conversations that arrive mixed over several micro-batches, answered in the order of the turns."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.expr(REQUEST_LINE).alias("value"))
+    arrivals = ordering.dealt_files(lines, 6)
+    stream = spark.readStream.schema("conv_id LONG, turn LONG, value STRING").option("maxFilesPerTrigger", 2).parquet(arrivals)
+    parsed = requests.parse_search_requests(stream)
+    searched = F.concat(F.lit("search "), F.col("top_k").cast("string"))
+    answers = parsed.select("conv_id", "turn", F.coalesce("reply", "error", searched).alias("response"))
+    out = scratch_path(spark, "in-order")
+    ordering.serve_in_order(answers, "conv_id", "turn", out, scratch_path(spark, "in-order-state"), once=True).awaitTermination()
+    return spark.read.parquet(out)
