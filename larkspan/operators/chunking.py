@@ -274,8 +274,10 @@ def _parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
         })
 
 
-def _number_parsed(rows: DataFrame, content: str, sep: str, kind: Column, markdown: Column | None = None) -> DataFrame:
-    """One pass for all formats: a row that does not parse is packed as plain text."""
+def _number_parsed(
+    rows: DataFrame, content: str, sep: str, kind: Column, markdown: Column | None = None, flag: str | None = None,
+) -> DataFrame:
+    """One pass for all formats: a row that does not parse is packed as plain text, which ``flag`` tells."""
     keep = _others(rows, content)
     # Only texts of a parsed format travel to Python.
     handed = F.when(kind.isNotNull(), F.col(content))
@@ -285,6 +287,9 @@ def _number_parsed(rows: DataFrame, content: str, sep: str, kind: Column, markdo
     if markdown is not None:
         special = markdown_chunks(F.col(content), MARKDOWN_MAX_WORDS, OVERLAP_WORDS)
         chunks = F.when(markdown, special).otherwise(chunks)
+    if flag is not None:
+        both = F.col("_parts")["entries"].isNull() & F.col("_parts")["spans"].isNull()
+        parsed, keep = parsed.withColumn(flag, kind.isNull() | ~both), [*keep, flag]
     return number_chunks(parsed, chunks, keep)
 
 
@@ -299,9 +304,12 @@ def chunk_python(df: DataFrame, content: str = "content", sep: str = "\n\n") ->
 
 
 def chunk_documents(
-    df: DataFrame, content: str = "content", extension: str = "extension", sep: str = "\n\n",
+    df: DataFrame, content: str = "content", extension: str = "extension", sep: str = "\n\n", flag: str | None = None,
 ) -> DataFrame:
-    """Dispatch by extension inside each row, so the documents are read once."""
+    """Dispatch by extension inside each row, so the documents are read once.
+
+    ``flag`` names a further column, false where a JSON or Python text did not parse.
+    """
     ext = F.lower(F.coalesce(col(extension), F.lit("")))
     kind = F.when(ext.isin(*JSON_EXTENSIONS), "json").when(ext.isin(*PYTHON_EXTENSIONS), "python")
-    return _number_parsed(df, content, sep, kind, ext.isin(*MARKDOWN_EXTENSIONS))
+    return _number_parsed(df, content, sep, kind, ext.isin(*MARKDOWN_EXTENSIONS), flag)

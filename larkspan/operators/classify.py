@@ -13,11 +13,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, unscale_expm1
 from ..functions.text import is_blank
+from ..session import scratch_path
 from .bayes import BayesModel, predict_bayes
 from .clean import label_name
 from .lookup import MAX_LOOKUP_ROWS
@@ -40,6 +41,16 @@ class TextModel:
     score: float
 
 
+def _without_summary(model: object, spark: SparkSession) -> object:
+    """The fitted model read from its saved form.
+
+    A training summary holds the session, which cannot be sent to tasks any more once the session has observed a pass.
+    """
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def text_features(cells: int) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol="_input", outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False),
@@ -83,6 +94,7 @@ def fit_text_classifier(
                 featuresCol="features", labelCol="_y", family="multinomial", regParam=penalty,
                 maxIter=max_iter, predictionCol="_p",
             ).fit(fit_rows)
+            model = _without_summary(model, train.sparkSession)
             scored = model.transform(val_rows).select("_y", "_p")
             if isinstance(metric, UserMetric):
                 score = user_metric(scored, metric, "_y", "_p") or 0.0
@@ -172,7 +184,7 @@ def fit_complexity_model(
     best: ComplexityModel | None = None
     try:
         for candidate in candidates:
-            model = candidate.fit(fit_rows)
+            model = _without_summary(candidate.fit(fit_rows), train.sparkSession)
             mae = regression_metrics(model.transform(val_rows), "_p", "_y").first()["mae"]
             if best is None or (mae is not None and mae < best.validation_mae):
                 best = ComplexityModel(pipeline, model, mae if mae is not None else float("inf"))

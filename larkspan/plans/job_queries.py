@@ -9,6 +9,8 @@ from ..operators.lookup import lookup_join
 from ..session import scratch_path, staged
 from ..sources import files, sinks, tables
 from ..streaming import ordering, requests
+from . import workflows
+from .profile_queries import sql_strip
 from .registry import query, spread, table
 from .text_queries import SQL_DOCUMENT_CHUNKS, SQL_HASHED, SQL_TEXT_CHUNKS, document_files
 
@@ -74,7 +76,7 @@ def feature_cache(spark, d):
         "embedding", (F.col("label") % 6).alias("language_id"),
         F.col("vec_id").cast("float").alias("cyclomatic_complexity"),
     )
-    cached = spark.read.parquet(sinks.write_feature_cache(rows, path))
+    cached = tables.read_feature_cache(spark, sinks.write_feature_cache(rows, path)).withColumn("language_id", F.col("language_id").cast("int"))
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return cached.groupBy("language_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 6).alias("total")
@@ -178,13 +180,82 @@ def params_roundtrip(spark, d):
 
 @query("build_index", f"""
 WITH c AS ({SQL_DOCUMENT_CHUNKS})
-SELECT count(DISTINCT c.doc_id) AS files_indexed, count(DISTINCT d.doc_id) - count(DISTINCT c.doc_id) AS files_failed, count(c.doc_id) AS chunks
+SELECT count(DISTINCT d.doc_id) AS files, count(DISTINCT c.doc_id) AS files_indexed, count(DISTINCT d.doc_id) - count(DISTINCT c.doc_id) AS files_failed,
+       count(DISTINCT CASE WHEN d.doc_id % 4 < 2 AND {sql_strip("coalesce(text, '')")} = '' THEN d.doc_id END) AS files_empty,
+       0::BIGINT AS files_unreadable, 0::BIGINT AS files_unparsed, count(c.doc_id) AS chunks
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""")
 def build_index(spark, d):
-    """Files to chunks with vectors, stored as one table, with the run's statistics."""
-    path = scratch_path(spark, "index")
-    sinks.write_index(search.embed(chunking.chunk_documents(spread(document_files(spark, d)), sep="\n")), path)
-    return sinks.pipeline_stats(document_files(spark, d), spark.read.parquet(path))
+    """Files to chunks with vectors, stored as one table, with the statistics of that pass."""
+    return workflows.index_documents(spread(document_files(spark, d)), scratch_path(spark, "index"), sep="\n")
+
+
+def _written_tree(spark, d):
+    """Documents as real files in a folder per source, some Latin-1, some with CR LF, some with hidden or ignored names."""
+    root = scratch_path(spark, "tree")
+    name = (
+        F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("_"), "filename")).when(F.col("doc_id") % 9 == 5, F.concat(F.lit("."), "filename"))
+        .when(F.col("doc_id") % 9 == 6, F.concat("filename", F.lit(".PNG"))).otherwise(F.col("filename"))
+    )
+    folder = F.when(F.col("doc_id") % 9 == 7, "node_modules").when(F.col("doc_id") % 9 == 8, F.concat(F.lit("_"), "source")).otherwise(F.col("source"))
+    content = F.when(F.col("doc_id") % 5 == 1, F.replace("content", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("content"))
+    rows = document_files(spark, d).withColumn("doc_id", F.regexp_extract("filename", r"(\d+)", 1).cast("long"))
+    rows = rows.withColumn("source", F.split("filepath", "/")[2]).select(
+        F.concat_ws("/", folder, name).alias("path"), content.alias("content"), (F.col("doc_id") % 5 == 2).alias("latin"))
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            for path, text, latin in zip(*[c.to_pylist() for c in batch.columns]):
+                raw = text.encode("latin-1") if latin and all(ord(c) < 256 for c in text) else text.encode()
+                system, place = pafs.FileSystem.from_uri(f"{root}/{path}" if "://" in root else f"file://{root}/{path}")
+                system.create_dir(place.rsplit("/", 1)[0])
+                with system.open_output_stream(place) as out:
+                    out.write(raw)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    spread(rows).mapInArrow(write, "n BIGINT").agg(F.sum("n")).collect()
+    return root
+
+
+# Documents whose files the scan takes, and their place in the tree.
+_TREE = """
+SELECT doc_id, doc_id % 4 AS kind, text,
+       CASE WHEN doc_id % 9 = 8 THEN '_' ELSE '' END || source || '/' || CASE doc_id % 9 WHEN 4 THEN '_' WHEN 5 THEN '.' ELSE '' END AS place
+FROM documents WHERE doc_id % 9 NOT IN (6, 7)"""
+
+
+@query("build_index_tree", f"""
+WITH f AS ({_TREE})
+SELECT place || 'doc' || doc_id || extension AS file, extension, chunk_id::INT AS chunk_id, content
+FROM ({SQL_DOCUMENT_CHUNKS}) JOIN f USING (doc_id)""")
+def build_index_tree(spark, d):
+    """The index of a written file tree."""
+    root, out = _written_tree(spark, d), scratch_path(spark, "index")
+    workflows.build_index(spark, root, out, sep="\n")
+    inner = F.substring_index(F.col("filepath"), "/", -2)
+    return spark.read.parquet(out).select(inner.alias("file"), "extension", "chunk_id", "content")
+
+
+@query("build_index_tree_stats", f"""
+WITH f AS ({_TREE}), c AS (SELECT doc_id FROM ({SQL_DOCUMENT_CHUNKS}) JOIN f USING (doc_id))
+SELECT (SELECT count(*) FROM f) AS files, count(DISTINCT doc_id) AS files_indexed, (SELECT count(*) FROM f) - count(DISTINCT doc_id) AS files_failed,
+       (SELECT count(*) FROM f WHERE kind < 2 AND {sql_strip("coalesce(text, '')")} = '') AS files_empty,
+       0::BIGINT AS files_unreadable, 0::BIGINT AS files_unparsed, count(*) AS chunks FROM c""")
+def build_index_tree_stats(spark, d):
+    """The statistics of the pass that writes the index of a file tree."""
+    return workflows.build_index(spark, _written_tree(spark, d), scratch_path(spark, "index"), sep="\n")
+
+
+@query("file_columns", f"""
+SELECT place || 'doc' || doc_id || k.extension AS file, CASE doc_id % 9 WHEN 4 THEN '_' WHEN 5 THEN '.' ELSE '' END || 'doc' || doc_id || k.extension AS filename,
+       k.extension FROM ({_TREE}) JOIN (VALUES (0, '.txt'), (1, '.md'), (2, '.json'), (3, '.py')) k(kind, extension) USING (kind)""")
+def file_columns(spark, d):
+    """Name and extension of every listed file of a written tree."""
+    listed = files.list_files(spark, _written_tree(spark, d))
+    return listed.select(F.substring_index(F.col("filepath"), "/", -2).alias("file"), files.file_name("filepath").alias("filename"),
+                         files.extension(files.file_name("filepath")).alias("extension"))
 
 
 # --- streams -----------------------------------------------------------------------
@@ -234,7 +305,7 @@ WITH RECURSIVE {SQL_TEXT_CHUNKS},
 {SQL_HASHED.format(name='qv', ids='request_id', text='text', source=_TURNS)},
 s AS (SELECT request_id, doc_id, chunk_id, round(sum(qv.x * dv.x), 12) AS score
       FROM qv JOIN dv ON qv.dim = dv.dim GROUP BY request_id, doc_id, chunk_id)
-SELECT request_id, rank, 'doc' || doc_id AS filepath, chunk_id, round(score, 6) AS score
+SELECT request_id, rank, 'doc' || doc_id AS filepath, chunk_id, round(score, 9) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, 'doc' || doc_id, chunk_id)::INT AS rank
       FROM s) WHERE rank <= 10 AND score >= 0.2""")
 def stream_search(spark, d):
@@ -258,7 +329,7 @@ def stream_search(spark, d):
     run.awaitTermination()
     shape = "results ARRAY<STRUCT<rank:INT,score:DOUBLE,filepath:STRING,chunk_id:INT>>"
     answers = spark.read.parquet(out).select("request_id", F.from_json("response", shape)["results"].alias("results"))
-    return answers.select("request_id", F.inline("results")).withColumn("score", F.round("score", 6))
+    return answers.select("request_id", F.inline("results"))
 
 
 @query("stream_in_order", """

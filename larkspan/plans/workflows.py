@@ -25,15 +25,18 @@ def build_index(
 ) -> DataFrame | None:
     """Scan, decode, chunk, embed and store a file tree.
 
-    Returns the statistics, or nothing when no file had any text. A file that
+    Returns the statistics of the writing pass, or nothing when no file had any text. A file that
     cannot be parsed in its format is chunked as plain text.
     """
-    listing = files.list_files(spark, root)
-    documents = files.read_documents(files.read_files(listing))
-    chunks = search.embed(chunking.chunk_documents(documents, sep=sep), make_embed=make_embed)
-    if not sinks.write_index(chunks, out):
-        return None
-    return sinks.pipeline_stats(listing, spark.read.parquet(out))
+    return index_documents(files.read_documents(files.scan_files(spark, root)), out, make_embed, sep)
+
+
+def index_documents(
+    documents: DataFrame, out: str, make_embed: Callable[[], search.EmbedFn] = search.hashed_words, sep: str = "\n\n",
+) -> DataFrame | None:
+    """Chunk, embed and store documents given as ``filename, filepath, extension, content``; statistics as of ``build_index``."""
+    return sinks.write_index_counted(
+        documents, out, lambda df: search.embed(chunking.chunk_documents(df, sep=sep, flag="parsed"), make_embed=make_embed))
 
 
 def search_index(

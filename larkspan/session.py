@@ -72,9 +72,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder and all that is in it, by the session's file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing reads any more."""
-    context = df.sparkSession.sparkContext
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, folder)

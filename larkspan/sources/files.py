@@ -1,19 +1,27 @@
-"""File trees as DataFrames: scan, decode, name parts."""
+"""File trees as DataFrames: scan, decode, name parts.
+
+Spark lists and reads the files. Its listing hides names that begin with a dot or an underscore
+(``__init__.py``), so these are found by patterns of the session's file system. Folders of that
+kind become further roots of Spark's listing; files of that kind are copied to plain names
+in the shared folder and read from there.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as JvmColumn
 
 from ..functions.text import col, unix_lines
 from ..session import scratch_path
 
-BATCH_BYTES = 32 << 20
-TASK_BYTES = 128 << 20
+#: A longer file does not fit in one value.
+LONGEST = (1 << 31) - 1 - 15
+COPY_THREADS = 16
 
 # What a scan leaves out. Folders with a leading dot are left out too.
 IGNORED_FOLDERS = (
@@ -47,52 +55,107 @@ def _wanted(name: Column, names: Iterable[str], extensions: Iterable[str]) -> Co
     return ~name.isin(list(names)) & ~extension(name).isin(list(extensions))
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of each folder; one that went away meanwhile has none, any other failure fails the task."""
-    for batch in batches:
-        for folder in batch.column("path").to_pylist():
-            prefix = folder.split("://")[0] + "://" if "://" in folder else ""
-            try:
-                system, inner = pafs.FileSystem.from_uri(folder)
-                infos = system.get_file_info(pafs.FileSelector(inner))
-            except FileNotFoundError:
-                continue
-            infos = [i for i in infos if i.type in (pafs.FileType.File, pafs.FileType.Directory)]
-            for at in range(0, len(infos), 50_000):
-                part = infos[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({
-                    "path": [prefix + i.path for i in part], "name": [i.base_name for i in part],
-                    "is_folder": [i.type == pafs.FileType.Directory for i in part],
-                    "length": pa.array([i.size or 0 for i in part], pa.int64()),
-                })
-
-
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """File bytes in batches of bounded size; an unreadable file has null content."""
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        paths, lengths, data = zip(*rows)
-        return pa.RecordBatch.from_pydict({
-            "filepath": pa.array(paths, pa.string()), "length": pa.array(lengths, pa.int64()),
-            "content": pa.array(data, pa.binary()),
-        })
-
-    held, size = [], 0
-    for batch in batches:
-        for path, length in zip(*(batch.column(c).to_pylist() for c in ("filepath", "length"))):
-            try:
-                system, inner = pafs.FileSystem.from_uri(path)
-                with system.open_input_stream(inner, compression=None) as stream:
-                    data = stream.read()
-            except OSError:
-                data = None
-            held.append((path, length, data))
-            size += len(data or b"")
-            if size > BATCH_BYTES or len(held) >= 5_000:
-                yield pack(held)
-                held, size = [], 0
-    if held:
-        yield pack(held)
+def _open_folders(inner: Column, folders: Iterable[str]) -> Column:
+    """No folder of a path below the root is ignored or begins with a dot."""
+    listed = "|".join(re.escape(f) for f in folders)
+    return ~F.concat(F.lit("/"), inner).rlike(rf"/(\.[^/]*{'|' + listed if listed else ''})/")
+
+
+def _literal(path: str) -> str:
+    """A path whose characters are no pattern."""
+    return "".join("\\" + c if c in "*?[]{}\\^" else c for c in path)
+
+
+class _Tree:
+    """A root, the hidden folders below it that are roots of their own, and the hidden files that are wanted."""
+
+    def __init__(self, spark: SparkSession, root: str, folders: Iterable[str], names: Iterable[str], extensions: Iterable[str]) -> None:
+        self.spark, self.folders, self.names, self.extensions = spark, list(folders), list(names), list(extensions)
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        given = self.jvm.org.apache.hadoop.fs.Path(root)
+        self.system = given.getFileSystem(self.conf)
+        self.root = self.system.makeQualified(given)
+        if not self.system.exists(self.root):
+            raise FileNotFoundError(root)
+        self.prefix, self.encoded = self.root.toString().rstrip("/"), self.root.toUri().toString().rstrip("/")
+        self.roots, self.files = [self.prefix], []
+        depth = _literal(self.prefix)
+        while True:
+            found = self._hidden(f"{depth}/{{.*,_*}}")
+            for path, length, is_folder in found:
+                inner = path[len(self.prefix) + 1 :].split("/")
+                if any(p.startswith(".") or p in self.folders for p in (inner if is_folder else inner[:-1])):
+                    continue
+                if is_folder:
+                    self.roots.append(path)
+                else:
+                    self.files.append((path, length))
+            depth += "/*"
+            if not len(self.system.globStatus(self.jvm.org.apache.hadoop.fs.Path(depth)) or []):
+                break
+
+    def _hidden(self, pattern: str) -> list[tuple[str, int, bool]]:
+        found = self.system.globStatus(self.jvm.org.apache.hadoop.fs.Path(pattern)) or []
+        return [(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in found]
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([_literal(r) for r in self.roots])
+
+    def visible(self) -> DataFrame:
+        """``path`` (whole), ``length`` and on demand ``content`` of the wanted files with plain names that are not empty.
+
+        The conditions on the file's own path and name are met before a file is opened.
+        """
+        inner = F.substring(F.col("_metadata.file_path"), len(self.encoded) + 2, 1 << 30)
+        rows = self._read().filter(_wanted(F.col("_metadata.file_name"), self.names, self.extensions) & _open_folders(inner, self.folders))
+        return rows.filter(self._wanted_path()).select("path", "length", "content")
+
+    def empty(self) -> DataFrame:
+        """``path`` and ``length`` of the wanted empty files with plain names, which Spark lists but does not read."""
+        rows = self._read()
+        # the list stays in the JVM, as one literal
+        listed = JvmColumn(self.jvm.org.apache.spark.sql.functions.lit(rows._jdf.inputFiles()))
+        # a path without a host is written with one slash or three
+        one_slash = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/").alias("value")
+        every = self.spark.range(1).select(F.explode(listed).alias("value")).select(one_slash("value"))
+        none = every.join(rows.select(one_slash(F.col("_metadata.file_path"))), "value", "left_anti")
+        path = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+        return none.select(path.alias("path"), F.lit(0).cast("long").alias("length")).filter(self._wanted_path())
+
+    def _wanted_path(self) -> Column:
+        inner = F.substring("path", len(self.prefix) + 2, 1 << 30)
+        return _wanted(file_name("path"), self.names, self.extensions) & _open_folders(inner, self.folders)
+
+    def hidden(self) -> DataFrame:
+        """``path`` and ``length`` of the wanted files with hidden names."""
+        return self.spark.createDataFrame(self.files, "path STRING, length BIGINT").filter(self._wanted_path())
+
+    def copies(self, longest: int) -> DataFrame:
+        """``path``, ``length`` and ``content`` of the wanted hidden files of up to ``longest`` bytes, read from copies with plain names."""
+        wanted = [r["path"] for r in self.hidden().filter(F.col("length") <= longest).select("path").collect()]
+        empty = "path STRING, length BIGINT, content BINARY"
+        if not wanted:
+            return self.spark.createDataFrame([], empty)
+        folder = scratch_path(self.spark, "hidden")
+        path = self.jvm.org.apache.hadoop.fs.Path
+        target = path(folder).getFileSystem(self.conf)
+
+        def copy(at: int) -> None:
+            self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.system, path(wanted[at]), target, path(f"{folder}/{at}"), False, self.conf)
+
+        with ThreadPoolExecutor(COPY_THREADS) as pool:
+            list(pool.map(copy, range(len(wanted))))
+        names = self.spark.createDataFrame(list(enumerate(wanted)), "at INT, name STRING")
+        rows = self.spark.read.format("binaryFile").load(folder).withColumn("at", file_name("path").cast("int"))
+        # an empty copy is not read
+        return names.join(rows, "at", "left").select(
+            F.col("name").alias("path"), F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
+
+
+def _plain(path: str) -> Column:
+    """Local paths without their scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def list_files(
@@ -100,55 +163,41 @@ def list_files(
     ignored_folders: Iterable[str] = IGNORED_FOLDERS, ignored_files: Iterable[str] = IGNORED_FILES,
     ignored_extensions: Iterable[str] = IGNORED_EXTENSIONS,
 ) -> DataFrame:
-    """``filepath, length`` of every wanted file below ``root``.
+    """``filepath, length`` of every wanted file below ``root``; no file is opened.
 
-    Spark's own file listing hides names with a leading dot or underscore
-    (``__init__.py``), so folders are listed by tasks, one level of the tree per
-    job. Ignored folders are not entered. Each level is kept as a table in the
-    shared folder.
+    Ignored folders, and those that begin with a dot, are left out with all below them. A missing root is an error.
     """
-    plain = root[len("file://"):] if root.startswith("file://") else root
-    out = scratch_path(spark, "listing")
-    level = spark.createDataFrame([(plain.rstrip("/") or "/",)], "path STRING")
-    depth = 0
-    while True:
-        entries = level.mapInArrow(_children, "path STRING, name STRING, is_folder BOOLEAN, length BIGINT")
-        here = f"{out}/level={depth}"
-        kept = entries.filter(F.when(
-            F.col("is_folder"), ~F.col("name").isin(list(ignored_folders)) & ~F.col("name").startswith(".")
-        ).otherwise(_wanted(F.col("name"), ignored_files, ignored_extensions)))
-        kept.write.parquet(here)
-        folders = spark.read.parquet(here).filter("is_folder").select("path")
-        n = folders.count()
-        if n == 0:
-            break
-        level = folders.repartition(min(n, 10_000))
-        depth += 1
-    found = spark.read.schema("path STRING, name STRING, is_folder BOOLEAN, length BIGINT, level INT").parquet(out)
-    return found.filter("NOT is_folder").select(F.col("path").alias("filepath"), "length")
-
-
-def read_files(listing: DataFrame) -> DataFrame:
-    """Attach the bytes of each listed file; the work is spread by total size."""
-    cores = listing.sparkSession.sparkContext.defaultParallelism
-    size = listing.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
-    parts = max(1, min(size["n"], max(cores, size["b"] // TASK_BYTES)))
-    return listing.repartition(parts).mapInArrow(_contents, "filepath STRING, length BIGINT, content BINARY")
+    tree = _Tree(spark, root, ignored_folders, ignored_files, ignored_extensions)
+    found = tree.visible().select("path", "length").unionByName(tree.empty()).unionByName(tree.hidden())
+    return found.select(_plain("path").alias("filepath"), "length")
 
 
 def scan_files(
     spark: SparkSession, root: str,
     ignored_folders: Iterable[str] = IGNORED_FOLDERS, ignored_files: Iterable[str] = IGNORED_FILES,
-    ignored_extensions: Iterable[str] = IGNORED_EXTENSIONS,
+    ignored_extensions: Iterable[str] = IGNORED_EXTENSIONS, longest: int = LONGEST,
 ) -> DataFrame:
-    """Every wanted file below ``root`` with its bytes."""
-    return read_files(list_files(spark, root, ignored_folders, ignored_files, ignored_extensions))
+    """``filepath, length, content, error`` of every wanted file below ``root``.
+
+    A file longer than ``longest`` bytes is not opened, its content is null and ``error`` says why. Any other
+    failure to read fails the task, so Spark tries it again and in the end says which file it was.
+    """
+    tree = _Tree(spark, root, ignored_folders, ignored_files, ignored_extensions)
+    visible = tree.visible()
+    fits = visible.filter(F.col("length") <= longest).unionByName(tree.copies(longest))
+    fits = fits.unionByName(tree.empty().withColumn("content", F.lit(b"")))
+    over = visible.select("path", "length").unionByName(tree.hidden()).filter(F.col("length") > longest)
+    over = over.withColumn("content", F.lit(None).cast("binary"))
+    error = F.when(F.col("length") > longest, F.concat(F.lit("longer than "), F.lit(str(longest)), F.lit(" bytes")))
+    rows = fits.unionByName(over).select(_plain("path").alias("filepath"), "length", "content")
+    return rows.withColumn("error", error)
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """``filename, filepath, extension, content`` with the content as text."""
+    """``filename, filepath, extension, content`` with the content as text, and ``error`` if the files have it."""
     name = file_name("filepath")
+    kept = ["error"] if "error" in files.columns else []
     return files.select(
         name.alias("filename"), "filepath", extension(name).alias("extension"),
-        decode_text("content").alias("content"),
+        decode_text("content").alias("content"), *kept,
     )

@@ -35,6 +35,50 @@ def test_scan(spark, tree):
     assert {r["filename"]: r["extension"] for r in found}["b.PY"] == ".py"
 
 
+def test_hidden_names_and_odd_roots(spark, tmp_path):
+    root = tmp_path / "a [x] {y} é"
+    keep = {"_f.txt": "1", "_d/g.txt": "2", "_d/_e/_h.py": "3", "_d/i/.j": "4", "k/_SUCCESS": "5", "k/%41 +.txt": "6"}
+    drop = [".d/a.txt", "_d/.x/b.txt", "_d/.x/_y/c.txt", "_d/node_modules/d.txt", "k/_e.png", "k/.DS_Store", "venv/_z.txt", "venv/_q/r.txt"]
+    for name in [*keep, *drop]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(keep.get(name, "drop"))
+    got = {r["filepath"]: r["content"] for r in files.read_documents(files.scan_files(spark, str(root))).collect()}
+    assert got == {str(root / n): t for n, t in keep.items()}
+    assert {(r["filepath"], r["length"]) for r in files.list_files(spark, f"file://{root}/").collect()} == {(str(root / n), 1) for n in keep}
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(tmp_path / "none"))
+
+
+def test_long_files_are_told_and_ignored_ones_not_opened(spark, tree):
+    root, keep = tree
+    (root / "big.txt").write_text("x" * 200)
+    (root / "_big.txt").write_text("x" * 300)
+    (root / "big.png").write_bytes(b"x" * 5000)
+    (root / "node_modules" / "big.txt").write_text("x" * 5000)
+    old = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # a longer file that is opened fails
+    try:
+        rows = {r["filepath"]: r for r in files.scan_files(spark, str(root), longest=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", old)
+    long = {str(root / n) for n in ("big.txt", "_big.txt")}
+    assert set(rows) == {str(root / n) for n in keep} | long
+    assert {p for p, r in rows.items() if r["error"]} == long and all(rows[p]["content"] is None for p in long)
+
+
+def test_statistics_of_the_writing_pass(spark, tree):
+    root, keep = tree
+    (root / "broken.json").write_text("{no json at all")
+    (root / "latin.md").write_bytes("# Caf\xe9\r\n\r\ntext\rmore".encode("latin-1"))
+    out = scratch_path(spark, "idx")
+    got = workflows.build_index(spark, str(root), out).first().asDict()
+    assert got == {"files": 10, "files_indexed": 9, "files_failed": 1, "files_empty": 1, "files_unreadable": 0, "files_unparsed": 1, "chunks": spark.read.parquet(out).count()}
+    assert {r["content"] for r in spark.read.parquet(out).filter("filename = 'latin.md'").collect()} == {"# Caf\xe9\ntext\nmore"}
+    documents = files.read_documents(files.scan_files(spark, str(root), longest=10))
+    got = workflows.index_documents(documents, scratch_path(spark, "idx")).first()
+    assert got["files_unreadable"] == sum(len(t.encode()) > 10 for t in keep.values()) + 2 and got["files_empty"] == 1
+
+
 def test_decode(spark):
     raw = [b"caf\xc3\xa9\r\nx\ry", b"\xef\xbb\xbfbom", b"caf\xe9", b""]
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "i int, content binary")
