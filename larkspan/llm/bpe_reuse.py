@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, bpe
-from .common import bounded, map_batches, shared
+from .common import bounded, map_batches, shared, tidied
 
 #: Rolling hash: chunks of about 2**BITS characters, LEAST at least and MOST at most.
 BITS, LEAST, MOST = 10, 256, 16384
@@ -173,10 +173,11 @@ def encode_with(docs: DataFrame, path: str, emit: Emit, columns: str, id_col: st
                 # special tokens are taken out of a text before anything else, so such a text is encoded as one
                 ids = (vocab.encode(t) if vocab.has_special(t) else joined(t, memory) for t in texts)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *emit(ids, vocab)], names)
+        memory.dictionary, memory.own = {}, {}
 
     names = ["id"] + [c.split()[0] for c in columns.split(", ")]
     dealt = map_batches(rows, deal, f"id {id_type}, text string, least long").hint("rebalance", "least")
-    return dealt.select("id", "text").mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
+    return dealt.select("id", "text").mapInArrow(tidied(run), f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
 
 
 def _whole(ids: Iterator[np.ndarray], vocab: Bpe) -> list[pa.Array]:

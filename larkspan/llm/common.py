@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -32,6 +33,24 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(sent.value)
 
 
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of values the driver knows, made without Python workers."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def tidied(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives unused memory back in the end; its worker goes on with other tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = kept("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to bounded Arrow batches; it may return nothing for a batch."""
 
@@ -42,7 +61,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def bounded(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

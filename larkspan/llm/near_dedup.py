@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import checked, map_batches, unused
+from .common import checked, map_batches, tidied, unused
 
 
 @dataclass(frozen=True)
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "low", "high", "band", "node", "block", "marks", "packed"])
 
-    hits = staged(keyed(members).mapInArrow(plausible, "bucket long, low int, high int, band int, node binary, block int, marks binary, packed binary"), "plausible")
+    hits = staged(keyed(members).mapInArrow(tidied(plausible), "bucket long, low int, high int, band int, node binary, block int, marks binary, packed binary"), "plausible")
     wanted = staged(hits.select("node").distinct().join(one, "node").select("node", F.col("id").alias("one_id"), F.col("text_md5").alias("one_md5")), "wanted")
     same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))
     texts = rows.join(checked(wanted, 80), same).select("node", "text").dropDuplicates(["node"])
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], ["a", "b"])
 
-    links = staged(keyed(hits.join(texts, "node")).mapInArrow(compared, "a binary, b binary"), "links")
+    links = staged(keyed(hits.join(texts, "node")).mapInArrow(tidied(compared), "a binary, b binary"), "links")
     roots = components(links)
 
     # documents of nodes that share a root, or of one node with copies

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, map_batches
+from .common import bounded, map_batches, tidied
 from .near_dedup import mix64, words_of
 
 #: Hashes have 48 bits; a bound of all ones says that nothing was left out.
@@ -214,4 +214,4 @@ def fingerprints_of_edits(docs: DataFrame, settings: Settings = Settings(), id_c
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, *types))], names)
 
-    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)

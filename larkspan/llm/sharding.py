@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .common import small_table
 
 
 @dataclass(frozen=True)
@@ -166,7 +167,7 @@ def shard(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     for p in parts:
         starts.append((p["part"], *sums))
         sums = (sums[0] + p["bytes"], sums[1] + p["rows"], sums[2] + p["groups"])
-    before = spark.createDataFrame(starts, "part int, bytes_before long, rows_before long, groups_before long")
+    before = small_table(spark, **{c: pa.array([r[i] for r in starts], pa.int64()) for i, c in enumerate(("part", "bytes_before", "rows_before", "groups_before"))})
     stride = max(1, -(-n_groups // s.boundaries))
     placed = groups.join(F.broadcast(before), "part").select(
         "text_key", "bytes", "n", (F.col("bytes_before") + F.col("part_end")).alias("end"), (F.col("rows_before") + F.col("part_rows")).alias("rows_end"),
@@ -187,7 +188,7 @@ def shard(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         gaps = [(known.numbers[i - 1], known.numbers[i]) for i in sorted(known.noted)]
         step = max(1, sum(b - a for a, b in gaps) // s.boundaries)
         inner = [((a + 1) // stride, a, b, max(1, min(step, (b - a) // 2))) for a, b in gaps]
-        near = F.broadcast(spark.createDataFrame(inner, "block long, low long, high long, step long"))
+        near = F.broadcast(small_table(spark, **{c: pa.array([r[i] for r in inner], pa.int64()) for i, c in enumerate(("block", "low", "high", "step"))}))
         inside = placed.join(near, "block").where("number > low and number < high and (number - low) % step = 0")
         found = np.concatenate([found, fetched(inside)])
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import bounded, shared
+from .common import bounded, shared, tidied
 from .transducer import Transducer, built, unpacked
 
 #: A-Z becomes a-z, every byte that no term holds a blank; bytes of other characters stay.
@@ -86,7 +86,7 @@ def kept_terms(rows: DataFrame, settings: Settings) -> DataFrame:
         n = [c for own in seen.values() for c in own.values()]
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array(n, pa.int64())], ["lang", "term", "n"])
 
-    found = rows.select("lang", "text").mapInArrow(count, "lang string, term binary, n long")
+    found = rows.select("lang", "text").mapInArrow(tidied(count), "lang string, term binary, n long")
     kept = found.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least).select("lang", "term")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = kept.repartitionByRange(parts, "lang", "term").sortWithinPartitions("lang", "term")
@@ -150,7 +150,7 @@ def recounted(rows: DataFrame, blocks: DataFrame, settings: Settings) -> DataFra
                         seen = {}
             yield from given(seen, machines)
 
-        part = staged(rows.mapInArrow(count, COUNTS), "recounted")
+        part = staged(rows.mapInArrow(tidied(count), COUNTS), "recounted")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], COUNTS)
