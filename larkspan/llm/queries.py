@@ -73,12 +73,23 @@ t AS (
       ELSE (r.w * (3 * b.total - 2 * b.capped))::DOUBLE / (2 * b.open_weight)::DOUBLE END AS target
   FROM r CROSS JOIN f LEFT JOIN r b ON b.k = f.k),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size::BIGINT AS source_size, t.target, floor(t.target)::BIGINT AS words,
+  SELECT d.doc_id, d.size, d.source, t.source_size::BIGINT AS source_size, t.target, floor(t.target)::BIGINT AS words,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS first
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(first + size, words) - first) + greatest(0, least(first + source_size + size, words) - first - source_size))::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT source, (floor(target)::BIGINT + 1023) // 1024 AS need FROM t WHERE floor(target) > 0),
+e AS (
+  SELECT source, need, ends, coalesce(lag(ends) OVER (ORDER BY source COLLATE "C" NULLS LAST), -1) AS begins FROM (
+    SELECT source, need, (sum(need) OVER (ORDER BY source COLLATE "C" NULLS LAST))::HUGEINT * 18446744073709551616 // sum(need) OVER ()::HUGEINT - 1 AS ends FROM n)),
+k AS (SELECT unnest(range((SELECT 2 * sum(need) + 64 FROM n)::BIGINT)) AS slot),
+z AS (
+  SELECT slot, source, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, (slot::HUGEINT * 11400714819323198485) % 18446744073709551616 AS point FROM k) x JOIN e ON x.point > e.begins AND x.point <= e.ends),
+y AS (
+  SELECT *, greatest(0, least(first + size, words) - first) AS one, greatest(0, least(first + source_size + size, words) - first - source_size) AS two FROM p)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken, CASE WHEN one > 0 THEN z.slot END AS first_slot,
+  (CASE WHEN one > 0 THEN (first + one - 1) // 1024 - first // 1024 + 1 ELSE 0 END
+   + CASE WHEN two > 0 THEN (first + source_size + two - 1) // 1024 - (first + source_size) // 1024 + 1 ELSE 0 END)::BIGINT AS n_slots
+FROM y LEFT JOIN z ON z.source IS NOT DISTINCT FROM y.source AND z.rank = y.first // 1024 AND z.rank < z.need
 """
 
 

@@ -112,22 +112,35 @@ def test_mix_pieces(documents):
     taken = (p.to_word - p.from_word).groupby(p.s).sum()
     for s_, goal in d.groupby("s").target.first().items():
         assert taken.get(s_, 0) == int(goal)
+    slots = brute_slots([-(-int(goal) // 64) for _, goal in sorted(d.groupby("s").target.first().items())])
+    assert all(slots[r.s][r["rank"]] == r.slot for _, r in p.iterrows())
 
 
 def test_mixed_documents(awkward, nothing, documents):
     out = mixing.mixed_documents(awkward)
     assert out.columns == awkward.columns
     texts = {(r.doc_id, r.text) for r in awkward.collect()}
-    assert all(any(i == j and t is not None and t.startswith(r.text) for j, t in texts) for r in out.collect() for i in [r.doc_id])
+    assert {(r.doc_id, r.text) for r in out.collect()} <= texts
     assert mixing.mixed_sizes(awkward).count() == awkward.count()
     assert mixing.mixed_documents(nothing).count() == 0 == mixing.mixed_sizes(nothing).count()
-    words = lambda df: sum(len((r.text or "").encode().split()) for r in df.select("text").collect())
     sized = mixing.mixed_sizes(documents).toPandas()
-    assert (sized.taken <= 2 * sized["size"]).all() and words(mixing.mixed_documents(documents)) == sized.taken.sum()
+    assert (sized.taken <= 2 * sized["size"]).all() and ((sized.taken > 0) == (sized.n_slots > 0)).all() and (sized.first_slot.isna() == (sized.taken == 0)).all()
+    for block in (1024, 50):
+        got = [(r.doc_id, r.text) for r in mixing.mixed_documents(documents, mixing.Settings(block=block)).collect()]
+        assert got == brute_mix([(r.doc_id, r.text, r.source) for r in documents.collect()], block)
 
 
-def test_first_words():
-    assert mixing.first_words("  a b\n c d", 3) == "  a b\n c" and mixing.first_words("a", 0) == ""
+def test_many_sources_and_rows_alike(spark):
+    """Each of the rows that differ in another column only keeps it; more sources than rows in any of them."""
+    rows = [(1, "one text of five words", "a", f"x{i % 40}") for i in range(60)] + [(i, f"text {i}", f"s{i}", "y") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other string")
+    got = Counter(tuple(r) for r in mixing.mixed_documents(df, mixing.Settings(block=7)).collect())
+    given = Counter(rows)
+    assert set(got) <= set(given) and all(n <= 2 * given[r] for r, n in got.items())
+    assert sum(n for r, n in got.items() if r[2] == "a") in range(60, 121) and len({r[3] for r in got if r[2] == "a"}) == 40
+    sized = mixing.mixed_sizes(df).toPandas()
+    assert len(sized) == len(rows) and (sized[sized.source_size == 300].taken <= 10).all()
+
 
 
 @pytest.fixture(scope="module")
@@ -150,22 +163,37 @@ def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
-def brute_mix(docs):
-    """(id, text) of everything the mix takes; docs are (id, text, source)."""
-    words = lambda t: re.findall(mixing.WORD, t or "")
+def brute_slots(need):
+    """Slots of every source by the golden-ratio points, counted one by one."""
+    total, found, slot = sum(need), [[] for _ in need], 0
+    ends = [sum(need[: i + 1]) * 2**64 // max(total, 1) - 1 for i in range(len(need))]
+    while any(len(f) < n for f, n in zip(found, need)):
+        point = slot * mixing.GOLDEN % 2**64
+        found[next(i for i, e in enumerate(ends) if need[i] and point <= e)].append(slot)
+        slot += 1
+    return found
+
+
+def brute_mix(docs, block=1024):
+    """(id, text) of every document the mix takes, in the order of the stream; docs are (id, text, source)."""
+    words = lambda t: len(re.findall(mixing.WORD, t or ""))
     names = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
-    sizes = [sum(len(words(t)) for _, t, s in docs if s == name) for name in names]
-    out = []
+    sizes = [sum(words(t) for _, t, s in docs if s == name) for name in names]
+    taken = []
     for name, size, goal in zip(names, sizes, mixing.targets(sizes)):
-        own = sorted(((int(hashlib.md5(f"{i}:{t}".encode()).hexdigest()[:15], 16), i, t) for i, t, s in docs if s == name))
-        at = 0
-        for lap in range(2):
+        own = sorted(((int(hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:15], 16), i, t) for i, t, s in docs if s == name), key=repr)
+        own.sort(key=lambda r: r[0])
+        at, mine = 0, []
+        for _ in range(2):
             for _, i, t in own:
-                n = min(len(words(t)), int(goal) - at)
-                if n > 0:
-                    out.append((i, t if n == len(words(t)) else mixing.first_words(t, n)))
-                at += len(words(t))
-    return out
+                n = words(t)
+                if n and at + n / 2 <= goal:
+                    mine.append((at, at + n, i, t))
+                at += n
+        taken.append(mine)
+    slots = brute_slots([-(-max((end for _, end, _, _ in mine), default=0) // block) for mine in taken])
+    found = sorted((slots[s][at // block], at, s, i, t) for s, mine in enumerate(taken) for at, _, i, t in mine)
+    return [(i, t) for _, _, _, i, t in found]
 
 
 def test_pipeline(spark, documents):
