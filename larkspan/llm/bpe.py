@@ -82,6 +82,14 @@ def long_run(raw: bytes) -> bool:
     """Whether a run of ASCII blanks, or of other bytes, is longer than ``LONG_RUN``."""
     if len(raw) <= LONG_RUN:
         return False
+    # such a run fills one of the pieces of half its length; most texts have none that is filled by one kind
+    half = LONG_RUN // 2
+    for at in range(0, len(raw), half):
+        first = raw[at : at + half].split(None, 1)
+        if not first or len(first[0]) == half:
+            break
+    else:
+        return False
     codes = np.frombuffer(raw, np.uint8)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     turns = np.flatnonzero(blank[1:] != blank[:-1])

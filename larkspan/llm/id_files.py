@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
-from .common import bounded
+from .common import bounded, small_table, tidied
 
 BLOCK = 1024
 #: Ids of one segment (whole documents, so a long document makes a longer one) and blocks coded in step.
@@ -128,6 +128,25 @@ class Encoder:
         rng[m] <<= U(16)
         self.low[:n], self.range[:n] = low, rng
 
+    def put_at(self, rows: np.ndarray, parts: tuple[tuple[U | np.ndarray, np.ndarray, np.ndarray | U], ...]) -> None:
+        """Code the given (shift, cum, freq) one after the other, for some lanes only."""
+        low, rng, places = self.low[rows], self.range[rows], self.at[rows]
+        for shift, cum, freq in parts:
+            unit = rng >> shift
+            low += unit * cum
+            rng = unit * freq
+            over = (low >> np.uint64(32)).nonzero()[0]
+            if len(over):
+                self.digits[places[over] - 1] += U(1)
+                low[over] &= np.uint64(0xFFFFFFFF)
+            m = (rng < 65536).nonzero()[0]
+            part = low[m]
+            self.digits[places[m]] = part >> np.uint64(16)
+            places[m] += 1
+            low[m] = (part & np.uint64(0xFFFF)) << np.uint64(16)
+            rng[m] <<= U(16)
+        self.low[rows], self.range[rows], self.at[rows] = low, rng, places
+
     def finish(self) -> list[np.ndarray]:
         lanes = len(self.low)
         start = np.arange(lanes, dtype=np.int64) * self.room
@@ -164,6 +183,33 @@ class Decoder:
         rng[m] <<= U(16)
         self.code[:n], self.range[:n] = code, rng
 
+    def escaped(self, rows: np.ndarray, table: np.ndarray, lanes: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the size class in ``table`` and the id plus one, for some lanes."""
+        code, rng, places = self.code[rows], self.range[rows], self.at[rows]
+        unit = rng >> U(SCALE)
+        target = np.minimum(code // unit, U((1 << SCALE) - 1))
+        # the last class whose cumulative frequency is not beyond the target, by halves
+        size, step = np.zeros(len(rows), np.int64), 1 << (classes - 1).bit_length()
+        while step > 1:
+            step >>= 1
+            ahead = size + step
+            found = (ahead < classes) & (table.take(ahead * lanes + rows, mode="clip") <= target)
+            size += step * found
+        at = size * lanes + rows
+        cum = table.take(at, mode="clip")
+        freq, shift = table.take(at + lanes, mode="clip") - cum, size.astype(U)
+        for second in (False, True):
+            if second:
+                unit = rng >> shift
+                cum, freq = np.minimum(code // unit, (U(1) << shift) - U(1)), U(1)
+            code, rng = code - unit * cum, unit * freq
+            m = (rng < 65536).nonzero()[0]
+            code[m] = code[m] << U(16) | self.words.take(places[m], mode="clip")
+            places[m] += 1
+            rng[m] <<= U(16)
+        self.code[rows], self.range[rows], self.at[rows] = code, rng, places
+        return at, (U(1) << shift) + cum
+
 
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """Coded blocks of at most ``BLOCK`` ids below 2**bits, with their heads."""
@@ -187,14 +233,15 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         hit1 = (now == model.id1) & ~hit2
         new = ~(hit2 | hit1)
         coder.put(n, U(SCALE), np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(U), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - f2 - f1)))
-        size = model.size_of.take(now + 1, mode="clip") * new
-        at = size * lanes + model.lane[:n]
-        cum = table.take(at, mode="clip")
-        freq = table.take(at + lanes, mode="clip") - cum
-        coder.put(n, new * U(SCALE), cum * new, np.where(new, freq, U(1)))
-        counts[at] += 24 * new
-        rest = U(1) << size.astype(U)
-        coder.put(n, size.astype(U), (now + U(1) - rest) * new, U(1))
+        rows = new.nonzero()[0]
+        if len(rows):
+            escaped = now[rows] + U(1)
+            size = model.size_of.take(escaped, mode="clip")
+            at = size * lanes + rows
+            cum = table.take(at, mode="clip")
+            counts[at] += 24
+            shift = size.astype(U)
+            coder.put_at(rows, ((U(SCALE), cum, table.take(at + lanes, mode="clip") - cum), (shift, escaped - (U(1) << shift), U(1))))
         model.learn(n, now, hit2, hit1)
     out: list[bytes] = [b""] * lanes
     for words, i in zip(coder.finish(), order):
@@ -219,6 +266,12 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[
     """The ids of coded blocks; a block whose checksum differs is an error."""
     if not blocks:
         return []
+    # a damaged block may bring a range down to 0; its checksum tells
+    with np.errstate(divide="ignore"):
+        return _decoded(blocks, bits)
+
+
+def _decoded(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[np.ndarray]:
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     sizes = np.array([blocks[i][0] for i in order], np.int64)
     steps, lanes = int(sizes.max(initial=0)), len(blocks)
@@ -234,17 +287,12 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[
         hit2, new = target < f2, target >= both
         hit1 = ~(hit2 | new)
         coder.take(n, np.where(hit2, U(0), np.where(hit1, f2, both)), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - both)))
-        target = coder.target(n, new * U(SCALE))
-        size = (model.cum[1:, :n] <= target).sum(axis=0, dtype=np.uint8) * new.astype(np.int64)
-        at = size * lanes + model.lane[:n]
-        cum = table.take(at, mode="clip")
-        freq = table.take(at + lanes, mode="clip") - cum
-        coder.take(n, cum * new, np.where(new, freq, U(1)))
-        counts[at] += 24 * new
-        shift = size.astype(U)
-        target = coder.target(n, shift)
-        coder.take(n, target, U(1))
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, (U(1) << shift) + target - U(1)))
+        now = np.where(hit2, model.id2, model.id1)
+        rows = new.nonzero()[0]
+        if len(rows):
+            at, plus_one = coder.escaped(rows, table, lanes, model.classes)
+            counts[at] += 24
+            now[rows] = plus_one - U(1)
         ids[t, :n] = now
         model.learn(n, now, hit2, hit1)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(blocks)
@@ -318,7 +366,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col:
             yield flush()
 
     kind = id_type.simpleString()
-    coded = ordered.select("id", "text").mapInArrow(code, f"part int, segment long, first long, bits int, ids array<{kind}>, counts array<bigint>, payload binary")
+    coded = ordered.select("id", "text").mapInArrow(tidied(code), f"part int, segment long, first long, bits int, ids array<{kind}>, counts array<bigint>, payload binary")
     coded.write.mode("errorifexists").option("compression", "uncompressed").parquet(folder)
 
 
@@ -335,7 +383,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
     for r in totals:
         before.append((r.part, seen))
         seen += r.n
-    offsets = spark.createDataFrame(before, "part int, before long")
+    offsets = small_table(spark, part=pa.array([p for p, _ in before], pa.int32()), before=pa.array([b for _, b in before], pa.int64()))
     placed = segments.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("first")).alias("first"), "bits", "ids", "counts", "payload")
     id_type = segments.schema["ids"].dataType.elementType
 
@@ -362,4 +410,4 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     schema = f"id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long" + (", ids array<bigint>" if with_ids else "")
-    return placed.mapInArrow(decode, schema)
+    return placed.mapInArrow(tidied(decode), schema)

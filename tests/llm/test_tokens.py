@@ -1,6 +1,7 @@
 """BPE with reuse, attribution, id files."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -160,3 +161,13 @@ def test_id_files(spark, awkward, documents, nothing, tmp_path, monkeypatch):
         assert order == sorted(order, key=lambda i: (i is not None, i))
     id_files.write_ids(nothing, PATH, str(tmp_path / "nothing"))
     assert id_files.read_ids(spark, str(tmp_path / "nothing")).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([b"x", b" ", b"\n", b"\xc3\xa9", b"a b"]), st.integers(1, 1100)), max_size=6))
+def test_long_runs_are_found(parts):
+    from larkspan.llm.bpe import LONG_RUN, long_run
+
+    raw = b"".join(p * n for p, n in parts)
+    longest = max((len(r) for r in re.findall(rb"[ \t-\r]+|[^ \t-\r]+", raw)), default=0)
+    assert long_run(raw) == (longest > LONG_RUN)
