@@ -22,10 +22,14 @@ PARAMETERS = (
 MAX_TOKEN_LEN = 512
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    """Header line, quoted multi-line text, empty cell = null."""
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str, multi_line: bool = True) -> DataFrame:
+    """Header line, quoted text, empty cell = null.
+
+    Text with line ends inside quotes needs ``multi_line``, and then a file is read by one task, whatever its
+    size. Without it a large file is split, and a line end always ends a row.
+    """
     return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').csv(path)
     )
 

@@ -116,6 +116,20 @@ def test_csv(spark):
         sinks.write_csv(spark.range(1), path)
 
 
+def test_large_csv_is_split(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("id,t\n" + "".join(f'{i},"a ""q"" {i}"\n' for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        whole = tables.read_csv(spark, str(path), "id int, t string")
+        split = tables.read_csv(spark, str(path), "id int, t string", multi_line=False)
+        assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() > 4
+        assert whole.exceptAll(split).isEmpty() and split.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_jsonl(spark, tmp_path):
     good = tmp_path / "x.jsonl.gz"
     with gzip.open(good, "wt") as f:
