@@ -2,8 +2,9 @@
 
 Plain text and Markdown are array expressions over the row itself: no line or
 paragraph ever becomes a row of its own, so nothing is shuffled. A chunk is a
-window into the word list, hence folding over word *counts* is enough and the
-words are copied once, into the chunk they belong to.
+window into the word list, hence only word *counts* and a mark per line travel to
+the Arrow functions that find the windows, and the words are copied once, into
+the chunk they belong to.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import ast
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,28 +34,54 @@ _SPAN = "struct<start:int,stop:int>"
 
 
 def packed_spans(counts: Column, target: int, overlap: int) -> Column:
-    """Word spans of greedily packed paragraphs, given each paragraph's length."""
-    zero = F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(0).alias("fresh"),
-        F.array().cast(f"array<{_SPAN}>").alias("spans"),
-    )
-
-    def step(acc: Column, n: Column) -> Column:
-        stop = acc["stop"] + n
-        full = stop - acc["start"] >= target
-        span = F.struct(acc["start"].alias("start"), stop.alias("stop"))
-        return F.struct(
-            F.when(full, F.greatest(acc["start"], stop - overlap)).otherwise(acc["start"]).alias("start"),
-            stop.alias("stop"),
-            F.when(full, 0).otherwise(acc["fresh"] + n).alias("fresh"),
-            F.when(full, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+    """Word spans of greedily packed paragraphs, given each paragraph's length.
 
-    def finish(acc: Column) -> Column:
-        rest = F.struct(acc["start"].alias("start"), acc["stop"].alias("stop"))
-        return F.when(acc["fresh"] > 0, F.concat(acc["spans"], F.array(rest))).otherwise(acc["spans"])
+    One Arrow pass over the lengths: the end of a span is looked up in their running
+    sums, so the work grows with the paragraphs and spans, however long a text is.
+    """
 
-    return F.aggregate(counts, zero, step, finish)
+    @F.arrow_udf(f"array<{_SPAN}>")
+    def pack(lengths: pa.Array) -> pa.Array:
+        starts: list[int] = []
+        stops: list[int] = []
+        sizes: list[int | None] = []
+        for own in _lists(lengths):
+            if own is None:
+                sizes.append(None)
+                continue
+            ends, before = np.cumsum(own, dtype=np.int64), len(starts)
+            start = fresh = 0
+            while fresh < len(ends):
+                last = max(fresh, int(np.searchsorted(ends, start + target)))
+                if last >= len(ends):
+                    if ends[-1] > (ends[fresh - 1] if fresh else 0):
+                        starts.append(start)
+                        stops.append(int(ends[-1]))
+                    break
+                stop = int(ends[last])
+                starts.append(start)
+                stops.append(stop)
+                start, fresh = max(start, stop - overlap), last + 1
+            sizes.append(len(starts) - before)
+        fields = [pa.field("start", pa.int32()), pa.field("stop", pa.int32())]
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], fields=fields)
+        return _as_lists(sizes, spans)
+
+    return pack(counts)
+
+
+def _lists(values: pa.Array) -> Iterator[np.ndarray | None]:
+    """The lists of a list array as views of its numbers."""
+    numbers = values.values.to_numpy(zero_copy_only=False)
+    for at, n, known in zip(values.offsets.to_numpy()[:-1], values.value_lengths().to_pylist(), values.is_valid().to_pylist()):
+        yield numbers[at : at + n] if known else None
+
+
+def _as_lists(sizes: list[int | None], values: pa.Array) -> pa.Array:
+    """A list array of ``values`` cut into the given sizes; no size is null."""
+    ends = np.cumsum([0, *(n or 0 for n in sizes)])
+    offsets = [None if n is None else int(at) for n, at in zip(sizes, ends)] + [int(ends[-1])]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
 def window_spans(n: Column, size: int, overlap: int) -> Column:
@@ -83,10 +112,10 @@ def _others(df: DataFrame, content: str) -> list[str]:
 
 def packed_chunks(text: Column, sep: str, target: int, overlap: int) -> Column:
     """Chunk texts of one plain text; null stays null."""
-    split_paragraphs = F.transform(paragraphs(text, sep), lambda p: F.split(p, BLANK + "+"))
-    return let(split_paragraphs, lambda paras: let(F.flatten(paras), lambda all_words: F.transform(
-        packed_spans(F.transform(paras, F.size), target, overlap), lambda s: _join_span(all_words, s)
-    )))
+    paras = F.transform(paragraphs(text, sep), lambda p: F.split(p, BLANK + "+"))
+    spans = packed_spans(F.transform(paras, F.size), target, overlap)
+    parts = F.struct(F.flatten(paras).alias("words"), spans.alias("spans"))
+    return let(parts, lambda t: F.transform(t["spans"], lambda s: _join_span(t["words"], s)))
 
 
 def chunk_text(
@@ -118,22 +147,19 @@ FENCE = r"^(?:```|~~~)"
 HEADING = r"^#{1,4} "
 
 
-def section_starts(stripped: Column) -> Column:
-    """Positions of heading lines that stand outside fenced code."""
-    zero = F.struct(
-        F.lit(0).alias("i"), F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("starts")
-    )
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _open_headings(marks: pa.Array) -> pa.Array:
+    """Positions of headings (1) with an even number of fences (2) before them, per text."""
+    found = [None if own is None else np.flatnonzero((own == 1) & (np.cumsum(own == 2) % 2 == 0)) for own in _lists(marks)]
+    positions = np.concatenate([f for f in found if f is not None] or [np.zeros(0, np.int64)])
+    return _as_lists([None if f is None else len(f) for f in found], pa.array(positions.astype(np.int32)))
 
-    def step(acc: Column, line: Column) -> Column:
-        fence = line.rlike(FENCE)
-        heading = ~fence & ~acc["fenced"] & line.rlike(HEADING)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(fence, ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"),
-            F.when(heading, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
-        )
 
-    return F.aggregate(stripped, zero, step, lambda acc: acc["starts"])
+def section_starts(stripped: Column) -> Column:
+    """Positions of heading lines that stand outside fenced code, in one Arrow pass over a mark per line."""
+    return _open_headings(F.transform(
+        stripped, lambda line: F.when(line.rlike(FENCE), 2).when(line.rlike(HEADING), 1).otherwise(0).cast("tinyint")
+    ))
 
 
 def _sections(text: Column) -> Column:
@@ -153,9 +179,9 @@ def _sections(text: Column) -> Column:
         # Position -1 stands for the lead before the first heading.
         return F.transform(F.concat(F.array(F.lit(-1)), starts), section)
 
-    return let(lines(text), lambda all_lines: let(
-        section_starts(F.transform(all_lines, strip)), lambda starts: build(all_lines, starts)
-    ))
+    starts = section_starts(F.transform(lines(text), strip))
+    parts = F.struct(lines(text).alias("lines"), starts.alias("starts"))
+    return let(parts, lambda t: build(t["lines"], t["starts"]))
 
 
 def markdown_sections(df: DataFrame, content: str = "content") -> DataFrame:

@@ -119,3 +119,21 @@ def test_null_content(spark):
     for fn in (ch.chunk_text, ch.chunk_markdown, ch.chunk_json, ch.chunk_python, ch.word_windows):
         assert fn(df).count() == 0
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_long_texts_in_linear_time(spark):
+    n = 100_000
+    text = "\n".join(f"# h{i}\n\n" + words(9, f"v{i}_") for i in range(n))
+    got = run(spark, ch.chunk_markdown, [text, None, "# a\n```\n# b\n```\n# c\nd"])
+    assert len(got[0]) == n and got[0][-1] == f"# h{n - 1}\n" + words(9, f"v{n - 1}_")
+    assert got[1] == [] and got[2] == ["# a\n```\n# b\n```", "# c\nd"]
+    got = run(spark, ch.chunk_text, [text, None, ""])
+    assert got == [pack_by_hand(text), [], []]
+
+
+@pytest.mark.parametrize("target, overlap", [(1, 0), (5, 5), (5, 9), (30, 7)])
+def test_packing_bounds(spark, target, overlap):
+    rng = random.Random(target + overlap)
+    texts = ["\n\n".join(words(rng.randint(1, 12), f"p{j}_") for j in range(rng.randint(0, 20))) for _ in range(30)]
+    want = [pack_by_hand(t, target, overlap) for t in texts]
+    assert run(spark, ch.chunk_text, texts, target=target, overlap=overlap) == want
