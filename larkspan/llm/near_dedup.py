@@ -9,10 +9,15 @@ coordinates and the earliest rank per coordinate is kept: two documents agree in
 coordinate with a probability equal to their weighted Jaccard similarity.
 Long documents need one unit of rank; short ones take more until no coordinate is empty.
 
-Bands of the signature join documents into buckets. Buckets of any size are
-compared in blocks inside tasks, a pair only in its first common band; pairs
-whose signatures agree enough are compared exactly. Only links that connect
-documents not yet connected in their block leave a task; connected links make classes.
+Bands of the signature join documents into buckets. A pair is compared only in its
+first common band; pairs whose signatures agree enough are compared exactly, by
+their shingles. A bucket is cut into blocks of bounded number and length of texts, differently
+in every band, so the blocks of a large group of near copies overlap and connect it
+although each member goes to one block per band only. In a second step the members
+of a cut bucket that are not connected with most of it visit its other blocks; pairs that
+are connected already need no comparison. So no link between classes is lost and the
+work grows with the members, and beyond that only with those that share
+a bucket but not the class. Only links that connect leave a task; connected links make classes.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import checked, map_batches, tidied, unused
+from .common import bounded, checked, map_batches, tidied, unused
 
 
 @dataclass(frozen=True)
 class Settings:
     """``bands`` x ``rows`` coordinates. At similarity 0.8 a pair shares no band with probability
-    (1 - 0.8**5)**26 = 3e-5, and agrees in less than ``least_agreement`` of the coordinates with probability 5e-8."""
+    (1 - 0.8**5)**26 = 3e-5, and agrees in less than ``least_agreement`` of the coordinates with probability 5e-8.
+
+    A block has about ``block`` members of together about ``block_chars`` characters (one text may be longer);
+    ``visitors`` members of other blocks are compared with a block in one task.
+    """
 
     words: int = 5
     similarity: float = 0.8
@@ -43,6 +53,8 @@ class Settings:
     rows: int = 5
     least_agreement: float = 0.6
     block: int = 256
+    block_chars: int = 1 << 24
+    visitors: int = 4096
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -146,124 +158,213 @@ def _united(parent: dict, x: bytes) -> bytes:
     return x
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``class_id``, ``class_size`` and ``kept``.
+#: Rows that meet have equal keys: a bucket, one of its blocks and a share of that block's visitors.
+KEYS = ["bucket", "at", "share"]
+MEETING = "bucket long, at int, share int, band int, block int, roams boolean, root binary, node binary, marks binary, packed binary"
 
-    Documents with the same words in the same order are one text; texts whose
-    weighted Jaccard similarity is at least ``settings.similarity`` are linked,
-    and connected documents form a class. Its id is its smallest document id,
-    and that document stays (one row of it, if it is repeated). Texts without
-    words, null or empty, form one class. Null ids count as larger than others.
-    Other columns are not read.
-    """
+
+class Member(NamedTuple):
+    bucket: int
+    at: int
+    share: int
+    band: int
+    block: int
+    roams: bool
+    root: bytes
+    node: bytes
+    marks: bytes
+    packed: bytes
+    text: str | None = None
+
+
+def _signed(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Node (digest of the words), length, short marks of the coordinates and keys of the bands per row."""
     k = settings.bands * settings.rows
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_md5", F.unhex(F.md5(F.col("text").cast("binary"))))
-    id_type = rows.schema["id"].dataType.simpleString()
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, marks, bands, packed = [], [], [], []
+        nodes, sizes, marks, bands, packed = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
             nodes.append(hashlib.md5(b" ".join(words)).digest())
+            sizes.append(len(text))
             sig = signature(*shingles(words, settings.words), k)
             marks.append(mix64(sig).astype(np.uint16).tobytes())
             bands.append(band_keys(sig, settings) if words else [])
             packed.append(np.asarray(bands[-1], np.int64).tobytes())
-        made = [pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_md5"), *made], ["id", "text_md5", "node", "marks", "bands", "packed"])
+        made = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_md5"), *made], ["id", "text_md5", "node", "chars", "marks", "bands", "packed"])
 
-    signed = map_batches(rows.select("id", "text_md5", "text"), sign, f"id {id_type}, text_md5 binary, node binary, marks binary, bands array<bigint>, packed binary")
-    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    # texts with the same words meet once: the row that stands for a node
-    first = F.min_by(F.struct("id", "row", "text_md5"), F.struct(F.col("id").isNull(), "id", "row"))
-    nodes = staged(signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    one = nodes.select("node", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.text_md5").alias("text_md5"))
-    marked = signed.select("row", "marks", "bands", "packed").join(one.select("node", "row"), "row")
-
-    band = marked.select("node", F.posexplode("bands").alias("band", "bucket"))
-    full = band.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = full.withColumn("blocks", F.ceil(F.col("n") / settings.block).cast("int"))
-    members = band.join(full, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # every pair of blocks of a bucket is one key; a member goes to each key of its block
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("node", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    members = staged(members.join(marked.select("node", "marks", "packed"), "node"), "members")
-    keys = ["bucket", "low", "high"]
+    id_type = rows.schema["id"].dataType.simpleString()
+    return map_batches(rows.select("id", "text_md5", "text"), sign, f"id {id_type}, text_md5 binary, node binary, chars long, marks binary, bands array<bigint>, packed binary")
+
+
+def members_of(signed: DataFrame, settings: Settings) -> DataFrame:
+    """One row per node and bucket that it shares: its block and the bucket's number of blocks."""
+    band = signed.select("node", "chars", F.posexplode("bands").alias("band", "bucket"))
+    full = band.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / settings.block), F.ceil(F.col("chars") / settings.block_chars)).cast("int")
+    members = band.drop("chars").join(full.select("band", "bucket", blocks.alias("blocks")), ["band", "bucket"])
+    # the bucket decides as well, so that each band cuts a group in its own way
+    members = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    return members.join(signed.select("node", "marks", "packed"), "node")
+
+
+def _meeting(members: DataFrame, at: Column, share: Column, roams: Column, root: Column) -> DataFrame:
+    return members.select("bucket", at.alias("at"), share.cast("int").alias("share"), "band", "block", roams.alias("roams"), root.alias("root"), "node", "marks", "packed")
+
+
+def first_meetings(members: DataFrame) -> DataFrame:
+    """Every member in its own block."""
+    return _meeting(members, F.col("block"), F.lit(0), F.lit(False), F.col("node"))
+
+
+def later_meetings(members: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
+    """Members at home, and those outside their bucket's largest component in each of its other blocks."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("strangers"))
+    main = main.where("strangers > 0").withColumn("shares", F.ceil(F.col("strangers") / settings.visitors).cast("int"))
+    met = rooted.join(main, "bucket").withColumn("roams", F.col("root") != F.col("main"))
+    home = met.withColumn("each", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    away = met.where("roams").withColumn("each", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("each != block")
+    share = F.pmod(F.xxhash64("node"), F.col("shares"))
+    return _meeting(home, F.col("block"), F.col("each"), F.col("roams"), F.col("root")).union(
+        _meeting(away, F.col("each"), share, F.col("roams"), F.col("root"))
+    )
+
+
+def _met(batches: Iterable[pa.RecordBatch], settings: Settings) -> Iterator[tuple[list[Member], list[Member]]]:
+    """Members at home and visitors of each key, the visitors in bounded parts."""
+    homes: list[Member] = []
+    visitors: list[Member] = []
+    chars, key = 0, None
+    for batch in batches:
+        for some in bounded(batch, 16 << 20):
+            for values in zip(*(some.column(c).to_pylist() for c in some.schema.names)):
+                m = Member(*values)
+                if m[:3] != key:
+                    if homes:
+                        yield homes, visitors
+                    homes, visitors, chars, key = [], [], 0, m[:3]
+                if m.block == m.at:
+                    homes.append(m)
+                    continue
+                visitors.append(m)
+                chars += len(m.text or "")
+                if len(visitors) >= settings.block or chars >= settings.block_chars:
+                    # a block may have nobody at home
+                    if homes:
+                        yield homes, visitors
+                    visitors, chars = [], 0
+    if homes:
+        yield homes, visitors
+
+
+def _likely(homes: list[Member], visitors: list[Member], later: bool, settings: Settings) -> Iterator[tuple[Member, Member]]:
+    """Pairs of a key that share this band first and agree enough; later only pairs that are not connected."""
+    k = settings.bands * settings.rows
+    marks = np.frombuffer(b"".join(m.marks for m in homes), np.uint16).reshape(len(homes), k)
+    # chance agreements of the short marks must not name a band that the pair does not share
+    buckets = np.frombuffer(b"".join(m.packed for m in homes), np.int64).reshape(len(homes), settings.bands)
+    if not later:
+        for i in range(len(homes) - 1):
+            ok = (marks[i + 1 :] == marks[i]).mean(axis=1) >= settings.least_agreement
+            for j in i + 1 + np.flatnonzero(ok):
+                if int((buckets[j] == buckets[i]).argmax()) == homes[0].band:
+                    yield homes[i], homes[j]
+        return
+    roams = np.array([m.roams for m in homes])
+    for v in visitors:
+        ok = (marks == np.frombuffer(v.marks, np.uint16)).mean(axis=1) >= settings.least_agreement
+        if v.block > v.at:
+            # two that both roam meet in the later block only
+            ok &= ~roams
+        for j in np.flatnonzero(ok):
+            if homes[j].root != v.root and int((buckets[j] == np.frombuffer(v.packed, np.int64)).argmax()) == v.band:
+                yield v, homes[j]
+
+
+def _links(meetings: DataFrame, rows: DataFrame, one: DataFrame, settings: Settings, later: bool) -> DataFrame:
+    """Links ``a``, ``b`` between nodes that meet and are similar, leaving out those that connect nothing new in a key."""
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "node")
-
-    def likely(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        """Pairs of a key that meet here first and agree enough."""
-        marks = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), k)
-        # chance agreements of the short marks must not name a band that the pair does not share
-        buckets = np.frombuffer(b"".join(g[5] for g in group), np.int64).reshape(len(group), settings.bands)
-        low, high, band = group[0][1], group[0][2], group[0][3]
-        side = np.array([g[7] for g in group])
-        for i in range(len(group) - 1):
-            same = marks[i + 1 :] == marks[i]
-            ok = same.mean(axis=1) >= settings.least_agreement
-            if low != high:
-                ok &= side[i + 1 :] != side[i]
-            for j in np.flatnonzero(ok):
-                if int((buckets[i + 1 + j] == buckets[i]).argmax()) == band:
-                    yield i, i + 1 + int(j)
-
-    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Runs of equal keys: (key, low, high, band, marks, packed bands, node, block, text)."""
-        run: list[tuple] = []
-        for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            texts = cols.get("text") or [None] * batch.num_rows
-            for b, lo, hi, bd, m, pk, nd, bl, tx in zip(cols["bucket"], cols["low"], cols["high"], cols["band"], cols["marks"], cols["packed"], cols["node"], cols["block"], texts):
-                if run and (b, lo, hi) != (run[0][0], run[0][1], run[0][2]):
-                    yield run
-                    run = []
-                run.append((b, lo, hi, bd, m, pk, nd, bl, tx))
-        if run:
-            yield run
+        return df.repartition(*[F.col(c) for c in KEYS]).sortWithinPartitions(*KEYS, F.col("block") != F.col("at"), "node")
 
     def plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for group in groups(batches):
-            for i in sorted({x for pair in likely(group) for x in pair}):
-                out.append((*group[i][:4], group[i][6], group[i][7], group[i][4], group[i][5]))
+        out: list[Member] = []
+        key, seen = None, set()
+        for homes, visitors in _met(batches, settings):
+            if homes[0][:3] != key:
+                key, seen = homes[0][:3], set()
+            found = {m.node: m for pair in _likely(homes, visitors, later, settings) for m in pair if m.node not in seen}
+            seen.update(n for n, m in found.items() if m.block == m.at)
+            out += found.values()
             if len(out) > 5000:
-                yield _batch(out)
+                yield batch_of(out)
                 out = []
         if out:
-            yield _batch(out)
+            yield batch_of(out)
 
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "low", "high", "band", "node", "block", "marks", "packed"])
-
-    hits = staged(keyed(members).mapInArrow(tidied(plausible), "bucket long, low int, high int, band int, node binary, block int, marks binary, packed binary"), "plausible")
-    wanted = staged(hits.select("node").distinct().join(one, "node").select("node", F.col("id").alias("one_id"), F.col("text_md5").alias("one_md5")), "wanted")
-    same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))
-    texts = rows.join(checked(wanted, 80), same).select("node", "text").dropDuplicates(["node"])
+    def batch_of(out: list[Member]) -> pa.RecordBatch:
+        i32, types = pa.int32(), (pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        columns = zip(list(zip(*out))[:10], (pa.int64(), i32, i32, i32, i32, *types))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], list(Member._fields[:10]))
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches):
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            parent: dict[bytes, bytes] = {}
-            links = []
-            for i, j in likely(group):
-                a, b = _united(parent, group[i][6]), _united(parent, group[j][6])
+        sets: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        parent: dict[bytes, bytes] = {}
+        key = None
+        for homes, visitors in _met(batches, settings):
+            if homes[0][:3] != key:
+                key, sets, parent = homes[0][:3], {}, {}
+            links, own = [], {m.node for m in homes}
+            for pair in _likely(homes, visitors, later, settings):
+                a, b = (_united(parent, m.root) for m in pair)
                 if a == b:
                     continue
-                for x in (i, j):
-                    if x not in sets:
-                        sets[x] = shingles(words_of(group[x][8]), settings.words)
-                if similarity(sets[i], sets[j]) >= settings.similarity:
+                for m in pair:
+                    if m.node not in sets:
+                        sets[m.node] = shingles(words_of(m.text), settings.words)
+                if similarity(sets[pair[0].node], sets[pair[1].node]) >= settings.similarity:
                     parent[max(a, b)] = min(a, b)
-                    links.append((group[i][6], group[j][6]))
+                    links.append((pair[0].node, pair[1].node))
+            sets = {n: sets[n] for n in own & sets.keys()}
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], ["a", "b"])
 
-    links = staged(keyed(hits.join(texts, "node")).mapInArrow(tidied(compared), "a binary, b binary"), "links")
+    hits = staged(keyed(meetings).mapInArrow(tidied(plausible), MEETING), "plausible")
+    wanted = staged(hits.select("node").distinct().join(one, "node").select("node", F.col("id").alias("one_id"), F.col("text_md5").alias("one_md5")), "wanted")
+    same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))
+    texts = rows.join(checked(wanted, 80), same).select("node", "text").dropDuplicates(["node"])
+    with_text = hits.join(texts, "node").select(*Member._fields)
+    return staged(keyed(with_text).mapInArrow(tidied(compared), "a binary, b binary"), "links")
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, ``class_id``, ``class_size`` and ``kept``.
+
+    Documents with the same words in the same order are one text; texts whose
+    weighted Jaccard similarity is at least ``settings.similarity`` are linked,
+    and connected documents form a class. Its id is its smallest document id,
+    and that document stays (one row of it, if it is repeated). Texts without
+    words, null or empty, form one class. Null ids count as larger than others.
+    Texts may be of any length; a block holds fewer of the long ones. Other columns
+    are not read; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_md5", F.unhex(F.md5(F.col("text").cast("binary"))))
+    signed = staged(_signed(rows, settings).withColumn("row", F.monotonically_increasing_id()), "signed")
+    # texts with the same words meet once: the row that stands for a node
+    first = F.min_by(F.struct("id", "row", "text_md5"), F.struct(F.col("id").isNull(), "id", "row"))
+    nodes = staged(signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    one = nodes.select("node", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.text_md5").alias("text_md5"))
+    members = staged(members_of(signed.join(one.select("row"), "row"), settings), "members")
+    links = _links(first_meetings(members), rows, one, settings, False)
     roots = components(links)
+    cut = members.where("blocks > 1")
+    if not cut.isEmpty():
+        more = _links(staged(later_meetings(cut, roots, settings), "visits"), rows, one, settings, True)
+        roots = components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # documents of nodes that share a root, or of one node with copies
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
