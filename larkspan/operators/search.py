@@ -110,24 +110,28 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _candidates(
-    vectors: pa.Table, queries: np.ndarray, ids: Sequence[str], vec: str, floor: np.ndarray,
+    vectors: pa.Table, queries: np.ndarray, ids: Sequence[str], vec: str, floor: np.ndarray, asked: np.ndarray | None = None,
 ) -> Iterator[pa.Table]:
-    """(q, score, ids) of all scores that reach the query's floor, in bounded blocks."""
-    block = max(1, CELLS // max(1, len(queries)))
-    for at in range(0, vectors.num_rows, block):
+    """(q, score, ids) of all scores that reach the query's floor, in bounded blocks; ``asked`` picks queries by position."""
+    asked = np.arange(len(queries)) if asked is None else asked
+    block = max(1, CELLS // max(1, len(asked)))
+    for at in range(0, vectors.num_rows if len(asked) else 0, block):
         part = vectors.slice(at, block)
-        scores = np.round(_matrix(part.column(vec)) @ queries.T, COMPARED_DIGITS)
-        row, q = np.nonzero(scores >= floor)
+        scores = np.round(_matrix(part.column(vec)) @ queries[asked].T, COMPARED_DIGITS)
+        row, q = np.nonzero(scores >= floor[asked])
         taken = part.select(list(ids)).take(pa.array(row))
         taken = taken.add_column(0, "score", pa.array(scores[row, q]))
-        yield taken.add_column(0, "q", pa.array(q.astype("int64")))
+        yield taken.add_column(0, "q", pa.array(asked[q].astype("int64")))
 
 
 def _task_best(
     batches: Iterator[pa.Table], queries: np.ndarray, ids: Sequence[str], vec: str,
-    k: int | np.ndarray, min_score: float | np.ndarray,
+    k: int | np.ndarray, min_score: float | np.ndarray, wanted: Callable[[pa.Table], np.ndarray] | None = None,
 ) -> pa.Table | None:
-    """Best ``k`` per query over all batches; memory is bounded by the sum of k and the block size."""
+    """Best ``k`` per query over all batches; memory is bounded by the sum of k and the block size.
+
+    ``wanted`` gives the positions of the queries that a batch is compared with; without it, all are.
+    """
     k = np.broadcast_to(np.asarray(k, np.int64), len(queries))
     low_score = np.broadcast_to(np.asarray(min_score, float), len(queries))
     floor = low_score.copy()
@@ -135,7 +139,7 @@ def _task_best(
     pending: list[pa.Table] = []
     waiting = 0
     for batch in batches:
-        for found in _candidates(batch, queries, ids, vec, floor):
+        for found in _candidates(batch, queries, ids, vec, floor, wanted(batch) if wanted else None):
             pending.append(found)
             waiting += found.num_rows
             if waiting > CELLS // 4:
@@ -185,52 +189,72 @@ def _one_size(queries: DataFrame, vectors: DataFrame, vec: str) -> int:
     return q["n"]
 
 
-def similarity_topk(
-    queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vec: str,
-    ids: Sequence[str], vec: str = "embedding", k: int | Column = TOP_K, min_score: float | Column = MIN_SCORE,
-    matrix_queries: int = MATRIX_QUERIES,
-) -> DataFrame:
-    """The ``k`` highest inner products per query that reach ``min_score``.
-
-    Columns: ``query_id``, ``rank``, ``score``, then the id columns. Equal
-    scores rank by id. Every query row is answered, also if several share an
-    id. ``k`` and ``min_score`` may be columns of the queries, so that each
-    query has its own. Vectors of different sizes are an error; null vectors
-    never match.
-    """
+def _asked(queries: DataFrame, query_id: str, query_vec: str, k: int | Column, min_score: float | Column) -> DataFrame:
+    """The query rows with numbers of their own: q, query_id, query_vec, k, low."""
     if isinstance(k, int) and k <= 0:
         raise ValueError(f"top_k must be a positive integer, got {k}")
-    ids = list(ids)
     asked = queries.select(
         F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"),
         (k if isinstance(k, Column) else F.lit(k)).cast("bigint").alias("k"),
         (min_score if isinstance(min_score, Column) else F.lit(min_score)).cast("double").alias("low"),
     ).filter(F.col("query_vec").isNotNull())
     # Written once: the row numbers must not change between passes.
-    asked = staged(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
-    vectors = vectors.filter(F.col(vec).isNotNull())
-    n = _one_size(asked, vectors, vec)
-    shown = ["query_id", "rank", "score", *ids]
-    if n == 0:
-        ends = vectors.select(*ids).limit(0)
-        return ends.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *ids)
-    width = asked.agg(F.coalesce(F.max(F.size("query_vec")), F.lit(1))).first()[0]
+    return staged(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
+
+
+def _unanswered(asked: DataFrame, vectors: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The result without rows."""
+    name = F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id")
+    return vectors.select(*ids).limit(0).select(name, F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *ids)
+
+
+def _blocks(asked: DataFrame, n: int, width: int, matrix_queries: int) -> Iterator[tuple[int, pa.Table]]:
+    """The number of matrices of bounded size and, one by one, the queries of each that has any."""
     most = max(1, min(matrix_queries, MATRIX_BYTES // (8 * max(width, 1))))
     blocks = max(1, -(-n // most))
-    found = []
     for i in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).toArrow().sort_by("q")
         if rows.num_rows:
-            local = _pass(vectors, rows, ids, vec)
-            found.append(local if blocks == 1 else staged(local, "best"))
+            yield blocks, rows
+
+
+def _ranked(found: Sequence[DataFrame], asked: DataFrame, ids: Sequence[str], few: bool) -> DataFrame:
+    """The best of all tasks and passes, ranked and cut to each query's ``k``; ``few`` queries are broadcast."""
     local = found[0]
     for more in found[1:]:
         local = local.unionByName(more)
     best = W.partitionBy("q").orderBy(F.desc("score"), *ids)
     names = asked.select("q", "query_id", "k")
-    ranked = local.withColumn("rank", F.row_number().over(best)).join(F.broadcast(names) if blocks == 1 else names, "q")
+    ranked = local.withColumn("rank", F.row_number().over(best)).join(F.broadcast(names) if few else names, "q")
     kept = ranked.filter(F.col("rank") <= F.col("k"))
-    return kept.withColumn("score", F.round("score", SHOWN_DIGITS)).select(*shown)
+    return kept.withColumn("score", F.round("score", SHOWN_DIGITS)).select("query_id", "rank", "score", *ids)
+
+
+def similarity_topk(
+    queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vec: str,
+    ids: Sequence[str], vec: str = "embedding", k: int | Column = TOP_K, min_score: float | Column = MIN_SCORE,
+    matrix_queries: int = MATRIX_QUERIES,
+) -> DataFrame:
+    """The ``k`` highest inner products per query that reach ``min_score``.
+
+    Columns: ``query_id``, ``rank``, ``score``, then the id columns. Equal
+    scores rank by id. Every query row is answered, also if several share an
+    id. ``k`` and ``min_score`` may be columns of the queries, so that each
+    query has its own. Vectors of different sizes are an error; null vectors
+    never match.
+    """
+    ids = list(ids)
+    asked = _asked(queries, query_id, query_vec, k, min_score)
+    vectors = vectors.filter(F.col(vec).isNotNull())
+    n = _one_size(asked, vectors, vec)
+    if n == 0:
+        return _unanswered(asked, vectors, ids)
+    width = asked.agg(F.coalesce(F.max(F.size("query_vec")), F.lit(1))).first()[0]
+    found, blocks = [], 1
+    for blocks, rows in _blocks(asked, n, width, matrix_queries):
+        local = _pass(vectors, rows, ids, vec)
+        found.append(local if blocks == 1 else staged(local, "best"))
+    return _ranked(found, asked, ids, few=blocks == 1)
 
 
 def search(

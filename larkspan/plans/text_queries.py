@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, vectors
 from ..functions.text import BLANK_RE2
-from ..operators import chunking, search
+from ..operators import chunking, search, vector_index
 from .profile_queries import sql_strip
-from ..session import staged
+from ..session import scratch_path, staged
 from .registry import SQL, query, spread, table
 
 
@@ -249,6 +249,22 @@ def vector_topk_passes(spark, d):
     )
 
 
+@query("indexed_topk", """
+WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 12) AS score
+      FROM q, embeddings e)
+SELECT query_id, rank, round(score, 9) AS score, vec_id
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WHERE rank <= 10 AND score >= 0.2""")
+def indexed_topk(spark, d):
+    """A stated set of vectors as queries, against an index of all vectors that skips what cannot win."""
+    items = table(spark, d, "embeddings").select("vec_id", "embedding")
+    folder = scratch_path(spark, "vector-index")
+    vector_index.write_vector_index(items, folder, ["vec_id"])
+    asked = items.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vector_index.indexed_topk(vector_index.open_vector_index(spark, folder), asked, query_id="query_id", query_vec="q", k=10, min_score=0.2)
+
+
 @query("vector_checks", """
 SELECT vec_id, len(embedding) = 64 AS right_size,
        round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS norm
