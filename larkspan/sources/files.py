@@ -1,27 +1,35 @@
 """File trees as DataFrames: scan, decode, name parts.
 
-Spark lists and reads the files. Its listing hides names that begin with a dot or an underscore
-(``__init__.py``), so these are found by patterns of the session's file system. Folders of that
-kind become further roots of Spark's listing; files of that kind are copied to plain names
-in the shared folder and read from there.
+Tasks list the folders, level by level, and open the files by Arrow's file systems; the list of files
+is a table in the shared folder and never comes to the driver.
+
+A store that Arrow does not reach is left to Spark's own listing and reader, whose list the driver holds. It
+hides names that begin with a dot or an underscore (``__init__.py``), so these are found by patterns of the
+session's file system. Folders of that kind become further roots of Spark's listing; files of that kind are
+copied to plain names in the shared folder and read from there.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as JvmColumn
 
 from ..functions.text import col, unix_lines
-from ..session import scratch_path
+from ..session import scratch_path, staged
 
 #: A longer file does not fit in one value.
 LONGEST = (1 << 31) - 1 - 15
 COPY_THREADS = 16
+#: What a task reads, and what it hands on at a time.
+TASK_BYTES, TASK_FILES = 64 << 20, 10_000
+BATCH_BYTES, BATCH_FILES = 8 << 20, 1_000
 
 # What a scan leaves out. Folders with a leading dot are left out too.
 IGNORED_FOLDERS = (
@@ -61,13 +69,90 @@ def _open_folders(inner: Column, folders: Iterable[str]) -> Column:
     return ~F.concat(F.lit("/"), inner).rlike(rf"/(\.[^/]*{'|' + listed if listed else ''})/")
 
 
+def _opened(root: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a root, and the root's path in it."""
+    return (pafs.LocalFileSystem(), root.removeprefix("file:")) if root.startswith("file:") else pafs.FileSystem.from_uri(root)
+
+
+def _entries(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is directly in each folder below the root; a link to nothing is left out."""
+    system, base = _opened(root)
+    for batch in batches:
+        for inner in batch.column(0).to_pylist():
+            found = system.get_file_info(pafs.FileSelector(f"{base}/{inner}"))
+            for at in range(0, len(found), 10_000):
+                part = [i for i in found[at : at + 10_000] if i.type != pafs.FileType.NotFound]
+                yield pa.RecordBatch.from_pydict({
+                    "inner": pa.array([f"{inner}/{i.base_name}" if inner else i.base_name for i in part], pa.string()),
+                    "length": pa.array([i.size or 0 for i in part], pa.int64()),
+                    "folder": pa.array([i.type == pafs.FileType.Directory for i in part], pa.bool_()),
+                })
+
+
+def _contents(root: str, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path, length and content of each file; nothing of a longer one."""
+    system, base = _opened(root)
+    kinds = {"inner": pa.string(), "length": pa.int64(), "content": pa.binary()}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    rows, size = [], 0
+    for batch in batches:
+        for inner, length in zip(*[c.to_pylist() for c in batch.columns]):
+            fits = length <= longest
+            if rows and (fits and size + length > BATCH_BYTES or len(rows) == BATCH_FILES):
+                yield made(rows)
+                rows, size = [], 0
+            content = b"" if fits else None
+            if fits and length:
+                with system.open_input_stream(f"{base}/{inner}") as source:
+                    content = source.read()
+            rows.append((inner, length, content))
+            size += len(content or b"")
+    if rows:
+        yield made(rows)
+
+
+class _Listed:
+    """A root whose folders tasks list and whose files tasks open."""
+
+    def __init__(self, spark: SparkSession, shown: str, root: str, folders: Iterable[str], names: Iterable[str], extensions: Iterable[str]) -> None:
+        self.spark, self.shown, self.root = spark, shown, root
+        cores = spark.sparkContext.defaultParallelism
+        folders, names, extensions = list(folders), list(names), list(extensions)
+        self.files, level = None, spark.createDataFrame([("",)], "inner STRING")
+        while not level.isEmpty():
+            entries = level.repartition(cores, "inner").mapInArrow(lambda b: _entries(root, b), "inner STRING, length BIGINT, folder BOOLEAN")
+            found = staged(entries, "listed")
+            name = file_name("inner")
+            level = found.filter(F.col("folder") & ~name.startswith(".") & ~name.isin(folders)).select("inner")
+            more = found.filter(~F.col("folder") & _wanted(name, names, extensions)).drop("folder")
+            self.files = more if self.files is None else self.files.unionByName(more)
+
+    def _path(self) -> Column:
+        return F.concat(F.lit(self.shown + "/"), "inner").alias("path")
+
+    def listed(self) -> DataFrame:
+        """``path`` and ``length`` of every wanted file."""
+        return self.files.select(self._path(), "length")
+
+    def scanned(self, longest: int) -> DataFrame:
+        """``path``, ``length`` and ``content`` of every wanted file; a longer one is not opened and its content is null."""
+        total = self.files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("length", F.lit(longest))).alias("bytes")).first()
+        parts = max(self.spark.sparkContext.defaultParallelism, total["n"] // TASK_FILES, (total["bytes"] or 0) // TASK_BYTES)
+        root = self.root
+        rows = self.files.repartition(parts).mapInArrow(lambda b: _contents(root, longest, b), "inner STRING, length BIGINT, content BINARY")
+        return rows.select(self._path(), "length", "content")
+
+
 def _literal(path: str) -> str:
     """A path whose characters are no pattern."""
     return "".join("\\" + c if c in "*?[]{}\\^" else c for c in path)
 
 
 class _Tree:
-    """A root, the hidden folders below it that are roots of their own, and the hidden files that are wanted."""
+    """A root that only Spark reaches, the hidden folders below it that are roots of their own, and the hidden files that are wanted."""
 
     def __init__(self, spark: SparkSession, root: str, folders: Iterable[str], names: Iterable[str], extensions: Iterable[str]) -> None:
         self.spark, self.folders, self.names, self.extensions = spark, list(folders), list(names), list(extensions)
@@ -152,6 +237,47 @@ class _Tree:
         return names.join(rows, "at", "left").select(
             F.col("name").alias("path"), F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
 
+    def listed(self) -> DataFrame:
+        """``path`` and ``length`` of every wanted file."""
+        return self.visible().select("path", "length").unionByName(self.empty()).unionByName(self.hidden())
+
+    def scanned(self, longest: int) -> DataFrame:
+        """``path``, ``length`` and ``content`` of every wanted file; a longer one is not opened and its content is null."""
+        visible = self.visible()
+        fits = visible.filter(F.col("length") <= longest).unionByName(self.copies(longest))
+        fits = fits.unionByName(self.empty().withColumn("content", F.lit(b"")))
+        over = visible.select("path", "length").unionByName(self.hidden()).filter(F.col("length") > longest)
+        return fits.unionByName(over.withColumn("content", F.lit(None).cast("binary")))
+
+
+def _reached(spark: SparkSession, root: str) -> bool:
+    """Whether a task finds the folder by Arrow's file systems."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            try:
+                system, path = _opened(root)
+                found = system.get_file_info(path).type == pafs.FileType.Directory
+            except (OSError, ValueError, NotImplementedError, pa.ArrowException):
+                found = False
+            yield pa.RecordBatch.from_pydict({"found": pa.array([found] * batch.num_rows)})
+
+    return spark.range(1, numPartitions=1).mapInArrow(look, "found BOOLEAN").first()["found"]
+
+
+def _tree(spark: SparkSession, root: str, folders: Iterable[str], names: Iterable[str], extensions: Iterable[str]) -> _Listed | _Tree:
+    """The files below a root, by tasks if they reach it; a missing root is an error."""
+    given = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = given.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(given):
+        raise FileNotFoundError(root)
+    # a mount names the store behind it
+    place = system.resolvePath(given).toUri()
+    found = f"file:{place.getPath()}" if place.getScheme() == "file" else place.toASCIIString()
+    shown = system.makeQualified(given).toString().rstrip("/")
+    wanted = folders, names, extensions
+    return _Listed(spark, shown, found.rstrip("/"), *wanted) if _reached(spark, found) else _Tree(spark, root, *wanted)
+
 
 def _plain(path: str) -> Column:
     """Local paths without their scheme."""
@@ -167,8 +293,7 @@ def list_files(
 
     Ignored folders, and those that begin with a dot, are left out with all below them. A missing root is an error.
     """
-    tree = _Tree(spark, root, ignored_folders, ignored_files, ignored_extensions)
-    found = tree.visible().select("path", "length").unionByName(tree.empty()).unionByName(tree.hidden())
+    found = _tree(spark, root, ignored_folders, ignored_files, ignored_extensions).listed()
     return found.select(_plain("path").alias("filepath"), "length")
 
 
@@ -182,15 +307,9 @@ def scan_files(
     A file longer than ``longest`` bytes is not opened, its content is null and ``error`` says why. Any other
     failure to read fails the task, so Spark tries it again and in the end says which file it was.
     """
-    tree = _Tree(spark, root, ignored_folders, ignored_files, ignored_extensions)
-    visible = tree.visible()
-    fits = visible.filter(F.col("length") <= longest).unionByName(tree.copies(longest))
-    fits = fits.unionByName(tree.empty().withColumn("content", F.lit(b"")))
-    over = visible.select("path", "length").unionByName(tree.hidden()).filter(F.col("length") > longest)
-    over = over.withColumn("content", F.lit(None).cast("binary"))
+    rows = _tree(spark, root, ignored_folders, ignored_files, ignored_extensions).scanned(longest)
     error = F.when(F.col("length") > longest, F.concat(F.lit("longer than "), F.lit(str(longest)), F.lit(" bytes")))
-    rows = fits.unionByName(over).select(_plain("path").alias("filepath"), "length", "content")
-    return rows.withColumn("error", error)
+    return rows.select(_plain("path").alias("filepath"), "length", "content").withColumn("error", error)
 
 
 def read_documents(files: DataFrame) -> DataFrame:

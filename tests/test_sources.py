@@ -1,5 +1,6 @@
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,30 @@ def test_hidden_names_and_odd_roots(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "none"))
 
 
+def test_tasks_list_and_open_files_in_place(spark, tree):
+    """No file is copied, and no plan holds the list of files."""
+    root, keep = tree
+    before = set(Path(shared_folder(spark).removeprefix("file:")).glob("hidden-*"))
+    listed, scanned = files.list_files(spark, str(root)), files.scan_files(spark, str(root))
+    assert {(r["filepath"], r["length"]) for r in listed.collect()} == {(str(root / n), len(t.encode())) for n, t in keep.items()}
+    assert scanned.count() == len(keep)
+    assert set(Path(shared_folder(spark).removeprefix("file:")).glob("hidden-*")) == before
+    assert not [f for df in (listed, scanned) for f in df.inputFiles() if str(root) in f]
+    assert "sub/c.json" not in listed._jdf.queryExecution().toString()
+
+
+def test_both_ways_through_a_tree_agree(spark, tree, monkeypatch):
+    """Tasks, and Spark's own listing for stores that tasks do not reach."""
+    root, keep = tree
+    (root / "big.txt").write_text("x" * 200)
+    (root / "_long.txt").write_text("x" * 300)
+    found = {True: [], False: []}
+    for reached, rows in found.items():
+        monkeypatch.setattr(files, "_reached", lambda *_, r=reached: r)
+        rows += [sorted(map(tuple, df.collect())) for df in (files.list_files(spark, str(root)), files.scan_files(spark, str(root), longest=100))]
+    assert found[True] == found[False] and len(found[True][0]) == len(keep) + 2
+
+
 def test_long_files_are_told_and_ignored_ones_not_opened(spark, tree):
     root, keep = tree
     (root / "big.txt").write_text("x" * 200)
