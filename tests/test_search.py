@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,42 @@ def test_mean_pool_and_vector_functions(spark):
     assert got == [[1.0, 2.0], [0.0, 0.0]]
     assert df.filter(vec.has_dimension("embedding", 2)).count() == 3
     assert df.select(F.size("embedding")).first()[0] == 2
+
+
+def _brute(vectors, queries, k, least):
+    """Row numbers of each query's best by exact scores, ties by number."""
+    scores = np.round(vectors.astype(float) @ queries.T, se.COMPARED_DIGITS)
+    return {q: [i for i in np.lexsort((np.arange(len(vectors)), -scores[:, q])) if scores[i, q] >= least][: k[q]] for q in range(len(queries))}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e25])
+def test_scores_that_single_precision_does_not_tell_apart(monkeypatch, scale):
+    """Near ties are ranked by exact scores, whatever the size of the numbers; few rows wait to be ranked."""
+    monkeypatch.setattr(se, "CELLS", 3_000)
+    monkeypatch.setattr(se, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    base = rng.random((1, 16))
+    vectors = np.r_[base + 1e-9 * rng.random((300, 16)), rng.random((700, 16)), base.repeat(20, 0)] * scale
+    queries, k = rng.random((20, 16)) / scale, np.arange(1, 21)
+    table = pa.table({"i": pa.array(np.arange(len(vectors))), "v": pa.array(list(vectors), pa.list_(pa.float64()))})
+    ranked = []
+    best = se._best
+    monkeypatch.setattr(se, "_best", lambda rows, *a: ranked.append(rows.num_rows) or best(rows, *a))
+    out = se._task_best(iter([table.slice(0, 600), table.slice(600)]), queries, ["i"], "v", k, 0.2)
+    got = {}
+    for q, i in zip(out.column("q").to_pylist(), out.column("i").to_pylist()):
+        got.setdefault(q, []).append(i)
+    assert got == _brute(vectors, queries, k, 0.2)
+
+
+def test_few_scores_are_made_exactly(monkeypatch):
+    """After the first block a score waits to be ranked only if it may be among the best."""
+    rng = np.random.default_rng(6)
+    vectors, queries = rng.random((8_000, 8)).astype("float32"), rng.random((100, 8))
+    table = pa.table({"i": pa.array(np.arange(8_000)), "v": pa.array(list(vectors), pa.list_(pa.float32()))})
+    waited = []
+    best = se._best
+    monkeypatch.setattr(se, "_best", lambda rows, *a: waited.append(rows.num_rows) or best(rows, *a))
+    monkeypatch.setattr(se, "CELLS", 50_000)
+    se._task_best(iter([table]), queries, ["i"], "v", 5, 0.2)
+    assert sum(waited) < 20 * 5 * 100
