@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.functions.text import php_prelude
 from larkspan.operators import calendar, classify, code_metrics, synth
 from larkspan.operators.regression import fit_calibration
 
@@ -35,6 +37,20 @@ def test_long_strings_do_not_recurse(spark, language):
     assert metrics_of(spark, language, code)[1] == 1
 
 
+def test_ascii_code_is_counted_alike_in_batches(spark):
+    """The patterns of the Arrow batches and Spark's expressions agree on odd pieces put together at random."""
+    rng = random.Random(7)
+    bits = ["if", "for", "and", "or", '"', "'", "`", '"""', "#", "//", "/*", "*/", "\n", "\r\n", "\r", " ", "\t", "\\", "x", "(", ")", "{", "}", "&&", "?",
+            " ? ", "=begin", "=end", "<?php", "def ", "function f", "=>", "func", "case", "new A.B", "throws E", "try", "é", "\x0b", "\x1c", "\x00"]
+    names = [*code_metrics.LANGUAGE_IDS, "cobol", None]
+    rows = [(i, rng.choice(names), "".join(rng.choices(bits[: -4 if i % 2 else None], k=rng.randint(0, 30)))) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (3000, "go", None)], "i int, language string, code string")
+    text = php_prelude(F.col("code"), F.col("language"))
+    want = df.select("i", F.inline(F.array(code_metrics._any_counts(text, F.col("language")))))
+    got = code_metrics.code_metrics(df).drop("code", "language")
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_label_code(spark):
     rows = [(1, i, "go", "func f() { if a {} }", "") for i in range(5)] + [
         (2, 0, "python", None, "def f(): pass"), (2, 1, "python", "x = 1", ""), (2, 2, "cobol", "def f(): pass", ""),
