@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from larkspan.session import scratch_path
 from larkspan.streaming import ordering
 
@@ -35,3 +37,44 @@ def test_answers_wait_over_a_restart(spark, tmp_path):
     got = served(spark, folder, out, state)
     assert sorted(r for r in got if r[0] == "b") == [("b", 0, 0, "first"), ("b", 1, 1, "second")]
     assert ("a", 0, 5, "late") in got and len(got) == 8
+
+
+class _Counted:
+    """A state in memory that counts its requests."""
+
+    def __init__(self):
+        self.kept, self.asked, self.put = {}, 0, 0
+
+    def get(self):
+        return self.kept.get(None)
+
+    def exists(self):
+        return None in self.kept
+
+    def update(self, value):
+        self.kept[None] = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.kept
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.put += 1
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+
+def test_answers_that_are_due_do_not_enter_the_state():
+    step = ordering.InOrder(0)
+    step.due, step.waiting = _Counted(), _Counted()
+    part = lambda positions: iter([pd.DataFrame({"s": "a", "p": positions, "r": [f"r{p}" for p in positions]})])
+    got = [r for df in step.handleInputRows(("a",), part([3, 1, 0, 2, 6]), None) for r in df["_response"]]
+    assert got == ["r0", "r1", "r2", "r3"] and step.waiting.put == 1 and step.waiting.asked <= 6
+    got = [r for df in step.handleInputRows(("a",), part([5, 4]), None) for r in df["_response"]]
+    assert got == ["r4", "r5", "r6"] and step.waiting.put == 1 and not step.waiting.kept
