@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larkspan.operators import chunking as ch
+from larkspan.operators import search
 
 
 def run(spark, fn, texts, **kw):
@@ -137,3 +140,21 @@ def test_packing_bounds(spark, target, overlap):
     texts = ["\n\n".join(words(rng.randint(1, 12), f"p{j}_") for j in range(rng.randint(0, 20))) for _ in range(30)]
     want = [pack_by_hand(t, target, overlap) for t in texts]
     assert run(spark, ch.chunk_text, texts, target=target, overlap=overlap) == want
+
+
+def test_batches_are_parsed_and_embedded_in_pieces(spark):
+    """However many rows a batch has, few are in memory with what is made of them."""
+    texts = pd.Series([f"x{i} = 1" for i in range(2_600)])
+    parts = list(ch._parsed.func(iter([(pd.Series(["python"] * 2_600), texts), (texts[:0], texts[:0])])))
+    assert sum(map(len, parts)) == 2_600 and max(map(len, parts)) <= 500
+
+    def make():
+        def embed(some):
+            assert len(some) <= 1_000
+            return np.array([[float(t[1:-4])] for t in some])
+
+        return embed
+
+    rows = spark.createDataFrame([(t,) for t in texts], "content string").coalesce(1)
+    got = search.embed(rows, make_embed=make).filter(F.concat(F.lit("x"), F.col("embedding")[0].cast("int"), F.lit(" = 1")) == F.col("content"))
+    assert got.count() == 2_600
