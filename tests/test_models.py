@@ -50,6 +50,37 @@ def test_bayes_against_plain_counts(spark, labels):
             assert r.probs == pytest.approx({label: math.exp((s - want[0][0]) / 1e6) / total for s, label in want})
 
 
+@pytest.mark.parametrize("labels", [2, 40])
+def test_only_rare_words_travel(spark, labels, monkeypatch):
+    """Frequent words are weighed where they are read; with any number of them looked up there the scores are the same."""
+    rows = [(i, "the cat and the dog " * 5 + f"w{i % 17} rare{i} unheard{i}", f"l{i % labels:02}") for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, text string, label string")
+    held, stage = {}, bayes.staged
+
+    def kept(table, name):
+        held[name] = stage(table, name)
+        return held[name]
+
+    monkeypatch.setattr(bayes, "staged", kept)
+    seen = set()
+    for most in (0, 30, 50_000):
+        monkeypatch.setattr(bayes, "MAX_LOOKUP_ROWS", most)
+        held.pop("cells", None)
+        model = bayes.fit_bayes(df.filter("i < 300"), df.filter("i >= 200"))
+        travel = held["cells"].filter("_rare IS NOT NULL") if "cells" in held else None
+        if most == 0:
+            assert travel.count() == 200 * 7
+        elif most == 30:
+            assert {r["_rare"] for r in travel.select("_rare").collect()}.isdisjoint({"the", "cat", "and", "dog"})
+        else:
+            assert travel is None
+        found = bayes.predict_bayes(df, model, keys=["i"]).collect()
+        seen.add((model.smoothing, model.score, tuple(sorted((r.i, r.predicted, r.confidence, tuple(sorted(r.probs.items()))) for r in found))))
+    ((smoothing, _, found),) = seen
+    train = [(t, label) for i, t, label in rows if i < 300]
+    assert [p for _, p, *_ in found[::40]] == [plain_scores(train, t, smoothing)[0][1] for _, t, _ in rows[::40]]
+
+
 def test_scores_do_not_depend_on_the_order_of_rows(spark):
     rows = [(i, f"a{i % 7} b{i % 11} c{i % 3}", f"l{i % 4}") for i in range(300)]
     df = spark.createDataFrame(rows, "i int, text string, label string")
