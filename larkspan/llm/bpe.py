@@ -9,7 +9,6 @@ another kind, go through the library itself.
 from __future__ import annotations
 
 import json
-from array import array
 
 import numpy as np
 import tiktoken
@@ -19,6 +18,10 @@ from .common import kept
 
 # The word pattern of byte-level BPE, and the characters that stand for bytes in its files.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same pieces where no blank follows another; without a look ahead they are found faster.
+PLAIN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+#: First bytes of the blanks beyond ASCII.
+BLANK_STARTS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Longer runs of blanks or of anything else are left to the library, whose cost stays in proportion.
 LONG_RUN = 1000
@@ -42,7 +45,8 @@ class Bpe:
         if self._in_order(file, vocab, merges):
             place = byte_of_char()
             ranks = {bytes(place[c] for c in t): i for t, i in vocab.items() if t not in self.special}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+            self.plain = tiktoken.Encoding("plain", pat_str=PLAIN, mergeable_ranks=ranks, special_tokens=self.special)
             self.bytes_of = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
             self.names = {i: str(i) for i in self.bytes_of}
             self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
@@ -63,9 +67,10 @@ class Bpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens added."""
-        if self.ranks is None or self.has_special(text) or long_run(text.encode("utf-8", "replace")):
+        raw = text.encode("utf-8", "replace")
+        if self.ranks is None or self.has_special(text) or long_run(raw):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-        return np.frombuffer(array("i", self.ranks.encode_ordinary(text)), np.int32)
+        return (self.plain if single_blanks(raw) else self.ranks).encode_to_numpy(text, disallowed_special=()).view(np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids, special tokens included."""
@@ -78,6 +83,14 @@ class Bpe:
         return ",".join([self.names[i] for i in ids] if self.ranks is not None else map(str, ids))
 
 
+def single_blanks(raw: bytes) -> bool:
+    """Whether surely no blank follows another; control characters count as blanks, texts that may hold other blanks are not looked into."""
+    if any(start in raw for start in BLANK_STARTS):
+        return False
+    blank = np.frombuffer(raw, np.uint8) <= 32
+    return not (blank[1:] & blank[:-1]).any()
+
+
 def long_run(raw: bytes) -> bool:
     """Whether a run of ASCII blanks, or of other bytes, is longer than ``LONG_RUN``."""
     if len(raw) <= LONG_RUN:

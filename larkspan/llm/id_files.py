@@ -54,18 +54,20 @@ class Model:
         # estimates (of 65536) that order 2 holds, low half, and that only order 1 holds, high half
         self.by_context = np.full(lanes * 16, 2048 | 2048 << 16, U)
         self.two_holds, self.one_holds = np.full(lanes, 2048, U), np.full(lanes, 2048, U)
-        self.weight = np.full(lanes, 8, U)
-        self.counts = np.ones((self.classes, lanes), np.int64)
-        self.cum = np.zeros((self.classes + 1, lanes), U)
-        self.lane = np.arange(lanes, dtype=np.int64)
+        # narrow where the numbers are small
+        self.weight = np.full(lanes, 8, np.uint8)
+        self.counts = np.ones((self.classes, lanes), U)
+        # rows beyond the last class hold the total, so that a search by halves needs no bound
+        self.cum = np.full((max(self.classes + 1, 1 << (self.classes - 1).bit_length()), lanes), 1 << SCALE, U)
+        self.cum[0] = 0
         self.size_of = np.frexp(np.arange((1 << bits) + 1, dtype=np.float64))[1].astype(np.int64) - 1
 
     def refresh(self, step: int) -> None:
         """Frequencies of the size classes from their counts, more often in the beginning."""
         if step % REFRESH and step & (step - 1):
             return
-        sums = np.cumsum(self.counts, axis=0)
-        self.cum[1:] = sums * ((1 << SCALE) - self.classes) // sums[-1] + np.arange(1, self.classes + 1)[:, None]
+        sums = np.cumsum(self.counts, axis=0, dtype=U)
+        self.cum[1 : self.classes + 1] = sums * U((1 << SCALE) - self.classes) // sums[-1] + np.arange(1, self.classes + 1, dtype=U)[:, None]
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies that order 2 holds and that only order 1 holds, for the first n lanes."""
@@ -73,91 +75,110 @@ class Model:
         self.at1 = self.base[:n] + (mixed >> (32 - SLOT_BITS))
         self.at2 = self.base[:n] + ((self.prev2[:n] * U(0x85EBCA6B) + mixed * U(0xC2B2AE35)) >> (32 - SLOT_BITS))
         self.e1, self.e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.id1, self.id2 = (self.e1 >> 2) - U(1), (self.e2 >> 2) - U(1)
+        self.c1, self.c2 = self.e1.astype(np.uint8) & 3, self.e2.astype(np.uint8) & 3
+        self.next1, self.next2 = self.e1 >> 2, self.e2 >> 2
         self.at = self.base16[:n] + (self.c2 * 4 + self.c1)
-        both = self.by_context.take(self.at, mode="clip")
-        self.q2, self.q1 = both & 0xFFFF, both >> 16
-        w, v = self.weight[:n], 16 - self.weight[:n]
+        self.both = self.by_context.take(self.at, mode="clip")
+        self.q2 = self.both & 0xFFFF
+        w = self.weight[:n].astype(U)
+        v = 16 - w
         p2 = (self.q2 * w + self.two_holds[:n] * v) >> 4
-        p1 = (self.q1 * w + self.one_holds[:n] * v) >> 4
+        p1 = ((self.both >> 16) * w + self.one_holds[:n] * v) >> 4
         top = U((1 << SCALE) - 16)
         return (p2 * top >> 16) + 1, (p1 * top >> 16) + 1
 
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        h2, h1 = hit2.astype(U), hit1.astype(U)
+    def learn(self, n: int, ids: np.ndarray, plus_one: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray) -> None:
+        """``same1``: order 1 held, whether order 2 did or not."""
         g2, g1, w = self.two_holds[:n], self.one_holds[:n], self.weight[:n]
-        w += ((self.q2 > g2) == hit2) * U(2)
+        w += ((self.q2 > g2) == hit2).view(np.uint8) << 1
         w -= 1
         np.minimum(w, 15, out=w)
         np.maximum(w, 1, out=w)
-        self.by_context[self.at] = (self.q2 - (self.q2 >> 5) + h2 * 2047) | ((self.q1 - (self.q1 >> 5) + h1 * 2047) << 16)
+        # both halves at once
+        self.by_context[self.at] = self.both - (self.both >> 5 & 0x07FF07FF) + (hit2 + hit1 * U(1 << 16)) * U(2047)
         g2 -= g2 >> 6
-        g2 += h2 * 1023
+        g2 += hit2 * U(1023)
         g1 -= g1 >> 6
-        g1 += h1 * 1023
-        entry = (ids + 1) << 2
-        self.one[self.at1] = entry | np.minimum(self.c1 * (self.id1 == ids) + 1, 3)
+        g1 += hit1 * U(1023)
+        entry = plus_one << 2
+        self.one[self.at1] = entry | np.minimum(self.c1 * same1 + 1, 3)
         self.two[self.at2] = entry | np.minimum(self.c2 * hit2 + 1, 3)
         self.prev2[:n] = self.prev[:n]
         self.prev[:n] = ids
 
 
+def digit_bits(shift: np.ndarray, classes: int) -> tuple[np.ndarray, ...]:
+    """The bits of an id after its size class, at most 16 at a time: a range may hold no more."""
+    if classes <= 17:
+        return (shift,)
+    high = np.maximum(shift, U(16)) - U(16)
+    return (high, shift - high)
+
+
 class Encoder:
-    """Range coder of many lanes. A digit may get a carry later, so digits are kept wide until the end."""
+    """Range coder of many lanes. A digit may get a carry later, so digits are kept wide until the end.
+
+    Lanes go on at about the same pace, so their digits of one place lie side by side.
+    """
 
     def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, U)
-        self.digits, self.room = np.zeros(lanes * room, U), room
-        self.at = np.arange(lanes, dtype=np.int64) * room
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFF, U)
+        self.digits, self.lanes = np.zeros(room * lanes, U), lanes
+        self.at = np.arange(lanes, dtype=np.int64)
 
     def put(self, n: int, shift: np.ndarray | U, cum: np.ndarray, freq: np.ndarray) -> None:
         """Code the part [cum, cum + freq) of 2**shift; shift 0, cum 0 and freq 1 code nothing."""
         unit = self.range[:n] >> shift
-        low = self.low[:n] + unit * cum
+        more = unit * cum
+        low = self.low[:n] + more
         rng = unit * freq
-        over = (low >> np.uint64(32)).nonzero()[0]
+        # a sum beyond 32 bits is less than what was added
+        over = (low < more).nonzero()[0]
         if len(over):
-            self.digits[self.at[:n][over] - 1] += U(1)
-            low[over] &= np.uint64(0xFFFFFFFF)
+            self.digits[self.at[:n][over] - self.lanes] += U(1)
         m = (rng < 65536).nonzero()[0]
         part, at = low[m], self.at[m]
-        self.digits[at] = part >> np.uint64(16)
-        self.at[m] = at + 1
-        low[m] = (part & np.uint64(0xFFFF)) << np.uint64(16)
+        self.digits[at] = part >> U(16)
+        self.at[m] = at + self.lanes
+        low[m] = part << U(16)
         rng[m] <<= U(16)
         self.low[:n], self.range[:n] = low, rng
 
-    def put_at(self, rows: np.ndarray, parts: tuple[tuple[U | np.ndarray, np.ndarray, np.ndarray | U], ...]) -> None:
+    def put_at(self, rows: np.ndarray, parts: list[tuple[U | np.ndarray, np.ndarray, np.ndarray | U]]) -> None:
         """Code the given (shift, cum, freq) one after the other, for some lanes only."""
         low, rng, places = self.low[rows], self.range[rows], self.at[rows]
         for shift, cum, freq in parts:
             unit = rng >> shift
-            low += unit * cum
+            more = unit * cum
+            low += more
             rng = unit * freq
-            over = (low >> np.uint64(32)).nonzero()[0]
+            over = (low < more).nonzero()[0]
             if len(over):
-                self.digits[places[over] - 1] += U(1)
-                low[over] &= np.uint64(0xFFFFFFFF)
-            m = (rng < 65536).nonzero()[0]
-            part = low[m]
-            self.digits[places[m]] = part >> np.uint64(16)
-            places[m] += 1
-            low[m] = (part & np.uint64(0xFFFF)) << np.uint64(16)
-            rng[m] <<= U(16)
+                self.digits[places[over] - self.lanes] += U(1)
+            # a digit that is not yet due is written over later
+            self.digits[places] = low >> U(16)
+            due = rng < 65536
+            places += due * self.lanes
+            by = due * U(16)
+            low <<= by
+            rng <<= by
         self.low[rows], self.range[rows], self.at[rows] = low, rng, places
 
     def finish(self) -> list[np.ndarray]:
-        lanes = len(self.low)
-        start = np.arange(lanes, dtype=np.int64) * self.room
-        for part in (self.low >> np.uint64(16), self.low & np.uint64(0xFFFF)):
+        for part in (self.low >> U(16), self.low & U(0xFFFF)):
             self.digits[self.at] = part
-            self.at += 1
-        used = self.at - start
-        table = self.digits.reshape(lanes, self.room)
-        for k in range(int(used.max(initial=0)) - 1, 0, -1):
-            table[:, k - 1] += table[:, k] >> U(16)
-        return [table[i, : used[i]].astype("<u2") for i in range(lanes)]
+            self.at += self.lanes
+        used = self.at // max(self.lanes, 1)
+        # few digits hold a carry that is still to be passed on
+        digits = self.digits[: int(used.max(initial=0)) * self.lanes]
+        over = (digits > 0xFFFF).nonzero()[0]
+        while len(over):
+            digits[over] &= U(0xFFFF)
+            over -= self.lanes
+            digits[over] += U(1)
+            over = over[digits[over] > 0xFFFF]
+        table = digits.astype("<u2").reshape(-1, max(self.lanes, 1)).T
+        return [table[i, : used[i]].copy() for i in range(self.lanes)]
 
 
 class Decoder:
@@ -170,9 +191,11 @@ class Decoder:
         self.range, self.code = np.full(lanes, 0xFFFFFFFF, U), table[:, 0].astype(U) << U(16) | table[:, 1]
         self.at = np.arange(lanes, dtype=np.int64) * room + 2
 
-    def target(self, n: int, shift: np.ndarray | U) -> np.ndarray:
+    def decided(self, n: int, shift: U, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the code lies below ``first`` and below ``second`` of 2**shift."""
         self.unit = self.range[:n] >> shift
-        return np.minimum(self.code[:n] // self.unit, (U(1) << shift) - U(1))
+        code = self.code[:n]
+        return code < self.unit * first, code < self.unit * second
 
     def take(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
         code, rng = self.code[:n] - self.unit * cum, self.unit * freq
@@ -189,26 +212,27 @@ class Decoder:
         unit = rng >> U(SCALE)
         target = np.minimum(code // unit, U((1 << SCALE) - 1))
         # the last class whose cumulative frequency is not beyond the target, by halves
-        size, step = np.zeros(len(rows), np.int64), 1 << (classes - 1).bit_length()
+        at, step = rows, 1 << (classes - 1).bit_length()
         while step > 1:
             step >>= 1
-            ahead = size + step
-            found = (ahead < classes) & (table.take(ahead * lanes + rows, mode="clip") <= target)
-            size += step * found
-        at = size * lanes + rows
+            ahead = at + step * lanes
+            at = np.where(table.take(ahead, mode="clip") <= target, ahead, at)
         cum = table.take(at, mode="clip")
-        freq, shift = table.take(at + lanes, mode="clip") - cum, size.astype(U)
-        for second in (False, True):
-            if second:
+        freq, size = table.take(at + lanes, mode="clip") - cum, ((at - rows) // lanes).astype(U)
+        plus_one = U(1)
+        for shift in (None, *digit_bits(size, classes)):
+            if shift is not None:
                 unit = rng >> shift
                 cum, freq = np.minimum(code // unit, (U(1) << shift) - U(1)), U(1)
+                plus_one = plus_one << shift | cum
             code, rng = code - unit * cum, unit * freq
-            m = (rng < 65536).nonzero()[0]
-            code[m] = code[m] << U(16) | self.words.take(places[m], mode="clip")
-            places[m] += 1
-            rng[m] <<= U(16)
+            due = rng < 65536
+            by = due * U(16)
+            code = code << by | self.words.take(places, mode="clip") * due
+            places += due
+            rng <<= by
         self.code[rows], self.range[rows], self.at[rows] = code, rng, places
-        return at, (U(1) << shift) + cum
+        return at, plus_one
 
 
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
@@ -222,27 +246,32 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     for lane, i in enumerate(order):
         ids[: sizes[lane], lane] = blocks[i]
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")
+    nexts = ids + U(1)
     model, coder = Model(lanes, bits), Encoder(lanes, 3 * steps + 4)
     table, counts = model.cum.reshape(-1), model.counts.reshape(-1)
     for t in range(steps):
         n = int(live[t])
-        now = ids[t, :n]
+        now, plus_one = ids[t, :n], nexts[t, :n]
         model.refresh(t)
         f2, f1 = model.predict(n)
-        hit2 = now == model.id2
-        hit1 = (now == model.id1) & ~hit2
-        new = ~(hit2 | hit1)
-        coder.put(n, U(SCALE), np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(U), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - f2 - f1)))
-        rows = new.nonzero()[0]
+        hit2, same1 = plus_one == model.next2, plus_one == model.next1
+        hit1, both = same1 & ~hit2, f2 + f1
+        coder.put(n, U(SCALE), np.where(hit2, U(0), np.where(hit1, f2, both)), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - both)))
+        rows = (~(hit2 | same1)).nonzero()[0]
         if len(rows):
-            escaped = now[rows] + U(1)
+            escaped = plus_one[rows]
             size = model.size_of.take(escaped, mode="clip")
             at = size * lanes + rows
             cum = table.take(at, mode="clip")
             counts[at] += 24
-            shift = size.astype(U)
-            coder.put_at(rows, ((U(SCALE), cum, table.take(at + lanes, mode="clip") - cum), (shift, escaped - (U(1) << shift), U(1))))
-        model.learn(n, now, hit2, hit1)
+            left = size.astype(U)
+            rest, parts = escaped - (U(1) << left), [(U(SCALE), cum, table.take(at + lanes, mode="clip") - cum)]
+            for shift in digit_bits(left, model.classes):
+                left = left - shift
+                parts.append((shift, rest >> left, U(1)))
+                rest = rest & ((U(1) << left) - U(1))
+            coder.put_at(rows, parts)
+        model.learn(n, now, plus_one, hit2, hit1, same1)
     out: list[bytes] = [b""] * lanes
     for words, i in zip(coder.finish(), order):
         out[i] = struct.pack(HEAD, len(blocks[i]), len(words), zlib.crc32(blocks[i].astype("<u4").tobytes())) + words.tobytes()
@@ -283,18 +312,17 @@ def _decoded(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[np.nd
         n = int(live[t])
         model.refresh(t)
         f2, f1 = model.predict(n)
-        target, both = coder.target(n, U(SCALE)), f2 + f1
-        hit2, new = target < f2, target >= both
-        hit1 = ~(hit2 | new)
+        both = f2 + f1
+        hit2, held = coder.decided(n, U(SCALE), f2, both)
+        hit1 = held & ~hit2
         coder.take(n, np.where(hit2, U(0), np.where(hit1, f2, both)), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - both)))
-        now = np.where(hit2, model.id2, model.id1)
-        rows = new.nonzero()[0]
+        plus_one = np.where(hit2, model.next2, model.next1)
+        rows = (~held).nonzero()[0]
         if len(rows):
-            at, plus_one = coder.escaped(rows, table, lanes, model.classes)
+            at, plus_one[rows] = coder.escaped(rows, table, lanes, model.classes)
             counts[at] += 24
-            now[rows] = plus_one - U(1)
-        ids[t, :n] = now
-        model.learn(n, now, hit2, hit1)
+        now = np.subtract(plus_one, U(1), out=ids[t, :n])
+        model.learn(n, now, plus_one, hit2, hit1, plus_one == model.next1)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(blocks)
     for lane, i in enumerate(order):
         found = ids[: sizes[lane], lane].astype("<u4")

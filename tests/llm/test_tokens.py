@@ -171,3 +171,35 @@ def test_long_runs_are_found(parts):
     raw = b"".join(p * n for p, n in parts)
     longest = max((len(r) for r in re.findall(rb"[ \t-\r]+|[^ \t-\r]+", raw)), default=0)
     assert long_run(raw) == (longest > LONG_RUN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "the", "don't", "'ll", "é", "日本", "!!", "12", "_"]), max_size=12).map("".join))
+def test_single_blanks_need_no_look_ahead(text):
+    from larkspan.llm.bpe import single_blanks
+
+    found = single_blanks(text.encode())
+    assert not (found and re.search(r"\s\s", text))
+    if found:
+        assert VOCAB.plain.encode_ordinary(text) == VOCAB.ranks.encode_ordinary(text) == VOCAB.encode(text).tolist() == library(text)
+    if text.isascii() and not re.search(r"[\x00-\x20]{2}", text):
+        assert found
+
+
+def test_carries_pass_over_full_digits():
+    """A carry goes through digits that are full, in its own lane only."""
+    coder = id_files.Encoder(2, 8)
+    digits = coder.digits.reshape(8, 2)
+    digits[:3] = [[7, 7], [0xFFFF, 0xFFFF], [0xFFFF, 0xFFFF]]
+    digits[2, 1] += 1
+    coder.at += 3 * 2
+    assert [w.tolist() for w in coder.finish()] == [[7, 0xFFFF, 0xFFFF, 0, 0], [8, 0, 0, 0, 0]]
+
+
+@pytest.mark.parametrize("bits", [16, 17, 18, 20])
+def test_ids_of_many_bits(bits):
+    """Ids with more than 16 bits after their size class are read back."""
+    rng = np.random.default_rng(bits)
+    blocks = [np.array([0, 3, 255, (1 << bits) - 1, 1]), rng.integers(1 << (bits - 1), 1 << bits, 300), np.tile([(1 << bits) - 1, 5], 100)]
+    back = id_files.decode_blocks(id_files.split_blocks(b"".join(id_files.encode_blocks(blocks, bits))), bits)
+    assert [b.tolist() for b in back] == [b.tolist() for b in blocks]
