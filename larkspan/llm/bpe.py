@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -70,8 +71,57 @@ class Bpe:
         raw = text.encode("utf-8", "replace")
         if self.ranks is None or self.has_special(text) or long_run(raw):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        return self._ranked(raw, text)
+
+    def _ranked(self, raw: bytes, text: str) -> np.ndarray:
         return (self.plain if single_blanks(raw) else self.ranks).encode_to_numpy(text, disallowed_special=()).view(np.int32)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """``encode`` of each text.
+
+        No piece of the pattern has a blank after another character, so texts are cut before their
+        runs of blanks, and every distinct part is encoded once.
+        """
+        raws = [text.encode("utf-8", "replace") for text in texts]
+        plain = [self.ranks is not None and not self.has_special(t) and not long_run(r) for t, r in zip(texts, raws)]
+        bounds = np.cumsum([0, *(len(r) for r, p in zip(raws, plain) if p)], dtype=np.int64)
+        found = iter(self._by_parts(b"".join(r for r, p in zip(raws, plain) if p), bounds))
+        return [next(found) if p else self.encode(text) for text, p in zip(texts, plain)]
+
+    def _by_parts(self, raw: bytes, bounds: np.ndarray) -> list[np.ndarray]:
+        """The ids of the texts that lie in ``raw`` between neighbouring ``bounds``."""
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[cuts(raw)] = True
+        begins[bounds] = True
+        starts = np.flatnonzero(begins).astype(np.int32)
+        del begins
+        parts = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+        ids, first = self._of_parts(parts.dictionary)
+        which = parts.indices.to_numpy()
+        counts = np.diff(first)[which]
+        after = np.append(np.int32(0), np.cumsum(counts, dtype=np.int32))
+        # each id's place among those of the parts
+        at = np.ones(after[-1], np.int32)
+        if len(at):
+            at[0] = first[which[0]]
+            at[after[1:-1]] = first[which[1:]] - first[which[:-1] + 1] + 1
+            ids = ids.take(np.cumsum(at, dtype=np.int32, out=at), mode="clip")
+        ends = after[np.searchsorted(starts, bounds.astype(np.int32))]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def _of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, and where those of each begin."""
+        if not len(parts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int32)
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
+        raw, ends = parts.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+        # parts follow each other as in no text; neighbours that a text would be cut between are encoded together
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[cuts(raw)] = True
+        whole = [0, *ends[~begins[ends]].tolist()]
+        flat = np.concatenate([self._ranked(raw[a:b], raw[a:b].decode()) for a, b in zip(whole[:-1], whole[1:])])
+        return flat, np.append(0, np.searchsorted(np.cumsum(self.lengths[flat]), ends) + 1).astype(np.int32)
+
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids, special tokens included."""
         if self.ranks is None:
@@ -83,6 +133,21 @@ class Bpe:
         return ",".join([self.names[i] for i in ids] if self.ranks is not None else map(str, ids))
 
 
+def cuts(raw: bytes) -> np.ndarray:
+    """Where runs of ASCII blanks begin, each after a character that surely is no blank."""
+    codes = np.frombuffer(raw, np.uint8)
+    blank = codes == 32
+    blank |= codes - np.uint8(9) < 5
+    at = np.flatnonzero(blank[1:] > blank[:-1]) + 1
+    before = codes[at - 1]
+    sure = before > 32
+    # a character beyond ASCII that begins like a blank may be one
+    wide = np.flatnonzero(before > 127)
+    for back, starts in ((2, BLANK_STARTS[:1]), (3, BLANK_STARTS[1:])):
+        sure[wide[np.isin(codes[np.maximum(at[wide] - back, 0)], [s[0] for s in starts])]] = False
+    return at[sure]
+
+
 def single_blanks(raw: bytes) -> bool:
     """Whether surely no blank follows another; control characters count as blanks, texts that may hold other blanks are not looked into."""
     if any(start in raw for start in BLANK_STARTS):

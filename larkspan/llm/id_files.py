@@ -7,9 +7,12 @@ holds are kept for every pair of confidences and, without context, for the
 block as a whole; the two are mixed with a weight that moves to the one that has
 done better. If neither prediction holds, the id is coded by adaptive counts of
 its size class (order 0) and the rest of its bits. All arithmetic is in whole
-numbers, so every machine decodes the same.
+numbers, or in double precision where that gives the same, so every machine decodes
+the same.
 
-Blocks do not depend on each other, so numpy codes many of them in step.
+Blocks do not depend on each other, so numpy codes many of them in step. What the
+predictions are is found for whole blocks by sorting when ids are written, and id by
+id when they are read.
 
 A file is a Parquet row set: one row per segment of whole documents, with its
 part, its place in the part, the documents' ids and token counts and the coded
@@ -34,6 +37,8 @@ from .common import bounded, small_table, tidied
 BLOCK = 1024
 #: Ids of one segment (whole documents, so a long document makes a longer one) and blocks coded in step.
 SEGMENT, LANES = 1 << 18, 8192
+#: Blocks looked through at a time when they are written, and copied from steps to blocks when they are read.
+TOGETHER = 32
 SLOT_BITS = 9
 MAX_BITS = 20
 HEAD = "<III"
@@ -42,42 +47,35 @@ SCALE, REFRESH = 12, 32
 U = np.uint32
 
 
-class Model:
-    """The predictions of many blocks at once; lane i belongs to block i."""
+class Mixture:
+    """What the predictions of many blocks are worth; lane i belongs to block i."""
 
     def __init__(self, lanes: int, bits: int) -> None:
         self.lanes, self.classes = lanes, bits + 1
-        # an entry holds the id that followed, plus one, and two bits of confidence
-        self.one, self.two = np.zeros(lanes << SLOT_BITS, U), np.zeros(lanes << SLOT_BITS, U)
-        self.prev, self.prev2 = np.zeros(lanes, U), np.zeros(lanes, U)
-        self.base, self.base16 = np.arange(lanes, dtype=np.int64) << SLOT_BITS, np.arange(lanes, dtype=np.int64) * 16
+        self.base16 = np.arange(lanes, dtype=np.int64) * 16
         # estimates (of 65536) that order 2 holds, low half, and that only order 1 holds, high half
         self.by_context = np.full(lanes * 16, 2048 | 2048 << 16, U)
         self.two_holds, self.one_holds = np.full(lanes, 2048, U), np.full(lanes, 2048, U)
-        # narrow where the numbers are small
+        # narrow where the numbers are small; a block's counts stay below 2**16
         self.weight = np.full(lanes, 8, np.uint8)
-        self.counts = np.ones((self.classes, lanes), U)
-        # rows beyond the last class hold the total, so that a search by halves needs no bound
-        self.cum = np.full((max(self.classes + 1, 1 << (self.classes - 1).bit_length()), lanes), 1 << SCALE, U)
-        self.cum[0] = 0
-        self.size_of = np.frexp(np.arange((1 << bits) + 1, dtype=np.float64))[1].astype(np.int64) - 1
+        self.counts = np.ones((self.classes, lanes), np.uint16)
+        self.cum = np.zeros((self.classes + 1, lanes), np.uint16)
 
     def refresh(self, step: int) -> None:
         """Frequencies of the size classes from their counts, more often in the beginning."""
         if step % REFRESH and step & (step - 1):
             return
-        sums = np.cumsum(self.counts, axis=0, dtype=U)
-        self.cum[1 : self.classes + 1] = sums * U((1 << SCALE) - self.classes) // sums[-1] + np.arange(1, self.classes + 1, dtype=U)[:, None]
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies that order 2 holds and that only order 1 holds, for the first n lanes."""
-        mixed = self.prev[:n] * U(0x9E3779B1)
-        self.at1 = self.base[:n] + (mixed >> (32 - SLOT_BITS))
-        self.at2 = self.base[:n] + ((self.prev2[:n] * U(0x85EBCA6B) + mixed * U(0xC2B2AE35)) >> (32 - SLOT_BITS))
-        self.e1, self.e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
-        self.c1, self.c2 = self.e1.astype(np.uint8) & 3, self.e2.astype(np.uint8) & 3
-        self.next1, self.next2 = self.e1 >> 2, self.e2 >> 2
-        self.at = self.base16[:n] + (self.c2 * 4 + self.c1)
+        sums = np.cumsum(self.counts, axis=0, dtype=np.uint16)
+        # whole numbers below 2**32, which division in double precision rounds down exactly
+        shares = sums * np.float64((1 << SCALE) - self.classes) / sums[-1]
+        np.add(shares.astype(np.uint16), np.arange(1, self.classes + 1, dtype=np.uint16)[:, None], out=self.cum[1:])
+
+    def predict(self, n: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies that order 2 holds and that only order 1 holds, for the first n lanes.
+
+        A context is four times the confidence of order 2 plus that of order 1.
+        """
+        self.at = self.base16[:n] + contexts
         self.both = self.by_context.take(self.at, mode="clip")
         self.q2 = self.both & 0xFFFF
         w = self.weight[:n].astype(U)
@@ -87,8 +85,7 @@ class Model:
         top = U((1 << SCALE) - 16)
         return (p2 * top >> 16) + 1, (p1 * top >> 16) + 1
 
-    def learn(self, n: int, ids: np.ndarray, plus_one: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, same1: np.ndarray) -> None:
-        """``same1``: order 1 held, whether order 2 did or not."""
+    def learn(self, n: int, hit2: np.ndarray, hit1: np.ndarray) -> None:
         g2, g1, w = self.two_holds[:n], self.one_holds[:n], self.weight[:n]
         w += ((self.q2 > g2) == hit2).view(np.uint8) << 1
         w -= 1
@@ -100,13 +97,76 @@ class Model:
         g2 += hit2 * U(1023)
         g1 -= g1 >> 6
         g1 += hit1 * U(1023)
+
+    def parts(self, hit2: np.ndarray, hit1: np.ndarray, held: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of the range begins that stands for what happened, and its frequency."""
+        both, missed = f2 + f1, ~held
+        return f2 * hit1 + both * missed, f2 * hit2 + f1 * hit1 + (U(1 << SCALE) - both) * missed
+
+
+class Followers:
+    """The ids that followed the last ids of many blocks, for a reader that gets one id after the other."""
+
+    def __init__(self, lanes: int) -> None:
+        # an entry holds the id that followed, plus one, and two bits of confidence
+        self.one, self.two = np.zeros(lanes << SLOT_BITS, U), np.zeros(lanes << SLOT_BITS, U)
+        self.prev, self.prev2 = np.zeros(lanes, U), np.zeros(lanes, U)
+        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+
+    def look(self, n: int) -> np.ndarray:
+        """The contexts of the first n lanes; ``next2`` and ``next1`` are the ids expected, plus one."""
+        slot1, slot2 = slots(self.prev[:n], self.prev2[:n])
+        self.at1, self.at2 = self.base[:n] + slot1, self.base[:n] + slot2
+        e1, e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
+        self.c1, self.c2 = e1.astype(np.uint8) & 3, e2.astype(np.uint8) & 3
+        self.next1, self.next2 = e1 >> 2, e2 >> 2
+        return self.c2 * 4 + self.c1
+
+    def learn(self, n: int, ids: np.ndarray, plus_one: np.ndarray, hit2: np.ndarray) -> None:
         entry = plus_one << 2
-        self.one[self.at1] = entry | np.minimum(self.c1 * same1 + 1, 3)
+        self.one[self.at1] = entry | np.minimum(self.c1 * (plus_one == self.next1) + 1, 3)
         self.two[self.at2] = entry | np.minimum(self.c2 * hit2 + 1, 3)
         self.prev2[:n] = self.prev[:n]
         self.prev[:n] = ids
 
 
+def slots(prev: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the last id, and of the last two."""
+    mixed = prev * U(0x9E3779B1)
+    return mixed >> (32 - SLOT_BITS), (prev2 * U(0x85EBCA6B) + mixed * U(0xC2B2AE35)) >> (32 - SLOT_BITS)
+
+
+def followed(ids: np.ndarray) -> np.ndarray:
+    """What ``Followers`` would find at every id of whole blocks (rows): the context, 16 if order 2 holds, 32 if order 1 does.
+
+    Sorted by slot and step, an id's expectation is the one before it.
+    """
+    lanes, steps = ids.shape
+    prev, prev2 = np.zeros_like(ids), np.zeros_like(ids)
+    prev[:, 1:], prev2[:, 2:] = ids[:, :-1], ids[:, :-2]
+    room = max(steps - 1, 1).bit_length()
+    flat, rows = ids.reshape(-1), (np.arange(lanes, dtype=np.int64) * steps)[:, None]
+    out = np.zeros(ids.shape, np.uint8)
+    for slot, worth, held in zip(slots(prev, prev2), (1, 4), (32, 16)):
+        order = slot << room | np.arange(steps, dtype=U)
+        order.sort(axis=1)
+        at = rows + (order & U((1 << room) - 1))
+        order >>= room
+        sorted_ids = flat.take(at, mode="clip")
+        known = (order[:, 1:] == order[:, :-1]).view(np.uint8)
+        hit = np.zeros(ids.shape, np.uint8)
+        np.multiply(known, sorted_ids[:, 1:] == sorted_ids[:, :-1], out=hit[:, 1:])
+        # confidence is 1 after a miss, 2 after one hit and 3 after more
+        again = known * hit[:, :-1]
+        found = hit * np.uint8(held)
+        found[:, 1:] += (known + again) * np.uint8(worth)
+        found[:, 2:] += again[:, 1:] * hit[:, :-2] * np.uint8(worth)
+        back = np.empty(ids.shape, np.uint8)
+        back.reshape(-1)[at] = found
+        out += back
+    return out
+
+
 def digit_bits(shift: np.ndarray, classes: int) -> tuple[np.ndarray, ...]:
     """The bits of an id after its size class, at most 16 at a time: a range may hold no more."""
     if classes <= 17:
@@ -155,13 +215,12 @@ class Encoder:
             over = (low < more).nonzero()[0]
             if len(over):
                 self.digits[places[over] - self.lanes] += U(1)
-            # a digit that is not yet due is written over later
-            self.digits[places] = low >> U(16)
-            due = rng < 65536
-            places += due * self.lanes
-            by = due * U(16)
-            low <<= by
-            rng <<= by
+            due = (rng < 65536).nonzero()[0]
+            part, at = low[due], places[due]
+            self.digits[at] = part >> U(16)
+            places[due] = at + self.lanes
+            low[due] = part << U(16)
+            rng[due] <<= U(16)
         self.low[rows], self.range[rows], self.at[rows] = low, rng, places
 
     def finish(self) -> list[np.ndarray]:
@@ -206,35 +265,38 @@ class Decoder:
         rng[m] <<= U(16)
         self.code[:n], self.range[:n] = code, rng
 
-    def escaped(self, rows: np.ndarray, table: np.ndarray, lanes: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the size class in ``table`` and the id plus one, for some lanes."""
+    def escaped(self, rows: np.ndarray, model: Mixture, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the size class among the counts and the id plus one, for some of the first n lanes."""
         code, rng, places = self.code[rows], self.range[rows], self.at[rows]
         unit = rng >> U(SCALE)
-        target = np.minimum(code // unit, U((1 << SCALE) - 1))
-        # the last class whose cumulative frequency is not beyond the target, by halves
-        at, step = rows, 1 << (classes - 1).bit_length()
-        while step > 1:
-            step >>= 1
-            ahead = at + step * lanes
-            at = np.where(table.take(ahead, mode="clip") <= target, ahead, at)
+        targets = np.zeros(n, np.uint16)
+        targets[rows] = np.minimum(quotient(code, unit), U((1 << SCALE) - 1))
+        # the last class whose cumulative frequency is not beyond the target
+        size = np.add.reduce((model.cum[1 : model.classes, :n] <= targets).view(np.uint8), axis=0, dtype=np.uint8)[rows]
+        at = size * np.int64(model.lanes) + rows
+        table = model.cum.reshape(-1)
         cum = table.take(at, mode="clip")
-        freq, size = table.take(at + lanes, mode="clip") - cum, ((at - rows) // lanes).astype(U)
-        plus_one = U(1)
-        for shift in (None, *digit_bits(size, classes)):
+        freq, size, plus_one = table.take(at + model.lanes, mode="clip") - cum, size.astype(U), U(1)
+        for shift in (None, *digit_bits(size, model.classes)):
             if shift is not None:
                 unit = rng >> shift
-                cum, freq = np.minimum(code // unit, (U(1) << shift) - U(1)), U(1)
+                cum, freq = np.minimum(quotient(code, unit), (U(1) << shift) - U(1)), U(1)
                 plus_one = plus_one << shift | cum
             code, rng = code - unit * cum, unit * freq
-            due = rng < 65536
-            by = due * U(16)
-            code = code << by | self.words.take(places, mode="clip") * due
-            places += due
-            rng <<= by
+            due = (rng < 65536).nonzero()[0]
+            ahead = places[due]
+            code[due] = code[due] << U(16) | self.words.take(ahead, mode="clip")
+            places[due] = ahead + 1
+            rng[due] <<= U(16)
         self.code[rows], self.range[rows], self.at[rows] = code, rng, places
         return at, plus_one
 
 
+def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of 32 bits; double precision rounds no quotient of such numbers up to a whole one."""
+    return (a / b).astype(U)
+
+
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """Coded blocks of at most ``BLOCK`` ids below 2**bits, with their heads."""
     if bits > MAX_BITS:
@@ -242,36 +304,43 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     steps, lanes = int(sizes.max(initial=0)), len(blocks)
-    ids = np.zeros((steps, lanes), U)
-    for lane, i in enumerate(order):
-        ids[: sizes[lane], lane] = blocks[i]
+    if steps > BLOCK:
+        raise ValueError(f"a block of more than {BLOCK} ids")
+    plus_ones, states = np.ones((steps, lanes), U), np.zeros((steps, lanes), np.uint8)
+    for first in range(0, lanes, TOGETHER):
+        some = np.zeros((min(TOGETHER, lanes - first), steps), U)
+        for row, i in zip(some, order[first : first + TOGETHER]):
+            row[: len(blocks[i])] = blocks[i]
+        states[:, first : first + TOGETHER] = followed(some).T
+        plus_ones[:, first : first + TOGETHER] += some.T
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    nexts = ids + U(1)
-    model, coder = Model(lanes, bits), Encoder(lanes, 3 * steps + 4)
+    model, coder = Mixture(lanes, bits), Encoder(lanes, 3 * steps + 4)
+    size_of = (np.frexp(np.arange((1 << bits) + 1, dtype=np.float64))[1] - 1).astype(np.uint8)
     table, counts = model.cum.reshape(-1), model.counts.reshape(-1)
     for t in range(steps):
         n = int(live[t])
-        now, plus_one = ids[t, :n], nexts[t, :n]
+        state = states[t, :n]
         model.refresh(t)
-        f2, f1 = model.predict(n)
-        hit2, same1 = plus_one == model.next2, plus_one == model.next1
-        hit1, both = same1 & ~hit2, f2 + f1
-        coder.put(n, U(SCALE), np.where(hit2, U(0), np.where(hit1, f2, both)), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - both)))
-        rows = (~(hit2 | same1)).nonzero()[0]
+        f2, f1 = model.predict(n, state & 15)
+        hit2, held = state & 16 != 0, state >= 16
+        hit1 = held & ~hit2
+        coder.put(n, U(SCALE), *model.parts(hit2, hit1, held, f2, f1))
+        rows = (~held).nonzero()[0]
         if len(rows):
-            escaped = plus_one[rows]
-            size = model.size_of.take(escaped, mode="clip")
-            at = size * lanes + rows
+            escaped = plus_ones[t].take(rows, mode="clip")
+            size = size_of.take(escaped, mode="clip")
+            at = size * np.int64(lanes) + rows
             cum = table.take(at, mode="clip")
+            freq = table.take(at + lanes, mode="clip") - cum
             counts[at] += 24
             left = size.astype(U)
-            rest, parts = escaped - (U(1) << left), [(U(SCALE), cum, table.take(at + lanes, mode="clip") - cum)]
+            rest, parts = escaped - (U(1) << left), [(U(SCALE), cum, freq)]
             for shift in digit_bits(left, model.classes):
                 left = left - shift
                 parts.append((shift, rest >> left, U(1)))
                 rest = rest & ((U(1) << left) - U(1))
             coder.put_at(rows, parts)
-        model.learn(n, now, plus_one, hit2, hit1, same1)
+        model.learn(n, hit2, hit1)
     out: list[bytes] = [b""] * lanes
     for words, i in zip(coder.finish(), order):
         out[i] = struct.pack(HEAD, len(blocks[i]), len(words), zlib.crc32(blocks[i].astype("<u4").tobytes())) + words.tobytes()
@@ -296,7 +365,7 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[
     if not blocks:
         return []
     # a damaged block may bring a range down to 0; its checksum tells
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         return _decoded(blocks, bits)
 
 
@@ -306,29 +375,31 @@ def _decoded(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[np.nd
     steps, lanes = int(sizes.max(initial=0)), len(blocks)
     ids = np.zeros((steps, lanes), U)
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    model, coder = Model(lanes, bits), Decoder([blocks[i][2] for i in order])
-    table, counts = model.cum.reshape(-1), model.counts.reshape(-1)
+    model, last, coder = Mixture(lanes, bits), Followers(lanes), Decoder([blocks[i][2] for i in order])
+    counts = model.counts.reshape(-1)
     for t in range(steps):
         n = int(live[t])
         model.refresh(t)
-        f2, f1 = model.predict(n)
-        both = f2 + f1
-        hit2, held = coder.decided(n, U(SCALE), f2, both)
+        f2, f1 = model.predict(n, last.look(n))
+        hit2, held = coder.decided(n, U(SCALE), f2, f2 + f1)
         hit1 = held & ~hit2
-        coder.take(n, np.where(hit2, U(0), np.where(hit1, f2, both)), np.where(hit2, f2, np.where(hit1, f1, U(1 << SCALE) - both)))
-        plus_one = np.where(hit2, model.next2, model.next1)
+        coder.take(n, *model.parts(hit2, hit1, held, f2, f1))
+        plus_one = np.where(hit2, last.next2, last.next1)
         rows = (~held).nonzero()[0]
         if len(rows):
-            at, plus_one[rows] = coder.escaped(rows, table, lanes, model.classes)
+            at, plus_one[rows] = coder.escaped(rows, model, n)
             counts[at] += 24
         now = np.subtract(plus_one, U(1), out=ids[t, :n])
-        model.learn(n, now, plus_one, hit2, hit1, plus_one == model.next1)
+        model.learn(n, hit2, hit1)
+        last.learn(n, now, plus_one, hit2)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(blocks)
-    for lane, i in enumerate(order):
-        found = ids[: sizes[lane], lane].astype("<u4")
-        if zlib.crc32(found.tobytes()) != blocks[i][1]:
-            raise ValueError("a block's checksum differs")
-        out[i] = found
+    for first in range(0, lanes, TOGETHER):
+        some = np.ascontiguousarray(ids[:, first : first + TOGETHER].T, "<u4")
+        for row, i in zip(some, order[first : first + TOGETHER]):
+            found = row[: blocks[i][0]]
+            if zlib.crc32(found.tobytes()) != blocks[i][1]:
+                raise ValueError("a block's checksum differs")
+            out[i] = found
     return out
 
 
@@ -378,9 +449,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col:
 
         for batch in batches:
             arrow_type = batch.schema.field("id").type
-            for some in bounded(batch):
-                for name, text in zip(some.column("id").to_pylist(), some.column("text").to_pylist()):
-                    own = np.append(vocab.encode(text), np.int32(end_id))
+            for some in bounded(batch, 16 << 20):
+                for name, found in zip(some.column("id").to_pylist(), vocab.encode_all(some.column("text").to_pylist())):
+                    own = np.append(found, np.int32(end_id))
                     names.append(name), counts.append(len(own)), ids.append(own)
                     held += len(own)
                     if held >= SEGMENT:

@@ -203,3 +203,30 @@ def test_ids_of_many_bits(bits):
     blocks = [np.array([0, 3, 255, (1 << bits) - 1, 1]), rng.integers(1 << (bits - 1), 1 << bits, 300), np.tile([(1 << bits) - 1, 5], 100)]
     back = id_files.decode_blocks(id_files.split_blocks(b"".join(id_files.encode_blocks(blocks, bits))), bits)
     assert [b.tolist() for b in back] == [b.tolist() for b in blocks]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=40, max_size=40), min_size=1, max_size=4))
+def test_writer_expects_what_the_reader_finds(rows):
+    """What is found for whole blocks at once is what a reader finds id by id."""
+    ids = np.array(rows, np.uint32)
+    last = id_files.Followers(len(ids))
+    for t, state in enumerate(id_files.followed(ids).T):
+        plus_one = ids[:, t] + np.uint32(1)
+        assert (state & 15).tolist() == last.look(len(ids)).tolist()
+        hit2 = plus_one == last.next2
+        assert (state & 16 != 0).tolist() == hit2.tolist() and (state & 32 != 0).tolist() == (plus_one == last.next1).tolist()
+        last.learn(len(ids), ids[:, t], plus_one, hit2)
+
+
+def test_long_blocks_are_refused():
+    with pytest.raises(ValueError):
+        id_files.encode_blocks([np.zeros(id_files.BLOCK + 1, np.int64)], 17)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1 .'s\n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000\u1680\u200aé’漢\U0001f600"), max_size=14), max_size=8))
+def test_texts_encoded_by_distinct_parts(texts):
+    """Parts between blanks, each encoded once, give the ids of the whole texts."""
+    texts = [*texts, "", "the dog  the dog the dog", " the dog<|endoftext|>", "a" * 1500 + " the dog", *texts]
+    assert [ids.tolist() for ids in VOCAB.encode_all(texts)] == [library(t) for t in texts]
