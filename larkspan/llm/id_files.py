@@ -7,8 +7,7 @@ holds are kept for every pair of confidences and, without context, for the
 block as a whole; the two are mixed with a weight that moves to the one that has
 done better. If neither prediction holds, the id is coded by adaptive counts of
 its size class (order 0) and the rest of its bits. All arithmetic is in whole
-numbers, or in double precision where that gives the same, so every machine decodes
-the same.
+numbers, so every machine decodes the same.
 
 Blocks do not depend on each other, so numpy codes many of them in step. What the
 predictions are is found for whole blocks by sorting when ids are written, and id by
@@ -66,9 +65,8 @@ class Mixture:
         if step % REFRESH and step & (step - 1):
             return
         sums = np.cumsum(self.counts, axis=0, dtype=np.uint16)
-        # whole numbers below 2**32, which division in double precision rounds down exactly
-        shares = sums * np.float64((1 << SCALE) - self.classes) / sums[-1]
-        np.add(shares.astype(np.uint16), np.arange(1, self.classes + 1, dtype=np.uint16)[:, None], out=self.cum[1:])
+        shares = sums * U((1 << SCALE) - self.classes) // sums[-1]
+        np.add(shares, np.arange(1, self.classes + 1, dtype=U)[:, None], out=self.cum[1:], casting="unsafe")
 
     def predict(self, n: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies that order 2 holds and that only order 1 holds, for the first n lanes.
@@ -236,8 +234,11 @@ class Encoder:
             over -= self.lanes
             digits[over] += U(1)
             over = over[digits[over] > 0xFFFF]
-        table = digits.astype("<u2").reshape(-1, max(self.lanes, 1)).T
-        return [table[i, : used[i]].copy() for i in range(self.lanes)]
+        table, out = digits.reshape(-1, max(self.lanes, 1)), []
+        for first in range(0, self.lanes, TOGETHER):
+            some = np.ascontiguousarray(table[:, first : first + TOGETHER].T, "<u2")
+            out += [own[:n].copy() for own, n in zip(some, used[first : first + TOGETHER])]
+        return out
 
 
 class Decoder:
@@ -270,7 +271,7 @@ class Decoder:
         code, rng, places = self.code[rows], self.range[rows], self.at[rows]
         unit = rng >> U(SCALE)
         targets = np.zeros(n, np.uint16)
-        targets[rows] = np.minimum(quotient(code, unit), U((1 << SCALE) - 1))
+        targets[rows] = np.minimum(code // unit, U((1 << SCALE) - 1))
         # the last class whose cumulative frequency is not beyond the target
         size = np.add.reduce((model.cum[1 : model.classes, :n] <= targets).view(np.uint8), axis=0, dtype=np.uint8)[rows]
         at = size * np.int64(model.lanes) + rows
@@ -280,7 +281,7 @@ class Decoder:
         for shift in (None, *digit_bits(size, model.classes)):
             if shift is not None:
                 unit = rng >> shift
-                cum, freq = np.minimum(quotient(code, unit), (U(1) << shift) - U(1)), U(1)
+                cum, freq = np.minimum(code // unit, (U(1) << shift) - U(1)), U(1)
                 plus_one = plus_one << shift | cum
             code, rng = code - unit * cum, unit * freq
             due = (rng < 65536).nonzero()[0]
@@ -292,11 +293,6 @@ class Decoder:
         return at, plus_one
 
 
-def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a // b of 32 bits; double precision rounds no quotient of such numbers up to a whole one."""
-    return (a / b).astype(U)
-
-
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """Coded blocks of at most ``BLOCK`` ids below 2**bits, with their heads."""
     if bits > MAX_BITS:
@@ -343,7 +339,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         model.learn(n, hit2, hit1)
     out: list[bytes] = [b""] * lanes
     for words, i in zip(coder.finish(), order):
-        out[i] = struct.pack(HEAD, len(blocks[i]), len(words), zlib.crc32(blocks[i].astype("<u4").tobytes())) + words.tobytes()
+        out[i] = struct.pack(HEAD, len(blocks[i]), len(words), zlib.crc32(blocks[i].astype("<u4"))) + words.tobytes()
     return out
 
 
@@ -365,7 +361,7 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[
     if not blocks:
         return []
     # a damaged block may bring a range down to 0; its checksum tells
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore"):
         return _decoded(blocks, bits)
 
 
@@ -397,7 +393,7 @@ def _decoded(blocks: list[tuple[int, int, np.ndarray]], bits: int) -> list[np.nd
         some = np.ascontiguousarray(ids[:, first : first + TOGETHER].T, "<u4")
         for row, i in zip(some, order[first : first + TOGETHER]):
             found = row[: blocks[i][0]]
-            if zlib.crc32(found.tobytes()) != blocks[i][1]:
+            if zlib.crc32(found) != blocks[i][1]:
                 raise ValueError("a block's checksum differs")
             out[i] = found
     return out
@@ -502,7 +498,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
                         ends = np.cumsum(cols[3][i])
                         for name, n, end in zip(cols[2][i], cols[3][i], ends):
                             own = whole[end - n : end]
-                            out.append((name, cols[0][i] + int(end) - n, n, zlib.crc32(own.tobytes())) + ((own.astype(np.int64),) if with_ids else ()))
+                            out.append((name, cols[0][i] + int(end) - n, n, zlib.crc32(own)) + ((own.astype(np.int64),) if with_ids else ()))
                     types = (arrow_type, pa.int64(), pa.int64(), pa.int64()) + ((pa.list_(pa.int64()),) if with_ids else ())
                     names = ["id", "start", "n_tokens", "ids_crc32"] + (["ids"] if with_ids else [])
                     if out:
