@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import dropped, staged
 from .search import (
-    CELLS, MATRIX_QUERIES, MIN_SCORE, TOP_K, _asked, _blocks, _matrix, _ranked, _result_schema, _task_best, _unanswered,
+    CELLS, MATRIX_QUERIES, MIN_SCORE, TOP_K, _asked, _blocks, _floors, _matrix, _ranked, _result_schema, _task_best, _unanswered,
 )
 
 SAMPLE_ROWS = 50_000
@@ -232,19 +231,6 @@ def _read(index: VectorIndex, rows: pa.Table, floor: np.ndarray, pairs: np.ndarr
     return chosen.select("group_no", *ids, vec).mapInArrow(run, _result_schema(index.vectors, ids))
 
 
-def _floors(first: DataFrame, rows: pa.Table, ids: Sequence[str]) -> np.ndarray:
-    """Score of the k-th hit so far of each query of a matrix, or its least score where it has fewer."""
-    spark = first.sparkSession
-    best = W.partitionBy("q").orderBy(F.desc("score"), *ids)
-    limits = F.broadcast(spark.createDataFrame(rows.select(["q", "k"])))
-    ranked = first.withColumn("rank", F.row_number().over(best)).join(limits, "q")
-    last = ranked.filter(F.col("rank") == F.col("k")).select("q", "score").toArrow()
-    floor = rows.column("low").to_numpy().astype(float)
-    at = np.searchsorted(rows.column("q").to_numpy(), last.column("q").to_numpy())
-    floor[at] = last.column("score").to_numpy()
-    return floor
-
-
 def indexed_topk(
     index: VectorIndex, queries: DataFrame, *, query_id: str, query_vec: str, k: int | Column = TOP_K,
     min_score: float | Column = MIN_SCORE, matrix_queries: int = MATRIX_QUERIES, on_read: Callable[[int, int], None] | None = None,
@@ -275,7 +261,7 @@ def indexed_topk(
         read = first.any(axis=0)
         if read.any():
             found.append(staged(_read(index, rows, low, first), "best"))
-            floor = _floors(found[-1], rows, ids)
+            floor = _floors([found[-1]], rows, ids)
             rest = able & ~first & (bounds >= floor[:, None])
             if rest.any():
                 found.append(staged(_read(index, rows, floor, rest), "best"))

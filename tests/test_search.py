@@ -159,3 +159,64 @@ def test_few_scores_are_made_exactly(monkeypatch):
     monkeypatch.setattr(se, "CELLS", 50_000)
     se._task_best(iter([table]), queries, ["i"], "v", 5, 0.2)
     assert sum(waited) < 20 * 5 * 100
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    monkeypatch.setattr(se, "SHARED_QUERIES", 1)
+    monkeypatch.setattr(se, "FIRST_VECTORS", 20)
+    monkeypatch.setattr(se, "PART_GROWTH", 4)
+
+
+@pytest.mark.parametrize("k,low", [(1, -1.0), (10, 0.2), (350, -1.0)])
+def test_parts_hold_every_vector_once(data, small_parts, k, low):
+    v, q, vectors, queries = data
+    parts = se._parts(vectors, ["id"], 23, 900)
+    assert len(parts) == 3 and sorted(r["id"] for p in parts for r in p.select("id").collect()) == list(range(900))
+    got = as_lists(se.similarity_topk(queries, vectors, query_id="name", query_vec="vector", ids=["id"], k=k, min_score=low, matrix_queries=9))
+    want = {n: rows for n, rows in brute(v, q, k, low).items() if rows}
+    assert {n: [i for i, _ in r] for n, r in got.items()} == {n: [i for i, _ in r] for n, r in want.items()}
+
+
+def test_tasks_hand_on_what_earlier_parts_do_not_exceed(spark, data, small_parts, monkeypatch):
+    """Fifty tasks write a few times k rows of each query, not fifty times k, and each matrix leaves k."""
+    v, _, vectors, queries = data
+    written = []
+    staged = se.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "best":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(se, "staged", counted)
+    rng = np.random.default_rng(8)
+    rows = [(i, x.tolist()) for i, x in enumerate(unit(rng, 900, 16))]
+    spread = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(50)
+    got = se.similarity_topk(queries, spread, query_id="name", query_vec="vector", ids=["id"], k=10, min_score=-1.0, matrix_queries=12)
+    assert got.count() == 230 and sum(written) < 23 * 250
+    assert len(written) % 4 == 0 and sum(written[3::4]) == 230
+
+
+def test_parts_of_repeated_and_missing_ids(spark, small_parts):
+    """Copies of one id and vectors without an id are in one part each, and all are found."""
+    vectors = [(7, [1.0, 0.0])] * 300 + [(None, [0.6, 0.8])] * 200 + [(i, [0.0, 1.0]) for i in range(100, 140)] + [(1, None)]
+    df = spark.createDataFrame(vectors, "id int, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([("a", [1.0, 0.0], 305), ("b", [0.0, 1.0], 41), ("c", [-1.0, 0.0], 3)], "name string, vector array<float>, n int")
+    got = se.similarity_topk(asked, df, query_id="name", query_vec="vector", ids=["id"], k=F.col("n"), matrix_queries=2).collect()
+    found = {n: [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == n] for n in "abc"}
+    assert found["a"] == [7] * 300 + [None] * 5 and found["b"] == [*range(100, 140), None] and found["c"] == []
+
+
+@pytest.mark.parametrize("scale", [1e39, 1e-39])
+def test_numbers_that_single_precision_does_not_hold(scale):
+    """Such queries and vectors are compared in double precision."""
+    rng = np.random.default_rng(9)
+    vectors, queries = rng.random((300, 4)) * scale, rng.random((12, 4)) / scale
+    table = pa.table({"i": pa.array(np.arange(300)), "v": pa.array(list(vectors), pa.list_(pa.float64()))})
+    out = se._task_best(iter([table]), queries, ["i"], "v", 5, 0.2)
+    got = {}
+    for q, i in zip(out.column("q").to_pylist(), out.column("i").to_pylist()):
+        got.setdefault(q, []).append(i)
+    assert got == _brute(vectors, queries, np.full(12, 5), 0.2)
